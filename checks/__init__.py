@@ -1,5 +1,5 @@
 """Registered queries over the given tables, each with the SQL it must equal."""
 
-from . import pages
+from . import catalog, pages
 
-ALL = [pages]
+ALL = [pages, catalog]

@@ -9,6 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import lexicons as L
+from .columns import bind
 from .match import Rules, contains_any, first_label, holds
 from .text import as_col, blank_to_null
 from .urls import path, suffix
@@ -27,17 +28,17 @@ def filter_col(filters: Mapping[str, object] | None, *keys: str) -> Column:
     return F.lit(None).cast("string")
 
 
-def infer_format(url: Column | str, text: Column | str, word_rules: Rules = L.FORMAT_WORD_RULES) -> Column:
-    """Format from a file suffix, else from words, else ``html``."""
-    blob = F.lower(F.concat_ws(" ", as_col(url), as_col(text)))
-    found = F.regexp_extract(blob, FILE_SUFFIX, 1)
-    by_suffix = (
-        F.when(found.isin("jpg", "jpeg", "png", "gif", "webp"), F.lit("image"))
+def infer_format(lowered: Column | str, word_rules: Rules = L.FORMAT_WORD_RULES) -> Column:
+    """Format from a file suffix, else from words, else ``html``; the text is lower case."""
+    lowered = as_col(lowered)
+    by_suffix = bind(
+        F.regexp_extract(lowered, FILE_SUFFIX, 1),
+        lambda found: F.when(found.isin("jpg", "jpeg", "png", "gif", "webp"), F.lit("image"))
         .when(found.isin("mp3", "wav", "m4a"), F.lit("audio"))
         .when(found.isin("mp4", "mov", "avi"), F.lit("video"))
-        .when(found != "", found)
+        .when(found != "", found),
     )
-    return F.coalesce(by_suffix, first_label(blob, word_rules), F.lit("html"))
+    return F.coalesce(by_suffix, first_label(lowered, word_rules), F.lit("html"))
 
 
 def by_format(fmt: Column, table: Mapping[str, str], default: str) -> Column:
@@ -48,13 +49,12 @@ def by_format(fmt: Column, table: Mapping[str, str], default: str) -> Column:
     return out.otherwise(default)
 
 
-def infer_resource_type(text: Column, fmt: Column, rules: Rules, by_fmt: Mapping[str, str], default: str) -> Column:
-    return F.coalesce(first_label(F.lower(text), rules), by_format(fmt, by_fmt, default))
+def infer_resource_type(lowered: Column, fmt: Column, rules: Rules, by_fmt: Mapping[str, str], default: str) -> Column:
+    return F.coalesce(first_label(lowered, rules), by_format(fmt, by_fmt, default))
 
 
-def infer_subject(text: Column, rules: Sequence[tuple[str | None, str, Sequence[str]]]) -> tuple[Column, Column]:
+def infer_subject(lowered: Column, rules: Sequence[tuple[str | None, str, Sequence[str]]]) -> tuple[Column, Column]:
     """(subject, domain) of the first rule with a hit."""
-    lowered = F.lower(text)
     subject, domain = F, F
     for name, field, terms in rules:
         test = contains_any(lowered, terms)
@@ -65,17 +65,19 @@ def infer_subject(text: Column, rules: Sequence[tuple[str | None, str, Sequence[
     return subject, domain
 
 
-def infer_context_field(value: Column, text: Column) -> Column:
-    """A filter value only where the text shows it."""
-    return F.when(holds(F.lower(text), F.lower(value)), value)
+def infer_context_field(value: Column, lowered: Column) -> Column:
+    """A filter value only where the (lower-case) text shows it."""
+    return F.when(holds(lowered, F.lower(value)), value)
 
 
-def infer_topic(topic: Column, text: Column) -> Column:
+def infer_topic(topic: Column, lowered: Column) -> Column:
     """The topic where the text shows all of it or at least half of its parts."""
-    lowered = F.lower(text)
     parts = F.array_remove(F.split(F.lower(topic), r"[\s、,，/]+"), "")
-    found = F.size(F.filter(parts, lambda p: F.contains(lowered, p)))
-    enough = found >= F.greatest(F.lit(1), F.floor(F.size(parts) / 2))
+    enough = bind(
+        parts,
+        lambda ps: F.size(F.filter(ps, lambda p: F.contains(lowered, p)))
+        >= F.greatest(F.lit(1), F.floor(F.size(ps) / 2)),
+    )
     return F.when(holds(lowered, F.lower(topic)) | enough, topic)
 
 
@@ -99,47 +101,48 @@ def link_confidence(fields: Sequence[Column | str], origin_title: Column, untitl
 
 def item_format(declared: Column, url: Column, title: Column, known: Sequence[str] = L.SITE_EXTENSIONS) -> Column:
     """Format of a search item: declared, else URL suffix, else title suffix; unknown ones are web pages."""
-    plain = F.regexp_extract(F.lower(F.coalesce(declared, F.lit(""))), r"([^/]*)$", 1)
-    plain = F.when(plain == "jpeg", F.lit("jpg")).otherwise(plain)
+    plain = F.regexp_replace(F.regexp_extract(F.lower(F.coalesce(declared, F.lit(""))), r"([^/]*)$", 1), "^jpeg$", "jpg")
     detected = F.coalesce(blank_to_null(plain), blank_to_null(suffix(path(url))), blank_to_null(suffix(title)))
-    return F.when(detected.isin(list(known)), detected).otherwise(F.lit("网页"))
+    return bind(detected, lambda d: F.when(d.isin(list(known)), d).otherwise(F.lit("网页")))
 
 
 def detail_format(declared: Column, url: Column) -> Column:
     """Format of a file item: playlist types, MIME tails, and the suffix for folders and sources."""
     text = F.lower(F.coalesce(blank_to_null(declared), F.lit("")))
-    playlist = text.isin("application/x-mpegurl", "application/vnd.apple.mpegurl")
-    tail = F.regexp_extract(text, r"([^/]*)$", 1)
-    by_url = suffix(path(url))
-    fmt = F.when(tail.isin("folder", "source", "") & (by_url != ""), by_url).otherwise(tail)
-    fmt = F.when(fmt == "jpeg", F.lit("jpg")).when(fmt == "", F.lit("unknown")).otherwise(fmt)
-    return F.when(playlist, F.lit("m3u8")).otherwise(fmt)
+    plain = F.regexp_replace(text, r"^application/(?:x-mpegurl|vnd\.apple\.mpegurl)$", "m3u8")
+    named = F.nullif(F.regexp_replace(F.regexp_extract(plain, r"([^/]*)$", 1), "^(?:folder|source)$", ""), F.lit(""))
+    folder = F.nullif(F.regexp_extract(plain, r"(folder|source)$", 1), F.lit(""))
+    found = F.coalesce(named, F.nullif(suffix(path(url)), F.lit("")), folder, F.lit("unknown"))
+    return F.regexp_replace(found, "^jpeg$", "jpg")
 
 
 def detail_resource_type(fmt: Column, *texts: Column) -> Column:
     out = F
     for label, formats in L.DETAIL_TYPE_BY_FORMAT.items():
         out = out.when(fmt.isin(formats), label)
-    blob = F.lower(F.concat_ws(" ", fmt, *texts))
-    return F.coalesce(out, first_label(blob, L.DETAIL_TYPE_RULES), F.lit("文档"))
+    by_words = bind(F.lower(F.concat_ws(" ", fmt, *texts)), lambda blob: first_label(blob, L.DETAIL_TYPE_RULES))
+    return F.coalesce(out, by_words, F.lit("文档"))
 
 
 def library_format(declared: Column, file: Column) -> Column:
     """Declared format, else the file suffix, folded to one spelling."""
     fmt = F.coalesce(blank_to_null(F.ltrim(F.lower(F.regexp_replace(declared, r"^\s*\.+", "")))), blank_to_null(suffix(file)))
-    return F.when(fmt == "jpeg", F.lit("jpg")).otherwise(F.coalesce(fmt, F.lit("unknown")))
+    return F.regexp_replace(F.coalesce(fmt, F.lit("unknown")), "^jpeg$", "jpg")
 
 
 def format_family(expected: Column) -> Column:
     """The format names that satisfy an expected one."""
-    wanted = F.replace(F.lower(expected), F.lit("/"), F.lit(""))
-    out = F
-    for name, family in L.FORMAT_FAMILIES.items():
-        out = out.when(wanted == name, F.array(*[F.lit(f) for f in family]))
-    return out.otherwise(F.array(wanted))
+
+    def family(wanted: Column) -> Column:
+        out = F
+        for name, members in L.FORMAT_FAMILIES.items():
+            out = out.when(wanted == name, F.array(*[F.lit(m) for m in members]))
+        return out.otherwise(F.array(wanted))
+
+    return bind(F.replace(F.lower(expected), F.lit("/"), F.lit("")), family)
 
 
 def format_matches(expected: Column, actual: Column) -> Column:
     """An expected format name against an actual one, by family and then by substring."""
     have = F.replace(F.lower(F.coalesce(actual, F.lit(""))), F.lit("/"), F.lit(""))
-    return F.exists(format_family(expected), lambda name: F.contains(have, name))
+    return bind(have, lambda h: F.exists(format_family(expected), lambda name: F.contains(h, name)))

@@ -44,8 +44,7 @@ def squeeze(value: Column | str) -> Column:
 
 
 def blank_to_null(value: Column | str) -> Column:
-    text = strip(as_col(value).cast("string"))
-    return F.when(text != "", text)
+    return F.nullif(strip(as_col(value).cast("string")), F.lit(""))
 
 
 def first_value(*values: Column | str) -> Column:
@@ -116,7 +115,7 @@ def safe_part(value: Column | str, fallback: str, limit: int = 80) -> Column:
     text = F.btrim(
         F.regexp_replace(F.regexp_replace(raw, r'[\\/:*?"<>|\r\n\t]+', "_"), WHITE_CLASS + "+", " "), F.lit(" .")
     )
-    return F.substring(F.when(text != "", text).otherwise(F.lit(fallback)), 1, limit)
+    return F.substring(F.coalesce(F.nullif(text, F.lit("")), F.lit(fallback)), 1, limit)
 
 
 def mask_secrets(value: Column | str, rules: Sequence[tuple[str, str]]) -> Column:
@@ -150,7 +149,6 @@ GRADE_NUMERALS = ["零", "一", "二", "三", "四", "五", "六", "七", "八",
 def grade_to_chinese(value: Column | str) -> Column:
     """``3`` and ``3年级`` become 三年级; anything else stays."""
     text = strip(as_col(value).cast("string"))
-    digits = F.regexp_extract(text, r"^(\d{1,2})(?:\s*年级.*)?$", 1)
-    number = F.when(digits != "", digits.cast("int"))
-    name = F.element_at(F.array(*[F.lit(n) for n in GRADE_NUMERALS]), number + 1)
-    return F.when(number.between(0, len(GRADE_NUMERALS) - 1), F.concat(name, F.lit("年级"))).otherwise(text)
+    number = F.regexp_extract(text, r"^(\d{1,2})(?:\s*年级.*)?$", 1).try_cast("int")
+    name = F.get(F.array(*[F.lit(n) for n in GRADE_NUMERALS]), number)
+    return F.coalesce(F.concat(name, F.lit("年级")), text)

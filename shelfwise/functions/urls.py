@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .columns import bind
 from .text import as_col, clean_text, unescape
 
 SCHEME = r"[A-Za-z][A-Za-z0-9+.-]*"
@@ -30,8 +31,7 @@ def suffix(name: Column | str) -> Column:
 
 
 def ext(url: Column | str) -> Column:
-    found = suffix(path(url))
-    return F.when(found == "jpeg", F.lit("jpg")).otherwise(found)
+    return F.regexp_replace(suffix(path(url)), "^jpeg$", "jpg")
 
 
 def quote(value: Column | str, keep: str = "") -> Column:
@@ -56,7 +56,7 @@ def query_value(url: Column | str, *keys: str) -> Column:
 
     def one(key: str) -> Column:
         raw = F.regexp_extract(as_col(url), rf"^[^#?]*\?(?:[^#]*&)?{key}=([^&#]+)", 1)
-        return F.when(raw != "", F.coalesce(F.try_url_decode(raw), raw))
+        return bind(raw, lambda r: F.when(r != "", F.coalesce(F.try_url_decode(r), r)))
 
     return F.coalesce(*[one(k) for k in keys])
 
@@ -70,8 +70,7 @@ def quote_path(url: Column | str) -> Column:
 
 
 def unwrap_redirect(url: Column | str, keys: Sequence[str] = ("uddg", "url", "u", "target")) -> Column:
-    plain = unescape(url)
-    return F.coalesce(query_value(plain, *keys), plain)
+    return bind(unescape(url), lambda u: F.coalesce(query_value(u, *keys), u))
 
 
 def fold_dots(url_path: Column) -> Column:
@@ -84,40 +83,60 @@ def fold_dots(url_path: Column) -> Column:
             .otherwise(F.concat(done, F.array(part)))
         )
 
-    parts = F.split(url_path, "/")
-    last = F.element_at(parts, -1)
-    closed = F.when(last.isin(".", ".."), F.concat(parts, F.array(F.lit("")))).otherwise(parts)
-    folded = F.array_join(F.aggregate(closed, F.array().cast("array<string>"), step), "/")
-    return F.when(F.contains(url_path, F.lit("/.")), F.when(folded == "", F.lit("/")).otherwise(folded)).otherwise(
-        url_path
-    )
+    def fold(plain: Column) -> Column:
+        parts = F.split(plain, "/")
+        last = F.element_at(parts, -1)
+        closed = F.when(last.isin(".", ".."), F.concat(parts, F.array(F.lit("")))).otherwise(parts)
+        folded = F.array_join(F.aggregate(closed, F.array().cast("array<string>"), step), "/")
+        return bind(folded, lambda f: F.when(f == "", F.lit("/")).otherwise(f))
 
+    return bind(url_path, lambda p: F.when(F.contains(p, F.lit("/.")), fold(p)).otherwise(p))
 
-def absolute_url(base: Column | str, ref: Column | str) -> Column:
-    """Resolve a reference against the page it stands on."""
-    base, ref = as_col(base), F.trim(unescape(ref))
+
+def clean_ref(ref: Column | str) -> Column:
+    return F.trim(unescape(ref))
+
+
+def resolve(base: Column | str, ref: Column | str) -> Column:
+    """Resolve a cleaned reference against the page it stands on."""
+    base, ref = as_col(base), as_col(ref)
     scheme = F.regexp_extract(base, rf"^({SCHEME}:)", 1)
     origin = F.regexp_extract(base, rf"^((?:{SCHEME}:)?//[^/?#]*)", 1)
-    base_path = path(base)
     base_page = F.regexp_extract(base, r"^([^?#]*)", 1)
     ref_path = F.regexp_extract(ref, r"^([^?#]*)", 1)
     ref_tail = F.regexp_extract(ref, r"^[^?#]*(.*)$", 1)
-    folder = F.regexp_extract(base_path, r"^(.*/)", 1)
+    folder = F.regexp_extract(path(base), r"^(.*/)", 1)
     joined = F.concat(F.when((folder == "") & (origin != ""), F.lit("/")).otherwise(folder), ref_path)
     return (
         F.when(ref == "", base)
+        .when(
+            F.startswith(ref, F.lit("/")),
+            F.when(F.startswith(ref, F.lit("//")), F.concat(scheme, ref)).otherwise(
+                F.concat(origin, fold_dots(ref_path), ref_tail)
+            ),
+        )
         .when(F.regexp_like(ref, F.lit(rf"^{SCHEME}:")) | (base == ""), ref)
-        .when(F.startswith(ref, F.lit("//")), F.concat(scheme, ref))
-        .when(F.startswith(ref, F.lit("/")), F.concat(origin, fold_dots(ref_path), ref_tail))
         .when(F.startswith(ref, F.lit("?")), F.concat(base_page, ref))
         .when(F.startswith(ref, F.lit("#")), F.concat(F.regexp_extract(base, r"^([^#]*)", 1), ref))
         .otherwise(F.concat(origin, fold_dots(joined), ref_tail))
     )
 
 
+def absolute_url(base: Column | str, ref: Column | str) -> Column:
+    """Resolve a reference as written in markup."""
+    base = as_col(base)
+    return bind(clean_ref(ref), lambda r: resolve(base, r))
+
+
+def absolute_urls(base: Column | str, refs: Column) -> Column:
+    """Resolve every reference of an array, in order."""
+    base = as_col(base)
+    return F.transform(F.transform(refs, clean_ref), lambda r: resolve(base, r))
+
+
 def file_title(url: Column | str, fallback: str) -> Column:
     """Readable title from a file name: decoded, no suffix, dashes to blanks."""
     name = F.regexp_extract(unquote(path(url)), r"([^/]+)/*$", 1)
     stem = F.regexp_replace(name, r"^(.+)\.[^.]*$", "$1")
     title = clean_text(F.regexp_replace(stem, "[_-]+", " "), tags_first=False)
-    return F.when(title != "", title).otherwise(F.lit(fallback))
+    return bind(title, lambda t: F.when(t != "", t).otherwise(F.lit(fallback)))

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import lexicons as L
+from ..functions.columns import let
 from ..functions.infer import (
     detail_format,
     detail_resource_type,
@@ -27,7 +28,7 @@ from ..functions.infer import (
 )
 from ..functions.match import compact, contains_any, hits
 from ..functions.text import as_col, blank_to_null, clean_text, first_value, stable_id
-from ..functions.urls import absolute_url, ext, file_title, host
+from ..functions.urls import clean_ref, ext, file_title, host, resolve
 from . import details as D
 from .grouping import first_of
 
@@ -43,12 +44,13 @@ def load_search_results(df: DataFrame, strict: bool = False) -> DataFrame:
         return F.coalesce(*present) if present else F.lit(None).cast("string")
 
     known = {"url", "link", "href", "source_url", "title", "name", "snippet", "description", "summary"}
-    rows = df.select(
-        *[c for c in df.columns if c not in known],
-        folded("url", "link", "href", "source_url").alias("url"),
-        folded("title", "name").alias("title"),
-        F.coalesce(folded("snippet", "description", "summary"), F.lit("")).alias("snippet"),
-    ).where(F.col("url").isNotNull())
+    folds = {
+        "url": folded("url", "link", "href", "source_url"),
+        "title": folded("title", "name"),
+        "snippet": F.coalesce(folded("snippet", "description", "summary"), F.lit("")),
+    }
+    others = [c for c in df.columns if c not in known]
+    rows = let(df, folds).select(*others, *folds).where(F.col("url").isNotNull())
     return rows.where(F.col("title").isNotNull()) if strict else rows.fillna({"title": ""})
 
 
@@ -63,14 +65,13 @@ def web_candidates(
     official_hints: Sequence[str] = L.OFFICIAL_HINTS,
 ) -> DataFrame:
     """Search results (url, title, snippet) to candidates."""
-    text = F.concat_ws(" ", "title", "snippet", "url")
-    base = results.withColumns({"_text": text, "_host": host("url")}).withColumn(
-        "format", infer_format("url", F.col("_text"))
-    )
-    text, fmt = F.col("_text"), F.col("format")
-    subject, domain = infer_subject(text, subject_rules)
-    typed = base.withColumn(
-        "resource_type", infer_resource_type(text, fmt, type_rules, L.WEB_TYPE_BY_FORMAT, "网页")
+    base = let(results, {"_text": F.concat_ws(" ", "title", "snippet", "url"), "_host": host("url")})
+    lowered = let(base, {"_low": F.lower("_text")})
+    formatted = let(lowered, {"format": infer_format("_low")})
+    text, low, fmt = F.col("_text"), F.col("_low"), F.col("format")
+    subject, domain = infer_subject(low, subject_rules)
+    typed = let(
+        formatted, {"resource_type": infer_resource_type(low, fmt, type_rules, L.WEB_TYPE_BY_FORMAT, "网页")}
     )
     return typed.withColumns(
         {
@@ -79,13 +80,13 @@ def web_candidates(
             "source_url": F.col("url"),
             "resource_id": stable_id("url"),
             "description": F.col("snippet"),
-            "stage": infer_context_field(filter_col(filters, "stage"), text),
-            "grade": infer_context_field(filter_col(filters, "grade"), text),
+            "stage": infer_context_field(filter_col(filters, "stage"), low),
+            "grade": infer_context_field(filter_col(filters, "grade"), low),
             "subject": subject,
             "learning_domain": domain,
-            "version": infer_context_field(filter_col(filters, "version"), text),
-            "volume": infer_context_field(filter_col(filters, "volume"), text),
-            "topic": infer_topic(filter_col(filters, "core_topic", "topic"), text),
+            "version": infer_context_field(filter_col(filters, "version"), low),
+            "volume": infer_context_field(filter_col(filters, "volume"), low),
+            "topic": infer_topic(filter_col(filters, "core_topic", "topic"), low),
             "provider": F.col("_host"),
             "official": contains_any(text, official_hints) | contains_any("_host", official_hints),
             "downloadable": ~fmt.isin("html", "video", "audio"),
@@ -94,7 +95,7 @@ def web_candidates(
             "source_warnings": F.transform(hits(text, risk_terms), lambda t: F.concat(F.lit("包含风险词："), t)),
             "metadata_confidence": metadata_confidence("title", "url", "snippet", "resource_type", "format"),
         }
-    ).drop("_text", "_host", "url", "snippet")
+    ).drop("_text", "_low", "_host", "url", "snippet")
 
 
 def link_candidates(
@@ -118,29 +119,35 @@ def link_candidates(
     """
     generic = links if include_non_generic else links.where(F.col("crawl_strategy") == "generic_extract")
     wanted = sorted({"jpg" if e == "jpeg" else e for e in extensions})
-    raw_url = clean_text("raw_url", tags_first=False)
-    declared = F.lower(clean_text("raw_format", tags_first=False))
-    declared = F.when(declared == "jpeg", F.lit("jpg")).otherwise(declared)
-    resolved = generic.withColumn("_url", F.when(raw_url != "", absolute_url("source_url", raw_url)))
-    formatted = resolved.withColumn(
-        "format",
-        F.when(declared.isin(wanted), declared).otherwise(F.when(ext("_url").isin(wanted), ext("_url"))),
+    declared = F.regexp_replace(F.lower(clean_text("raw_format", tags_first=False)), "^jpeg$", "jpg")
+    cleaned = let(generic, {"_ref": clean_ref(clean_text("raw_url", tags_first=False)), "_declared": declared})
+    resolved = let(cleaned, {"_url": F.when(F.col("_ref") != "", resolve("source_url", "_ref"))})
+    suffixed = let(resolved, {"_suffix": ext("_url")})
+    formatted = let(
+        suffixed,
+        {
+            "format": F.when(F.col("_declared").isin(wanted), F.col("_declared")).when(
+                F.col("_suffix").isin(wanted), F.col("_suffix")
+            )
+        },
     ).where(F.col("_url").isNotNull() & F.col("format").isNotNull())
     unique = first_of(formatted, ["_url"], ordinal)
-    link_text = clean_text("raw_text", tags_first=False)
-    origin_title = clean_text("page_title", tags_first=False)
-    titled = unique.withColumns(
+    titled = let(
+        unique,
         {
-            "title": F.when(link_text != "", link_text).otherwise(file_title("_url", UNTITLED)),
-            "origin_title": origin_title,
+            "title": F.coalesce(
+                F.nullif(clean_text("raw_text", tags_first=False), F.lit("")), file_title("_url", UNTITLED)
+            ),
+            "origin_title": clean_text("page_title", tags_first=False),
             "_host": host(F.when(F.col("source_url") != "", F.col("source_url")).otherwise(F.col("_url"))),
-        }
-    ).withColumn(
-        "description", F.concat(F.lit("来自 "), F.when(F.col("origin_title") != "", F.col("origin_title")).otherwise(F.col("_host")))
+        },
     )
-    with_text = titled.withColumn("_text", F.concat_ws(" ", "title", "description", "_url", "source_url"))
-    text = F.col("_text")
-    subject, domain = infer_subject(text, subject_rules)
+    origin = F.when(F.col("origin_title") != "", F.col("origin_title")).otherwise(F.col("_host"))
+    described = let(titled, {"description": F.concat(F.lit("来自 "), origin)})
+    worded = let(described, {"_text": F.concat_ws(" ", "title", "description", "_url", "source_url")})
+    with_text = let(worded, {"_low": F.lower("_text")})
+    text, low = F.col("_text"), F.col("_low")
+    subject, domain = infer_subject(low, subject_rules)
     auth = F.size(F.filter("auth_hints", lambda h: F.trim(h) != "")) > 0
     noted = F.exists("warnings", lambda w: F.contains(w, F.lit("访问限制")))
     warned = F.array_distinct(
@@ -149,8 +156,9 @@ def link_candidates(
             compact([F.when(auth & ~noted, F.lit("来源页面可能存在登录、付费或授权限制"))]),
         )
     )
-    typed = with_text.withColumn(
-        "resource_type", infer_resource_type(text, F.col("format"), type_rules, L.LINK_TYPE_BY_FORMAT, "文档")
+    typed = let(
+        with_text,
+        {"resource_type": infer_resource_type(low, F.col("format"), type_rules, L.LINK_TYPE_BY_FORMAT, "文档")},
     )
     return typed.select(
         *keys,
@@ -163,13 +171,13 @@ def link_candidates(
         "description",
         "resource_type",
         "format",
-        infer_context_field(filter_col(filters, "stage"), text).alias("stage"),
-        infer_context_field(filter_col(filters, "grade"), text).alias("grade"),
+        infer_context_field(filter_col(filters, "stage"), low).alias("stage"),
+        infer_context_field(filter_col(filters, "grade"), low).alias("grade"),
         subject.alias("subject"),
         domain.alias("learning_domain"),
-        infer_context_field(filter_col(filters, "version"), text).alias("version"),
-        infer_context_field(filter_col(filters, "volume"), text).alias("volume"),
-        infer_topic(filter_col(filters, "core_topic", "topic"), text).alias("topic"),
+        infer_context_field(filter_col(filters, "version"), low).alias("version"),
+        infer_context_field(filter_col(filters, "volume"), low).alias("volume"),
+        infer_topic(filter_col(filters, "core_topic", "topic"), low).alias("topic"),
         F.col("_host").alias("provider"),
         (contains_any(text, official_hints) | contains_any("_host", official_hints)).alias("official"),
         F.lit(True).alias("downloadable"),
@@ -278,16 +286,16 @@ def item_tags(item: str) -> Column:
 def item_candidates(items: DataFrame, query: Column | str = "", filters: Filters = None, item: str = "item") -> DataFrame:
     """Search items (variant column) to candidates; tag values before filter values."""
     query = F.lit(query) if isinstance(query, str) else query
-    named = items.withColumns({f"_{n}": item_field(item, n) for n in ITEM_ALIASES} | {"_tags": item_tags(item)})
+    named = let(items, {f"_{n}": item_field(item, n) for n in ITEM_ALIASES} | {"_tags": item_tags(item)})
     providers = F.try_variant_get(F.col(item), "$.extra.providers", "array<struct<name:string>>")
     extra_format = F.try_variant_get(F.col(item), "$.extra.format", "string")
     page = D.detail_page(
         F.col("_id"), F.col("_catalog"), F.col("_sub_catalog"), F.col("_page_content_type"), F.col("_page")
     )
     title = F.coalesce(blank_to_null(clean_text("_title")), F.lit(f"{L.SITE_NAME} 资源"))
-    paged = named.withColumns({"source_url": page, "title": title})
-    formatted = paged.withColumn(
-        "format", item_format(F.coalesce(F.col("_format"), extra_format), F.col("source_url"), F.col("_title"))
+    paged = let(named, {"source_url": page, "title": title})
+    formatted = let(
+        paged, {"format": item_format(F.coalesce(F.col("_format"), extra_format), F.col("source_url"), F.col("_title"))}
     )
 
     def value(name: str, *filter_names: str) -> Column:
@@ -330,12 +338,12 @@ def item_candidates(items: DataFrame, query: Column | str = "", filters: Filters
 
 def item_identity(items: DataFrame, item: str = "item") -> DataFrame:
     """Adds resource_id, tab_code, catalog, sub_catalog, content_type, resource_type and its name."""
-    named = items.withColumns({f"_{n}": item_field(item, n) for n in ITEM_ALIASES})
+    named = let(items, {f"_{n}": item_field(item, n) for n in ITEM_ALIASES})
     page = D.detail_page(
         F.col("_id"), F.col("_catalog"), F.col("_sub_catalog"), F.col("_page_content_type"), F.col("_page")
     )
-    paged = named.withColumn("detail_page", page)
-    known = D.identity_from_url(F.col("detail_page"))
+    paged = let(let(named, {"detail_page": page}), {"_known": D.identity_from_url(F.col("detail_page"))})
+    known = F.col("_known")
     kind = F.col("_resource_type")
     special = {"national_lesson": "syncClassroom", "elite_lesson": "qualityCourse", "prepare_lesson": "prepareLesson"}
     catalog = F
@@ -355,7 +363,7 @@ def item_identity(items: DataFrame, item: str = "item") -> DataFrame:
             "resource_type": F.coalesce(kind, F.lit("")),
             "resource_type_name": clean_text("_resource_type_name"),
         }
-    ).drop(*[f"_{n}" for n in ITEM_ALIASES])
+    ).drop("_known", *[f"_{n}" for n in ITEM_ALIASES])
 
 
 def detail_candidates(details: DataFrame, filters: Filters = None, key: Sequence[str] = ("detail_id",)) -> DataFrame:
@@ -364,18 +372,17 @@ def detail_candidates(details: DataFrame, filters: Filters = None, key: Sequence
     ``details`` is the output of ``related_details``: key, resource ``id``,
     ``title`` and the other resource fields, and ``ti_items``.
     """
-    rows = details.select("*", F.posexplode("ti_items").alias("_pos", "_item")).withColumn(
-        "url_candidates", D.storage_urls(F.col("_item.ti_storage"), F.col("_item.ti_storages"))
-    )
-    linked = rows.where(F.size("url_candidates") > 0).withColumn("source_url", F.element_at("url_candidates", 1))
+    rows = details.select("*", F.posexplode("ti_items").alias("_pos", "_item"))
+    rows = let(rows, {"url_candidates": D.storage_urls(F.col("_item.ti_storage"), F.col("_item.ti_storages"))})
+    linked = let(rows, {"source_url": F.get("url_candidates", F.lit(0))}).where(F.col("source_url").isNotNull())
     declared = F.coalesce(blank_to_null("_item.ti_format"), F.col("_item.lc_ti_format"))
-    usable = linked.withColumn("format", detail_format(declared, F.col("source_url"))).where(
+    usable = let(linked, {"format": detail_format(declared, F.col("source_url"))}).where(
         ~F.col("format").isin("folder", "unknown")
     )
     index = F.col("_pos") + 1
     auth = D.requires_auth(F.col("_item.identification"), F.col("url_candidates"))
     tags = F.transform("tag_list", lambda t: F.struct(t["tag_dimension_id"].alias("dimension"), t["tag_name"].alias("title")))
-    tagged = usable.withColumns({f"_{n}": D.tag_value(tags, n) for n in L.TAG_DIMENSIONS.values()} | {"_auth": auth})
+    tagged = let(usable, {f"_{n}": D.tag_value(tags, n) for n in L.TAG_DIMENSIONS.values()} | {"_auth": auth})
     out = tagged.select(
         *key,
         index.cast("bigint").alias("item_index"),

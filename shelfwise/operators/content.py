@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import lexicons as L
+from ..functions.columns import bind, let
 from ..functions.match import compact, contains_any, hits
 from ..functions.text import as_col, blank_to_null, squeeze
 from ..functions.urls import path, suffix
@@ -15,8 +16,7 @@ from .pages import page_title, visible_text
 
 
 def detect_format(declared: Column, location: Column) -> Column:
-    by_name = suffix(path(location))
-    by_name = F.when(by_name == "htm", F.lit("html")).otherwise(by_name)
+    by_name = F.regexp_replace(suffix(path(location)), "^htm$", "html")
     return F.coalesce(F.lower(blank_to_null(declared)), blank_to_null(by_name), F.lit("unknown"))
 
 
@@ -95,9 +95,7 @@ def file_signals(files: DataFrame, declared: str = "format") -> DataFrame:
     HTML, plain text and subtitle files; PDF pages and image sizes from bytes.
     """
     fmt = F.coalesce(F.lower(blank_to_null(declared)), F.lit("unknown"))
-    sniffed = files.withColumn("_declared", fmt).withColumn(
-        "detected_format", sniff_format(F.col("content"), F.col("_declared"))
-    )
+    sniffed = let(let(files, {"_declared": fmt}), {"detected_format": sniff_format(F.col("content"), F.col("_declared"))})
     found = F.col("detected_format")
     text = F.decode("content", "UTF-8")
     plain = (
@@ -156,19 +154,20 @@ def text_evidence(
     """
     body = F.coalesce(F.col(text), F.lit(""))
     whole = F.concat_ws(" ", context, body) if context is not None else body
-    based = df.withColumn("_whole", whole)
-    length = F.length(body).cast("bigint")
+    based = let(df, {"_whole": whole, "text_length": F.length(body).cast("bigint"), "_flat": squeeze(body)})
+    based = let(based, {"_low": F.lower("_whole")})
+    length = F.col("text_length")
     none = F.lit(None).cast("long")
 
     def maybe(name: str | None) -> Column:
         return F.col(name) if name else none
 
     level = evidence_level(length, maybe(file_size), maybe(page_count), maybe(duration))
-    flat = squeeze(body)
-    walled = contains_any(F.lower("_whole"), [t.lower() for t in auth_terms])
-    return based.withColumns(
+    flat = F.col("_flat")
+    walled = contains_any("_low", [t.lower() for t in auth_terms])
+    return let(
+        based,
         {
-            "text_length": length,
             "text_sample": flat if sample is None else F.left(flat, F.lit(sample)),
             "keywords": hits("_whole", keywords),
             "evidence_level": level,
@@ -177,8 +176,8 @@ def text_evidence(
                 F.transform(hits("_whole", risk_terms), lambda t: F.concat(F.lit("包含风险词："), t)),
                 compact([F.when(walled, F.lit("疑似登录、权限或付费限制页面"))]),
             ),
-        }
-    ).drop("_whole")
+        },
+    ).drop("_whole", "_low", "_flat")
 
 
 def analysis_confidence(kind: Column, fmt: Column, has_text: Column, has_pages: Column, has_size: Column, has_probe: Column) -> Column:
@@ -242,12 +241,13 @@ def analyze(
     given = F.col("source_warnings") if "source_warnings" in candidates.columns else F.array().cast("array<string>")
     location = F.coalesce(F.col("source_url"), F.col("local_file")) if "local_file" in candidates.columns else F.col("source_url")
     found = F.coalesce("_found", F.lit(False))
-    formatted = joined.withColumns(
+    formatted = let(
+        joined,
         {
             "_known": found,
             "_format": F.coalesce("_fmt", detect_format(F.col("format"), location)),
             "_body": F.coalesce("_text", F.lit("")),
-        }
+        },
     )
     description = F.col("description") if "description" in candidates.columns else F.lit("")
     evidence = text_evidence(
@@ -305,12 +305,13 @@ def analyze(
         warnings.alias("warnings"),
         (points / F.lit(100.0)).alias("analysis_confidence"),
     )
-    out = evidence.withColumns(
+    out = let(
+        evidence,
         {
             "analysis": analysis,
             "title": F.coalesce(blank_to_null("title"), F.col("_ptitle"), F.lit("")),
             "format": fmt,
-        }
+        },
     )
     keep = [*candidates.columns, "analysis"]
     return out.select(*[c for c in keep if c in out.columns])
@@ -326,6 +327,10 @@ def attach_analysis(fetched: DataFrame, analysed: DataFrame, key: str = "local_f
 # ------------------------------------------------------------------ checks of fetched content
 def content_kind(mime: Column) -> Column:
     value = F.lower(F.trim(F.regexp_extract(F.coalesce(mime, F.lit("")), r"^([^;]*)", 1)))
+    return bind(value, _mime_kind)
+
+
+def _mime_kind(value: Column) -> Column:
     return (
         F.when(value.isin("application/pdf", "application/x-pdf"), "pdf")
         .when(F.startswith(value, F.lit("image/")), "image")

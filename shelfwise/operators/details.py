@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import lexicons as L
+from ..functions.columns import bind, let
 from ..functions.text import as_col, blank_to_null, content_key, strip, unescape
 from ..functions.urls import path, query_value, quote, quote_path, unquote
 from .grouping import first_of
@@ -58,17 +59,14 @@ def storage_urls(storage: Column, storages: Column, private_first: bool = True)
     encoded = quote(unquote(rest), keep="/:")
     hosts = ([L.PRIVATE_HOST] if private_first else []) + L.PUBLIC_HOSTS
     from_path = F.when(
-        F.startswith(strip(storage), F.lit(L.STORAGE_PREFIX)), F.array(*[F.concat(F.lit(h), encoded) for h in hosts])
+        F.startswith(strip(storage), F.lit(L.STORAGE_PREFIX)),
+        bind(encoded, lambda e: F.array(*[F.concat(F.lit(h), e) for h in hosts])),
     )
     listed = F.filter(storages, lambda u: u != "")
-    both = F.flatten(
-        F.transform(
-            listed,
-            lambda u: F.array(
-                quote_path(u), quote_path(F.regexp_replace(u, L.PRIVATE_HOST_PATTERN, L.PUBLIC_HOSTS[0]))
-            ),
-        )
+    doubled = F.flatten(
+        F.transform(listed, lambda u: F.array(u, F.regexp_replace(u, L.PRIVATE_HOST_PATTERN, L.PUBLIC_HOSTS[0])))
     )
+    both = F.transform(doubled, quote_path)
     none = F.array().cast("array<string>")
     parts = [F.coalesce(from_path, none), F.coalesce(both, none)]
     return F.array_distinct(F.concat(*(parts if private_first else parts[::-1])))
@@ -186,17 +184,20 @@ def explicit_detail_urls(item_json: Column | str) -> Column:
 def candidate_title(title: Column, alternate: Column, flag: Column, fmt: Column, resource_id: Column) -> Column:
     """Title, an alternate title it does not hold yet, then the file flag or the format."""
     base = F.coalesce(blank_to_null(title), F.lit(""))
-    other = blank_to_null(alternate)
-    both = (
-        F.when(other.isNull() | F.contains(base, other), base)
-        .when(base == "", other)
-        .otherwise(F.concat_ws(" - ", base, other))
+    both = bind(
+        F.struct(base.alias("base"), blank_to_null(alternate).alias("other")),
+        lambda t: F.when(t["other"].isNull() | F.contains(t["base"], t["other"]), t["base"])
+        .when(t["base"] == "", t["other"])
+        .otherwise(F.concat_ws(" - ", t["base"], t["other"])),
     )
-    flag = blank_to_null(flag)
-    shown = F.when(~flag.isin("source", "href", "href-m3u8"), flag)
+    shown = bind(blank_to_null(flag), lambda f: F.when(~f.isin("source", "href", "href-m3u8"), f))
     named = F.coalesce(shown, F.when(blank_to_null(fmt).isNotNull() & (fmt != "unknown"), F.upper(fmt)))
-    plain = F.coalesce(blank_to_null(both), blank_to_null(resource_id), F.lit(f"{L.SITE_NAME} 资源"))
-    return F.when(named.isNotNull(), F.concat(both, F.lit(" - "), named)).otherwise(plain)
+    return bind(
+        F.struct(both.alias("both"), named.alias("named")),
+        lambda t: F.when(t["named"].isNotNull(), F.concat(t["both"], F.lit(" - "), t["named"]))
+        .when(t["both"] != "", t["both"])
+        .otherwise(F.coalesce(resource_id, F.lit(f"{L.SITE_NAME} 资源"))),
+    )
 
 
 def related_details(details: DataFrame, key: str = "detail_id", ordinal: str = "ordinal") -> DataFrame:
@@ -221,13 +222,14 @@ def related_details(details: DataFrame, key: str = "detail_id", ordinal: str = "
         return F.coalesce(child, parent)
 
     picked = rows.select(key, ordinal, "place", *[pick(f).alias(f) for f in fields])
-    out = picked.withColumns(
+    out = let(
+        picked,
         {
             "title": F.coalesce(blank_to_null("title"), blank_to_null("global_title")),
             "alternate_title": F.coalesce(blank_to_null("original_title"), blank_to_null("alias_name")),
             "_key": F.coalesce(blank_to_null("id"), content_key(F.to_json("ti_items"))),
             "_at": F.col(ordinal) * F.lit(1 << 20) + F.col("place"),
-        }
+        },
     )
     unique = first_of(out, [key, "_key"], "_at")
     return unique.drop("_key", "_at", "copies", "place")
@@ -303,8 +305,9 @@ def textbook_records(raw: DataFrame) -> DataFrame:
     )
     previews = F.transform(F.array_sort(placed), lambda p: p["url"])
     tags = F.transform("tag_list", lambda t: F.struct(t["tag_dimension_id"].alias("dimension"), t["tag_name"].alias("title")))
-    base = raw.withColumns({"preview_urls": previews, "_tags": tags})
-    names = F.filter(F.transform("provider_list", lambda p: p["name"]), lambda n: n.isNotNull() & (n != ""))
+    named = F.filter(F.transform("provider_list", lambda p: p["name"]), lambda n: n.isNotNull() & (n != ""))
+    base = let(raw, {"preview_urls": previews, "_tags": tags, "_names": named})
+    names = F.col("_names")
     kind = F.coalesce(blank_to_null("resource_type_code"), F.lit("assets_document"))
     rid = F.coalesce("id", "global_resource_id")
     page = F.concat(
@@ -370,6 +373,8 @@ def conclusion(counts: dict[str, Column], auth_policy: Column) -> Column:
 def probe_summary(probes: DataFrame) -> DataFrame:
     """Status, policy, counts and error per probe, with defaults; failures get a filled error."""
     status = F.coalesce(blank_to_null("detail_status"), F.lit("unknown"))
+    probes = let(probes, {"detail_status": status})
+    status = F.col("detail_status")
     failed = ~status.isin(L.PROBE_OK)
     return probes.withColumns(
         {

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import lexicons as L
+from ..functions.columns import let
 from ..functions.infer import DIRECT_SUFFIX, HINT_SUFFIX
 from ..functions.match import compact, contains_any, count_hits, hits, labels
 from ..functions.text import blank_to_null, stable_id, text_blob
@@ -52,13 +53,12 @@ def source_discovery(
     if "source_warnings" in have:
         fields.append(F.array_join("source_warnings", " "))
     url = F.trim("source_url")
-    base = items.where(blank_to_null("source_url").isNotNull()).withColumns(
-        {"source_url": url, "_blob": text_blob(*fields), "_lower": F.lower(url)}
-    )
-    based = base.withColumns({"host": host("source_url"), "_path": path("source_url")})
+    base = let(items, {"source_url": url, "_blob": text_blob(*fields), "_lower": F.lower(url)}).where("source_url <> ''")
+    based = let(base, {"host": host("source_url"), "_path": path("source_url")})
     blob, lower = F.col("_blob"), F.col("_lower")
     suffix = blank_to_null(F.regexp_extract(lower, HINT_SUFFIX, 1))
-    hinted = based.withColumns(
+    hinted = let(
+        based,
         {
             "_known": known_source(F.col("host"), F.col("_path"), sources),
             "resource_format_hints": F.array_distinct(
@@ -67,7 +67,7 @@ def source_discovery(
             "resource_type_hints": labels(blob, type_rules),
             "_risks": hits(blob, risk_terms),
             "_terms": count_hits(blob, resource_terms),
-        }
+        },
     )
     terms, risky = F.col("_terms"), F.size("_risks") > 0
     source_type = (
@@ -80,7 +80,7 @@ def source_discovery(
         .when(contains_any(blob, article_terms), "article_page")
         .otherwise("unknown")
     )
-    typed = hinted.withColumn("source_type", source_type)
+    typed = let(hinted, {"source_type": source_type, "_walled": contains_any(blob, auth_terms), "_official": contains_any("host", official_hosts)})
     kind = F.col("source_type")
     action = (
         F.when(kind == "download_risk", "reject")
@@ -89,15 +89,16 @@ def source_discovery(
         .when(kind.isin("video_page", "resource_site"), "profile_site")
         .otherwise("keep_as_web_candidate")
     )
-    walled = contains_any(blob, auth_terms)
-    official = contains_any("host", official_hosts)
-    acted = typed.withColumn("next_action", action).withColumns(
+    walled, official = F.col("_walled"), F.col("_official")
+    acted = let(
+        typed,
         {
+            "next_action": action,
             "_authority": F.when(official, 80).otherwise(30),
             "_density": F.least(terms * 20 + F.size("resource_format_hints") * 15, F.lit(100)),
             "_access": F.lit(70) - F.when(walled, 30).otherwise(0) + F.when(kind == "resource_page", 10).otherwise(0),
             "_safety": F.greatest(F.lit(100) - F.size("_risks") * 40, F.lit(0)),
-        }
+        },
     )
     start = F
     for name, points in L.SOURCE_BASE_SCORE.items():
@@ -113,10 +114,11 @@ def source_discovery(
     cents = F.when(kind == "download_risk", F.least(cents, F.lit(200))).otherwise(cents)
     cents = F.least(cents, F.lit(1000))
     known = F.col("_known")
-    scored = acted.withColumns(
+    accepted = (F.col("next_action") != "reject") & (cents >= int(round(min_score * 100)))
+    scored = let(acted, {"_cents": cents.cast("int"), "accepted": accepted}).withColumns(
         {
             "source_id": stable_id("source_url"),
-            "source_score": cents / F.lit(100.0),
+            "source_score": F.col("_cents") / F.lit(100.0),
             "authority_score": F.col("_authority") / F.lit(10.0),
             "resource_density_score": F.col("_density") / F.lit(10.0),
             "accessibility_score": F.col("_access") / F.lit(10.0),
@@ -135,8 +137,7 @@ def source_discovery(
             ),
         }
     )
-    accepted = (F.col("next_action") != "reject") & (F.col("source_score") >= min_score)
-    return scored.withColumn("accepted", accepted).drop(*[c for c in scored.columns if c.startswith("_")])
+    return scored.drop(*[c for c in scored.columns if c.startswith("_")])
 
 
 def top_sources(discovered: DataFrame, k: int = 20, ordinal: str = "ordinal") -> DataFrame:

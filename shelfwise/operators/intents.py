@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import lexicons as L
+from ..functions.columns import bind, let
 from ..functions.match import Rules, compact, contains_any, first_label, labels, longest_label
 from ..functions.text import as_col, squeeze, strip
 
@@ -89,7 +90,7 @@ def _age(text: Column, patterns: Sequence[str]) -> Column:
     found = []
     for pattern in patterns:
         value = F.regexp_extract(text, pattern, 1).try_cast("int")
-        found.append(F.when(value.between(3, 12), value))
+        found.append(bind(value, lambda v: F.when(v.between(3, 12), v)))
     return F.coalesce(*found, F.lit(None).cast("int")) if found else F.lit(None).cast("int")
 
 
@@ -97,19 +98,20 @@ def parse_intents(requests: DataFrame, lex: RequestLexicon | None = None, query:
     """Adds the slots of every request, its type, gaps, questions and status."""
     lex = lex or RequestLexicon()
     text = F.col("_q")
-    base = requests.withColumn("_q", strip(query))
+    base = let(requests, {"_q": strip(query)})
     grade = F
     for name, number in lex.grades:
         grade = grade.when(F.contains(text, F.lit(name)), number)
     grade = grade.otherwise(F.lit(None).cast("int")) if lex.grades else F.lit(None).cast("int")
-    base = base.withColumns(
+    base = let(
+        base,
         {
             "normalized_query": normalize_query(text),
             "learner_age": _age(text, lex.age_patterns),
             "grade": grade,
             "learner_profile": first_label(text, lex.profiles),
             "learning_domain": first_label(text, lex.domains),
-        }
+        },
     )
     age = F.col("learner_age")
     by_age = F
@@ -131,15 +133,19 @@ def parse_intents(requests: DataFrame, lex: RequestLexicon | None = None, query:
             F.col("learning_domain") == domain, F.coalesce(first_label(text, rules), F.lit(default))
         )
     domain_topic = domain_topic.otherwise(F.lit(None)) if lex.domain_topics else F.lit(None).cast("string")
-    staged = base.withColumns(
+    staged = let(
+        base,
         {
             "stage": stage,
             "subject": F.coalesce(first_label(text, [(s, [s]) for s in lex.subjects]), F.col("learning_domain")),
             "core_topic": F.coalesce(longest_label(text, lex.topics), domain_topic),
             "subtopics": compact(_list_rules(text, lex.subtopics, every=True)),
             "_named": named,
-        }
-    ).withColumn("resource_types", F.array_distinct(F.when(F.size("_named") > 0, F.col("_named")).otherwise(guessed)))
+        },
+    )
+    staged = let(
+        staged, {"resource_types": F.array_distinct(F.when(F.size("_named") > 0, F.col("_named")).otherwise(guessed))}
+    )
     types = F.col("resource_types")
     goal = F
     for name, kinds in lex.goals_by_type:
@@ -147,7 +153,8 @@ def parse_intents(requests: DataFrame, lex: RequestLexicon | None = None, query:
     goal = goal.otherwise(F.coalesce(first_label(text, lex.goals), F.lit(lex.no_goal)))
     url = F.regexp_like(text, F.lit("https?://"))
     scope = F.when(url, "exact").when(contains_any(text, lex.full_scope), "full_coverage").otherwise("candidate_set")
-    filled = staged.withColumns(
+    filled = let(
+        staged,
         {
             "resource_goal": goal,
             "difficulty": F.coalesce(
@@ -160,7 +167,7 @@ def parse_intents(requests: DataFrame, lex: RequestLexicon | None = None, query:
             "request_scope": scope,
             "coverage_targets": labels(text, lex.coverage),
             "constraints": labels(text, lex.constraints),
-        }
+        },
     )
     precise = (
         F.array_contains(types, lex.textbook_type)
@@ -220,14 +227,15 @@ def missing_slots(intents: DataFrame, lex: RequestLexicon | None = None, query:
             3,
         )
     )
-    gaps = intents.withColumns({"missing_slots": listed, "_asked": asked})
+    gaps = let(intents, {"missing_slots": listed, "_asked": asked})
     ready = F.size("missing_slots") == 0
-    return gaps.withColumns(
+    return let(
+        gaps,
         {
             "clarifying_questions": F.when(ready, F.array().cast("array<string>")).otherwise(F.col("_asked")),
             "status": F.when(ready, "ready").otherwise("needs_clarification"),
             "confidence": F.when(ready, 0.85).otherwise(0.0),
-        }
+        },
     ).drop("_asked")
 
 
@@ -250,8 +258,8 @@ def plan_tasks(intents: DataFrame, lex: RequestLexicon | None = None, query: str
         "source_preferences", lambda s: contains_any(s, lex.local_task_terms)
     )
     prints = contains_any(text, lex.print_terms) | F.exists("constraints", lambda c: contains_any(c, lex.print_terms))
-    based = intents.where(F.col("status") == "ready").withColumns(
-        {"_base": base_query(), "_local": local, "_print": prints}
+    based = let(
+        intents.where(F.col("status") == "ready"), {"_base": base_query(), "_local": local, "_print": prints}
     )
     base = F.col("_base")
     web_query = F.concat(

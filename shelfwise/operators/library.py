@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import lexicons as L
+from ..functions.columns import let
 from ..functions.infer import library_format
 from ..functions.match import Rules, first_label
 from ..functions.text import as_col, blank_to_null, content_key, first_value, safe_part
@@ -35,7 +36,7 @@ def classify_library(items: DataFrame, threshold: float = 0.55, domain_rules: Ru
     kind = first_value(col("resource_type"), F.lit(L.DEFAULT_TYPE))
     age = F.concat(col("learner_age").cast("string"), F.lit("岁"))
     rules = [(label, [t.lower() for t in terms]) for label, terms in domain_rules]
-    based = items.withColumns({"_title": title, "_kind": kind})
+    based = let(items, {"_title": title, "_kind": kind})
     chosen = {
         "stage_or_age": first_value(col("stage"), col("stage_or_age"), age),
         "grade_or_phase": first_value(col("grade")),
@@ -45,7 +46,7 @@ def classify_library(items: DataFrame, threshold: float = 0.55, domain_rules: Ru
         "topic_or_type": first_value(col("core_topic"), col("topic"), F.col("_kind")),
         "source_or_version": first_value(col("version"), col("source_name"), col("provider"), col("source")),
     }
-    placed = based.withColumns({n: safe_part(chosen[n], fallback) for n, fallback, _ in L.LIBRARY_CLASSES})
+    placed = let(based, {n: safe_part(chosen[n], fallback) for n, fallback, _ in L.LIBRARY_CLASSES})
     points = F.when(F.col("_title").isNotNull(), 18).otherwise(0)
     for name, fallback, value in L.LIBRARY_CLASSES:
         points = points + F.when(F.col(name) != fallback, value).otherwise(0)
@@ -55,7 +56,7 @@ def classify_library(items: DataFrame, threshold: float = 0.55, domain_rules: Ru
     if "metadata_confidence" in items.columns:
         given = F.round(F.least(F.col("metadata_confidence"), F.lit(1.0)).cast("decimal(9,6)") * 1000, 0).cast("int")
         thousandths = F.greatest(thousandths, F.coalesce(given, F.lit(0)))
-    rated = placed.withColumn("_points", thousandths)
+    rated = let(placed, {"_points": thousandths})
     return rated.withColumns(
         {
             "resource_type": F.col("_kind"),
@@ -76,13 +77,13 @@ def library_paths(
     file = F.coalesce(_field(items, "local_file"), F.lit(""))
     fmt = library_format(_field(items, "format"), file)
     declared = suffix(file)
-    folded = F.when(declared == "jpeg", F.lit("jpg")).otherwise(declared)
-    based = items.withColumns({"_fmt": fmt, "_suffix": declared, "_folded": folded})
+    folded = F.regexp_replace(declared, "^jpeg$", "jpg")
+    based = let(items, {"_fmt": fmt, "_suffix": declared, "_folded": folded})
     unusable = (F.col("_suffix") == "") | F.col("_suffix").isin(L.BLOCKED_SUFFIXES) | ~F.col("_folded").isin(L.LIBRARY_FORMATS)
     mismatch = ~unusable & F.col("_fmt").isin(L.LIBRARY_FORMATS) & (F.col("_folded") != F.col("_fmt"))
     review = F.col("needs_review") | mismatch | (F.col("classification_confidence") < threshold)
-    judged = based.withColumns(
-        {"_ext": F.when(unusable | mismatch, F.col("_fmt")).otherwise(F.col("_suffix")), "needs_review": review}
+    judged = let(
+        based, {"_ext": F.when(unusable | mismatch, F.col("_fmt")).otherwise(F.col("_suffix")), "needs_review": review}
     )
     title = first_value(_field(items, "title"), F.regexp_extract(file, STEM, 1))
     name = F.concat(safe_part(title, "未知标题", 70), F.lit("_"), F.substring(F.coalesce("sha256", F.lit("")), 1, 8))
@@ -90,7 +91,7 @@ def library_paths(
         F.col("needs_review"), F.concat_ws("/", F.lit(L.REVIEW_FOLDER), safe_part("_fmt", "unknown", 30))
     ).otherwise(F.concat_ws("/", *[n for n, _, _ in L.LIBRARY_CLASSES]))
     prefix = [F.lit(root.rstrip("/"))] if root else []
-    placed = judged.withColumns({"_stem": F.concat_ws("/", *prefix, folder, name)})
+    placed = let(judged, {"_stem": F.concat_ws("/", *prefix, folder, name)})
     extra = {} if block is None else {"block": block}
     counted = numbered(placed, ["_stem", "_ext"], ordinal, "_copy", **extra)
     path = F.concat(
@@ -146,7 +147,7 @@ def keyed_batch(batch: DataFrame) -> DataFrame:
     error = F.when(path.isNull(), F.lit("缺少 library_file"))
     if "file_exists" in batch.columns:
         error = error.when(~F.coalesce("file_exists", F.lit(False)), F.lit("资料库文件不存在"))
-    return batch.withColumns({"resource_key": key, "dedupe_confidence": sure, "error": error})
+    return let(batch, {"resource_key": key, "dedupe_confidence": sure, "error": error})
 
 
 def index_outcomes(index: DataFrame, batch: DataFrame, ordinal: str = "ordinal") -> DataFrame:

@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 from ..functions import lexicons as L
 from ..functions.match import compact, contains_any, hits, labels
 from ..functions.text import as_col, clean_text, squeeze, stable_id, unescape
-from ..functions.urls import absolute_url, ext, host, query_value, unwrap_redirect
+from ..functions.columns import let
+from ..functions.urls import absolute_url, absolute_urls, clean_ref, ext, host, query_value, resolve, unwrap_redirect
 
 SCRIPT = r"(?is)<script[^>]*>(.*?)</script>"
 COMMENT = r"(?s)<!--.*?-->"
@@ -60,18 +61,19 @@ def script_text(html: Column | str) -> Column:
 def script_sources(html: Column | str, base: Column | str) -> Column:
     """Distinct absolute script sources in order."""
     found = F.regexp_extract_all(as_col(html), F.lit(SCRIPT_SRC), F.lit(1))
-    return F.array_distinct(F.transform(found, lambda s: absolute_url(as_col(base), s)))
+    return F.array_distinct(absolute_urls(base, found))
 
 
 def page_fields(pages: DataFrame, html: str = "html") -> DataFrame:
     """Adds title, description, visible text and script text."""
-    return pages.withColumns(
+    return let(
+        pages,
         {
             "title": page_title(html),
             "description": meta_description(html),
             "text": visible_text(html),
             "script_text": script_text(html),
-        }
+        },
     )
 
 
@@ -79,28 +81,36 @@ def page_links(pages: DataFrame, keys: Sequence[str] = ("page_id",), url: str =
     """One row per anchor with a target: keys, pos, href, absolute link, link text, extension."""
     found = F.regexp_extract_all(markup(html), F.lit(ANCHOR), F.lit(0))
     rows = pages.select(*keys, url, F.posexplode(found).alias("pos", "_anchor"))
-    parts = rows.select(
-        *keys,
-        url,
-        "pos",
-        F.regexp_extract("_anchor", ANCHOR_HREF, 1).alias("href"),
-        clean_text(F.regexp_extract("_anchor", ANCHOR_TEXT, 1)).alias("text"),
-    ).where(F.col("href") != "")
-    linked = parts.withColumn("link", absolute_url(url, "href"))
-    return linked.withColumn("ext", ext("link"))
+    named = let(rows, {"href": F.regexp_extract("_anchor", ANCHOR_HREF, 1)}).where(F.col("href") != "")
+    cleaned = let(
+        named, {"text": clean_text(F.regexp_extract("_anchor", ANCHOR_TEXT, 1)), "_ref": clean_ref("href")}
+    )
+    linked = let(cleaned, {"link": resolve(url, "_ref")})
+    return linked.select(*keys, url, "pos", "href", "text", "link", ext("link").alias("ext"))
 
 
-def link_array(html: Column | str, base: Column | str) -> Column:
-    """The same links as an ``array<struct<href,link,text,ext>>`` for per-page decisions."""
-    found = F.regexp_extract_all(markup(html), F.lit(ANCHOR), F.lit(0))
+def link_array(html: Column | str, base: Column | str, marked: bool = False) -> Column:
+    """The same links as an ``array<struct<href,link,text,ext>>`` for per-page decisions.
+
+    ``marked`` says that scripts and comments are already gone."""
+    found = F.regexp_extract_all(as_col(html) if marked else markup(html), F.lit(ANCHOR), F.lit(0))
+    base = as_col(base)
 
-    def one(anchor: Column) -> Column:
+    def read(anchor: Column) -> Column:
         href = F.regexp_extract(anchor, ANCHOR_HREF, 1)
-        link = absolute_url(as_col(base), href)
         text = clean_text(F.regexp_extract(anchor, ANCHOR_TEXT, 1))
-        return F.struct(href.alias("href"), link.alias("link"), text.alias("text"), ext(link).alias("ext"))
+        return F.struct(href.alias("href"), clean_ref(href).alias("ref"), text.alias("text"))
 
-    return F.filter(F.transform(found, one), lambda a: a["href"] != "")
+    named = F.filter(F.transform(found, read), lambda a: a["href"] != "")
+    linked = F.transform(
+        named, lambda a: F.struct(a["href"].alias("href"), resolve(base, a["ref"]).alias("link"), a["text"].alias("text"))
+    )
+    return F.transform(
+        linked,
+        lambda a: F.struct(
+            a["href"].alias("href"), a["link"].alias("link"), a["text"].alias("text"), ext(a["link"]).alias("ext")
+        ),
+    )
 
 
 def result_page_anchors(
@@ -120,14 +130,13 @@ def result_page_anchors(
         F.regexp_extract_all(page, F.lit(anchor), F.lit(0)).alias("_anchors"),
         F.split(page, anchor).alias("_between"),
     )
-    rows = marked.select(*keys, F.posexplode("_anchors").alias("pos", "_a"), "_between").withColumn(
-        "_after", F.element_at("_between", F.col("pos") + 2)
-    )
+    rows = marked.select(*keys, F.posexplode("_anchors").alias("pos", "_a"), "_between")
+    after = F.element_at("_between", F.col("pos") + 2)
     last = F.col("pos") == F.size("_between") - 2
-    block = F.when(last, F.substring("_after", 1, 1200)).otherwise(F.col("_after"))
+    rows = let(rows, {"_block": F.when(last, F.substring(after, 1, 1200)).otherwise(after)})
     cls = rf'class="[^"]*{snippet_class}[^"]*"'
-    linked = F.regexp_extract(block, rf"(?s)<a[^>]+{cls}[^>]*>(.*?)</a>", 1)
-    boxed = F.regexp_extract(block, rf"(?s)<div[^>]+{cls}[^>]*>(.*?)</div>", 1)
+    linked = F.regexp_extract("_block", rf"(?s)<a[^>]+{cls}[^>]*>(.*?)</a>", 1)
+    boxed = F.regexp_extract("_block", rf"(?s)<div[^>]+{cls}[^>]*>(.*?)</div>", 1)
     return rows.select(
         *keys,
         "pos",
@@ -147,8 +156,7 @@ def source_links(html: Column | str, base: Column | str, extensions: Sequence[st
     """``array<struct<link,ext>>`` from ``href`` and ``src``; the place of a repeated URL is its first."""
     wanted = sorted({"jpg" if e == "jpeg" else e for e in extensions})
     found = F.regexp_extract_all(as_col(html), F.lit(r"""(?i)(?:href|src)=["']([^"']+)["']"""), F.lit(1))
-    linked = F.transform(found, lambda r: absolute_url(as_col(base), r))
-    typed = F.transform(F.array_distinct(linked), lambda u: F.struct(u.alias("link"), ext(u).alias("ext")))
+    typed = F.transform(F.array_distinct(absolute_urls(base, found)), lambda u: F.struct(u.alias("link"), ext(u).alias("ext")))
     return F.slice(F.filter(typed, lambda s: s["ext"].isin(wanted)), 1, limit)
 
 
@@ -158,7 +166,7 @@ def api_hints(text: Column | str, base: Column | str, terms: Sequence[str] = L.A
     full = F.regexp_extract_all(text, F.lit(FULL_URL), F.lit(0))
     quoted = F.regexp_extract_all(text, F.lit(QUOTED_PATH), F.lit(1))
     named = F.filter(F.concat(full, quoted), lambda u: contains_any(F.lower(u), terms))
-    return F.slice(F.array_distinct(F.transform(named, lambda u: absolute_url(as_col(base), u))), 1, limit)
+    return F.slice(F.array_distinct(absolute_urls(base, named)), 1, limit)
 
 
 def link_hints(links: Column, terms: Sequence[str], limit: int = 30) -> Column:
@@ -235,13 +243,14 @@ def next_actions(api: Column, n_detail: Column, n_links: Column) -> Column:
 
 def page_profile(pages: DataFrame, url: str = "url", html: str = "html", terms: Sequence[str] = L.SITE_API_TERMS) -> DataFrame:
     """Hints, page class and next steps of every page of a site."""
-    hinted = pages.withColumns(
+    hinted = let(
+        pages,
         {
             "api_hints": api_hints(html, url, terms, limit=80),
             "detail_hints": detail_hints(html, url),
             "resource_link_hints": source_links(html, url),
             "script_sources": F.slice(script_sources(html, url), 1, 80),
-        }
+        },
     )
     counts = (F.size("api_hints"), F.size("detail_hints"), F.size("resource_link_hints"))
     return hinted.withColumns(
@@ -270,17 +279,21 @@ def site_profile(
 ) -> DataFrame:
     """Site type, crawl strategy, score 0-10, reasons and warnings per page."""
     wanted = sorted({"jpg" if e == "jpeg" else e for e in extensions})
-    base = pages.withColumns(
+    marked = let(pages, {"_markup": markup(html)})
+    base = let(
+        marked,
         {
             "title": page_title(html),
             "description": meta_description(html),
-            "text": visible_text(html),
+            "text": clean_text("_markup"),
             "script_text": script_text(html),
             "script_hints": F.slice(script_sources(html, url), 1, 30),
-            "_links": link_array(html, url),
-        }
-    ).withColumn("_all", F.concat_ws(" ", "text", "script_text", F.array_join("script_hints", " ")))
-    linked = base.withColumns(
+            "_links": link_array("_markup", url, marked=True),
+        },
+    )
+    base = let(base, {"_all": F.concat_ws(" ", "text", "script_text", F.array_join("script_hints", " ")), "_lower": F.lower(html)})
+    linked = let(
+        base,
         {
             "resource_links": F.filter("_links", lambda a: a["ext"].isin(wanted)),
             "api_hints": api_hints("_all", url, api_terms),
@@ -288,9 +301,9 @@ def site_profile(
             "detail_link_hints": link_hints(F.col("_links"), detail_terms),
             "auth_hints": hits("_all", auth_terms),
             "_risks": hits("_all", risk_terms),
-        }
+        },
     )
-    lower_html = F.lower(F.col(html))
+    lower_html = F.col("_lower")
     n_links, n_api = F.size("resource_links"), F.size("api_hints")
     app_marks = contains_any(lower_html, ['id="root', "id=root", "chunk-", "/js/app"])
     site_type = (
@@ -301,7 +314,7 @@ def site_profile(
         .when(contains_any("text", article_terms) & (n_links == 0), "article_page")
         .otherwise("unknown")
     )
-    typed = linked.withColumn("site_type", site_type)
+    typed = let(linked, {"site_type": site_type})
     kind, has_auth, risky = F.col("site_type"), F.size("auth_hints") > 0, F.size("_risks") > 0
     strategy = (
         F.when(risky, "reject")
@@ -314,7 +327,7 @@ def site_profile(
         F.transform("_risks", lambda t: F.concat(F.lit("包含风险词："), t)),
         compact([F.when(has_auth, F.lit("页面可能存在登录、付费或授权限制"))]),
     )
-    planned = typed.withColumns({"crawl_strategy": strategy, "warnings": warnings})
+    planned = let(typed, {"crawl_strategy": strategy, "warnings": warnings, "_whole": F.lower("_all")})
     tenths = (
         reduce(
             lambda chain, item: chain.when(kind == item[0], int(float(item[1]) * 10)), L.SITE_TYPE_SCORE.items(), F
@@ -334,7 +347,7 @@ def site_profile(
             F.when(kind == "spa_app", F.lit("页面具有 SPA 前端应用特征")),
         ]
     )
-    whole = F.lower(F.col("_all"))
+    whole = F.col("_whole")
     formats = F.array_distinct(
         F.concat(
             F.transform("resource_links", lambda a: a["ext"]),
@@ -355,16 +368,16 @@ def site_profile(
             "resource_format_hints": formats,
             "resource_type_hints": labels(whole, [(n, [t.lower() for t in ts]) for n, ts in type_rules]),
             "link_count": F.size("_links"),
-            "form_count": F.regexp_count(markup(html), F.lit(r"(?i)<form\b")),
+            "form_count": F.regexp_count("_markup", F.lit(r"(?i)<form\b")),
             "script_count": F.size(F.regexp_extract_all(F.col(html), F.lit(SCRIPT_SRC), F.lit(1))),
             "text_length": F.length("text"),
         }
-    ).drop("_links", "_all", "_risks")
+    ).drop("_links", "_all", "_risks", "_markup", "_lower", "_whole")
 
 
 def page_link_stats(pages: DataFrame, keys: Sequence[str] = ("page_id",), html: str = "html") -> DataFrame:
     """Links, forms, scripts and text length per page, counted without building the links."""
-    body = pages.select(*keys, html, markup(html).alias("_m"))
+    body = let(pages.select(*keys, html), {"_m": markup(html)})
     return body.select(
         *keys,
         F.size(F.regexp_extract_all("_m", F.lit(ANCHOR), F.lit(0))).cast("bigint").alias("links"),

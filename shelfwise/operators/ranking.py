@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import lexicons as L
+from ..functions.columns import let
 from ..functions.match import any_of, compact, contains_any, hits, holds, lower_list
 from ..functions.text import blank_to_null, grade_to_chinese, text_blob
 from .filters import is_visible
@@ -119,56 +120,36 @@ def score(
         F.array_join(F.coalesce(analysed("keywords", "array<string>"), none), " "),
     )
     slot = {s: _low(f"intent.{s}") for s in TEXT_SLOTS}
-    base = pairs.withColumns({"_blob": blob, "_fmt": F.coalesce(blank_to_null(F.lower(field("format"))), _low(field("resource_type")))})
-    base = base.withColumns(
-        {f"_s_{s}": c for s, c in slot.items() if s != "grade"}
+    base = let(
+        pairs,
+        {
+            "_blob": blob,
+            "_fmt": F.coalesce(blank_to_null(F.lower(field("format"))), _low(field("resource_type"))),
+            "_title": _low(field("title")),
+        }
+        | {f"_s_{s}": c for s, c in slot.items() if s != "grade"}
         | {"_s_grade": F.lower(grade_to_chinese(F.coalesce(F.col("intent.grade"), F.lit(""))))}
-        | {f"_l_{s}": lower_list(F.col(f"intent.{s}")) for s in LIST_SLOTS}
+        | {f"_l_{s}": lower_list(F.col(f"intent.{s}")) for s in LIST_SLOTS},
     )
     text, fmt = F.col("_blob"), F.col("_fmt")
     s = {n: F.col(f"_s_{n}") for n in TEXT_SLOTS}
     lists = {n: F.col(f"_l_{n}") for n in LIST_SLOTS}
     raw = {n: F.col(f"intent.{n}") for n in TEXT_SLOTS}
 
-    # relevance
+    # what is found, each test evaluated once per row
     topic = s["core_topic"]
     topic_hit = holds(text, topic)
     parts = F.array_remove(F.split(topic, r"[\s、,，/]+"), "")
-    part_hit = ~topic_hit & (topic != "") & F.exists(parts, lambda p: F.contains(text, p))
-    wanted_subject = F.coalesce(blank_to_null(s["subject"]), s["learning_domain"])
-    subject_hit = holds(text, wanted_subject)
+    wanted_subject = F.when(s["subject"] != "", s["subject"]).otherwise(s["learning_domain"])
     textbook = (F.size(lists["resource_types"]) == 0) & (_low(field("resource_type")) == types["textbook"].lower())
     wanted_types = F.when(textbook, F.array(F.lit(types["textbook"].lower()))).otherwise(lists["resource_types"])
-    type_hit = any_of(wanted_types, text)
-    subtopic_hit = any_of(lists["subtopics"], text)
-    version_hit, volume_hit = holds(text, s["version"]), holds(text, s["volume"])
-    relevance = F.least(
-        _add(
-            [(topic_hit, 12), (part_hit, 7), (subject_hit, 7), (type_hit, 7), (subtopic_hit, 4), (version_hit, 3), (volume_hit, 2)]
-        ),
-        F.lit(L.SCORE_CAPS["relevance"]),
-    )
-    # age
     grade, stage = s["grade"], s["stage"]
-    grade_hit, stage_hit = holds(text, grade), holds(text, stage)
     age = F.col("intent.learner_age")
     asks_age = age.isNotNull() & (grade == "") & (stage == "")
-    digits = F.regexp_extract_all(_low(field("title")), F.lit(r"\d+"), F.lit(0))
-    age_hit = asks_age & F.coalesce(F.array_contains(digits, age.cast("string")), F.lit(False))
-    age_fit = F.least(F.lit(8) + _add([(grade_hit, 8), (stage_hit, 4), (age_hit, 8)]), F.lit(L.SCORE_CAPS["age_fit"]))
-    # authority, access
-    official = F.coalesce(field("official").cast("boolean"), F.lit(False))
-    trusted = contains_any(text, [t.lower() for t in trust])
-    authority = F.least(F.lit(4) + _add([(official, 8), (trusted, 3)]), F.lit(15))
-    loadable = F.coalesce(field("downloadable").cast("boolean"), F.lit(False))
-    linked = ~loadable & blank_to_null(field("source_url")).isNotNull()
-    walled = F.coalesce(field("requires_auth").cast("boolean"), F.lit(False))
-    accessibility = F.least(_add([(loadable, 6), (linked, 3), (walled, 1), (~walled, 4)]), F.lit(10))
-    # format
+    digits = F.regexp_extract_all("_title", F.lit(r"\d+"), F.lit(0))
     asked = lists["format_preferences"]
-    plain = F.replace(fmt, F.lit("/"), F.lit(""))
-    fits = F.exists(asked, lambda p: F.contains(plain, F.replace(p, F.lit("/"), F.lit(""))))
     asks = F.size(asked) > 0
+    plain = F.replace(fmt, F.lit("/"), F.lit(""))
     print_words = [p.lower() for p in printable]
     wants_print = (
         F.exists(lists["constraints"], lambda c: c.isin(print_words))
@@ -176,28 +157,71 @@ def score(
         | F.contains(text, F.lit(print_words[0]))
         | F.contains(s["resource_goal"], F.lit(goals["practice"].lower()))
     )
-    printable_hit = wants_print & fmt.isin(L.PRINTABLE_FORMATS)
-    audio_hit = (
-        F.contains(s["resource_goal"], F.lit(goals["listen"].lower()))
-        | F.array_contains(lists["resource_types"], types["audio"].lower())
-    ) & fmt.isin(L.AUDIO_FORMATS)
-    video_hit = F.array_contains(lists["resource_types"], types["video"].lower()) & fmt.isin(L.VIDEO_FORMATS)
-    named_type = F.exists(lists["resource_types"], lambda t: F.contains(text, t))
-    named_format = ~asks & (fmt != "")
-    format_fit = F.least(
-        F.lit(3)
-        + _add([(asks & fits, 5), (named_format, 4), (named_type, 2), (printable_hit, 2), (audio_hit, 2), (video_hit, 2)]),
-        F.lit(10),
+    wants_audio = F.contains(s["resource_goal"], F.lit(goals["listen"].lower())) | F.array_contains(
+        lists["resource_types"], types["audio"].lower()
     )
-    # safety
-    with_url = F.concat_ws(" ", text, _low(field("source_url")))
+    with_url = F.col("_url_blob")
     noted = F.coalesce(analysed("warnings", "array<string>"), none)
     alarming = F.filter(noted, lambda w: (w != "") & contains_any(w, [*suspicious, *alarms]))
-    risks = F.array_distinct(
-        F.concat(F.transform(hits(with_url, [t.lower() for t in suspicious]), lambda t: F.concat(F.lit("包含风险词："), t)), alarming)
+    risks = F.transform(hits(with_url, [t.lower() for t in suspicious]), lambda t: F.concat(F.lit("包含风险词："), t))
+    tests = {
+        "topic": topic_hit,
+        "part": ~topic_hit & (topic != "") & F.exists(parts, lambda p: F.contains(text, p)),
+        "subject": holds(text, wanted_subject),
+        "type": any_of(wanted_types, text),
+        "subtopic": any_of(lists["subtopics"], text),
+        "version": holds(text, s["version"]),
+        "volume": holds(text, s["volume"]),
+        "grade": holds(text, grade),
+        "stage": holds(text, stage),
+        "age": asks_age & F.coalesce(F.array_contains(digits, age.cast("string")), F.lit(False)),
+        "trusted": contains_any(text, [t.lower() for t in trust]),
+        "fits": F.exists(asked, lambda p: F.contains(plain, F.replace(p, F.lit("/"), F.lit("")))),
+        "named_type": F.exists(lists["resource_types"], lambda t: F.contains(text, t)),
+        "printable": wants_print & fmt.isin(L.PRINTABLE_FORMATS),
+        "audio": wants_audio & fmt.isin(L.AUDIO_FORMATS),
+        "video": F.array_contains(lists["resource_types"], types["video"].lower()) & fmt.isin(L.VIDEO_FORMATS),
+        "official": F.coalesce(field("official").cast("boolean"), F.lit(False)),
+        "loadable": F.coalesce(field("downloadable").cast("boolean"), F.lit(False)),
+        "linked": blank_to_null(field("source_url")).isNotNull(),
+        "walled": F.coalesce(field("requires_auth").cast("boolean"), F.lit(False)),
+    }
+    staged = let(base, {"_url_blob": F.concat_ws(" ", text, _low(field("source_url")))})
+    preferred = F.filter(lists["prefer"], lambda v: (v != "") & F.contains(with_url, v))
+    avoided = F.filter(lists["avoid"], lambda v: (v != "") & F.contains(with_url, v))
+    staged = let(
+        staged,
+        {f"_t_{n}": c for n, c in tests.items()}
+        | {"_risks": F.array_distinct(F.concat(risks, alarming)), "_preferred": preferred, "_avoided": avoided},
     )
-    staged = base.withColumns({"_risks": risks, "_url_blob": with_url})
+    t = {n: F.col(f"_t_{n}") for n in tests}
+    linked = ~t["loadable"] & t["linked"]
+    named_format = ~asks & (fmt != "")
     n_risks = F.size("_risks")
+
+    # points
+    relevance = F.least(
+        _add(
+            [
+                (t["topic"], 12), (t["part"], 7), (t["subject"], 7), (t["type"], 7), (t["subtopic"], 4),
+                (t["version"], 3), (t["volume"], 2),
+            ]
+        ),
+        F.lit(L.SCORE_CAPS["relevance"]),
+    )
+    age_fit = F.least(F.lit(8) + _add([(t["grade"], 8), (t["stage"], 4), (t["age"], 8)]), F.lit(L.SCORE_CAPS["age_fit"]))
+    authority = F.least(F.lit(4) + _add([(t["official"], 8), (t["trusted"], 3)]), F.lit(15))
+    accessibility = F.least(_add([(t["loadable"], 6), (linked, 3), (t["walled"], 1), (~t["walled"], 4)]), F.lit(10))
+    format_fit = F.least(
+        F.lit(3)
+        + _add(
+            [
+                (asks & t["fits"], 5), (named_format, 4), (t["named_type"], 2), (t["printable"], 2), (t["audio"], 2),
+                (t["video"], 2),
+            ]
+        ),
+        F.lit(10),
+    )
     safety = F.greatest(F.lit(10) - n_risks * 4, F.lit(0))
     # metadata, in hundredths
     def cents_of(conf: Column) -> Column:
@@ -217,9 +241,7 @@ def score(
         | (s["resource_goal"] == goals["practice"].lower())
     ) & (F.coalesce(analysed("text_length", "bigint"), F.lit(0)) < 40) & ~has_pages
     # preference, in hundredths
-    preferred = F.filter(lists["prefer"], lambda v: (v != "") & F.contains(F.col("_url_blob"), v))
-    avoided = F.filter(lists["avoid"], lambda v: (v != "") & F.contains(F.col("_url_blob"), v))
-    staged = staged.withColumns({"_preferred": preferred, "_avoided": avoided, "_metadata": metadata})
+    staged = let(staged, {"_metadata": metadata})
     preference = F.greatest(
         F.least(F.size("_preferred") * 150 - F.size("_avoided") * 300, F.lit(500)), F.lit(-800)
     )
@@ -239,7 +261,7 @@ def score(
         for name, cap in L.SCORE_CAPS.items():
             factor = weights.get(name, 0.0) / total * 100 / cap
             cents[name] = F.round(cents[name] * F.lit(f"{factor:.8f}").cast("decimal(12,8)"), 0).cast("int")
-    scored = staged.withColumns({f"_c_{n}": c.cast("int") for n, c in cents.items()})
+    scored = let(staged, {f"_c_{n}": c.cast("int") for n, c in cents.items()})
     total_cents = F.least(F.greatest(reduce(lambda a, b: a + b, [F.col(f"_c_{n}") for n in DIMENSIONS]), F.lit(0)), F.lit(10000))
 
     def told(test: Column, text_: str, value: Column | None = None) -> Column:
@@ -251,25 +273,25 @@ def score(
     reasons = F.concat(
         compact(
             [
-                F.when(topic_hit, F.concat(F.lit("主题与"), raw["core_topic"], F.lit("匹配"))),
-                told(part_hit, "标题或元数据包含部分主题词"),
-                told(subject_hit, "领域或学科匹配", subject_text),
-                told(type_hit, "资源类型符合需求"),
-                told(subtopic_hit, "子主题匹配"),
-                told(version_hit, "版本匹配", raw["version"]),
-                told(volume_hit, "册次匹配", raw["volume"]),
-                told(grade_hit, "年级匹配", raw["grade"]),
-                told(stage_hit, "阶段匹配", raw["stage"]),
-                F.when(age_hit, F.concat(F.lit("年龄匹配"), age.cast("string"), F.lit("岁"))),
-                told(official, "官方来源"),
-                told(trusted, "来源具备较高可信度"),
-                told(loadable, "资源可下载"),
+                F.when(t["topic"], F.concat(F.lit("主题与"), raw["core_topic"], F.lit("匹配"))),
+                told(t["part"], "标题或元数据包含部分主题词"),
+                told(t["subject"], "领域或学科匹配", subject_text),
+                told(t["type"], "资源类型符合需求"),
+                told(t["subtopic"], "子主题匹配"),
+                told(t["version"], "版本匹配", raw["version"]),
+                told(t["volume"], "册次匹配", raw["volume"]),
+                told(t["grade"], "年级匹配", raw["grade"]),
+                told(t["stage"], "阶段匹配", raw["stage"]),
+                F.when(t["age"], F.concat(F.lit("年龄匹配"), age.cast("string"), F.lit("岁"))),
+                told(t["official"], "官方来源"),
+                told(t["trusted"], "来源具备较高可信度"),
+                told(t["loadable"], "资源可下载"),
                 told(linked, "资源可访问"),
-                told(asks & fits, "文件格式符合偏好"),
+                told(asks & t["fits"], "文件格式符合偏好"),
                 told(named_format, "候选资源格式明确"),
-                told(printable_hit, "格式适合打印或练习使用"),
-                told(audio_hit, "格式适合听赏"),
-                told(video_hit, "格式适合视频学习"),
+                told(t["printable"], "格式适合打印或练习使用"),
+                told(t["audio"], "格式适合听赏"),
+                told(t["video"], "格式适合视频学习"),
                 told(n_risks == 0, "未发现明显儿童内容风险"),
                 told(meta >= 400, "元数据较完整"),
                 F.when(level == "strong", F.lit("已提取到较充分内容证据"))
@@ -282,11 +304,11 @@ def score(
     warnings = F.concat(
         compact(
             [
-                told(~grade_hit & (grade != ""), "候选资源未明确匹配目标年级"),
-                told(asks_age & ~age_hit, "候选资源未明确标注适用年龄"),
-                told(~loadable & ~linked, "缺少可访问链接"),
-                told(walled, "需要登录或授权访问"),
-                told(asks & ~fits, "格式与用户偏好不完全匹配"),
+                told(~t["grade"] & (grade != ""), "候选资源未明确匹配目标年级"),
+                told(asks_age & ~t["age"], "候选资源未明确标注适用年龄"),
+                told(~t["loadable"] & ~linked, "缺少可访问链接"),
+                told(t["walled"], "需要登录或授权访问"),
+                told(asks & ~t["fits"], "格式与用户偏好不完全匹配"),
             ]
         ),
         F.col("_risks"),
@@ -299,11 +321,11 @@ def score(
         ),
         F.transform("_avoided", lambda v: F.concat(F.lit("命中需避免项："), v)),
     )
-    levelled = scored.withColumn("_total", total_cents)
+    levelled = let(scored, {"_total": total_cents})
     quality = F
     for name, least in L.QUALITY_LEVELS[:-1]:
         quality = quality.when(F.col("_total") >= least * 100, name)
-    out = levelled.withColumn("quality_level", quality.otherwise("reject"))
+    out = let(levelled, {"quality_level": quality.otherwise("reject")})
     advice = F
     for name, text_ in L.RECOMMENDATION.items():
         advice = advice.when(F.col("quality_level") == name, text_)

@@ -12,22 +12,38 @@ from pyspark.sql.utils import AnalysisException
 from ..functions.text import as_col, blank_to_null
 from ..operators.candidates import ITEM_ALIASES
 
-CANDIDATE = T.StructType.fromDDL(
-    "source string, source_name string, source_url string, resource_id string, title string, description string, "
-    "resource_type string, format string, stage string, grade string, subject string, learning_domain string, "
-    "version string, volume string, topic string, provider string, official boolean, downloadable boolean, "
-    "requires_auth boolean, size bigint, metadata_confidence double, local_file string, sha256 string, "
-    "detail_page string, url_candidates array<string>, source_warnings array<string>"
+
+
+def _schema(**groups: str) -> T.StructType:
+    """Fields by type from blank-separated names, in the order given."""
+    kinds = {
+        "text": T.StringType(), "flag": T.BooleanType(), "whole": T.LongType(), "number": T.DoubleType(),
+        "time": T.TimestampType(), "texts": T.ArrayType(T.StringType()),
+    }
+    fields = []
+    for group, names in groups.items():
+        fields += [T.StructField(n, kinds[group.split("_")[0]]) for n in names.split()]
+    return T.StructType(fields)
+
+
+CANDIDATE = _schema(
+    text="source source_name source_url resource_id title description resource_type format stage grade subject "
+    "learning_domain version volume topic provider local_file sha256 detail_page",
+    flag="official downloadable requires_auth",
+    whole="size",
+    number="metadata_confidence",
+    texts="url_candidates source_warnings",
 )
-INDEX_RECORD = T.StructType.fromDDL(
-    "resource_key string, title string, library_file string, original_file string, format string, "
-    "resource_type string, stage_or_age string, grade_or_phase string, domain_or_subject string, "
-    "topic_or_type string, source_or_version string, source_url string, sha256 string, "
-    "classification_confidence double, needs_review boolean, dedupe_confidence string, "
-    "created_at timestamp, updated_at timestamp"
+INDEX_RECORD = _schema(
+    text="resource_key title library_file original_file format resource_type stage_or_age grade_or_phase "
+    "domain_or_subject topic_or_type source_or_version source_url sha256",
+    number="classification_confidence",
+    flag="needs_review",
+    text_more="dedupe_confidence",
+    time="created_at updated_at",
 )
-DUPLICATE_RECORD = T.StructType.fromDDL(
-    "resource_key string, existing_file string, incoming_file string, title string, detected_at timestamp, reason string"
+DUPLICATE_RECORD = _schema(
+    text="resource_key existing_file incoming_file title", time="detected_at", text_more="reason"
 )
 ENVELOPE_LISTS = ["candidates", "ranked_candidates", "options"]
 PATH_STEP = 1 << 32
