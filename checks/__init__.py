@@ -1,5 +1,5 @@
 """Registered queries over the given tables, each with the SQL it must equal."""
 
-from . import catalog, pages
+from . import catalog, documents, pages
 
-ALL = [pages, catalog]
+ALL = [pages, catalog, documents]

@@ -14,7 +14,7 @@ WHITE = "".join(map(chr, [*_WHITE_CODES, 0x205F, 0x3000]))
 WHITE_CLASS = f"[{WHITE}]"
 CJK = r"[\u4e00-\u9fff]"
 # What separates words of a query: white space, list marks, brackets and quotes.
-WORD_BREAK = r"[\s\u3000\u00a0、,，/|;；:：()（）【】\[\]\"'<>]+"
+WORD_BREAK = rf"""[\s{chr(0x3000)}{chr(0xA0)}、,，/|;；:：()（）【】\[\]"'<>]+"""
 
 # The character references that are decoded, ampersand last.
 ENTITIES = [
@@ -86,20 +86,24 @@ def words(value: Column | str) -> Column:
     return F.array_distinct(F.array_remove(pieces, ""))
 
 
+def parts_of(value: Column, size: int) -> Column:
+    """All parts of ``size`` characters, in order; a shorter value has none."""
+
+    def part(at: Column) -> Column:
+        return F.substr(value, at, F.lit(size))
+
+    starts = F.sequence(F.lit(1), F.greatest(F.length(value) - (size - 1), F.lit(1)))
+    return F.when(F.length(value) >= size, F.transform(starts, part)).otherwise(F.array().cast("array<string>"))
+
+
 def tokens(value: Column | str) -> Column:
     """``words`` plus the 2-, 3- and 4-grams of every piece of four or more
     characters that holds a CJK character, since those scripts write no blanks."""
 
     def grams(piece: Column) -> Column:
-        sized = [
-            F.transform(
-                F.sequence(F.lit(1), F.length(piece) - (size - 1)),
-                lambda at, size=size: F.substr(piece, at, F.lit(size)),
-            )
-            for size in (2, 3, 4)
-        ]
         long_cjk = (F.length(piece) >= 4) & F.regexp_like(piece, F.lit(CJK))
-        return F.when(long_cjk, F.concat(F.array(piece), *sized)).otherwise(F.array(piece))
+        every = F.concat(F.array(piece), *[parts_of(piece, size) for size in (2, 3, 4)])
+        return F.when(long_cjk, every).otherwise(F.array(piece))
 
     return F.array_distinct(F.flatten(F.transform(words(value), grams)))
 

@@ -169,37 +169,32 @@ def order_tabs(
     from .search import containment_pairs
 
     usable = routes.where((F.col("scan_strategy") == "search_then_detail") & blank_to_null("search_tab_code").isNotNull())
-    texts = usable.select(
+    named = usable.select(
         F.col(ordinal).alias("_at"), F.col("search_tab_code").alias("tab"), F.concat_ws(" ", *fields).alias("_text")
     )
+    # equal texts of a tab count once, at their first place
+    texts = named.groupBy("tab", "_text").agg(F.min("_at").alias("_at"))
     asked = requests.select("request_id", F.explode(F.array_distinct("terms")).alias("_term"))
-    pieces = texts.select("_at", F.explode(words("_text")).alias("_piece"))
     lowered = asked.withColumn("_low", F.lower("_term"))
+    pieces = texts.select("_at", "tab", "_text", F.explode(words("_text")).alias("_piece"))
     pairs = containment_pairs(pieces, "_piece", lowered, "_low")
-    met = pieces.join(pairs, "_piece").select("_at", "_low").distinct().join(lowered, "_low")
-    exact = met.join(texts.select("_at", "_text"), "_at").where(F.contains("_text", F.col("_term")))
-    hits = exact.groupBy("request_id", "_at").agg(F.count(F.lit(1)).alias("n"))
-    rows = texts.select("_at", "tab")
-    best = hits.join(rows, "_at").groupBy("request_id", "tab").agg(F.max("n").alias("hits"))
-    # first route of a tab, and first route that reaches the best count
-    at_best = (
-        hits.join(rows, "_at")
-        .join(best, ["request_id", "tab"])
-        .where(F.col("n") == F.col("hits"))
-        .groupBy("request_id", "tab")
-        .agg(F.max("hits").alias("hits"), F.min("_at").alias("_place"))
+    met = pieces.join(pairs, "_piece").select("_at", "tab", "_text", "_low").distinct().join(lowered, "_low")
+    hits = (
+        met.where(F.contains("_text", F.col("_term")))
+        .groupBy("request_id", "tab", "_at")
+        .agg(F.count(F.lit(1)).alias("n"))
     )
-    tabs = rows.groupBy("tab").agg(F.min("_at").alias("_first"))
+    best = hits.groupBy("request_id", "tab").agg(F.max(F.struct("n", (-F.col("_at")).alias("_back"))).alias("_best"))
     # every request sees every tab: a request carries the (few, checked) tabs as one array
-    listed = _few_tabs(tabs)
+    listed = _few_tabs(texts.groupBy("tab").agg(F.min("_at").alias("_first")))
     every = requests.select("request_id", F.explode(listed).alias("_t")).select(
         "request_id", F.col("_t.tab").alias("tab"), F.col("_t.first").alias("_first")
     )
-    scored = every.join(at_best, ["request_id", "tab"], "left").select(
+    scored = every.join(best, ["request_id", "tab"], "left").select(
         "request_id",
         "tab",
-        F.coalesce("hits", F.lit(0)).cast("bigint").alias("hits"),
-        F.coalesce("_place", "_first").alias("_place"),
+        F.coalesce("_best.n", F.lit(0)).cast("bigint").alias("hits"),
+        F.coalesce(-F.col("_best._back"), F.col("_first")).alias("_place"),
     )
     order = [F.desc("hits"), F.col("_place"), F.col("tab")]
     return top_k(scored, ["request_id"], order, k, "place").drop("_place")

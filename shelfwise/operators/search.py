@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions.infer import format_family, format_matches
 from ..functions.match import compact
-from ..functions.text import blank_to_null, text_blob, tokens, words
+from ..functions.text import blank_to_null, parts_of, text_blob, tokens, words
 from .grouping import top_k
 
 RECORD_FIELDS = [
@@ -42,17 +42,7 @@ def record_text(index: DataFrame) -> Column:
 
 def _grams(value: Column) -> Column:
     """Distinct parts of one, two and three characters."""
-    sized = [
-        F.when(
-            F.length(value) >= n,
-            F.transform(
-                F.sequence(F.lit(1), F.greatest(F.length(value) - (n - 1), F.lit(1))),
-                lambda at, n=n: F.substr(value, at, F.lit(n)),
-            ),
-        ).otherwise(F.array().cast("array<string>"))
-        for n in (1, 2, 3)
-    ]
-    return F.array_distinct(F.concat(*sized))
+    return F.array_distinct(F.concat(*[parts_of(value, n) for n in (1, 2, 3)]))
 
 
 def containment_pairs(pieces: DataFrame, piece: str, needles: DataFrame, needle: str) -> DataFrame:
