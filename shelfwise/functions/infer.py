@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from . import lexicons as L
 from .columns import bind
-from .match import Rules, contains_any, first_label, holds
+from .match import Rules, first_label, holds
 from .text import as_col, blank_to_null
 from .urls import path, suffix
 
@@ -55,13 +55,8 @@ def infer_resource_type(lowered: Column, fmt: Column, rules: Rules, by_fmt: Mapp
 
 def infer_subject(lowered: Column, rules: Sequence[tuple[str | None, str, Sequence[str]]]) -> tuple[Column, Column]:
     """(subject, domain) of the first rule with a hit."""
-    subject, domain = F, F
-    for name, field, terms in rules:
-        test = contains_any(lowered, terms)
-        subject = subject.when(test, F.lit(name).cast("string"))
-        domain = domain.when(test, F.lit(field))
-    if not rules:
-        return F.lit(None).cast("string"), F.lit(None).cast("string")
+    domain = first_label(lowered, [(field, terms) for _, field, terms in rules])
+    subject = F.nullif(first_label(lowered, [(name or "", terms) for name, _, terms in rules]), F.lit(""))
     return subject, domain
 
 

@@ -91,7 +91,7 @@ def should_skip(
     return (
         F.when(auth & F.lit(not allow_auth), F.lit("需要登录或授权访问"))
         .when(auth & F.lit(not auth_context), F.lit("需要授权上下文"))
-        .when(contains_any(F.array_join(warnings, " "), risk_terms), F.lit("候选存在风险提示"))
+        .when(F.exists(warnings, lambda w: contains_any(w, risk_terms)), F.lit("候选存在风险提示"))
     )
 
 

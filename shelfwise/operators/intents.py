@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import lexicons as L
 from ..functions.columns import bind, let
-from ..functions.match import Rules, compact, contains_any, first_label, labels, longest_label
+from ..functions.match import Rules, compact, constant, contains_any, first_label, labels, longest_label
 from ..functions.text import as_col, squeeze, strip
 
 ListRules = Sequence[tuple[Sequence[str], Sequence[str]]]
@@ -77,9 +77,7 @@ def _list_rules(text: Column, rules: ListRules, every: bool = False) -> list[Col
     out = []
     for values, terms in rules:
         if every:
-            test = F.lit(True)
-            for term in terms:
-                test = test & F.contains(text, F.lit(term))
+            test = F.forall(constant(terms), lambda t: F.contains(text, t))
         else:
             test = contains_any(text, terms)
         out += [F.when(test, F.lit(v)) for v in values]
@@ -360,5 +358,5 @@ def request_terms(intents: DataFrame, query: str = "query") -> Column:
 
 def wants_textbook(query: str = "query", terms: Sequence[str] = L.TEXTBOOK_WORDS) -> Column:
     blob = F.concat_ws(" ", F.array_join("resource_types", " "), as_col(query))
-    return contains_any(blob, terms)
+    return bind(blob, lambda b: contains_any(b, terms))
 

@@ -37,11 +37,12 @@ def classify_library(items: DataFrame, threshold: float = 0.55, domain_rules: Ru
     age = F.concat(col("learner_age").cast("string"), F.lit("岁"))
     rules = [(label, [t.lower() for t in terms]) for label, terms in domain_rules]
     based = let(items, {"_title": title, "_kind": kind})
+    based = let(based, {"_low_title": F.lower(F.coalesce("_title", F.lit("")))})
     chosen = {
         "stage_or_age": first_value(col("stage"), col("stage_or_age"), age),
         "grade_or_phase": first_value(col("grade")),
         "domain_or_subject": first_value(
-            col("learning_domain"), col("subject"), first_label(F.lower(F.coalesce("_title", F.lit(""))), rules)
+            col("learning_domain"), col("subject"), first_label("_low_title", rules)
         ),
         "topic_or_type": first_value(col("core_topic"), col("topic"), F.col("_kind")),
         "source_or_version": first_value(col("version"), col("source_name"), col("provider"), col("source")),
@@ -63,7 +64,7 @@ def classify_library(items: DataFrame, threshold: float = 0.55, domain_rules: Ru
             "classification_confidence": F.col("_points") / F.lit(1000.0),
             "needs_review": F.col("_points") < int(round(threshold * 1000)),
         }
-    ).drop("_title", "_kind", "_points")
+    ).drop("_title", "_low_title", "_kind", "_points")
 
 
 def library_paths(

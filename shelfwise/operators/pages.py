@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..functions import lexicons as L
 from ..functions.match import compact, contains_any, hits, labels
 from ..functions.text import as_col, clean_text, squeeze, stable_id, unescape
-from ..functions.columns import let
+from ..functions.columns import bind, let
 from ..functions.urls import absolute_url, absolute_urls, clean_ref, ext, host, query_value, resolve, unwrap_redirect
 
 SCRIPT = r"(?is)<script[^>]*>(.*?)</script>"
@@ -165,14 +165,14 @@ def api_hints(text: Column | str, base: Column | str, terms: Sequence[str] = L.A
     text = as_col(text)
     full = F.regexp_extract_all(text, F.lit(FULL_URL), F.lit(0))
     quoted = F.regexp_extract_all(text, F.lit(QUOTED_PATH), F.lit(1))
-    named = F.filter(F.concat(full, quoted), lambda u: contains_any(F.lower(u), terms))
+    named = F.filter(F.concat(full, quoted), lambda u: bind(F.lower(u), lambda low: contains_any(low, terms)))
     return F.slice(F.array_distinct(absolute_urls(base, named)), 1, limit)
 
 
 def link_hints(links: Column, terms: Sequence[str], limit: int = 30) -> Column:
     """Distinct links (from ``link_array``) whose target or text holds a term."""
     lowered = [t.lower() for t in terms]
-    kept = F.filter(links, lambda a: contains_any(F.lower(F.concat_ws(" ", a["href"], a["text"])), lowered))
+    kept = F.filter(links, lambda a: bind(F.lower(F.concat_ws(" ", a["href"], a["text"])), lambda low: contains_any(low, lowered)))
     return F.slice(F.array_distinct(F.transform(kept, lambda a: a["link"])), 1, limit)
 
 
@@ -214,6 +214,10 @@ def detail_hints(html: Column | str, base: Column | str, site: str = L.SITE_URL,
 def page_type(html: Column, url: Column, n_api: Column, n_detail: Column, n_links: Column) -> Column:
     """Page class; the opening of a page is its first 5000 characters, as the contract says."""
     opening = F.lower(F.concat_ws(" ", F.substring(html, 1, 5000), url))
+    return bind(opening, lambda o: _page_type(o, url, n_api, n_detail, n_links))
+
+
+def _page_type(opening: Column, url: Column, n_api: Column, n_detail: Column, n_links: Column) -> Column:
     return (
         F.when(F.contains(url, F.lit("/detail")) | (n_detail > 0), "detail_or_detail_capable_page")
         .when(F.contains(opening, F.lit("librarylist")), "catalog_config_page")
@@ -228,7 +232,7 @@ def next_actions(api: Column, n_detail: Column, n_links: Column) -> Column:
     """Recommended next steps from the hints of a page."""
 
     def named(*terms: str) -> Column:
-        return F.exists(api, lambda u: contains_any(F.lower(u), terms))
+        return F.exists(api, lambda u: bind(F.lower(u), lambda low: contains_any(low, terms)))
 
     steps = compact(
         [

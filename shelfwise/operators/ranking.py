@@ -57,22 +57,27 @@ def complete_intents(intents: DataFrame) -> DataFrame:
     return intents.select(*cols)
 
 
-def pair(candidates: DataFrame, intents: DataFrame) -> DataFrame:
+def pair(candidates: DataFrame, intents: DataFrame | Sequence[Mapping[str, object]]) -> DataFrame:
     """Candidates with their request as the struct ``intent``.
 
     Assigned candidates (with ``intent_id``) are joined on it, hot requests
     spread over salts.  Unassigned ones meet every request; that is only
-    allowed for at most MAX_FEW requests, which become one literal array per
-    row: no join, no shuffle, and the limit is checked here.
+    allowed for at most MAX_FEW requests (a table or a plain list), which become
+    one literal array per row: no join, no shuffle, and the limit is checked.
     """
+    if not isinstance(intents, DataFrame):
+        return _pair_few(candidates, [{f.name: i.get(f.name) for f in INTENT.fields} for i in intents])
     slots = complete_intents(intents)
     if "intent_id" in candidates.columns:
         packed = slots.select("intent_id", F.struct(*slots.columns).alias("intent"))
         return with_group_value(candidates, packed, ["intent_id"], "inner")
-    rows = slots.limit(MAX_FEW + 1).collect()
+    return _pair_few(candidates, [r.asDict(recursive=True) for r in slots.limit(MAX_FEW + 1).collect()])
+
+
+def _pair_few(candidates: DataFrame, rows: Sequence[Mapping[str, object]]) -> DataFrame:
     if len(rows) > MAX_FEW:
         raise ValueError(f"more than {MAX_FEW} requests: assign candidates by search_index and pass intent_id")
-    text = json.dumps([r.asDict(recursive=True) for r in rows], ensure_ascii=False)
+    text = json.dumps(rows, ensure_ascii=False)
     few = F.from_json(F.lit(text), T.ArrayType(INTENT))
     return candidates.withColumn("intent", F.explode(few)).withColumn("intent_id", F.col("intent.intent_id"))
 
@@ -341,7 +346,7 @@ def score(
     return out.drop("intent", *[c for c in out.columns if c.startswith("_")])
 
 
-def rank(candidates: DataFrame, intents: DataFrame, ordinal: str = "ordinal", **options) -> DataFrame:
+def rank(candidates: DataFrame, intents: DataFrame | Sequence[Mapping[str, object]], ordinal: str = "ordinal", **options) -> DataFrame:
     """Every candidate scored; rejected ones have no rank and no row is lost."""
     scored = score(pair(candidates, intents), **options)
     return rank_scored(scored, ordinal)

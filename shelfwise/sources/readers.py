@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.utils import AnalysisException
 
+from ..functions.columns import let
 from ..functions.text import as_col, blank_to_null
 from ..operators.candidates import ITEM_ALIASES
 
@@ -84,56 +85,79 @@ def load_candidates(spark: SparkSession, path: str | Sequence[str], schema: T.St
     )
 
 
+KINDS = [
+    # Names that say what kind of thing an item is.
+    "catalog", "catalog_type", "catalogType", "tab_code", "tabCode", "resource_type", "resourceType", "content_type",
+    "contentType",
+]
+
+
 def extract_items(
     df: DataFrame, json: str, key: Sequence[str] = (), ordinal: str = "ordinal", limit: int | None = None, depth: int = 4
 ) -> DataFrame:
     """Item-like objects (an id, and a title or a type) at any level of unknown JSON.
 
-    The text becomes a variant once.  Array elements and object values are
-    walked level by level down to ``depth`` containers; an object found twice
-    under the same (row, id, title) counts once, first place first.  ``limit``
-    keeps that many items per row.
+    The text becomes a variant once.  Every step replaces a container by itself
+    and its child containers, so ``depth`` steps in one stage reach all
+    containers down to that level.  An object found twice under the same (row,
+    id, title) counts once, first place first; ``limit`` keeps that many per row.
     """
-    spark = df.sparkSession
     keys = list(dict.fromkeys([*key, ordinal]))
-    parsed = df.select(*keys, F.try_parse_json(as_col(json)).alias("_v"), F.lit("").alias("_path"))
-    level, levels = parsed, [parsed]
+    parsed = F.try_parse_json(as_col(json))
+    rows = df.select(*keys, parsed.alias("_v"), F.lit("").alias("_path"), F.lit(False).alias("_done"))
+    rows = rows.where(F.col("_v").isNotNull())
+
+    def is_container(value: Column) -> Column:
+        return F.regexp_like(F.schema_of_variant(value), F.lit("^(?:ARRAY|OBJECT)<"))
+
     for _ in range(depth):
-        opened = level.lateralJoin(
-            spark.tvf.variant_explode_outer(F.col("_v").outer()).select(
-                F.col("pos").alias("_pos"), F.col("value").alias("_value")
-            )
+        children = F.coalesce(
+            F.try_variant_get("_v", "$", "array<variant>"),
+            F.map_values(F.try_variant_get("_v", "$", "map<string,variant>")),
         )
-        level = opened.where(F.col("_value").isNotNull()).select(
-            *keys,
-            F.col("_value").alias("_v"),
-            F.concat("_path", F.lit("/"), F.lpad(F.col("_pos").cast("string"), 9, "0")).alias("_path"),
+        inner = F.transform(children, lambda c, i: F.struct(c.alias("v"), (i + 1).alias("at"), F.lit(False).alias("done")))
+        itself = F.array(F.struct(F.col("_v").alias("v"), F.lit(0).alias("at"), F.lit(True).alias("done")))
+        stepped = F.when(F.col("_done") | children.isNull(), itself).otherwise(
+            F.concat(itself, F.filter(inner, lambda s: s["v"].isNotNull() & is_container(s["v"])))
         )
-        levels.append(level)
-    found = None
-    for rows in levels:
-        is_object = F.startswith(F.schema_of_variant("_v"), F.lit("OBJECT<"))
-        rows = rows.where(is_object)
-        found = rows if found is None else found.unionByName(rows)
-
-    def has(name: str) -> Column:
-        return F.coalesce(
-            *[blank_to_null(F.try_variant_get("_v", f"$.{a}", "string")) for a in ITEM_ALIASES[name]]
+        opened = rows.select(*keys, "_path", F.explode(stepped).alias("_s"))
+        place = F.concat("_path", F.lit("/"), F.lpad(F.col("_s.at").cast("string"), 9, "0"))
+        rows = opened.select(
+            *keys,
+            F.col("_s.v").alias("_v"),
+            F.when(F.col("_s.at") == 0, F.col("_path")).otherwise(place).alias("_path"),
+            F.col("_s.done").alias("_done"),
         )
 
-    type_names = ["catalog", "catalog_type", "catalogType", "tab_code", "tabCode", "resource_type", "resourceType", "content_type", "contentType"]
-    kind = F.coalesce(*[blank_to_null(F.try_variant_get("_v", f"$.{a}", "string")) for a in type_names])
-    named = found.withColumns({"item_id": has("id"), "item_title": has("title"), "_kind": kind})
-    like = named.where(F.col("item_id").isNotNull() & (F.col("item_title").isNotNull() | F.col("_kind").isNotNull()))
-    group = [*keys, "item_id", "_t"]
-    titled = like.withColumn("_t", F.coalesce("item_title", F.lit("")))
-    firsts = titled.groupBy(*group).agg(F.min("_path").alias("_path"))
-    rows = titled.join(firsts, [*group, "_path"])
+    def read(names: Sequence[str]) -> Column:
+        return F.coalesce(*[blank_to_null(F.try_variant_get("_v", f"$.{a}", "string")) for a in names])
+
+    named = let(rows, {"item_id": read(ITEM_ALIASES["id"])}).where(F.col("item_id").isNotNull())
+    typed = let(named, {"item_title": read(ITEM_ALIASES["title"])})
+    like = typed.where(F.col("item_title").isNotNull() | read(KINDS).isNotNull())
+    firsts = like.groupBy(*keys, "item_id", "item_title").agg(
+        F.min("_path").alias("item_path"), F.min_by("_v", "_path").alias("item")
+    )
     if limit is not None:
         from ..operators.grouping import top_k
 
-        rows = top_k(rows, keys, [F.col("_path")], limit, "_n").drop("_n")
-    return rows.select(*keys, F.col("_path").alias("item_path"), "item_id", "item_title", F.col("_v").alias("item"))
+        firsts = top_k(firsts, keys, [F.col("item_path")], limit, "_n").drop("_n")
+    return firsts.select(*keys, "item_path", "item_id", "item_title", "item")
+
+
+MIN_SPREAD_BYTES = 1 << 20
+
+
+def read_table(spark: SparkSession, path: str) -> DataFrame:
+    """A Parquet table.  One large file with one row group would be read by a
+    single task; when a scan of at least 1 MiB has fewer tasks than there are
+    cores its rows are spread out.  Tables of many files are left as they are."""
+    df = spark.read.parquet(path)
+    plan = df._jdf.queryExecution()
+    if int(str(plan.optimizedPlan().stats().sizeInBytes())) < MIN_SPREAD_BYTES:
+        return df
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if plan.toRdd().getNumPartitions() < cores else df
 
 
 def _load_table(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
