@@ -1,5 +1,5 @@
 """Registered queries over the given tables, each with the SQL it must equal."""
 
-from . import catalog, documents, pages
+from . import catalog, documents, pages, requests
 
-ALL = [pages, catalog, documents]
+ALL = [pages, catalog, documents, requests]

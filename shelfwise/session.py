@@ -28,19 +28,22 @@ def get_session(app: str = "shelfwise", cores: str | None = None, **conf: str) -
     return spark
 
 
-def stage(df: DataFrame, eager: bool = False) -> DataFrame:
-    """Cut lineage by a reliable checkpoint in the shared folder the cluster names.
+def shared_folder(spark: SparkSession) -> str:
+    """Folder all executors share for staged data: the one the cluster names.
 
-    ``spark.checkpoint.dir`` wins.  Only where neither it nor a checkpoint
-    folder is set (tests on one machine) is a temporary folder taken.
+    Only on a single machine, where no folder is named, is a temporary one taken.
     """
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if named:
+        return named
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder all executors share")
+    return tempfile.mkdtemp(prefix="shelfwise-", dir="/tmp")
+
+
+def stage(df: DataFrame, eager: bool = False) -> DataFrame:
+    """Cut lineage by a reliable checkpoint in the shared folder."""
     spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        if shared is None:
-            if not context.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-            shared = tempfile.mkdtemp(prefix="shelfwise-checkpoint-")
-        context.setCheckpointDir(shared)
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
     return df.checkpoint(eager=eager)
