@@ -72,6 +72,11 @@ def clean_text(value: Column | str, tags_first: bool = True) -> Column:
     return squeeze(F.regexp_replace(unescape(text), "<[^>]+>", " "))
 
 
+def clean_inline(value: Column | str) -> Column:
+    """Plain text of a highlighted phrase: references decoded, tags removed without a gap."""
+    return squeeze(F.regexp_replace(unescape(F.coalesce(as_col(value), F.lit(""))), "<[^>]+>", ""))
+
+
 def stable_id(value: Column | str) -> Column:
     return F.substring(F.sha1(as_col(value)), 1, 16)
 

@@ -27,7 +27,7 @@ from ..functions.infer import (
     metadata_confidence,
 )
 from ..functions.match import compact, contains_any, hits
-from ..functions.text import as_col, blank_to_null, clean_text, first_value, stable_id
+from ..functions.text import as_col, blank_to_null, clean_inline, clean_text, first_value, stable_id
 from ..functions.urls import clean_ref, ext, file_title, host, resolve
 from . import details as D
 from .grouping import first_of
@@ -278,7 +278,7 @@ def item_tags(item: str) -> Column:
         F.coalesce(tags, F.array().cast("array<struct<dimension_id:string,tag_dimension_id:string,title:string,tag_name:string>>")),
         lambda t: F.struct(
             F.coalesce(t["dimension_id"], t["tag_dimension_id"]).alias("dimension"),
-            clean_text(F.coalesce(blank_to_null(t["title"]), t["tag_name"])).alias("title"),
+            clean_inline(F.coalesce(blank_to_null(t["title"]), t["tag_name"])).alias("title"),
         ),
     )
 
@@ -292,10 +292,10 @@ def item_candidates(items: DataFrame, query: Column | str = "", filters: Filters
     page = D.detail_page(
         F.col("_id"), F.col("_catalog"), F.col("_sub_catalog"), F.col("_page_content_type"), F.col("_page")
     )
-    title = F.coalesce(blank_to_null(clean_text("_title")), F.lit(f"{L.SITE_NAME} 资源"))
+    title = F.coalesce(blank_to_null(clean_inline("_title")), F.lit(f"{L.SITE_NAME} 资源"))
     paged = let(named, {"source_url": page, "title": title})
     formatted = let(
-        paged, {"format": item_format(F.coalesce(F.col("_format"), extra_format), F.col("source_url"), F.col("_title"))}
+        paged, {"format": item_format(F.coalesce(F.col("_format"), extra_format), F.col("source_url"), clean_inline("_title"))}
     )
 
     def value(name: str, *filter_names: str) -> Column:
@@ -310,7 +310,7 @@ def item_candidates(items: DataFrame, query: Column | str = "", filters: Filters
             "resource_id": F.concat(
                 F.lit("search:"), F.coalesce(F.col("_id"), stable_id(F.concat("title", "source_url")))
             ),
-            "description": clean_text("_description"),
+            "description": clean_inline("_description"),
             "resource_type": F.coalesce(
                 F.col("_resource_type_name"), detail_resource_type(F.col("format"), F.col("title"))
             ),
@@ -361,7 +361,7 @@ def item_identity(items: DataFrame, item: str = "item") -> DataFrame:
             "sub_catalog": F.coalesce(F.col("_sub_catalog"), known["sub_catalog"], F.lit("")),
             "content_type": content,
             "resource_type": F.coalesce(kind, F.lit("")),
-            "resource_type_name": clean_text("_resource_type_name"),
+            "resource_type_name": clean_inline("_resource_type_name"),
         }
     ).drop("_known", *[f"_{n}" for n in ITEM_ALIASES])
 
