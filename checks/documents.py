@@ -139,7 +139,7 @@ SCORING = dict(
 
 
 def scored(spark, sf):
-    return K.score(K.pair(analysed(spark, sf), INTENTS), **SCORING)
+    return K.score_for(analysed(spark, sf), INTENTS, **SCORING)
 
 
 def _has(term):

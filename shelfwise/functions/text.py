@@ -11,10 +11,19 @@ from pyspark.sql import functions as F
 # Every character Unicode counts as white space; Spark's \s is ASCII only.
 _WHITE_CODES = [*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F]
 WHITE = "".join(map(chr, [*_WHITE_CODES, 0x205F, 0x3000]))
-WHITE_CLASS = f"[{WHITE}]"
+# White space other than the blank, in as few ranges as possible: a regular
+# expression tests every range of a class for every character.
+_NOT_BLANK = r"\t-\r\x1c-\x1f\x85\xa0" + "".join(
+    [chr(0x1680), chr(0x2000), "-", chr(0x200A), *map(chr, (0x2028, 0x2029, 0x202F, 0x205F, 0x3000))]
+)
+WHITE_CLASS = f"[ {_NOT_BLANK}]"
+# A run that is not already one blank.
+WHITE_RUN = f" *[{_NOT_BLANK}]{WHITE_CLASS}*|  +"
 CJK = r"[\u4e00-\u9fff]"
 # What separates words of a query: white space, list marks, brackets and quotes.
-WORD_BREAK = rf"""[\s{chr(0x3000)}{chr(0xA0)}、,，/|;；:：()（）【】\[\]"'<>]+"""
+# 　、 【】 （） ， ：； as ranges.
+_WIDE_BREAKS = "".join(map(chr, (0x3000, 0x2D, 0x3001, 0x3010, 0x2D, 0x3011, 0xFF08, 0x2D, 0xFF09, 0xFF0C, 0xFF1A, 0x2D, 0xFF1B)))
+WORD_BREAK = rf"""[\s\xa0,/|;:()\[\]"'<>{_WIDE_BREAKS}]+"""
 
 # The character references that are decoded, ampersand last.
 ENTITIES = [
@@ -40,7 +49,7 @@ def strip(value: Column | str) -> Column:
 
 def squeeze(value: Column | str) -> Column:
     """Runs of white space become one blank; ends are trimmed."""
-    return F.btrim(F.regexp_replace(as_col(value), WHITE_CLASS + "+", " "), F.lit(" "))
+    return F.btrim(F.regexp_replace(as_col(value), WHITE_RUN, " "), F.lit(" "))
 
 
 def blank_to_null(value: Column | str) -> Column:
@@ -122,7 +131,7 @@ def safe_part(value: Column | str, fallback: str, limit: int = 80) -> Column:
     """A path-safe name: separators to ``_``, blanks squeezed, dots and blanks off the ends."""
     raw = F.coalesce(blank_to_null(value), F.lit(fallback))
     text = F.btrim(
-        F.regexp_replace(F.regexp_replace(raw, r'[\\/:*?"<>|\r\n\t]+', "_"), WHITE_CLASS + "+", " "), F.lit(" .")
+        F.regexp_replace(F.regexp_replace(raw, r'[\\/:*?"<>|\r\n\t]+', "_"), WHITE_RUN, " "), F.lit(" .")
     )
     return F.substring(F.coalesce(F.nullif(text, F.lit("")), F.lit(fallback)), 1, limit)
 
@@ -158,6 +167,6 @@ GRADE_NUMERALS = ["零", "一", "二", "三", "四", "五", "六", "七", "八",
 def grade_to_chinese(value: Column | str) -> Column:
     """``3`` and ``3年级`` become 三年级; anything else stays."""
     text = strip(as_col(value).cast("string"))
-    number = F.regexp_extract(text, r"^(\d{1,2})(?:\s*年级.*)?$", 1).try_cast("int")
+    number = F.nullif(F.regexp_extract(text, r"^(\d{1,2})(?:\s*年级.*)?$", 1), F.lit("")).cast("int")
     name = F.get(F.array(*[F.lit(n) for n in GRADE_NUMERALS]), number)
     return F.coalesce(F.concat(name, F.lit("年级")), text)

@@ -299,7 +299,7 @@ def textbook_records(raw: DataFrame) -> DataFrame:
     placed = F.transform(
         F.filter(entries, lambda e: e["value"].isNotNull()),
         lambda e, i: F.struct(
-            F.coalesce(F.regexp_extract(e["key"], r"(\d+)$", 1).try_cast("int"), i + 1).alias("place"),
+            F.coalesce(F.nullif(F.regexp_extract(e["key"], r"(\d+)$", 1), F.lit("")).try_cast("int"), i + 1).alias("place"),
             e["value"].alias("url"),
         ),
     )

@@ -87,7 +87,7 @@ def _list_rules(text: Column, rules: ListRules, every: bool = False) -> list[Col
 def _age(text: Column, patterns: Sequence[str]) -> Column:
     found = []
     for pattern in patterns:
-        value = F.regexp_extract(text, pattern, 1).try_cast("int")
+        value = F.nullif(F.regexp_extract(text, pattern, 1), F.lit("")).try_cast("int")
         found.append(bind(value, lambda v: F.when(v.between(3, 12), v)))
     return F.coalesce(*found, F.lit(None).cast("int")) if found else F.lit(None).cast("int")
 

@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from ..functions import lexicons as L
 from ..functions.columns import let
-from ..functions.match import any_of, compact, contains_any, hits, holds, lower_list
+from ..functions.match import any_of, compact, constant, contains_any, hits, holds, lower_list
 from ..functions.text import blank_to_null, grade_to_chinese, text_blob
 from .filters import is_visible
 from .grouping import ranked, top_k, with_group_value
@@ -91,6 +91,58 @@ def _add(points: list[tuple[Column, int]]) -> Column:
     return reduce(lambda a, b: a + b, [F.when(test, value).otherwise(0) for test, value in points], F.lit(0))
 
 
+def _reader(df: DataFrame):
+    """(field, analysed): columns and analysis fields of candidates, null where absent."""
+
+    def field(name: str) -> Column:
+        return F.col(name) if name in df.columns else F.lit(None).cast("string")
+
+    def analysed(name: str, kind: str) -> Column:
+        names = df.schema["analysis"].dataType.names if "analysis" in df.columns else []
+        return F.col(f"analysis.{name}") if name in names else F.lit(None).cast(kind)
+
+    return field, analysed
+
+
+def prepare(
+    candidates: DataFrame,
+    suspicious: Sequence[str] = L.SUSPICIOUS_TERMS,
+    trust: Sequence[str] = L.TRUST_TERMS,
+    alarms: Sequence[str] = L.ANALYSIS_ALARM_TERMS,
+) -> DataFrame:
+    """What does not depend on a request, found once per candidate before it is
+    paired: the lower-case text, its risks and signs of trust."""
+    field, analysed = _reader(candidates)
+    none = F.array().cast("array<string>")
+    blob = text_blob(
+        *[f for f in BLOB_FIELDS if f in candidates.columns],
+        analysed("text_sample", "string"),
+        F.array_join(F.coalesce(analysed("keywords", "array<string>"), none), " "),
+    )
+    base = let(
+        candidates,
+        {
+            "_blob": blob,
+            "_fmt": F.coalesce(blank_to_null(F.lower(field("format"))), _low(field("resource_type"))),
+            "_title": _low(field("title")),
+            "_link": _low(field("source_url")),
+        },
+    )
+    noted = F.coalesce(analysed("warnings", "array<string>"), none)
+    alarming = F.filter(noted, lambda w: (w != "") & contains_any(w, [*suspicious, *alarms]))
+    # a term that starts in the text and ends in the link is none: both are searched
+    found = F.array_union(hits("_blob", [t.lower() for t in suspicious]), hits("_link", [t.lower() for t in suspicious]))
+    ordered = F.filter(constant([t.lower() for t in dict.fromkeys(suspicious)]), lambda t: F.array_contains(found, t))
+    risks = F.transform(ordered, lambda t: F.concat(F.lit("包含风险词："), t))
+    return let(
+        base,
+        {
+            "_risks": F.array_distinct(F.concat(risks, alarming)),
+            "_trusted": contains_any("_blob", [t.lower() for t in trust]),
+        },
+    )
+
+
 def score(
     pairs: DataFrame,
     *,
@@ -104,35 +156,18 @@ def score(
 ) -> DataFrame:
     """Nine scores, their sum in [0, 100], level, recommendation, reasons and warnings.
 
-    ``weights`` are off by default; when given they are normalized to one and
-    scale each of the seven capped dimensions.
+    ``pairs`` comes from ``pair``.  ``weights`` are off by default; when given
+    they are normalized to one and scale each of the seven capped dimensions.
     """
     goals = goals or {"practice": "练习", "listen": "听赏"}
     types = types or {"textbook": "教材", "practice": "习题", "audio": "音频", "video": "视频"}
-    have = pairs.columns
-
-    def field(name: str) -> Column:
-        return F.col(name) if name in have else F.lit(None).cast("string")
-
-    def analysed(name: str, kind: str) -> Column:
-        names = pairs.schema["analysis"].dataType.names if "analysis" in have else []
-        return F.col(f"analysis.{name}") if name in names else F.lit(None).cast(kind)
-
-    none = F.array().cast("array<string>")
-    blob = text_blob(
-        *[f for f in BLOB_FIELDS if f in have],
-        analysed("text_sample", "string"),
-        F.array_join(F.coalesce(analysed("keywords", "array<string>"), none), " "),
-    )
+    if "_risks" not in pairs.columns:
+        pairs = prepare(pairs, suspicious, trust, alarms)
+    field, analysed = _reader(pairs)
     slot = {s: _low(f"intent.{s}") for s in TEXT_SLOTS}
     base = let(
         pairs,
-        {
-            "_blob": blob,
-            "_fmt": F.coalesce(blank_to_null(F.lower(field("format"))), _low(field("resource_type"))),
-            "_title": _low(field("title")),
-        }
-        | {f"_s_{s}": c for s, c in slot.items() if s != "grade"}
+        {f"_s_{s}": c for s, c in slot.items() if s != "grade"}
         | {"_s_grade": F.lower(grade_to_chinese(F.coalesce(F.col("intent.grade"), F.lit(""))))}
         | {f"_l_{s}": lower_list(F.col(f"intent.{s}")) for s in LIST_SLOTS},
     )
@@ -165,10 +200,10 @@ def score(
     wants_audio = F.contains(s["resource_goal"], F.lit(goals["listen"].lower())) | F.array_contains(
         lists["resource_types"], types["audio"].lower()
     )
-    with_url = F.col("_url_blob")
-    noted = F.coalesce(analysed("warnings", "array<string>"), none)
-    alarming = F.filter(noted, lambda w: (w != "") & contains_any(w, [*suspicious, *alarms]))
-    risks = F.transform(hits(with_url, [t.lower() for t in suspicious]), lambda t: F.concat(F.lit("包含风险词："), t))
+
+    def in_either(value: Column) -> Column:
+        return (value != "") & (F.contains(text, value) | F.contains(F.col("_link"), value))
+
     tests = {
         "topic": topic_hit,
         "part": ~topic_hit & (topic != "") & F.exists(parts, lambda p: F.contains(text, p)),
@@ -180,7 +215,7 @@ def score(
         "grade": holds(text, grade),
         "stage": holds(text, stage),
         "age": asks_age & F.coalesce(F.array_contains(digits, age.cast("string")), F.lit(False)),
-        "trusted": contains_any(text, [t.lower() for t in trust]),
+        "trusted": F.col("_trusted"),
         "fits": F.exists(asked, lambda p: F.contains(plain, F.replace(p, F.lit("/"), F.lit("")))),
         "named_type": F.exists(lists["resource_types"], lambda t: F.contains(text, t)),
         "printable": wants_print & fmt.isin(L.PRINTABLE_FORMATS),
@@ -191,13 +226,10 @@ def score(
         "linked": blank_to_null(field("source_url")).isNotNull(),
         "walled": F.coalesce(field("requires_auth").cast("boolean"), F.lit(False)),
     }
-    staged = let(base, {"_url_blob": F.concat_ws(" ", text, _low(field("source_url")))})
-    preferred = F.filter(lists["prefer"], lambda v: (v != "") & F.contains(with_url, v))
-    avoided = F.filter(lists["avoid"], lambda v: (v != "") & F.contains(with_url, v))
     staged = let(
-        staged,
+        base,
         {f"_t_{n}": c for n, c in tests.items()}
-        | {"_risks": F.array_distinct(F.concat(risks, alarming)), "_preferred": preferred, "_avoided": avoided},
+        | {"_preferred": F.filter(lists["prefer"], in_either), "_avoided": F.filter(lists["avoid"], in_either)},
     )
     t = {n: F.col(f"_t_{n}") for n in tests}
     linked = ~t["loadable"] & t["linked"]
@@ -348,8 +380,13 @@ def score(
 
 def rank(candidates: DataFrame, intents: DataFrame | Sequence[Mapping[str, object]], ordinal: str = "ordinal", **options) -> DataFrame:
     """Every candidate scored; rejected ones have no rank and no row is lost."""
-    scored = score(pair(candidates, intents), **options)
-    return rank_scored(scored, ordinal)
+    return rank_scored(score_for(candidates, intents, **options), ordinal)
+
+
+def score_for(candidates: DataFrame, intents: DataFrame | Sequence[Mapping[str, object]], **options) -> DataFrame:
+    """Scores of candidates for requests; what a request does not change is found before pairing."""
+    first = {k: options[k] for k in ("suspicious", "trust", "alarms") if k in options}
+    return score(pair(prepare(candidates, **first), intents), **options)
 
 
 def rank_scored(scored: DataFrame, ordinal: str = "ordinal", block: int | None = None) -> DataFrame:

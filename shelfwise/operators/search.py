@@ -5,7 +5,7 @@ no separators, so every occurrence lies inside one separator-free piece of the
 text.  That gives an exact plan without a cross join: distinct pieces and
 distinct tokens meet on a short gram, the hits are carried back to records by
 piece, and counts are combined per (query, record) before they are shuffled.
-No token is cut for being frequent; hot pieces are spread over salts.
+No token is cut for being frequent.
 """
 
 from __future__ import annotations
@@ -33,7 +33,6 @@ FIELD_POINTS = [
     ("core_topic", "topic_or_type", 16, "主题匹配"),
     ("topic", "topic_or_type", 16, "主题匹配"),
 ]
-SALTS = 16
 
 
 def record_text(index: DataFrame) -> Column:
@@ -63,11 +62,14 @@ def term_hits(df: DataFrame, key: str, text: str, terms: DataFrame, term: str =
 
 
 def _carry(pieces: DataFrame, pairs: DataFrame, piece: str) -> DataFrame:
-    """Join hits back to records by piece; a piece most records hold is spread over salts."""
-    key = [c for c in pieces.columns if c != piece][0]
-    salted = pieces.withColumn("_salt", F.pmod(F.xxhash64(key), F.lit(SALTS)).cast("int"))
-    spread = pairs.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return salted.join(spread, [piece, "_salt"]).drop("_salt")
+    """Join hits back to records by piece.
+
+    A piece that most records hold makes a skewed join.  Both sides come
+    straight from a shuffle and the next step shuffles again, so adaptive
+    execution may cut the hot partition of ``pieces`` into many tasks; salting
+    here would instead repeat the whole hit table for every salt.
+    """
+    return pieces.join(pairs, piece)
 
 
 def token_counts(records: DataFrame, queries: DataFrame, key: str = "ordinal", text: str = "_blob", query: str = "query") -> DataFrame:
@@ -76,9 +78,7 @@ def token_counts(records: DataFrame, queries: DataFrame, key: str = "ordinal", t
     pieces = records.select(key, F.explode(words(text)).alias("_piece"))
     pairs = containment_pairs(pieces, "_piece", asked, "token")
     found = _carry(pieces, pairs, "_piece").select(key, "token").distinct()
-    salted = found.withColumn("_salt", F.pmod(F.xxhash64(key), F.lit(SALTS)).cast("int"))
-    spread = asked.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return salted.join(spread, ["token", "_salt"]).groupBy("query_id", key).agg(F.count(F.lit(1)).alias("hits"))
+    return found.join(asked, "token").groupBy("query_id", key).agg(F.count(F.lit(1)).alias("hits"))
 
 
 def _listed(queries: DataFrame, name: str) -> Column:
@@ -211,12 +211,6 @@ def explain_matches(best: DataFrame, index: DataFrame, queries: DataFrame, key:
     return score_index(rows)
 
 
-def _salted(records: DataFrame, small: DataFrame, on: str, key: str) -> DataFrame:
-    left = records.withColumn("_salt", F.pmod(F.xxhash64(key), F.lit(SALTS)).cast("int"))
-    right = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return left.join(right, [on, "_salt"]).drop("_salt")
-
-
 def _field_hits(index: DataFrame, wanted: DataFrame, field: Column, key: str, points: int, per_query: bool = False) -> DataFrame:
     """(query_id, key) pairs whose field holds the wanted value.  Values meet on
     the distinct field values, then return to the records by field value."""
@@ -226,7 +220,7 @@ def _field_hits(index: DataFrame, wanted: DataFrame, field: Column, key: str, po
         valued = pieces
     pairs = containment_pairs(valued.where("_field <> ''"), "_field", wanted, "_want")
     named = pairs.join(wanted, "_want").select("_field", "query_id").distinct()
-    found = _salted(valued, named, "_field", key).select("query_id", key)
+    found = valued.join(named, "_field").select("query_id", key)
     if per_query:
         found = found.distinct()
     return found.select("query_id", key, F.lit(0).cast("bigint").alias("hits"), F.lit(points).alias("points"))

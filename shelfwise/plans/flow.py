@@ -13,7 +13,7 @@ from ..operators.details import attach_details, related_details
 from ..operators.filters import filter_by_tags
 from ..operators.intents import RequestLexicon, parse_intents, plan_tasks, ranking_profile
 from ..operators.library import classify_library, index_outcomes, index_upsert, library_paths
-from ..operators.ranking import complete_intents, pair, score, select_options, selection_summary
+from ..operators.ranking import complete_intents, score_for, select_options, selection_summary
 from ..operators.rollups import ambiguous_dimensions, facet_counts
 from ..operators.sets import source_first
 
@@ -45,7 +45,7 @@ def request_flow(
     """(options, per-request summary) from assigned candidates of three sources."""
     merged = source_first(local, site, web, enough_local, enough)
     analysed = analyze(merged, files, **(analysis or {}))
-    scored = score(pair(analysed, complete_intents(intents)), **(scoring or {}))
+    scored = score_for(analysed, complete_intents(intents), **(scoring or {}))
     return select_options(scored, k, include_low), selection_summary(scored, k, include_low)
 
 
