@@ -15,8 +15,12 @@ from shelfwise.sources.readers import read_table
 from . import sqltext as S
 
 
+# Tables that grow and that the checks do much work per row on.
+LARGE = ("documents", "pages", "lineitem", "events", "conversations")
+
+
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return read_table(spark, f"{sf}/{name}.parquet")
+    return read_table(spark, f"{sf}/{name}.parquet", spread=name in LARGE)
 
 
 # ---------------------------------------------------------------- documents as candidates

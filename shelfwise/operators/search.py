@@ -40,14 +40,19 @@ def record_text(index: DataFrame) -> Column:
 
 
 def _grams(value: Column) -> Column:
-    """Distinct parts of one, two and three characters."""
-    return F.array_distinct(F.concat(*[parts_of(value, n) for n in (1, 2, 3)]))
+    """Distinct parts of one, two, three and five characters."""
+    return F.array_distinct(F.concat(*[parts_of(value, n) for n in (1, 2, 3, 5)]))
+
+
+def _anchor(value: Column) -> Column:
+    """The first five characters of a needle, or what it has up to three."""
+    return F.when(F.length(value) >= 5, F.substring(value, 1, 5)).otherwise(F.substring(value, 1, 3))
 
 
 def containment_pairs(pieces: DataFrame, piece: str, needles: DataFrame, needle: str) -> DataFrame:
     """(piece, needle) for every distinct needle that is part of a distinct piece."""
     left = pieces.select(piece).distinct().withColumn("_gram", F.explode(_grams(F.col(piece))))
-    right = needles.select(needle).distinct().withColumn("_gram", F.substring(needle, 1, 3))
+    right = needles.select(needle).distinct().withColumn("_gram", _anchor(F.col(needle)))
     met = left.join(right, "_gram").where(F.contains(F.col(piece), F.col(needle)))
     return met.select(piece, needle)
 

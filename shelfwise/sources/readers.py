@@ -145,19 +145,16 @@ def extract_items(
     return firsts.select(*keys, "item_path", "item_id", "item_title", "item")
 
 
-MIN_SPREAD_BYTES = 1 << 20
+def read_table(spark: SparkSession, path: str, spread: bool = False) -> DataFrame:
+    """A Parquet table.
 
-
-def read_table(spark: SparkSession, path: str) -> DataFrame:
-    """A Parquet table.  One large file with one row group would be read by a
-    single task; when a scan of at least 1 MiB has fewer tasks than there are
-    cores its rows are spread out.  Tables of many files are left as they are."""
+    One file with one row group is read by a single task.  ``spread`` deals the
+    rows of such a table out to all cores; a table whose scan already has a task
+    per core, which is any table of many files, is left as it is.
+    """
     df = spark.read.parquet(path)
-    plan = df._jdf.queryExecution()
-    if int(str(plan.optimizedPlan().stats().sizeInBytes())) < MIN_SPREAD_BYTES:
-        return df
     cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores) if plan.toRdd().getNumPartitions() < cores else df
+    return df.repartition(cores) if spread and df.rdd.getNumPartitions() < cores else df
 
 
 def _load_table(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
