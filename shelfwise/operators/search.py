@@ -185,12 +185,12 @@ def search_index(
             sources.append(_field_hits(blobbed, wanted, F.lower(field), key, value))
     if "resource_types" in queries.columns:
         wanted = queries.select("query_id", F.explode("resource_types").alias("_want")).select("query_id", F.lower("_want").alias("_want"))
-        sources.append(_field_hits(blobbed, wanted, F.concat_ws(" ", F.lower("resource_type"), "_blob"), key, 10, per_query=True))
+        sources.append(_field_hits(blobbed, wanted, F.concat_ws(" ", F.lower("resource_type"), "_blob"), key, 10, in_words=True))
     if "format_preferences" in queries.columns:
         named = queries.select("query_id", F.explode("format_preferences").alias("_name"))
         wanted = named.select("query_id", F.explode(format_family(F.col("_name"))).alias("_want"))
         plain = F.replace(F.lower("format"), F.lit("/"), F.lit(""))
-        sources.append(_field_hits(blobbed, wanted, plain, key, 8, per_query=True))
+        sources.append(_field_hits(blobbed, wanted, plain, key, 8, in_words=True))
     pairs = reduce(lambda a, b: a.unionByName(b), sources)
     summed = pairs.groupBy("query_id", key).agg(F.sum("hits").alias("hits"), F.sum("points").alias("points"))
     rated = blobbed.select(key, "classification_confidence", "file_exists", "needs_review")
@@ -216,18 +216,24 @@ def explain_matches(best: DataFrame, index: DataFrame, queries: DataFrame, key:
     return score_index(rows)
 
 
-def _field_hits(index: DataFrame, wanted: DataFrame, field: Column, key: str, points: int, per_query: bool = False) -> DataFrame:
-    """(query_id, key) pairs whose field holds the wanted value.  Values meet on
-    the distinct field values, then return to the records by field value."""
+def _field_hits(index: DataFrame, wanted: DataFrame, field: Column, key: str, points: int, in_words: bool = False) -> DataFrame:
+    """(query_id, key) pairs whose field holds the wanted value, each pair once.
+
+    Values meet on the distinct field values and return to the records by field
+    value.  ``in_words`` does so by the pieces of a long text: a wanted phrase of
+    several pieces is found by its first one and then looked for in the text.
+    """
     valued = index.select(key, field.alias("_field"))
-    if per_query:
-        pieces = valued.select(key, F.explode(words("_field")).alias("_field"))
-        valued = pieces
-    pairs = containment_pairs(valued.where("_field <> ''"), "_field", wanted, "_want")
-    named = pairs.join(wanted, "_want").select("_field", "query_id").distinct()
-    found = valued.join(named, "_field").select("query_id", key)
-    if per_query:
-        found = found.distinct()
+    if not in_words:
+        pairs = containment_pairs(valued.where("_field <> ''"), "_field", wanted, "_want")
+        named = pairs.join(wanted, "_want").select("_field", "query_id").distinct()
+        found = valued.join(named, "_field").select("query_id", key)
+    else:
+        asked = wanted.where("_want <> ''").distinct().withColumn("_first", F.coalesce(F.get(words("_want"), F.lit(0)), F.col("_want")))
+        pieces = valued.select(key, F.explode(words("_field")).alias("_piece"))
+        pairs = containment_pairs(pieces, "_piece", asked, "_first")
+        named = pairs.join(asked, "_first").select("_piece", "query_id", "_want", (F.col("_first") == F.col("_want")).alias("_whole"))
+        met = _carry(pieces, named, "_piece").select("query_id", key, "_want", "_whole").distinct()
+        phrases = met.where("not _whole").join(valued, key).where(F.contains("_field", F.col("_want")))
+        found = met.where("_whole").select("query_id", key).unionByName(phrases.select("query_id", key)).distinct()
     return found.select("query_id", key, F.lit(0).cast("bigint").alias("hits"), F.lit(points).alias("points"))
-
-

@@ -157,6 +157,25 @@ def read_table(spark: SparkSession, path: str, spread: bool = False) -> DataFram
     return df.repartition(cores) if spread and df.rdd.getNumPartitions() < cores else df
 
 
+def load_lexicon(rows: DataFrame, max_terms: int = 10_000) -> dict[str, list[tuple[str, list[str]]]]:
+    """Term lists from rows (lexicon, ordinal, label, term), as ordered rules per lexicon.
+
+    Term lists are parameters of a plan, so they come to the driver; their
+    number is checked first.  Larger tables go to ``operators.search.term_hits``.
+    """
+    found = rows.select("lexicon", "ordinal", "label", "term").limit(max_terms + 1).collect()
+    if len(found) > max_terms:
+        raise ValueError(f"more than {max_terms} terms; use operators.search.term_hits")
+    out: dict[str, list[tuple[str, list[str]]]] = {}
+    for row in sorted(found, key=lambda r: r["ordinal"]):
+        rules = out.setdefault(row["lexicon"], [])
+        label = row["label"] or ""
+        if not rules or rules[-1][0] != label:
+            rules.append((label, []))
+        rules[-1][1].append(row["term"])
+    return out
+
+
 def _load_table(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     try:
         found = spark.read.parquet(path)

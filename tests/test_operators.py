@@ -183,7 +183,7 @@ def test_search_equals_brute_force(spark):
                 random.choice(["小学", "学前"]), random.choice(["数学", "语文"]), round(random.random(), 2), random.random() < 0.2, random.random() < 0.8) for i in range(60)]
     index = spark.createDataFrame(records, "ordinal bigint, title string, format string, resource_type string, library_file string, stage_or_age string, "
                                            "domain_or_subject string, classification_confidence double, needs_review boolean, file_exists boolean")
-    asked = [(1, "数学练习 pdf", "小学", None, ["习题"], ["PDF"]), (2, "唐诗宋词 b", None, "语文", None, ["音频"]), (3, "nothing-here", None, None, None, None)]
+    asked = [(1, "数学练习 pdf", "小学", None, ["习题", "xyz pdf", "数学 abc"], ["PDF"]), (2, "唐诗宋词 b", None, "语文", ["b 语文", "abc b"], ["音频"]), (3, "nothing-here", None, None, None, None)]
     queries = spark.createDataFrame(asked, "query_id int, query string, stage string, subject string, resource_types array<string>, format_preferences array<string>")
     every = H.score_index(index.crossJoin(queries)).where("match_score >= 8 and size(match_reasons) > 0")
     order = Window.partitionBy("query_id").orderBy(F.desc("match_score"), "ordinal")
@@ -500,3 +500,47 @@ def test_download_and_summary_rows(spark):
     assert (got["title"], got["format"], got["stage"], got["local_file"], got["size"]) == ("T", "pdf", "s", "f/x", 3)
     q = spark.range(1).select(C.build_query({"learner_age": "8", "grade": "三年级", "core_topic": "四则", "resource_types": ["习题", "四则"]}, printable=True)).first()[0]
     assert q == "8岁 三年级 四则 习题 可打印"
+
+
+def test_small_helpers(spark):
+    df = spark.createDataFrame([(1, "a/x.pdf"), (2, "a/x.pdf"), (3, "a/y"), (4, "a/x.pdf"), (5, "a/y")], "ordinal bigint, path string")
+    assert rows(B.unique_paths(df, block=2)) == [(1, "a/x.pdf"), (2, "a/x_2.pdf"), (3, "a/y"), (4, "a/x_3.pdf"), (5, "a/y_2")]
+    many = spark.range(30).select(F.col("id").alias("ordinal"), (F.col("id") % 2).alias("g"))
+    assert D.detail_options(many).count() == 12 and D.detail_options(many, ["g"], 3).count() == 6
+    assert rows(Z.gate_by_count(many.withColumnRenamed("g", "intent_id"), 15), "n", "enough") == [(15, True), (15, True)]
+    urls = R.attempt_urls(F.lit("u1"), F.array(F.lit("u2"), F.lit("u1")), F.lit(None).cast("string"), F.lit("u3"))
+    assert spark.range(1).select(urls).first()[0] == ["u1", "u2", "u3"]
+    profiles = spark.createDataFrame([("generic_extract",), ("dedicated_source_skill",), ("reject",)], "crawl_strategy string")
+    assert V.profile_summary(profiles).first().asDict() == {"profiled": 3, "dedicated_source_recommended": 1, "generic_extract_recommended": 1}
+    levels = spark.createDataFrame([("high",), ("low",), ("reject",)], "quality_level string")
+    assert X.visible_levels(levels).count() == 1 and X.visible_levels(levels, include_low=True).count() == 2
+    assert rows(R.status_counts(levels, "quality_level"), "value", "n") == [("high", 1), ("low", 1), ("reject", 1)]
+
+
+def test_index_candidates_drop_placeholders(spark):
+    df = spark.sql("""select 'k' as resource_key, '' as title, 'pdf' as format, '习题' as resource_type, 'u' as source_url, 'lib/a/题.pdf' as library_file, '未分学段' as stage_or_age,
+      '三年级' as grade_or_phase, '综合' as domain_or_subject, '未分主题' as topic_or_type, '人教版' as source_or_version, 0.8D as classification_confidence, 36.5D as match_score, true as file_exists""")
+    got = C.index_candidates(df).first()
+    assert (got["title"], got["stage"], got["grade"], got["subject"], got["topic"], got["version"]) == ("题", None, "三年级", None, None, "人教版")
+    # 0.35 + 0.25 + 0.35 * 0.8 + 0.05
+    assert got["metadata_confidence"] == 0.93 and got["description"].endswith("36.5")
+
+
+def test_term_table_equals_literal_hits(spark):
+    from shelfwise.functions.match import hits
+
+    docs = spark.createDataFrame([(1, "The thing, ring"), (2, "数学练习题"), (3, "")], "k int, t string")
+    terms = ["thing", "in", "学练", "ring", "z"]
+    want = sorted((r["k"], h) for r in docs.select("k", hits(F.lower("t"), terms).alias("h")).collect() for h in r["h"])
+    table = spark.createDataFrame([(t,) for t in terms], "term string")
+    assert rows(H.term_hits(docs, "k", "t", table)) == want
+
+
+def test_lexicon_rows(spark):
+    from shelfwise.sources.readers import load_lexicon
+
+    df = spark.createDataFrame([("subject", 2, "语文", "拼音"), ("subject", 1, "数学", "四则"), ("subject", 3, "语文", "识字"), ("risk", 1, None, "破解")],
+                               "lexicon string, ordinal int, label string, term string")
+    assert load_lexicon(df) == {"subject": [("数学", ["四则"]), ("语文", ["拼音", "识字"])], "risk": [("", ["破解"])]}
+    with pytest.raises(ValueError):
+        load_lexicon(df, max_terms=3)
