@@ -7,6 +7,22 @@ takes its lists as parameters, so the same code runs with other languages.
 
 from __future__ import annotations
 
+# ---------------------------------------------------------------- fixed values: names in published records
+WEB_SOURCE = "web-learning-search"
+LINK_SOURCE = "generic-web-source"
+LOCAL_SOURCE = "local-library-search"
+WEB_SOURCE_NAME = "网页搜索"
+LINK_SOURCE_NAME = "通用网页来源"
+LOCAL_SOURCE_NAME = "本地学习资料库"
+LOCAL_PROVIDER = "本地资料库"
+UNTITLED_LINK = "未命名资源"
+NEXT_ROUTES = "route-map"
+NEXT_DETAILS = "candidates-from-detail"
+NEXT_SEARCH = "search-resources"
+NEXT_ANALYSIS = "learning-resource-analyzer"
+NEXT_DEEPER = "profile_deeper"
+TEXTBOOK_COMMAND = "textbook-candidates"
+
 # ---------------------------------------------------------------- fixed values: search results
 WEB_RISK_TERMS = ["下载器", "高速下载", "破解", "破解版", "成人", "博彩", "贷款", "注册机"]
 OFFICIAL_HINTS = ["edu.cn", "gov.cn", "moe.gov.cn", "smartedu.cn", "cbern.com.cn", "人民教育出版社", "出版社"]
@@ -219,6 +235,9 @@ TAG_DIMENSIONS = {"zxxxd": "stage", "zxxxk": "subject", "zxxnj": "grade", "zxxbb
 SITE_URL = "https://basic.smartedu.cn/"
 SITE_NAME = "国家中小学智慧教育平台"
 SITE_SOURCE = "smartedu-resources"
+SITE_UNTITLED = "SmartEdu 资源"
+SITE_SEARCH_PREFIX = "smartedu-search:"
+SITE_AUTH_WARNING = "可能需要 SmartEdu 登录授权"
 DETAIL_FOLDER = "https://{server}.ykt.cbern.com.cn/zxx/ndrv2/"
 FILE_SERVERS = ["s-file-1", "s-file-2", "s-file-3"]
 PRIVATE_HOST = "https://r1-ndr-private.ykt.cbern.com.cn"

@@ -33,7 +33,7 @@ from . import details as D
 from .grouping import first_of
 
 Filters = Mapping[str, object] | None
-UNTITLED = "未命名资源"
+UNTITLED = L.UNTITLED_LINK
 
 
 def load_search_results(df: DataFrame, strict: bool = False) -> DataFrame:
@@ -75,8 +75,8 @@ def web_candidates(
     )
     return typed.withColumns(
         {
-            "source": F.lit("web-learning-search"),
-            "source_name": F.coalesce(blank_to_null("_host"), F.lit("网页搜索")),
+            "source": F.lit(L.WEB_SOURCE),
+            "source_name": F.coalesce(blank_to_null("_host"), F.lit(L.WEB_SOURCE_NAME)),
             "source_url": F.col("url"),
             "resource_id": stable_id("url"),
             "description": F.col("snippet"),
@@ -163,8 +163,8 @@ def link_candidates(
     return typed.select(
         *keys,
         ordinal,
-        F.lit("generic-web-source").alias("source"),
-        F.coalesce(blank_to_null("_host"), F.lit("通用网页来源")).alias("source_name"),
+        F.lit(L.LINK_SOURCE).alias("source"),
+        F.coalesce(blank_to_null("_host"), F.lit(L.LINK_SOURCE_NAME)).alias("source_name"),
         F.col("_url").alias("source_url"),
         stable_id("_url").alias("resource_id"),
         "title",
@@ -292,7 +292,7 @@ def item_candidates(items: DataFrame, query: Column | str = "", filters: Filters
     page = D.detail_page(
         F.col("_id"), F.col("_catalog"), F.col("_sub_catalog"), F.col("_page_content_type"), F.col("_page")
     )
-    title = F.coalesce(blank_to_null(clean_inline("_title")), F.lit(f"{L.SITE_NAME} 资源"))
+    title = F.coalesce(blank_to_null(clean_inline("_title")), F.lit(L.SITE_UNTITLED))
     paged = let(named, {"source_url": page, "title": title})
     formatted = let(
         paged, {"format": item_format(F.coalesce(F.col("_format"), extra_format), F.col("source_url"), clean_inline("_title"))}
@@ -308,7 +308,7 @@ def item_candidates(items: DataFrame, query: Column | str = "", filters: Filters
             "source": F.lit(L.SITE_SOURCE),
             "source_name": F.lit(L.SITE_NAME),
             "resource_id": F.concat(
-                F.lit("search:"), F.coalesce(F.col("_id"), stable_id(F.concat("title", "source_url")))
+                F.lit(L.SITE_SEARCH_PREFIX), F.coalesce(F.col("_id"), stable_id(F.concat("title", "source_url")))
             ),
             "description": clean_inline("_description"),
             "resource_type": F.coalesce(
@@ -372,7 +372,21 @@ def detail_candidates(details: DataFrame, filters: Filters = None, key: Sequence
     ``details`` is the output of ``related_details``: key, resource ``id``,
     ``title`` and the other resource fields, and ``ti_items``.
     """
-    rows = details.select("*", F.posexplode("ti_items").alias("_pos", "_item"))
+    # what all files of a resource share is found before they are opened
+    tags = let(
+        details,
+        {
+            "_tags": F.transform(
+                "tag_list", lambda t: F.struct(t["tag_dimension_id"].alias("dimension"), t["tag_name"].alias("title"))
+            )
+        },
+    )
+    shared = let(
+        tags,
+        {f"_{n}": D.tag_value(F.col("_tags"), n) for n in L.TAG_DIMENSIONS.values()}
+        | {"_provider": D.provider_name("provider_list")},
+    )
+    rows = shared.select("*", F.posexplode("ti_items").alias("_pos", "_item"))
     rows = let(rows, {"url_candidates": D.storage_urls(F.col("_item.ti_storage"), F.col("_item.ti_storages"))})
     linked = let(rows, {"source_url": F.get("url_candidates", F.lit(0))}).where(F.col("source_url").isNotNull())
     declared = F.coalesce(blank_to_null("_item.ti_format"), F.col("_item.lc_ti_format"))
@@ -381,8 +395,7 @@ def detail_candidates(details: DataFrame, filters: Filters = None, key: Sequence
     )
     index = F.col("_pos") + 1
     auth = D.requires_auth(F.col("_item.identification"), F.col("url_candidates"))
-    tags = F.transform("tag_list", lambda t: F.struct(t["tag_dimension_id"].alias("dimension"), t["tag_name"].alias("title")))
-    tagged = let(usable, {f"_{n}": D.tag_value(tags, n) for n in L.TAG_DIMENSIONS.values()} | {"_auth": auth})
+    tagged = let(usable, {"_auth": auth})
     out = tagged.select(
         *key,
         index.cast("bigint").alias("item_index"),
@@ -408,7 +421,7 @@ def detail_candidates(details: DataFrame, filters: Filters = None, key: Sequence
         ],
         F.coalesce(blank_to_null("_subject"), filter_col(filters, "learning_domain")).alias("learning_domain"),
         filter_col(filters, "core_topic", "topic").alias("topic"),
-        D.provider_name("provider_list").alias("provider"),
+        F.col("_provider").alias("provider"),
         F.lit(True).alias("official"),
         F.lit(True).alias("downloadable"),
         F.col("_auth").alias("requires_auth"),
@@ -419,7 +432,7 @@ def detail_candidates(details: DataFrame, filters: Filters = None, key: Sequence
         )
         .try_cast("long")
         .alias("size"),
-        F.when(F.col("_auth"), F.array(F.lit("可能需要登录授权")))
+        F.when(F.col("_auth"), F.array(F.lit(L.SITE_AUTH_WARNING)))
         .otherwise(F.array().cast("array<string>"))
         .alias("source_warnings"),
         "url_candidates",
@@ -490,8 +503,8 @@ def index_candidates(matches: DataFrame) -> DataFrame:
     domain = unless("domain_or_subject", "subject")
     return matches.select(
         *passed,
-        F.lit("local-library-search").alias("source"),
-        F.lit("本地学习资料库").alias("source_name"),
+        F.lit(L.LOCAL_SOURCE).alias("source"),
+        F.lit(L.LOCAL_SOURCE_NAME).alias("source_name"),
         F.coalesce("source_url", F.lit("")).alias("source_url"),
         F.coalesce(blank_to_null("resource_key"), stable_id("library_file")).alias("resource_id"),
         F.coalesce(blank_to_null("title"), stem).alias("title"),
@@ -505,7 +518,7 @@ def index_candidates(matches: DataFrame) -> DataFrame:
         unless("source_or_version", "version").alias("version"),
         F.lit(None).cast("string").alias("volume"),
         unless("topic_or_type", "topic").alias("topic"),
-        F.coalesce(blank_to_null("source_or_version"), F.lit("本地资料库")).alias("provider"),
+        F.coalesce(blank_to_null("source_or_version"), F.lit(L.LOCAL_PROVIDER)).alias("provider"),
         F.lit(False).alias("official"),
         F.lit(True).alias("downloadable"),
         F.lit(False).alias("requires_auth"),

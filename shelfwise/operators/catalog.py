@@ -117,8 +117,8 @@ def route_for_catalog(rows: DataFrame) -> DataFrame:
         .when(sub != "", F.concat(F.lit(L.SITE_URL), quote(catalog), F.lit("?subCatalog="), quote(sub)))
         .otherwise(F.concat(F.lit(L.SITE_URL), quote(catalog)))
     )
-    commands = F.when(inner, F.array(F.lit("textbook-candidates"))).otherwise(
-        F.array(F.lit("search-resources"), F.lit("candidates-from-detail"))
+    commands = F.when(inner, F.array(F.lit(L.TEXTBOOK_COMMAND))).otherwise(
+        F.array(F.lit(L.NEXT_SEARCH), F.lit(L.NEXT_DETAILS))
     )
     templates = F.array(
         *[

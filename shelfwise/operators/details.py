@@ -196,7 +196,7 @@ def candidate_title(title: Column, alternate: Column, flag: Column, fmt: Column,
         F.struct(both.alias("both"), named.alias("named")),
         lambda t: F.when(t["named"].isNotNull(), F.concat(t["both"], F.lit(" - "), t["named"]))
         .when(t["both"] != "", t["both"])
-        .otherwise(F.coalesce(resource_id, F.lit(f"{L.SITE_NAME} 资源"))),
+        .otherwise(F.coalesce(resource_id, F.lit(L.SITE_UNTITLED))),
     )
 
 

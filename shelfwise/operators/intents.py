@@ -281,14 +281,14 @@ def plan_tasks(intents: DataFrame, lex: RequestLexicon | None = None, query: str
     first = F.when(
         F.col("_local"),
         task(
-            F.lit("task_000"), "local_search", "local-library-search", F.lit(1),
+            F.lit("task_000"), "local_search", L.LOCAL_SOURCE, F.lit(1),
             F.concat(base, F.lit(f" {lex.local_suffix}")), F.lit(False), "never",
         ),
     )
     after = F.col("_local").cast("int")
     second = task(
         F.when(F.col("_local"), F.lit("task_002")).otherwise(F.lit("task_001")),
-        "source_search", "web-learning-search", after + 1, web_query, F.col("_print"), "after_user_selection",
+        "source_search", L.WEB_SOURCE, after + 1, web_query, F.col("_print"), "after_user_selection",
     )
     exploded = based.withColumn("task", F.explode(F.array_compact(F.array(first, second))))
     return exploded.withColumn("age_fit_required", F.col("learner_age").isNotNull() | F.col("grade").isNotNull()).drop(

@@ -236,13 +236,13 @@ def next_actions(api: Column, n_detail: Column, n_links: Column) -> Column:
 
     steps = compact(
         [
-            F.when(named("librarylist"), F.lit("route-map")),
-            F.when(n_detail > 0, F.lit("candidates-from-detail")),
-            F.when(named("search", "aggregate", "combine"), F.lit("search-resources")),
-            F.when(n_links > 0, F.lit("learning-resource-analyzer")),
+            F.when(named("librarylist"), F.lit(L.NEXT_ROUTES)),
+            F.when(n_detail > 0, F.lit(L.NEXT_DETAILS)),
+            F.when(named("search", "aggregate", "combine"), F.lit(L.NEXT_SEARCH)),
+            F.when(n_links > 0, F.lit(L.NEXT_ANALYSIS)),
         ]
     )
-    return F.when(F.size(steps) > 0, steps).otherwise(F.array(F.lit("profile_deeper")))
+    return F.when(F.size(steps) > 0, steps).otherwise(F.array(F.lit(L.NEXT_DEEPER)))
 
 
 def page_profile(pages: DataFrame, url: str = "url", html: str = "html", terms: Sequence[str] = L.SITE_API_TERMS) -> DataFrame:
