@@ -222,10 +222,10 @@ def extraction_summary(profiles: DataFrame, candidates: DataFrame, include_non_g
     seen = profiles.agg(
         F.count(F.lit(1)).alias("profiles"),
         F.coalesce(F.sum(F.when(usable, links)), F.lit(0)).alias("links_seen"),
+        F.lit(0).cast("bigint").alias("candidates"),
         F.coalesce(F.sum(F.when(~usable, F.greatest(links, F.lit(1)))), F.lit(0)).alias("unused"),
     )
-    made = candidates.agg(F.count(F.lit(1)).alias("candidates"))
-    return seen.join(made, F.lit(True)).select(
+    return _with_candidates(seen, candidates).select(
         "profiles",
         "links_seen",
         "candidates",
@@ -233,6 +233,14 @@ def extraction_summary(profiles: DataFrame, candidates: DataFrame, include_non_g
     )
 
 
+def _with_candidates(totals: DataFrame, candidates: DataFrame) -> DataFrame:
+    """One row of totals with the number of candidates added to its zero column."""
+    zero = F.lit(0).cast("bigint")
+    made = candidates.agg(F.count(F.lit(1)).alias("candidates"))
+    made = made.select(*[F.col(c) if c == "candidates" else zero.alias(c) for c in totals.columns])
+    return totals.union(made).agg(*[F.sum(c).cast("bigint").alias(c) for c in totals.columns])
+
+
 ITEM_ALIASES = {
     # Field names of search items, in the order they are tried.
     "id": ["id", "resource_id", "resourceId", "content_id", "contentId", "course_id", "courseId"],
@@ -444,9 +452,11 @@ def detail_candidates(details: DataFrame, filters: Filters = None, key: Sequence
 
 def detail_counts(details: DataFrame, candidates: DataFrame) -> DataFrame:
     """File items seen and skipped over all resources, one row."""
-    seen = details.agg(F.coalesce(F.sum(F.size("ti_items")), F.lit(0)).cast("bigint").alias("items_seen"))
-    made = candidates.agg(F.count(F.lit(1)).alias("candidates"))
-    return seen.join(made, F.lit(True)).select(
+    seen = details.agg(
+        F.coalesce(F.sum(F.size("ti_items")), F.lit(0)).cast("bigint").alias("items_seen"),
+        F.lit(0).cast("bigint").alias("candidates"),
+    )
+    return _with_candidates(seen, candidates).select(
         "items_seen", "candidates", (F.col("items_seen") - F.col("candidates")).alias("skipped")
     )
 
