@@ -5,10 +5,12 @@ import os
 import pytest
 
 import __spark_entry__ as entry
+from checks import ALL
 from checks.compare import compare, duck
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-QUERIES, SQL = entry.queries(), entry.oracle_sql()
+QUERIES = {name: query for module in ALL for name, query in module.QUERIES.items()}
+SQL = {name: sql for module in ALL for name, sql in module.ORACLE.items()}
 
 
 @pytest.fixture(scope="module")
@@ -29,3 +31,5 @@ def test_entry_runs(spark):
 
 def test_no_orphan_sql():
     assert set(SQL) <= set(QUERIES)
+    assert set(QUERIES) <= set(entry.queries())
+    assert set(entry.oracle_sql()) <= set(entry.queries())
