@@ -43,7 +43,8 @@ CROWD = 16
 MAX_ROUNDS = 6
 #: A set of fewer shingles than this links with equal sets only.
 LEAST = 9
-SETS = "ordinal long, text_key long, n int, node long, prefix array<long>"
+SETS = "ordinal long, text_key long, n int, node long, prefix array<long>, parts array<int>"
+FILTER_BITS = 23
 
 
 def _count_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -96,26 +97,30 @@ def _keyed(candidates: DataFrame) -> DataFrame:
 
 
 def _sets_with_prefixes(candidates: DataFrame, counts: np.ndarray) -> DataFrame:
-    """Per candidate its set's size, key and rare-first prefix; a task gives each key's prefix once."""
+    """Per candidate its set's size and key; the rare-first prefix, and the number of shingles in each range of the
+    hash, a task gives once for each key."""
     shared = candidates.sparkSession.sparkContext.broadcast(counts)
     shift = np.uint64(64 - ORDER_BITS)
+    to_part = np.uint64(64 - PARTS.bit_length() + 1)
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         order = shared.value
         for batch in batches:
             for first, texts in by_bytes(batch.column("text")):
-                sizes, nodes, prefixes = [], [], []
+                sizes, nodes, prefixes, parts = [], [], [], []
                 for s in shingle_sets(texts):
                     node = set_key(s)
                     sizes.append(len(s))
                     nodes.append(node if len(s) else None)
                     if len(s) < LEAST or node in seen:
                         prefixes.append(None)
+                        parts.append(None)
                         continue
                     seen.add(node)
                     rare = np.argsort(order[(s >> shift).astype(np.int64)], kind="stable")  # ties: by hash, as s is sorted
                     prefixes.append(s[rare[: probe_length(len(s))]].view(np.int64))
+                    parts.append(np.bincount((s >> to_part).astype(np.int64), minlength=PARTS).astype(np.int32))
                 cut = slice(first, first + len(texts))
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -124,8 +129,9 @@ def _sets_with_prefixes(candidates: DataFrame, counts: np.ndarray) -> DataFrame:
                         pa.array(sizes, pa.int32()),
                         pa.array(nodes, pa.int64()),
                         pa.array(prefixes, pa.list_(pa.int64())),
+                        pa.array(parts, pa.list_(pa.int32())),
                     ],
-                    ["ordinal", "text_key", "n", "node", "prefix"],
+                    ["ordinal", "text_key", "n", "node", "prefix", "parts"],
                 )
 
     return _keyed(candidates).select("ordinal", "text_key", "text").mapInArrow(build, SETS)
@@ -207,16 +213,20 @@ def _all_pairs(postings: DataFrame) -> DataFrame:
     return kept.select("a", "b").distinct()
 
 
-def _crowd_pairs(postings: DataFrame, crowded: DataFrame, sets: DataFrame, whole: DataFrame) -> DataFrame:
+def _some(sets: DataFrame, nodes: DataFrame, *columns: str) -> DataFrame:
+    """One row with the columns of each of the given nodes (``node``)."""
+    rows = sets.where("prefix is not null").select("node", *columns)
+    return rows.join(nodes, "node", "left_semi").dropDuplicates(["node"])
+
+
+def _crowd_pairs(postings: DataFrame, crowded: DataFrame, sets: DataFrame) -> DataFrame:
     """Every pair of different groups at crowded tokens that the filters leave, each at one token.
 
     One side holds no node of the token's largest group, so that group is met by others only.
     """
     dense = postings.join(crowded, "token")
-    prefixes = sets.where("prefix is not null").select("node", "prefix")
-    prefixes = prefixes.join(dense.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
-    parts = whole.select("node", "parts")
-    dense = written(dense.join(prefixes.join(parts, "node"), "node"), "crowd-postings")
+    facts = _some(sets, dense.select("node").distinct(), "prefix", "parts")
+    dense = written(dense.join(facts, "node"), "crowd-postings")
 
     def side(name: str) -> DataFrame:
         return dense.select("token", *[F.col(c).alias(f"{c}_{name}") for c in ("node", "n", "label", "prefix", "parts", "top")])
@@ -240,13 +250,20 @@ def _parts_overlap() -> Column:
     return F.aggregate(smaller, F.lit(0), lambda s, x: s + x)
 
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs that link: suffix filter on the parts' sizes, then the overlap of the whole sets."""
-    parts = sets.select("node", "n", "parts")
-    a = parts.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("parts").alias("parts_a"))
-    b = parts.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("parts").alias("parts_b"))
-    near = pairs.join(a, "a").join(b, "b").where(_parts_overlap() >= _needed(F.col("n_a"), F.col("n_b"))).select("a", "b", "n_a", "n_b")
-    whole = sets.select("node", "shingles")
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+
+
+def _near(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs that the suffix filter leaves, each once, with both sizes."""
+    facts = written(_some(sets, _ends(pairs), "n", "parts"), "pair-parts")
+    for side in "ab":
+        pairs = pairs.join(facts.select(*[F.col(c).alias(side if c == "node" else f"{c}_{side}") for c in facts.columns]), side)
+    return written(pairs.where(_parts_overlap() >= _needed(F.col("n_a"), F.col("n_b"))).select("a", "b", "n_a", "n_b"), "near")
+
+
+def _verified(near: DataFrame, whole: DataFrame) -> DataFrame:
+    """Pairs whose whole sets overlap enough."""
     both = near.join(whole.select(F.col("node").alias("a"), F.col("shingles").alias("set_a")), "a").join(
         whole.select(F.col("node").alias("b"), F.col("shingles").alias("set_b")), "b"
     )
@@ -254,56 +271,77 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.where(overlap >= _needed(F.col("n_a"), F.col("n_b"))).select("a", "b")
 
 
-def _whole_sets(candidates: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``node``, ``n``, ``shingles`` and ``parts`` (how many fall in each range of the hash) of the wanted nodes."""
+def _likely(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows whose (ordinal, text_key) may be among the wanted ones: a bit filter of 2**FILTER_BITS bits, whatever
+    their number, so that texts nobody asks for are not shuffled."""
+    bit = F.pmod(F.xxhash64("ordinal", "text_key"), F.lit(1 << FILTER_BITS))
+    words = wanted.select(bit.alias("bit")).groupBy(F.shiftright("bit", 6).alias("word")).agg(
+        F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("bit") % 64).cast("int"))).alias("bits")
+    )
+    table = np.zeros(1 << (FILTER_BITS - 6), dtype=np.int64)
+    for row in words.collect():
+        table[row.word] = row.bits
+    shared = rows.sparkSession.sparkContext.broadcast(table.view(np.uint64))
+
+    @F.arrow_udf("boolean")
+    def held(bits: pa.Array) -> pa.Array:
+        at = bits.to_numpy().astype(np.int64)
+        return pa.array((shared.value[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1)
+
+    return rows.where(held(bit))
+
+
+def _whole_sets(candidates: DataFrame, sets: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``node`` and ``shingles`` of the given nodes, from the text of one candidate each."""
+
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shift = np.uint64(64 - PARTS.bit_length() + 1)
         for batch in batches:
             for first, texts in by_bytes(batch.column("text")):
-                sets = shingle_sets(texts)
-                parts = [np.bincount((s >> shift).astype(np.int64), minlength=PARTS).astype(np.int32) for s in sets]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column("node")[first : first + len(texts)],
-                        pa.array([len(s) for s in sets], pa.int32()),
-                        pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())),
-                        pa.array(parts, pa.list_(pa.int32())),
-                    ],
-                    ["node", "n", "shingles", "parts"],
-                )
-
-    named = wanted.select(F.col("ordinal").alias("_ordinal"), F.col("text_key").alias("_key"), "node")
-    rows = _keyed(candidates).join(
+                shingles = [s.view(np.int64) for s in shingle_sets(texts)]
+                node = batch.column("node")[first : first + len(texts)]
+                yield pa.RecordBatch.from_arrays([node, pa.array(shingles, pa.list_(pa.int64()))], ["node", "shingles"])
+
+    rows = sets.join(nodes, "node", "left_semi").groupBy("node").agg(F.min(F.struct("ordinal", "text_key")).alias("row"))
+    named = written(rows.select(F.col("row.ordinal").alias("_ordinal"), F.col("row.text_key").alias("_key"), "node"), "joining")
+    wanted = named.select(F.col("_ordinal").alias("ordinal"), F.col("_key").alias("text_key"))
+    texts = _likely(_keyed(candidates), wanted).join(
         named, F.col("ordinal").eqNullSafe(F.col("_ordinal")) & (F.col("text_key") == F.col("_key"))
     )
-    texts = rows.select("node", "text")
-    return texts.mapInArrow(build, "node long, n int, shingles array<long>, parts array<int>").dropDuplicates(["node"])
+    return written(texts.select("node", "text").mapInArrow(build, "node long, shingles array<long>"), "whole-sets")
 
 
 def linked_stars(candidates: DataFrame, sets: DataFrame) -> DataFrame:
     """Stars (``u``, ``v``) of the groups that links between different sets form."""
     postings = sets.where("prefix is not null").select("node", "n", F.posexplode("prefix").alias("at", "token"))
-    postings = postings.select("token", "node", "n", (F.col("at") + 1).alias("at")).dropDuplicates(["token", "node"])
-    postings = written(postings, "postings")
-    met = postings.groupBy("token").agg(F.count("*").alias("m")).where("m > 1").select("token")
-    shared = written(postings.join(met, "token", "left_semi"), "shared-postings")
-    first = sets.where("prefix is not null").groupBy("node").agg(F.min(F.struct("ordinal", "text_key")).alias("row"))
-    wanted = first.join(shared.select("node").distinct(), "node", "left_semi").select("node", "row.*")
-    whole = written(_whole_sets(candidates, written(wanted, "joining")), "whole-sets")
+    postings = postings.select("token", "node", "n", (F.col("at") + 1).alias("at")).repartition("token")
+    # all columns are used, so that both sides of the join read one shuffle
+    met = postings.groupBy("token").agg(
+        F.min("node").alias("low"), F.max("node").alias("high"), F.max("n").alias("n_"), F.max("at").alias("at_")
+    )
+    met = met.where((F.col("low") < F.col("high")) & (F.col("n_") + F.col("at_") > 0)).select("token")
+    shared = postings.join(met, "token", "left_semi").dropDuplicates(["token", "node"])
+    shared = written(shared, "shared-postings")
     n_shared = shared.count()
-    stars, labelled, before = None, _labelled(shared, None), None
+    stars, labelled, before, whole = None, _labelled(shared, None), None, None
     crowded, pairs = _crowded(labelled)
     for turn in range(MAX_ROUNDS):
         if pairs <= n_shared or (before and pairs > 0.7 * before):
             break
-        links = _verified(_hub_pairs(labelled, crowded, turn), whole)
+        if whole is None:  # crowded tokens only become fewer, so these nodes serve all rounds
+            crowd = written(shared.join(crowded, "token", "left_semi").select("node").distinct(), "crowd-nodes")
+            whole = _whole_sets(candidates, sets, crowd)
+        links = _verified(_near(_hub_pairs(labelled, crowded, turn), sets), whole)
         stars = component_stars(_with_stars(links, stars))
         labelled, before = written(_labelled(shared, stars), "labelled"), pairs
         crowded, pairs = _crowded(labelled)
     plain = _all_pairs(labelled.join(crowded, "token", "left_anti"))
-    rest = plain.unionByName(_crowd_pairs(labelled, crowded, sets, whole))
+    rest = plain.unionByName(_crowd_pairs(labelled, crowded, sets))
     both = rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    return component_stars(_with_stars(_verified(both, whole), stars))
+    near = _near(written(both, "pairs"), sets)
+    missing = _ends(near) if whole is None else _ends(near).join(whole, "node", "left_anti")
+    more = _whole_sets(candidates, sets, missing)
+    whole = more if whole is None else whole.unionByName(more)
+    return component_stars(_with_stars(_verified(near, whole), stars))
 
 
 def _with_stars(links: DataFrame, stars: DataFrame | None) -> DataFrame:
