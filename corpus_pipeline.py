@@ -16,7 +16,8 @@ def _documents(candidates: DataFrame) -> DataFrame:
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
-    ratio = quality_rules.fit_ratio(trusted_candidates(docs, read(spark, sf_dir, "labels")))
+    trusted = trusted_candidates(docs, read(spark, sf_dir, "labels"))
+    ratio = quality_rules.fit_ratio(candidates_of(docs), trusted)
     judged = quality_rules.quality_rules(candidates_of(docs), ratio, name="_quality")
     return _documents(judged.where("_quality.kept").drop("_quality"))
 

@@ -31,6 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .bit_filter import likely
 from .chunks import by_bytes
 from .components import component_stars
 from .shingles import set_key, shingle_sets
@@ -44,7 +45,6 @@ MAX_ROUNDS = 6
 #: A set of fewer shingles than this links with equal sets only.
 LEAST = 9
 SETS = "ordinal long, text_key long, n int, node long, prefix array<long>, parts array<int>"
-FILTER_BITS = 23
 
 
 def _count_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -271,26 +271,6 @@ def _verified(near: DataFrame, whole: DataFrame) -> DataFrame:
     return both.where(overlap >= _needed(F.col("n_a"), F.col("n_b"))).select("a", "b")
 
 
-def _likely(rows: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The rows whose (ordinal, text_key) may be among the wanted ones: a bit filter of 2**FILTER_BITS bits, whatever
-    their number, so that texts nobody asks for are not shuffled."""
-    bit = F.pmod(F.xxhash64("ordinal", "text_key"), F.lit(1 << FILTER_BITS))
-    words = wanted.select(bit.alias("bit")).groupBy(F.shiftright("bit", 6).alias("word")).agg(
-        F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("bit") % 64).cast("int"))).alias("bits")
-    )
-    table = np.zeros(1 << (FILTER_BITS - 6), dtype=np.int64)
-    for row in words.collect():
-        table[row.word] = row.bits
-    shared = rows.sparkSession.sparkContext.broadcast(table.view(np.uint64))
-
-    @F.arrow_udf("boolean")
-    def held(bits: pa.Array) -> pa.Array:
-        at = bits.to_numpy().astype(np.int64)
-        return pa.array((shared.value[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1)
-
-    return rows.where(held(bit))
-
-
 def _whole_sets(candidates: DataFrame, sets: DataFrame, nodes: DataFrame) -> DataFrame:
     """``node`` and ``shingles`` of the given nodes, from the text of one candidate each."""
 
@@ -304,7 +284,7 @@ def _whole_sets(candidates: DataFrame, sets: DataFrame, nodes: DataFrame) -> Dat
     rows = sets.join(nodes, "node", "left_semi").groupBy("node").agg(F.min(F.struct("ordinal", "text_key")).alias("row"))
     named = written(rows.select(F.col("row.ordinal").alias("_ordinal"), F.col("row.text_key").alias("_key"), "node"), "joining")
     wanted = named.select(F.col("_ordinal").alias("ordinal"), F.col("_key").alias("text_key"))
-    texts = _likely(_keyed(candidates), wanted).join(
+    texts = likely(_keyed(candidates), wanted, "ordinal", "text_key").join(
         named, F.col("ordinal").eqNullSafe(F.col("_ordinal")) & (F.col("text_key") == F.col("_key"))
     )
     return written(texts.select("node", "text").mapInArrow(build, "node long, shingles array<long>"), "whole-sets")

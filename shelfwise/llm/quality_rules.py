@@ -1,6 +1,6 @@
 """Quality rules: length and repetition limits, then a hashed n-gram likelihood ratio.
 
-The target is the text of trusted candidates (``official`` is true), the raw
+The target is the text of trusted candidates (``official`` ones), the raw
 corpus is every candidate.  Both are multinomials over hashed n-grams of four
 UTF-8 bytes, a fixed number of buckets.  A text's score is the mean over its n-grams of
 log(target share / raw share): near zero for text like the trusted one, clearly
@@ -17,7 +17,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .chunks import by_bytes
@@ -32,7 +32,7 @@ RESULT = (
     "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
     "base_failed boolean, llr double, kept boolean"
 )
-COUNTS = "bucket int, n_raw long, n_target long"
+COUNTS = "bucket int, n long"
 
 
 @dataclass(frozen=True)
@@ -67,47 +67,39 @@ def gram_buckets(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    raw = np.zeros(1 << BITS, dtype=np.int64)
-    target = np.zeros(1 << BITS, dtype=np.int64)
+    counts = np.zeros(1 << BITS, dtype=np.int64)
     for batch in batches:
-        trusted = batch.column("official").to_numpy(zero_copy_only=False).astype(bool)
-        for first, texts in by_bytes(batch.column("text")):
-            buckets, grams = gram_buckets(texts)
-            raw += np.bincount(buckets, minlength=1 << BITS)
-            good = np.repeat(trusted[first : first + len(texts)], grams)
-            target += np.bincount(buckets[good], minlength=1 << BITS)
-    at = np.flatnonzero(raw)
-    yield pa.RecordBatch.from_arrays(
-        [pa.array(at, pa.int32()), pa.array(raw[at]), pa.array(target[at])], ["bucket", "n_raw", "n_target"]
-    )
+        for _, texts in by_bytes(batch.column("text")):
+            counts += np.bincount(gram_buckets(texts)[0], minlength=1 << BITS)
+    at = np.flatnonzero(counts)
+    yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(counts[at])], ["bucket", "n"])
 
 
 def gram_counts(candidates: DataFrame) -> DataFrame:
-    """Occurrences of each bucket in all ``text`` and in that of ``official`` candidates.
+    """``bucket``, ``n``: occurrences of each bucket in every candidate's ``text``.
 
-    Reads every candidate.  A task adds up its own texts, so the shuffle carries at
-    most one row per bucket and task and no key is hot.  Null text counts as empty,
-    null ``official`` as false; no candidates give no rows.
+    A task adds up its own texts, so the shuffle carries at most one row per bucket and task
+    and no key is hot.  Null text counts as empty; no candidates give no rows.
     """
-    rows = candidates.select(
-        F.coalesce("text", F.lit("")).alias("text"), F.coalesce("official", F.lit(False)).alias("official")
-    )
-    parts = rows.mapInArrow(_count_grams, COUNTS)
-    return parts.groupBy("bucket").agg(F.sum("n_raw").alias("n_raw"), F.sum("n_target").alias("n_target"))
+    parts = candidates.select(F.coalesce("text", F.lit("")).alias("text")).mapInArrow(_count_grams, COUNTS)
+    return parts.groupBy("bucket").agg(F.sum("n").alias("n"))
 
 
-def fit_ratio(candidates: DataFrame) -> LikelihoodRatio:
-    """The likelihood ratio of ``official`` candidates against all of them.
+def _smoothed(counts: DataFrame) -> np.ndarray:
+    out = np.ones(1 << BITS)
+    for row in counts.collect():
+        out[row.bucket] += row.n
+    return out
+
+
+def fit_ratio(candidates: DataFrame, trusted: DataFrame) -> LikelihoodRatio:
+    """The likelihood ratio of ``trusted`` candidates (target) against all ``candidates`` (raw), on all their text.
 
     Add-one smoothing over the 2**BITS buckets.  Only the table of buckets reaches
     the driver (65,536 rows at most, half a megabyte as broadcast), never a count
     that grows with the corpus.  Without any trusted text all ratios are zero.
     """
-    raw = np.ones(1 << BITS)
-    target = np.ones(1 << BITS)
-    for row in gram_counts(candidates).collect():
-        raw[row.bucket] += row.n_raw
-        target[row.bucket] += row.n_target
+    raw, target = _smoothed(gram_counts(candidates)), _smoothed(gram_counts(trusted))
     if target.sum() == len(target):
         ratio = np.zeros(1 << BITS)
     else:
@@ -195,7 +187,3 @@ def quality_rules(
 
     return candidates.withColumn(name, judge("text"))
 
-
-def flags(name: str = "quality") -> list[Column]:
-    """The fields of the result struct as columns."""
-    return [F.col(f"{name}.{f.strip().split(' ')[0]}") for f in RESULT.split(",")]

@@ -19,6 +19,7 @@ from . import (
     vp_tree,
     words,
 )
+from .bit_filter import likely
 
 HOST_RULES = [
     url_rules.parse_rule("allow", "com/"),
@@ -45,17 +46,15 @@ def candidates_of(docs: DataFrame) -> DataFrame:
 
 
 def trusted_candidates(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Candidates with ``official``: labelled as good quality and not toxic."""
-    good = labels.where("quality = 1 and toxic = 0").select("doc_id").distinct().withColumn("official", F.lit(True))
-    slim = docs.select("doc_id", "text")
-    return candidates_of(slim.join(good, "doc_id", "left").withColumn("official", F.coalesce("official", F.lit(False))))
+    """Official candidates: labelled as good quality and not toxic."""
+    good = labels.where("quality = 1 and toxic = 0").select("doc_id").distinct()
+    return candidates_of(likely(docs.select("doc_id", "text"), good, "doc_id").join(good, "doc_id", "left_semi"))
 
 
 def op1_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
-    docs = read(spark, sf, "documents")
-    ratio = quality_rules.fit_ratio(trusted_candidates(docs, read(spark, sf, "labels")))
-    judged = quality_rules.quality_rules(candidates_of(docs), ratio)
-    return judged.select(F.col("ordinal").alias("doc_id"), "quality.*")
+    docs = candidates_of(read(spark, sf, "documents"))
+    ratio = quality_rules.fit_ratio(docs, trusted_candidates(read(spark, sf, "documents"), read(spark, sf, "labels")))
+    return quality_rules.quality_rules(docs, ratio).select(F.col("ordinal").alias("doc_id"), "quality.*")
 
 
 def op2_jaccard_join(spark: SparkSession, sf: str) -> DataFrame:
@@ -65,7 +64,7 @@ def op2_jaccard_join(spark: SparkSession, sf: str) -> DataFrame:
 
 def op3_kneser_ney(spark: SparkSession, sf: str) -> DataFrame:
     docs = read(spark, sf, "documents")
-    trusted = trusted_candidates(docs, read(spark, sf, "labels")).where("official").select("ordinal", "text")
+    trusted = trusted_candidates(docs, read(spark, sf, "labels"))
     judged = kneser_ney.perplexity_rules(candidates_of(docs), trusted, language="lang")
     return judged.select(F.col("ordinal").alias("doc_id"), "language", "n_tokens", "perplexity", "limit_perplexity", "kept")
 
