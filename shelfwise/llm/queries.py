@@ -48,7 +48,9 @@ def candidates_of(docs: DataFrame) -> DataFrame:
 def trusted_candidates(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Official candidates: labelled as good quality and not toxic."""
     good = labels.where("quality = 1 and toxic = 0").select("doc_id").distinct()
-    return candidates_of(likely(docs.select("doc_id", "text"), good, "doc_id").join(good, "doc_id", "left_semi"))
+    texts = likely(docs.select("doc_id", "text"), good, "doc_id")
+    # labels have no size bound, so they are never broadcast and the plan is the same at every size
+    return candidates_of(texts.join(good.hint("merge"), "doc_id", "left_semi"))
 
 
 def op1_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
