@@ -20,9 +20,9 @@ def _encoder(path: str):
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         return lambda texts: [len(x) for x in model.encode(texts, num_threads=1)]
-    from .token_pieces import PieceEncoder
+    from .token_pieces import encoder
 
-    pieces = PieceEncoder(path, drops_space=False)
+    pieces = encoder(path, drops_space=False)
     return lambda texts: [len(x) // 4 for x in pieces.encode(texts)]
 
 

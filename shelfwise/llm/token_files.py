@@ -1,7 +1,7 @@
 """Token ids of candidate texts as Arrow files of equal-length sequences, and random access to them.
 
 A file holds record batches of ``BATCH_SEQUENCES`` rows, each a fixed-size list of
-token ids and a fixed-size list of mask bytes.  Every batch but the last of a file is
+token ids (16 bits where the vocabulary fits, else 32) and one of mask bits.  Every batch but the last of a file is
 full, so the place of any token follows by division and a memory-mapped
 reader hands out sequences without copying.
 """
@@ -26,16 +26,18 @@ BATCH_SEQUENCES = 256
 INDEX = "ordinal long, shard int, file string, shard_offset long, n_tokens long"
 
 
-def _schema(length: int) -> pa.Schema:
-    return pa.schema([("token_ids", pa.list_(pa.uint32(), length)), ("mask", pa.list_(pa.uint8(), length))])
+def _schema(length: int, narrow: bool) -> pa.Schema:
+    kind = pa.uint16() if narrow else pa.uint32()
+    return pa.schema([("token_ids", pa.list_(kind, length)), ("mask", pa.list_(pa.bool_(), length))])
 
 
 class _Writer:
     """Cuts a stream of ids into sequences and writes them batch by batch; the last one is padded under mask 0."""
 
-    def __init__(self, sink, length: int):
+    def __init__(self, sink, length: int, narrow: bool):
         self.length, self.full = length, length * BATCH_SEQUENCES
-        self.out = pa.ipc.new_file(sink, _schema(length))
+        self.schema, self.kind = _schema(length, narrow), np.uint16 if narrow else np.uint32
+        self.out = pa.ipc.new_file(sink, self.schema)
         self.parts: list[bytes] = []
         self.held = 0
 
@@ -50,13 +52,13 @@ class _Writer:
             self.parts, self.held = [data[whole:].tobytes()], len(data) - whole
 
     def _write(self, ids: np.ndarray, used: int) -> None:
-        mask = np.zeros(len(ids), dtype=np.uint8)
-        mask[:used] = 1
+        mask = np.zeros(len(ids), dtype=bool)
+        mask[:used] = True
         lists = [
-            pa.FixedSizeListArray.from_arrays(pa.array(ids.astype(np.uint32, copy=False)), self.length),
+            pa.FixedSizeListArray.from_arrays(pa.array(ids.astype(self.kind)), self.length),
             pa.FixedSizeListArray.from_arrays(pa.array(mask), self.length),
         ]
-        self.out.write_batch(pa.RecordBatch.from_arrays(lists, schema=_schema(self.length)))
+        self.out.write_batch(pa.RecordBatch.from_arrays(lists, schema=self.schema))
 
     def close(self) -> None:
         if self.held:
@@ -90,7 +92,7 @@ def write_token_files(
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
 
-        from .token_pieces import PieceEncoder
+        from .token_pieces import encoder
 
         system, path = fs.FileSystem.from_uri(folder)
         shard = TaskContext.get().partitionId()
@@ -101,7 +103,8 @@ def write_token_files(
             if writer is None:
                 system.create_dir(path, recursive=True)
                 sink = system.open_output_stream(f"{path}/{file}")
-                writer, pieces = _Writer(sink, length), PieceEncoder(tokenizer, drops_space=True)
+                pieces = encoder(tokenizer, drops_space=True)
+                writer = _Writer(sink, length, narrow=pieces.tokenizer.get_vocab_size() <= 1 << 16 and end_id < 1 << 16)
             ordinals, texts = batch.column("ordinal"), batch.column("text")
             for first, run in by_bytes(texts):
                 counts = []
@@ -153,7 +156,8 @@ class TokenFile:
         """Ids and mask of the k-th sequence."""
         batch = self._load(k // BATCH_SEQUENCES)
         at = (k % BATCH_SEQUENCES) * self.length
-        return tuple(batch.column(c).flatten().to_numpy()[at : at + self.length] for c in ("token_ids", "mask"))
+        ids = batch.column("token_ids").flatten().to_numpy()[at : at + self.length]
+        return ids, batch.column("mask").flatten()[at : at + self.length].to_numpy(zero_copy_only=False)
 
     def ids(self, start: int, n: int) -> Iterator[np.ndarray]:
         """The ids from place ``start`` on, in runs that lie in one batch each."""
@@ -190,7 +194,7 @@ def read_token_digests(index: DataFrame, folder: str) -> DataFrame:
                     name, opened = file, TokenFile(folder, file)
                 crc = 0
                 for run in opened.ids(offset, n):
-                    crc = zlib.crc32(run.astype("<u4", copy=False), crc)
+                    crc = zlib.crc32(run.astype("<u4"), crc)
                 sums.append(crc)
             columns = [batch.column(c) for c in ("ordinal", "shard", "shard_offset", "n_tokens")]
             yield pa.RecordBatch.from_arrays(

@@ -3,7 +3,8 @@
 A helper for tasks.  A boundary is safe where the tokenizer never lets a token
 reach across, so the pieces' ids in order are the ids of the whole text:
 
-* ``word_bpe`` drops white space, so every run of ASCII white space is one;
+* ``word_bpe`` drops white space, so every run of ASCII white space is one; it lower-cases, so A-Z may be
+  lower-cased before; and a single mark between a letter or digit and a space is a piece of its own;
 * ``byte_bpe`` starts a token at a space that stands alone between two
   characters that are not white space; the space goes with what follows.
 
@@ -15,13 +16,70 @@ from __future__ import annotations
 
 import os
 import re
+import sys
+from array import array
 
-import numpy as np
-
-CACHE_PIECES = 400_000
+CACHE_PIECES = 700_000
 LONG_RUN = 1 << 16
 
 
+_ENCODERS: dict = {}
+_LAST_LATIN = "\u024f"
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letter that byte-level BPE writes for each byte: printable Latin-1 as itself, the others from U+0100 on."""
+    plain = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    others = [b for b in range(256) if b not in plain]
+    return {b: chr(256 + k) for k, b in enumerate(others)}
+
+
+_BYTE_LETTERS = _byte_letters()
+_LEAD = _BYTE_LETTERS[0x20]
+
+
+def _packed(ids: list[int]) -> bytes:
+    """Ids as little-endian unsigned 32-bit integers."""
+    out = array("I", ids)
+    if sys.byteorder == "big":
+        out.byteswap()
+    return out.tobytes()
+
+
+#: Two characters in a row that are neither letters, digits nor white space, or an apostrophe (contractions).
+_ODD_SPACE = re.compile(r" [^\S ]|[^\S ] ")
+_MARKS = re.compile(r"(?:[^\w\s]|_){2}|'")
+
+
+def encoder(path: str, drops_space: bool) -> PieceEncoder:
+    """The worker's encoder for a file; its pieces serve all tasks that the worker runs."""
+    key = (path, drops_space)
+    if key not in _ENCODERS:
+        _ENCODERS[key] = PieceEncoder(path, drops_space)
+    return _ENCODERS[key]
+
+
+def _words_only(raw: bytes) -> bool:
+    """Whether a text is only letters, digits and ASCII white space with single commas and stops between them."""
+    if any(pair in raw for pair in (b"..", b".,", b",.", b",,")):
+        return False
+    return raw.translate(None, b" \t\n\v\f\r.,").decode("utf-8", "replace").isalnum()
+
+
+class _Pieces(dict):
+    """Ids by piece; a piece not met before is encoded, and all are forgotten when there are too many."""
+
+    def __init__(self, encode):
+        super().__init__()
+        self.encode = encode
+
+    def __missing__(self, piece) -> bytes:
+        if len(self) >= CACHE_PIECES:
+            self.clear()
+        self[piece] = ids = self.encode(piece)
+        return ids
+
+
 class PieceEncoder:
     """Ids of texts as little-endian unsigned 32-bit integers; keeps the latest ``CACHE_PIECES`` pieces."""
 
@@ -30,12 +88,13 @@ class PieceEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.drops_space = drops_space
-        self.cache: dict = {}
+        self.cache = _Pieces(self.encode_piece)
 
     def _plain(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        return _packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
     def _whole(self, text: str) -> bytes:
         """A text without simple boundaries: cut only where a lone space follows a letter and precedes one."""
@@ -51,57 +110,44 @@ class PieceEncoder:
         out.append(self._plain(text[start:]))
         return b"".join(out)
 
-    def _fill(self, wanted: set, prefix: str) -> None:
-        if len(self.cache) + len(wanted) > CACHE_PIECES:
-            self.cache.clear()
-        pieces = list(wanted)
-        strings = [prefix + (p if isinstance(p, str) else p.decode()) for p in pieces]
-        for k in range(0, len(pieces), 4096):
-            encoded = self.tokenizer.encode_batch(strings[k : k + 4096], add_special_tokens=False)
-            for piece, e in zip(pieces[k : k + 4096], encoded):
-                self.cache[piece] = np.array(e.ids, dtype="<u4").tobytes()
+    def _letters(self, word: str, lead: str = "") -> bytes | None:
+        """Ids of a word of Latin letters: one piece for the tokenizer, which is handed to its merges at once."""
+        if not word.isalpha() or max(word) > _LAST_LATIN or "\u0130" in word:
+            return None
+        if self.drops_space:
+            word = word.lower()
+        if not word.isascii():
+            word = word.encode().decode("latin-1").translate(_BYTE_LETTERS)
+        return _packed([t.id for t in self.model.tokenize(lead + word)])
+
+    def _simple(self, piece) -> bytes | None:
+        """Ids of a word of letters with at most one mark after it, or None for any other piece."""
+        if self.drops_space:
+            return self._letters(piece.decode())
+        if piece[-1] in ".,":
+            word = self._letters(piece[:-1], _LEAD)
+            return word and word + _packed([t.id for t in self.model.tokenize(piece[-1])])
+        return self._letters(piece, _LEAD)
+
+    def encode_piece(self, piece) -> bytes:
+        ids = self._simple(piece)
+        if ids is None:
+            ids = self._plain(piece.decode() if self.drops_space else " " + piece)
+        return ids
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        return self._dropping(texts) if self.drops_space else self._keeping(texts)
-
-    def _dropping(self, texts: list[str]) -> list[bytes]:
-        split = [t.encode("utf-8", "replace").split() for t in texts]
-        wanted: set = set()
-        for words in split:
-            wanted.update(words)
-        cache = self._ready(wanted, "")
-        return [b"".join(map(cache.__getitem__, words)) for words in split]
-
-    def _ready(self, wanted: set, prefix: str) -> dict:
-        missing = wanted - self.cache.keys()
-        if missing:
-            if len(self.cache) + len(missing) > CACHE_PIECES:
-                missing = wanted  # the cache is emptied: what this run needs is encoded anew
-            self._fill(missing, prefix)
-        return self.cache
-
-    def _keeping(self, texts: list[str]) -> list[bytes]:
-        split: list = []
-        wanted: set = set()
-        for t in texts:
-            if not t or any(a in t for a in self.added):
-                split.append(None)
-                continue
-            parts = t.split(" ")
-            split.append(parts)
-            wanted.update(parts[1:])
-        odd = {p for p in wanted if not p or p[0].isspace() or p[-1].isspace()}
-        cache = self._ready(wanted - odd, " ")
-        out = []
-        for t, parts in zip(texts, split):
-            if parts is None:
-                out.append(self._whole(t) if t else b"")
-                continue
-            first, rest = parts[0], parts[1:]
-            if not rest:
-                out.append(self._whole(t))
-            elif not first or first[-1].isspace() or (odd and not odd.isdisjoint(rest)):
-                out.append(self._whole(t))
-            else:
-                out.append(self._whole(first) + b"".join(map(cache.__getitem__, rest)))
-        return out
+        return [self._dropping(t) if self.drops_space else self._keeping(t) for t in texts]
+
+    def _dropping(self, text: str) -> bytes:
+        raw = text.encode("utf-8", "replace")
+        if _words_only(raw) or not any(a in text.lower() for a in self.added) and not _MARKS.search(text):
+            raw = raw.lower().replace(b". ", b" . ").replace(b", ", b" , ").replace(b".\n", b" . ")
+        return b"".join(map(self.cache.__getitem__, raw.split()))
+
+    def _keeping(self, text: str) -> bytes:
+        first, *rest = text.split(" ")
+        plain = rest and first and not first[-1].isspace() and not text[-1].isspace()
+        # a piece that is empty, or begins or ends with white space, has no safe boundary
+        if not plain or "  " in text or any(a in text for a in self.added) or _ODD_SPACE.search(text):
+            return self._whole(text) if text else b""
+        return self._whole(first) + b"".join(map(self.cache.__getitem__, rest))
