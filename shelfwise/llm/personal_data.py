@@ -156,18 +156,25 @@ def disclosing_terms(
     pairs = exploded.groupBy("entity", "term").agg(
         F.count("*").alias("n_both"), F.countDistinct("text_key").alias("n_texts")
     )
-    pairs = written(pairs.where(F.col("n_texts") >= support).join(entities, "entity"), "disclosure-pairs")
+    n = F.lit(float(candidates.count()))
+    information = F.log(n / F.col("n_entity"))
+
+    def disclosure(n_term: str) -> Column:
+        pmi = F.log(F.col("n_both") * n / (F.col(n_term) * F.col("n_entity")))
+        return F.when(information > 0, pmi / information).otherwise(F.lit(0.0))
+
+    # a term stands in at least as many candidates as it stands near any entity in: an upper bound of its
+    # disclosure, which leaves out common words before the whole corpus is searched for terms
+    near_any = near.select("ordinal", "text_key", F.explode("terms").alias("term")).distinct().groupBy("term")
+    pairs = pairs.where(F.col("n_texts") >= support).join(entities, "entity")
+    pairs = pairs.join(near_any.agg(F.count("*").alias("n_near")), "term").where(disclosure("n_near") >= threshold)
+    pairs = written(pairs, "disclosure-pairs")
     wanted = written(pairs.select("term").distinct(), "disclosure-terms")
     words = F.array_distinct(F.filter(F.split(_clean(F.col("text")), " +"), lambda w: F.length(w) >= 4))
     held = keyed.select("ordinal", "text_key", F.explode(words).alias("term")).join(wanted, "term", "left_semi")
     held = written(held, "disclosure-words")
     totals = held.groupBy("term").agg(F.count("*").alias("n_term"))
-    n = F.lit(float(keyed.select("text_key").count()))
-    information = F.log(n / F.col("n_entity"))
-    pmi = F.log(F.col("n_both") * n / (F.col("n_term") * F.col("n_entity")))
-    scored = pairs.join(totals, "term").withColumn(
-        "disclosure", F.when(information > 0, pmi / information).otherwise(F.lit(0.0))
-    )
+    scored = pairs.join(totals, "term").withColumn("disclosure", disclosure("n_term"))
     terms = scored.groupBy("term").agg(F.max("disclosure").alias("disclosure")).where(F.col("disclosure") >= threshold)
     terms = written(terms, "disclosing")
     holders = held.join(terms.select("term"), "term", "left_semi").groupBy("ordinal", "text_key").agg(
