@@ -80,16 +80,12 @@ class VpTree:
 
         def leaf(members: np.ndarray, which: np.ndarray) -> None:
             rough = queries[which] @ self.rows[members].T
+            rough[self.ids[members][None, :] == query_ids[which][:, None]] = -np.inf
             room = 1e-9 * (1.0 + np.sqrt(square[which]) * self.lift)
-            for j, q in enumerate(which):
-                score = rough[j]
-                own = self.ids[members] != query_ids[q]
-                limit = floor[q]
-                if own.sum() > k:
-                    limit = max(limit, np.partition(score[own], -k)[-k])
-                take = np.flatnonzero(own & (score >= limit - room[j]))
-                if not len(take):
-                    continue
+            for j in np.flatnonzero(rough.max(axis=1) >= floor[which] - room):
+                q, score = which[j], rough[j]
+                limit = floor[q] if len(best[q][1]) == k or len(score) <= k else np.partition(score, -k)[-k]
+                take = np.flatnonzero((score >= limit - room[j]) & (score > -np.inf))
                 exact = _ordered_dot(queries[q], self.rows[members[take]])
                 scores = np.concatenate([best[q][0], exact])
                 ids = np.concatenate([best[q][1], self.ids[members[take]]])
