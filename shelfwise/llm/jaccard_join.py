@@ -22,23 +22,22 @@ only at the first shingle that its prefixes share, with the number of shared one
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bit_filter import likely
 from .chunks import by_bytes
 from .components import component_stars
+from .dense_counts import ROWS, block_rows, total
 from .shingles import set_key, shingle_sets
 from .tables import written
 
 ORDER_BITS = 22
-BLOCK_BITS = 16
+BLOCKS = 64
 PARTS = 128
 CROWD = 16
 MAX_ROUNDS = 6
@@ -54,35 +53,14 @@ def _count_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         for _, texts in by_bytes(batch.column("text")):
             for s in shingle_sets(texts):
                 np.add.at(counts, (s >> shift).astype(np.int64), np.uint32(1))
-    blocks = counts.reshape(-1, 1 << BLOCK_BITS)
-    for k, block in enumerate(blocks):
-        if block.any():
-            data = zlib.compress(block.astype("<u4").tobytes(), 1)
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([data], pa.binary())], ["block", "counts"])
-
-
-def _add_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    sums: dict[int, np.ndarray] = {}
-    for batch in batches:
-        for k, data in zip(batch.column("block").to_pylist(), batch.column("counts")):
-            block = np.frombuffer(zlib.decompress(data.as_py()), dtype="<u4").astype(np.int64)
-            sums[k] = block if k not in sums else sums[k] + block
-    for k, total in sums.items():
-        data = np.minimum(total, 2**32 - 1).astype("<u4").tobytes()
-        yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([data], pa.binary())], ["block", "counts"])
+    yield from block_rows(counts, BLOCKS)
 
 
 def bucket_counts(candidates: DataFrame) -> np.ndarray:
     """How many texts hold a shingle of each bucket; 2**ORDER_BITS numbers (16 MB), whatever the corpus."""
-    parts = candidates.select(F.coalesce("text", F.lit("")).alias("text")).mapInArrow(
-        _count_buckets, "block int, counts binary"
-    )
-    n_blocks = 1 << (ORDER_BITS - BLOCK_BITS)
-    summed = parts.repartition(n_blocks, "block").mapInArrow(_add_blocks, "block int, counts binary")
-    out = np.zeros((n_blocks, 1 << BLOCK_BITS), dtype=np.uint32)
-    for row in summed.collect():
-        out[row.block] = np.frombuffer(row["counts"], dtype="<u4")
-    return out.reshape(-1)
+    texts = candidates.select(F.coalesce("text", F.lit("")).alias("text"))
+    counts = total(texts.mapInArrow(_count_buckets, ROWS), 1 << ORDER_BITS, BLOCKS)
+    return np.minimum(counts, 2**32 - 1).astype(np.uint32)
 
 
 def probe_length(n):

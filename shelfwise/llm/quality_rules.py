@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .chunks import by_bytes
+from .dense_counts import ROWS, block_rows, total
 
 BITS = 16
 GRAM = 4
@@ -32,7 +33,7 @@ RESULT = (
     "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
     "base_failed boolean, llr double, kept boolean"
 )
-COUNTS = "bucket int, n long"
+BLOCKS = 16
 
 
 @dataclass(frozen=True)
@@ -71,25 +72,17 @@ def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for _, texts in by_bytes(batch.column("text")):
             counts += np.bincount(gram_buckets(texts)[0], minlength=1 << BITS)
-    at = np.flatnonzero(counts)
-    yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(counts[at])], ["bucket", "n"])
+    yield from block_rows(counts, BLOCKS)
 
 
-def gram_counts(candidates: DataFrame) -> DataFrame:
-    """``bucket``, ``n``: occurrences of each bucket in every candidate's ``text``.
+def gram_counts(candidates: DataFrame) -> np.ndarray:
+    """Occurrences of each bucket in every candidate's ``text``.
 
-    A task adds up its own texts, so the shuffle carries at most one row per bucket and task
-    and no key is hot.  Null text counts as empty; no candidates give no rows.
+    A task adds up its own texts and sends a few packed rows.  Null text counts as empty; no candidates
+    give zeros.
     """
-    parts = candidates.select(F.coalesce("text", F.lit("")).alias("text")).mapInArrow(_count_grams, COUNTS)
-    return parts.groupBy("bucket").agg(F.sum("n").alias("n"))
-
-
-def _smoothed(counts: DataFrame) -> np.ndarray:
-    out = np.ones(1 << BITS)
-    for row in counts.collect():
-        out[row.bucket] += row.n
-    return out
+    texts = candidates.select(F.coalesce("text", F.lit("")).alias("text"))
+    return total(texts.mapInArrow(_count_grams, ROWS), 1 << BITS, BLOCKS)
 
 
 def fit_ratio(candidates: DataFrame, trusted: DataFrame) -> LikelihoodRatio:
@@ -99,7 +92,7 @@ def fit_ratio(candidates: DataFrame, trusted: DataFrame) -> LikelihoodRatio:
     the driver (65,536 rows at most, half a megabyte as broadcast), never a count
     that grows with the corpus.  Without any trusted text all ratios are zero.
     """
-    raw, target = _smoothed(gram_counts(candidates)), _smoothed(gram_counts(trusted))
+    raw, target = gram_counts(candidates) + 1.0, gram_counts(trusted) + 1.0
     if target.sum() == len(target):
         ratio = np.zeros(1 << BITS)
     else:

@@ -134,4 +134,25 @@ QUERIES = {
         op10_mixing,
     )
 }
-ORACLE: dict[str, str] = {}
+#: Words, shingles and spans of the other operators rest on hashes, searches or tokenizers that SQL lacks.
+ORACLE: dict[str, str] = {
+    "op7_url_rules": r"""
+with cut as (select page_id, coalesce(url, '') as url, case when contains(url, '://') then substr(url, instr(url, '://') + 3) else '' end as rest from pages),
+parts as (select page_id, url, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
+  regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) as path,
+  translate(url, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as low from cut),
+rules(h, p, v) as (values ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'), ('net', '/es/', 'block'), ('net', '/fr/', 'block')),
+best as (select page_id, url, arg_max(h || p, length(h || p)) as rule, arg_max(v, length(h || p)) as v from parts, rules
+  where (host = h or ends_with(host, '.' || h)) and starts_with(path, p) group by page_id, url),
+found as (select *, case when regexp_matches(low, '[?&]utm_source=feed(&|#|$)') then '[?&]utm_source=feed(&|#|$)'
+  when regexp_matches(low, '[?&]page=[0-9]+&ref=') then '[?&]page=[0-9]+&ref='
+  when regexp_matches(low, '://m\.[^/?#]*/[a-z]+/[0-9]+#top$') then '://m\.[^/?#]*/[a-z]+/[0-9]+#top$' end as pat from parts)
+select f.page_id, f.host, f.path, b.rule, case when b.rule is null then f.pat end as pattern,
+  case when b.rule is not null then b.v when f.pat is not null then 'block' else 'allow' end as verdict
+from found f left join best b on f.page_id = b.page_id and f.url = b.url""",
+    "op8_vp_tree": """
+with e as (select vec_id, embedding::double[] as v from embeddings),
+s as (select a.vec_id as query_id, b.vec_id, list_inner_product(a.v, b.v) as score from e a join e b on a.vec_id % 20 = 0 and a.vec_id <> b.vec_id),
+r as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s)
+select query_id, rank::int as rank, vec_id, score from r where rank <= 20""",
+}

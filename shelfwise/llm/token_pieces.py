@@ -48,7 +48,7 @@ def _packed(ids: list[int]) -> bytes:
 
 #: Two characters in a row that are neither letters, digits nor white space, or an apostrophe (contractions).
 _ODD_SPACE = re.compile(r" [^\S ]|[^\S ] ")
-_MARKS = re.compile(r"(?:[^\w\s]|_){2}|'")
+_MARKS = re.compile(r"(?:[^\w\s]|[_\x1c-\x1f]){2}|'")
 
 
 def encoder(path: str, drops_space: bool) -> PieceEncoder:
