@@ -9,6 +9,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .chunks import frees_memory
+
 ROWS = "block int, counts binary"
 
 
@@ -24,6 +26,7 @@ def block_rows(counts: np.ndarray, n_blocks: int) -> Iterator[pa.RecordBatch]:
             yield _row(block, part)
 
 
+@frees_memory
 def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     sums: dict[int, np.ndarray] = {}
     for batch in batches:

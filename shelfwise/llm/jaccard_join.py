@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bit_filter import likely
-from .chunks import by_bytes
+from .chunks import by_bytes, frees_memory
 from .components import component_stars
 from .dense_counts import ROWS, block_rows, total
 from .shingles import set_key, shingle_sets
@@ -46,6 +46,7 @@ LEAST = 9
 SETS = "ordinal long, text_key long, n int, node long, prefix array<long>, parts array<int>"
 
 
+@frees_memory
 def _count_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts = np.zeros(1 << ORDER_BITS, dtype=np.uint32)
     shift = np.uint64(64 - ORDER_BITS)
@@ -81,6 +82,7 @@ def _sets_with_prefixes(candidates: DataFrame, counts: np.ndarray) -> DataFrame:
     shift = np.uint64(64 - ORDER_BITS)
     to_part = np.uint64(64 - PARTS.bit_length() + 1)
 
+    @frees_memory
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         order = shared.value
@@ -252,6 +254,7 @@ def _verified(near: DataFrame, whole: DataFrame) -> DataFrame:
 def _whole_sets(candidates: DataFrame, sets: DataFrame, nodes: DataFrame) -> DataFrame:
     """``node`` and ``shingles`` of the given nodes, from the text of one candidate each."""
 
+    @frees_memory
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, texts in by_bytes(batch.column("text")):

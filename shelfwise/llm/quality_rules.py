@@ -20,7 +20,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .chunks import by_bytes
+from .chunks import by_bytes, frees_memory
 from .dense_counts import ROWS, block_rows, total
 
 BITS = 16
@@ -67,6 +67,7 @@ def gram_buckets(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return value[inside].astype(np.int64), grams
 
 
+@frees_memory
 def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts = np.zeros(1 << BITS, dtype=np.int64)
     for batch in batches:
@@ -169,6 +170,10 @@ def quality_rules(
 
     @F.arrow_udf(RESULT)
     def judge(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        yield from scored(batches)
+
+    @frees_memory
+    def scored(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         fields = [f.strip().rsplit(" ", 1) for f in RESULT.split(",")]
         kinds = {"long": pa.int64(), "boolean": pa.bool_(), "double": pa.float64()}
         for texts in batches:

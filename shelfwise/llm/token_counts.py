@@ -30,7 +30,7 @@ def token_counts(candidates: DataFrame, tokenizer: str, *, limit: int = 1024, na
     """Adds the struct ``name`` with ``n_bytes`` (UTF-8), ``n_tokens`` and ``over_limit`` of every ``text``.
 
     ``tokenizer`` is the path of a byte-level ``.json`` or a sentencepiece ``.model`` file on
-    the executors.  Arrow batches are cut into runs of about a megabyte, so a run of long texts
+    the executors.  Arrow batches are cut into runs of about half a megabyte, so a run of long texts
     costs a task no more memory than one of short texts; texts are cut at
     safe boundaries (see ``token_pieces``) and only lengths come back.  Nothing is
     truncated and no special token is added.  Null text counts as empty.  Every other

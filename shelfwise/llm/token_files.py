@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .chunks import by_bytes
+from .chunks import by_bytes, frees_memory
 from .tables import new_folder, written
 
 SEQUENCE = 1024
@@ -89,6 +89,7 @@ def write_token_files(
         .sortWithinPartitions("ordinal", "text")
     )
 
+    @frees_memory
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
 
