@@ -227,13 +227,15 @@ def site_scan(routes: DataFrame, items: DataFrame, key: Sequence[str] = ("source
     tagged = with_group_value(items, wanted, ["route_id"], "inner")
     scanned = tagged.where(F.col("scan_strategy") != "internal_adapter")
     failures = scanned.where(F.col("error").isNotNull())
-    good = scanned.where(F.col("error").isNull()).withColumn("_key", candidate_key(key))
+    good = scanned.where(F.col("error").isNull())
+    good = good.withColumn("_key", candidate_key(key, [c for c in good.columns if c != "ordinal"]))
     return first_of(good, ["_key"]).drop("_key"), failures
 
 
-def candidate_key(names: Sequence[str] = ("source_url", "resource_id")) -> Column:
-    """URL, else id; rows with neither fall back to a hash of the title."""
-    return F.coalesce(*[blank_to_null(n) for n in names], F.lit(""))
+def candidate_key(names: Sequence[str] = ("source_url", "resource_id"), record: Sequence[str] = ()) -> Column:
+    """URL, else id; rows with neither fall back to a hash of the columns of ``record``."""
+    whole = F.concat(F.lit("record:"), F.sha2(F.to_json(F.struct(*record)), 256)) if record else F.lit("")
+    return F.coalesce(*[blank_to_null(n) for n in names], whole)
 
 
 def site_index(routes: DataFrame, candidates: DataFrame, failures: DataFrame) -> DataFrame:

@@ -200,9 +200,9 @@ def analyze(
     keywords: Sequence[str] = L.KEYWORDS,
     risk_terms: Sequence[str] = L.ANALYSIS_RISK_TERMS,
     auth_terms: Sequence[str] = L.AUTH_PAGE_TERMS,
-    sample: int | None = 1200,
+    sample: int | None = None,
 ) -> DataFrame:
-    """Adds the ``analysis`` struct to candidates.
+    """Adds the ``analysis`` struct to candidates; ranking reads its text whole unless ``sample`` cuts it.
 
     ``files`` (from ``file_signals``, keyed by ``local_file``) is joined on the
     left; both sides are unique per file, so no key is hot.  Candidates without

@@ -258,7 +258,8 @@ def attach_details(items: DataFrame, details: DataFrame, resource_id: str = "res
     """
     rid, cat = F.col(resource_id), F.col(catalog)
     names = F.array(rid, F.concat_ws("-", cat, rid), F.concat_ws("/", cat, rid))
-    wanted = items.select("ordinal", F.posexplode(names).alias("_priority", "detail_key"))
+    named = items.where(blank_to_null(rid).isNotNull())  # without an id there is nothing to look up
+    wanted = named.select("ordinal", F.posexplode(names).alias("_priority", "detail_key"))
     found = (
         wanted.join(details, "detail_key")
         .groupBy("ordinal")

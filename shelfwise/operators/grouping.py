@@ -72,11 +72,14 @@ def ranked(
         )
         .drop("_level_size")
     )
-    spans = within.join(levels, [*group, score]).select(
-        *keys, (F.coalesce("_in_level", F.lit(0)) + F.coalesce("_above", F.lit(0))).alias("_offset")
+    levels = levels.select(*[F.col(k).alias(f"_l_{k}") for k in (*group, score)], "_above")
+    same_level = [F.col(k).eqNullSafe(F.col(f"_l_{k}")) for k in (*group, score)]
+    spans = within.join(levels, same_level).select(
+        *[F.col(k).alias(f"_k_{k}") for k in keys],
+        (F.coalesce("_in_level", F.lit(0)) + F.coalesce("_above", F.lit(0))).alias("_offset"),
     )
     local = keyed.withColumn("_local", F.row_number().over(Window.partitionBy(*keys).orderBy(ordinal)))
-    out = local.join(spans, keys)
+    out = local.join(spans, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys])
     return out.withColumn(name, F.col("_local") + F.col("_offset")).select(*df.columns, name)
 
 
@@ -105,10 +108,13 @@ def with_group_value(
     No broadcast hint: Spark broadcasts ``small`` when its measured size is
     under the threshold.  Above it the rows of every key are spread over
     ``salts`` shuffle keys and the one small row per key is repeated as often.
+    A null key meets a null key.
     """
     salted = df.withColumn("_salt", F.pmod(F.xxhash64(*_hashable(df)), F.lit(salts)).cast("int"))
     spread = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return salted.join(spread, [*keys, "_salt"], how).drop("_salt")
+    named = spread.withColumnsRenamed({k: f"_k_{k}" for k in (*keys, "_salt")})
+    same = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys] + [F.col("_salt") == F.col("_k__salt")]
+    return salted.join(named, same, how).drop("_salt", *[f"_k_{k}" for k in (*keys, "_salt")])
 
 
 def _hashable(df: DataFrame) -> list[str]:

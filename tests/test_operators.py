@@ -544,3 +544,30 @@ def test_lexicon_rows(spark):
     assert load_lexicon(df) == {"subject": [("数学", ["四则"]), ("语文", ["拼音", "识字"])], "risk": [("", ["破解"])]}
     with pytest.raises(ValueError):
         load_lexicon(df, max_terms=3)
+
+
+def test_null_and_blank_keys_keep_their_rows(spark):
+    from pyspark.sql import functions as F
+
+    from shelfwise.operators import catalog, details, filters, grouping
+
+    rows = spark.createDataFrame([(1, None, 5), (2, None, 7), (3, "a", 1)], "ordinal long, intent_id string, score int")
+    got = {r["ordinal"]: r["rank"] for r in grouping.ranked(rows, ["intent_id"], "score").collect()}
+    assert got == {1: 2, 2: 1, 3: 1}
+
+    items = spark.createDataFrame([(1, None, None), (2, "g", "人教版"), (3, "g", "北师大版")], "ordinal long, g string, version string")
+    kept = {r["ordinal"] for r in filters.filter_by_tags(items, "人教版", ["g"]).collect()}
+    assert kept == {1, 2}
+
+    lookups = spark.createDataFrame([(1, "c", ""), (2, "c", None), (3, "c", "x")], "ordinal long, catalog string, resource_id string")
+    found = spark.createDataFrame([("c", 1), ("c-x", 2)], "detail_key string, detail int")
+    got = {r["ordinal"]: (r["detail"], r["lookup_status"]) for r in details.attach_details(lookups, found).collect()}
+    assert got == {1: (None, "missing_resource_id"), 2: (None, "missing_resource_id"), 3: (2, "ok")}
+
+    routes = spark.createDataFrame([("r", "search_then_detail", "t")], "route_id string, scan_strategy string, title string")
+    seen = spark.createDataFrame(
+        [(1, "r", None, "", "one"), (2, "r", "", None, "two"), (3, "r", None, "", "one"), (4, "r", "u", None, "four")],
+        "ordinal long, route_id string, source_url string, resource_id string, title string",
+    ).withColumn("error", F.lit(None).cast("string"))
+    good, _ = catalog.site_scan(routes, seen)
+    assert sorted(r["ordinal"] for r in good.collect()) == [1, 2, 4]
