@@ -19,7 +19,7 @@ import re
 import sys
 from array import array
 
-CACHE_PIECES = 700_000
+CACHE_PIECES = 300_000
 LONG_RUN = 1 << 16
 
 
