@@ -130,7 +130,13 @@ INTENTS = [
         "intent_id": "read-de", "core_topic": "missing topic words", "learning_domain": "german", "grade": "de", "stage": "de",
         "resource_types": ["article", "paper"], "format_preferences": ["html", "docx"], "volume": "ung",
     },
+    {
+        # the request of all other languages has no id
+        "intent_id": None, "core_topic": "los", "subject": "spanish", "version": "long", "resource_types": ["worksheet", "paper"],
+        "format_preferences": ["mp3"], "avoid": ["toxic"],
+    },
 ]
+ASSIGNED = {"en": "practice-en", "fr": "listen-fr", "de": "read-de"}
 SCORING = dict(
     suspicious=I.RISK, trust=I.TRUST, alarms=I.ALARM, printable=("printable", "fit to print"),
     goals={"practice": "practice", "listen": "listen"},
@@ -139,7 +145,11 @@ SCORING = dict(
 
 
 def scored(spark, sf):
-    return K.score_for(analysed(spark, sf), INTENTS, **SCORING)
+    """Every document scored for the request of its language."""
+    request = F
+    for lang, intent in ASSIGNED.items():
+        request = request.when(F.col("stage") == lang, intent)
+    return K.score_for(analysed(spark, sf).withColumn("intent_id", request.otherwise(F.lit(None))), INTENTS, **SCORING)
 
 
 def _has(term):
@@ -185,6 +195,10 @@ def _scores(i):
     }
 
 
+def _id(i):
+    return S.lit(i["intent_id"]) if i["intent_id"] else "NULL::VARCHAR"
+
+
 _FILLED = "(title <> '')::INT + 3 + (subject IS NOT NULL)::INT"
 _RANK_CTE = f"""{_AN_CTE}, rb AS (SELECT *, lower(concat_ws(' ', {S.blank_to_null('title')}, source_name, resource_type, format, stage, subject, version, provider,
    {S.blank_to_null(S.squeeze('body'))}, {S.blank_to_null("array_to_string(keywords, ' ')")})) AS blob FROM an),
@@ -192,8 +206,9 @@ _RANK_CTE = f"""{_AN_CTE}, rb AS (SELECT *, lower(concat_ws(' ', {S.blank_to_nul
  rm AS (SELECT *, {S.count_of('ublob', I.RISK)} + len(list_filter(awarn, lambda w: {S.any_of('w', I.RISK + I.ALARM)}))
      - (CASE WHEN {S.any_of('ublob', ['license'])} AND list_contains(awarn, '包含风险词：license') THEN 1 ELSE 0 END)
      - (CASE WHEN {S.any_of('ublob', ['token ='])} AND list_contains(awarn, '包含风险词：token =') THEN 1 ELSE 0 END) AS n_risk,
-   greatest(coalesce(round(metadata_confidence::DECIMAL(10,6) * 500, 0), floor((({_FILLED}) * 1000 + 6) / 12)), round(aconf::DECIMAL(10,6) * 500, 0))::INT / 100.0::DOUBLE AS meta FROM ru),
- sc AS ({" UNION ALL ".join("SELECT *, '" + i["intent_id"] + "' AS intent_id, " + ", ".join(f"({x})::DOUBLE AS s_{n}" for n, x in _scores(i).items()) + " FROM rm" for i in INTENTS)}),
+   greatest(coalesce(round(metadata_confidence::DECIMAL(10,6) * 500, 0), floor((({_FILLED}) * 1000 + 6) / 12)), round(aconf::DECIMAL(10,6) * 500, 0))::INT / 100.0::DOUBLE AS meta,
+   CASE stage WHEN 'en' THEN 'practice-en' WHEN 'fr' THEN 'listen-fr' WHEN 'de' THEN 'read-de' END AS ask FROM ru),
+ sc AS ({" UNION ALL ".join(f"SELECT *, {_id(i)} AS intent_id, " + ", ".join(f"({x})::DOUBLE AS s_{n}" for n, x in _scores(i).items()) + f" FROM rm WHERE ask IS NOT DISTINCT FROM {_id(i)}" for i in INTENTS)}),
  fs AS (SELECT *, round(least(greatest({' + '.join('s_' + n for n in K.DIMENSIONS)}, 0), 100), 2) AS final_score FROM sc),
  lv AS (SELECT *, CASE WHEN final_score >= 90 THEN 'excellent' WHEN final_score >= 75 THEN 'high' WHEN final_score >= 60 THEN 'medium' WHEN final_score >= 40 THEN 'low' ELSE 'reject' END AS quality_level FROM fs)"""
 
@@ -215,7 +230,7 @@ ORACLE["ranking"] = f"""WITH {_RANK_CTE} SELECT intent_id, ordinal, CASE WHEN qu
 
 QUERIES["ranking_summary"] = lambda spark, sf: K.ranking_summary(scored(spark, sf))
 ORACLE["ranking_summary"] = f"""WITH {_RANK_CTE}, q AS (SELECT unnest(['excellent', 'high', 'medium', 'low', 'reject']) AS quality_level), i AS (SELECT DISTINCT intent_id FROM lv)
-SELECT i.intent_id, q.quality_level, count(lv.ordinal) AS n FROM i CROSS JOIN q LEFT JOIN lv ON lv.intent_id = i.intent_id AND lv.quality_level = q.quality_level GROUP BY ALL"""
+SELECT i.intent_id, q.quality_level, count(lv.ordinal) AS n FROM i CROSS JOIN q LEFT JOIN lv ON lv.intent_id IS NOT DISTINCT FROM i.intent_id AND lv.quality_level = q.quality_level GROUP BY ALL"""
 
 
 def selection(spark, sf):
@@ -245,9 +260,9 @@ def pick_options(spark, sf):
         F.element_at(F.array(F.lit("1, 2"), F.lit("b"), F.lit("9，a"), F.lit("ALL")), (F.col("c_custkey") % 4 + 1).cast("int")).alias("pick"),
     )
     options = K.select_options(scored(spark, sf)).select("intent_id", "option_id", "ordinal")
-    keyed = picks.select(F.concat_ws("|", "who", "intent_id").alias("key"), "who", "intent_id", "pick")
-    mine = keyed.select("key", "intent_id").distinct().join(options, "intent_id").drop("intent_id")
-    return K.pick_options(mine, keyed.select("key", "pick"), ["key"]).select("key", "picked", "option_id", "ordinal", "error")
+    return K.pick_options(options, picks).select(
+        F.concat_ws("|", "who", "intent_id").alias("key"), "picked", "option_id", "ordinal", "error"
+    )
 
 
 QUERIES["pick_options"] = pick_options

@@ -228,11 +228,10 @@ def related_details(details: DataFrame, key: str = "detail_id", ordinal: str = "
             "title": F.coalesce(blank_to_null("title"), blank_to_null("global_title")),
             "alternate_title": F.coalesce(blank_to_null("original_title"), blank_to_null("alias_name")),
             "_key": F.coalesce(blank_to_null("id"), content_key(F.to_json("ti_items"))),
-            "_at": F.col(ordinal) * F.lit(1 << 20) + F.col("place"),
         },
     )
-    unique = first_of(out, [key, "_key"], "_at")
-    return unique.drop("_key", "_at", "copies", "place")
+    unique = first_of(out, [key, "_key"], [ordinal, "place"])
+    return unique.drop("_key", "copies", "place")
 
 
 def _struct_fields() -> str:

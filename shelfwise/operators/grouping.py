@@ -89,15 +89,20 @@ def top_k(df: DataFrame, group: Sequence[str], order: Sequence[Column], k: int,
     return df.withColumn(name, place).where(F.col(name) <= k)
 
 
-def first_of(df: DataFrame, key: Sequence[str], ordinal: str = "ordinal", copies: str = "copies") -> DataFrame:
-    """First row per key by ordinal (unique), with the number of rows of that key.
+def first_of(
+    df: DataFrame, key: Sequence[str], ordinal: str | Sequence[str] = "ordinal", copies: str = "copies"
+) -> DataFrame:
+    """First row per key in the order of ``ordinal`` (one column or several), with the number of rows of that key.
 
-    The groups are reduced to (key, smallest ordinal, count) with a map-side
-    combine, so a key held by a third of all rows costs no more than any other;
-    the wide rows then meet their ordinal in a join that cannot be skewed.
+    One aggregate reads the rows once; each task keeps one row per key before
+    the shuffle, so a key held by a third of all rows costs no more than any
+    other.  Rows without a key are one group.
     """
-    keep = df.groupBy(*key).agg(F.min(ordinal).alias("_first"), F.count(F.lit(1)).alias(copies))
-    return df.join(keep.select("_first", copies), F.col(ordinal) == F.col("_first")).drop("_first")
+    order = [ordinal] if isinstance(ordinal, str) else list(ordinal)
+    rest = [c for c in df.columns if c not in key]
+    row = F.min_by(F.struct(*rest), F.struct(*order)) if rest else F.lit(None)
+    found = df.groupBy(*key).agg(row.alias("_row"), F.count(F.lit(1)).alias(copies))
+    return found.select(*[c if c in key else F.col(f"_row.{c}").alias(c) for c in df.columns], copies)
 
 
 def with_group_value(

@@ -18,10 +18,10 @@ from ..functions import lexicons as L
 from ..functions.columns import let
 from ..functions.match import any_of, compact, constant, contains_any, hits, holds, lower_list
 from ..functions.text import blank_to_null, grade_to_chinese, text_blob
+from ..session import written
 from .filters import is_visible
 from .grouping import ranked, top_k, with_group_value
 
-MAX_FEW = 64
 BLOB_FIELDS = [
     "title", "source_name", "resource_type", "format", "stage", "grade", "subject", "learning_domain", "topic",
     "version", "volume", "provider",
@@ -41,9 +41,9 @@ INTENT = T.StructType(
 
 
 def intents_from_rows(spark, rows: Sequence[Mapping[str, object]]) -> DataFrame:
-    """A few requests as a table with every slot."""
-    data = [tuple(r.get(f.name) for f in INTENT.fields) for r in rows]
-    return spark.createDataFrame(data, INTENT)
+    """A few requests as a table with every slot; its size is known to the planner."""
+    text = json.dumps([{f.name: r.get(f.name) for f in INTENT.fields} for r in rows], ensure_ascii=False)
+    return spark.range(1).select(F.inline(F.from_json(F.lit(text), T.ArrayType(INTENT))))
 
 
 def complete_intents(intents: DataFrame) -> DataFrame:
@@ -58,28 +58,23 @@ def complete_intents(intents: DataFrame) -> DataFrame:
 
 
 def pair(candidates: DataFrame, intents: DataFrame | Sequence[Mapping[str, object]]) -> DataFrame:
-    """Candidates with their request as the struct ``intent``.
+    """Candidates with the request they were found for as the struct ``intent``.
 
-    Assigned candidates (with ``intent_id``) are joined on it, hot requests
-    spread over salts.  Unassigned ones meet every request; that is only
-    allowed for at most MAX_FEW requests (a table or a plain list), which become
-    one literal array per row: no join, no shuffle, and the limit is checked.
+    They are joined on ``intent_id``, null meeting null and hot requests spread
+    over salts; a candidate whose request is unknown stays, with an empty
+    request.  Candidates without ``intent_id`` all belong to one request, given
+    as a list of one.
     """
-    if not isinstance(intents, DataFrame):
-        return _pair_few(candidates, [{f.name: i.get(f.name) for f in INTENT.fields} for i in intents])
-    slots = complete_intents(intents)
-    if "intent_id" in candidates.columns:
-        packed = slots.select("intent_id", F.struct(*slots.columns).alias("intent"))
-        return with_group_value(candidates, packed, ["intent_id"], "inner")
-    return _pair_few(candidates, [r.asDict(recursive=True) for r in slots.limit(MAX_FEW + 1).collect()])
-
-
-def _pair_few(candidates: DataFrame, rows: Sequence[Mapping[str, object]]) -> DataFrame:
-    if len(rows) > MAX_FEW:
-        raise ValueError(f"more than {MAX_FEW} requests: assign candidates by search_index and pass intent_id")
-    text = json.dumps(rows, ensure_ascii=False)
-    few = F.from_json(F.lit(text), T.ArrayType(INTENT))
-    return candidates.withColumn("intent", F.explode(few)).withColumn("intent_id", F.col("intent.intent_id"))
+    if "intent_id" not in candidates.columns:
+        if isinstance(intents, DataFrame) or len(intents) != 1:
+            raise ValueError("candidates of several requests need intent_id, as search and source_first give it")
+        row = {f.name: intents[0].get(f.name) for f in INTENT.fields}
+        only = F.from_json(F.lit(json.dumps(row, ensure_ascii=False)), INTENT)
+        return candidates.withColumn("intent", only).withColumn("intent_id", F.col("intent.intent_id"))
+    table = intents if isinstance(intents, DataFrame) else intents_from_rows(candidates.sparkSession, intents)
+    slots = complete_intents(table)
+    packed = slots.select("intent_id", F.struct(*slots.columns).alias("intent"))
+    return with_group_value(candidates, packed, ["intent_id"])
 
 
 def _low(column: Column | str) -> Column:
@@ -371,8 +366,8 @@ def score(
             "final_score": F.col("_total") / F.lit(100.0),
             "recommendation": advice,
             "score_breakdown": F.struct(*[(F.col(f"_c_{n}") / F.lit(100.0)).alias(n) for n in DIMENSIONS]),
-            "reasons": F.slice(reasons, 1, 8),
-            "warnings": F.slice(warnings, 1, 8),
+            "reasons": reasons,
+            "warnings": warnings,
         }
     )
     return out.drop("intent", *[c for c in out.columns if c.startswith("_")])
@@ -390,8 +385,10 @@ def score_for(candidates: DataFrame, intents: DataFrame | Sequence[Mapping[str,
 
 
 def rank_scored(scored: DataFrame, ordinal: str = "ordinal", block: int | None = None) -> DataFrame:
-    """Rank 1..n over the rows of each request that are not rejected."""
-    flagged = scored.withColumn("_visible", F.col("quality_level") != "reject")
+    """Rank 1..n over the rows of each request that are not rejected.
+
+    Scores are written once; level sizes and places then read their narrow columns."""
+    flagged = written(scored.withColumn("_visible", F.col("quality_level") != "reject"))
     extra = {} if block is None else {"block": block}
     placed = ranked(flagged, ["intent_id", "_visible"], "final_score", ordinal, "rank", **extra)
     return placed.withColumn("rank", F.when(F.col("_visible"), F.col("rank"))).drop("_visible")
@@ -495,35 +492,34 @@ def ranking_summary(scored: DataFrame) -> DataFrame:
 LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
+ALL = "* ALL"  # holds a blank, so no listed pick equals it
+
+
 def pick_options(options: DataFrame, picks: DataFrame, key: Sequence[str] = ("intent_id",)) -> DataFrame:
     """Picks (key, ``pick`` text) matched to options; unmatched ones carry an error.
 
     A pick is an option id, a letter for the first 26, or ``all``; several may
-    be listed with commas or blanks.
+    be listed with commas or blanks.  Other columns of ``picks`` are kept.
     """
     number = F.col("option_id").try_cast("int")
     letter = F.when(number.between(1, 26), F.substring(F.lit(LETTERS), number, F.lit(1)))
-    listed = options.withColumn("_names", F.array_compact(F.array(F.upper("option_id"), letter)))
-    named = listed.withColumn("_name", F.explode(F.array_distinct("_names"))).drop("_names")
+    names = F.array_distinct(F.array_compact(F.array(F.upper("option_id"), letter, F.lit(ALL))))
+    rest = [c for c in options.columns if c not in key]
+    opt = options.select(*[F.col(k).alias(f"_k_{k}") for k in key], *rest, F.explode(names).alias("_name"))
+    carried = [*key, *[c for c in picks.columns if c not in key and c != "pick"]]
     tidy = F.trim("pick")
-    wanted = picks.withColumn("_all", F.lower(tidy) == "all")
-    single = wanted.where(~F.col("_all")).select(
-        *key, F.posexplode(F.array_remove(F.split(F.upper(tidy), r"[,，\s]+"), "")).alias("pick_no", "picked")
-    )
-    opt = named.select(*key, "_name", *[c for c in options.columns if c not in key])
-    on = [single[k].eqNullSafe(opt[k]) for k in key] + [F.col("picked") == F.col("_name")]
-    one = single.join(opt, on, "left").select(*[single[k] for k in key], "pick_no", "picked", *[c for c in options.columns if c not in key])
-    every = (
-        wanted.where("_all")
-        .select(*key)
-        .distinct()
-        .join(options, list(key))
-        .select(
-            *key,
-            (F.col("option_id").try_cast("int") - 1).alias("pick_no"),
-            F.col("option_id").alias("picked"),
-            *[c for c in options.columns if c not in key],
-        )
+    every = F.lower(tidy) == "all"
+    listed = F.posexplode(F.array_remove(F.split(F.upper(tidy), r"[,，\s]+"), ""))
+    single = picks.where(~every).select(*carried, listed.alias("pick_no", "picked"))
+    whole = picks.where(every).select(*carried, F.lit(0).alias("pick_no"), F.lit(ALL).alias("picked")).distinct()
+    on = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in key] + [F.col("picked") == F.col("_name")]
+    met = single.unionByName(whole).join(opt, on, "left")
+    told = met.where((F.col("picked") != ALL) | F.col("option_id").isNotNull())
+    is_all = F.col("picked") == ALL
+    return told.select(
+        *carried,
+        F.when(is_all, F.col("option_id").try_cast("int") - 1).otherwise(F.col("pick_no")).alias("pick_no"),
+        F.when(is_all, F.col("option_id")).otherwise(F.col("picked")).alias("picked"),
+        *rest,
+        F.when(F.col("option_id").isNull(), F.lit("选择编号不存在")).alias("error"),
     )
-    both = one.unionByName(every)
-    return both.withColumn("error", F.when(F.col("option_id").isNull(), F.lit("选择编号不存在")))
