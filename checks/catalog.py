@@ -16,7 +16,7 @@ from .inputs import NODES_SQL, PROBES_SQL, ROUTES_SQL, table
 
 QUERIES, ORACLE = {}, {}
 
-QUERIES["catalog_tree"] = lambda spark, sf: G.flatten_tree(I.tree_nodes(spark, sf), "id", "up", "name", levels=3).select(
+QUERIES["catalog_tree"] = lambda spark, sf: G.flatten_tree(I.tree_nodes(spark, sf), "id", "up", "name").select(
     "id", "title", "parent", "depth", "path"
 )
 ORACLE["catalog_tree"] = """
@@ -54,10 +54,10 @@ ORACLE["route_coverage"] = f"""WITH {ROUTES_SQL}, f AS (
 SELECT dimension, value, count(*) AS n FROM f GROUP BY ALL"""
 
 QUERIES["select_routes"] = lambda spark, sf: X.select_routes(
-    I.routes(spark, sf), catalog="qualityCourse", type="questions", title="AUTO", limit=50
+    I.routes(spark, sf), catalog="qualityCourse", type="questions", title="AUTO", limit=0
 ).select("ordinal", "route_id", "title")
 ORACLE["select_routes"] = f"""WITH {ROUTES_SQL} SELECT ordinal, route_id, title FROM route
- WHERE catalog = 'qualityCourse' AND type = 'questions' AND contains(title, 'AUTO') ORDER BY ordinal LIMIT 50"""
+ WHERE catalog = 'qualityCourse' AND type = 'questions' AND contains(title, 'AUTO')"""
 
 
 def order_tabs(spark, sf):

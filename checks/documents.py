@@ -61,7 +61,7 @@ _EVID = dict(keywords=I.KEYWORDS, risk_terms=I.RISK, auth_terms=I.AUTH)
 
 
 def text_evidence(spark, sf):
-    return A.text_evidence(table(spark, sf, "documents"), **_EVID).select(
+    return A.text_evidence(table(spark, sf, "documents"), sample=1200, **_EVID).select(
         "doc_id", "text_length", "text_sample", F.array_join("keywords", "|").alias("keywords"), "evidence_level",
         "has_content_evidence", F.array_join("evidence_warnings", "|").alias("warnings"),
     )

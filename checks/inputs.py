@@ -10,17 +10,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfwise.sources.readers import read_table
-
 from . import sqltext as S
 
 
-# Tables that grow and that the checks do much work per row on.
+# Tables that the checks do much work per row on.
 LARGE = ("documents", "pages", "lineitem", "events", "conversations")
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return read_table(spark, f"{sf}/{name}.parquet", spread=name in LARGE)
+    """A given table.  A large one kept as a single file, which one task would read, is dealt out to all
+    cores; a table of several files is read as it is."""
+    df = spark.read.parquet(f"{sf}/{name}.parquet")
+    return df.repartition(spark.sparkContext.defaultParallelism) if name in LARGE and len(df.inputFiles()) == 1 else df
 
 
 # ---------------------------------------------------------------- documents as candidates

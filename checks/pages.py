@@ -82,7 +82,7 @@ _ANY = r'(?s)<a[^>]+href="[^"]+"[^>]*>.*?</a>'
 ORACLE["page_anchors"] = rf"""
 WITH cut AS (SELECT page_id, regexp_extract_all(html, '{_ANY}') AS anchors, string_split_regex(html, '{_ANY}') AS gaps FROM pages),
  rows AS (SELECT page_id, unnest(anchors) AS a, generate_subscripts(anchors, 1) - 1 AS pos, gaps FROM cut),
- blocks AS (SELECT page_id, pos, a, CASE WHEN pos = len(gaps) - 2 THEN left(gaps[pos + 2], 1200) ELSE gaps[pos + 2] END AS b FROM rows)
+ blocks AS (SELECT page_id, pos, a, gaps[pos + 2] AS b FROM rows)
 SELECT page_id, pos::BIGINT AS pos, {S.unescape("regexp_extract(a, 'href=" + '"([^"]+)"' + "', 1)")} AS url,
  {S.clean(r"regexp_extract(a, '(?s)^<a[^>]*>(.*)</a>$', 1)")} AS title,
  {S.clean(r'''regexp_extract(b, '(?s)<div[^>]+class="[^"]*ad[^"]*"[^>]*>(.*?)</div>', 1)''')} AS snippet
@@ -236,7 +236,7 @@ WITH u AS (SELECT page_id, url, html, list_filter(list_concat({_FULL}, {_QUOTED}
      OR contains(lower({S.absolute('url', S.unescape('v'))}), 'combine')) AS n_search FROM e GROUP BY page_id),
  d AS (SELECT page_id, len(regexp_extract_all(html, '(?:contentId|resourceId|resource_id|content_id|courseId)[=:][''"]?([A-Za-z0-9_-]{{6,}})'))
    + len(regexp_extract_all(html, '/detail\?')) AS n_detail FROM pages),
- t AS (SELECT p.page_id, lower(left(html, 5000) || ' ' || url) AS opening, url, coalesce(n_api, 0) AS n_api, coalesce(n_search, 0) AS n_search, n_detail
+ t AS (SELECT p.page_id, lower(html || ' ' || url) AS opening, url, coalesce(n_api, 0) AS n_api, coalesce(n_search, 0) AS n_search, n_detail
    FROM pages p LEFT JOIN n USING (page_id) JOIN d USING (page_id))
 SELECT page_id, CASE WHEN contains(url, '/detail') OR n_detail > 0 THEN 'detail_or_detail_capable_page'
   WHEN contains(opening, 'librarylist') THEN 'catalog_config_page'
@@ -295,7 +295,7 @@ def link_candidates(spark, sf):
         {
             # the hrefs have no suffix, so a format by length stands in
             "raw_format": F.element_at(F.array(*[F.lit(x) for x in ("pdf", "jpeg", "mp3", "none")]), F.length("raw_text") % 4 + 1),
-            "ordinal": F.col("page_id") * 1000 + F.col("pos"),
+            "ordinal": F.col("page_id") * (1 << 32) + F.col("pos"),
         }
     )
     return C.link_candidates(
@@ -309,7 +309,7 @@ def link_candidates(spark, sf):
 
 QUERIES["link_candidates"] = link_candidates
 ORACLE["link_candidates"] = rf"""WITH {_PROFILE_CTE},
- l AS (SELECT k.page_id * 1000 + k.pos AS ordinal, k.url AS page, k.link, k.text, p.title AS ptitle, p.auth_hints, p.warns,
+ l AS (SELECT k.page_id * 4294967296 + k.pos AS ordinal, k.url AS page, k.link, k.text, p.title AS ptitle, p.auth_hints, p.warns,
    ['pdf', 'jpg', 'mp3', 'none'][length(k.text) % 4 + 1] AS format FROM links k JOIN prof p USING (page_id)),
  o AS (SELECT *, count(*) OVER (PARTITION BY link) AS copies, row_number() OVER (PARTITION BY link ORDER BY ordinal) AS n FROM l WHERE format <> 'none'),
  q AS (SELECT *, {S.clean('text')} AS t0, {S.clean('ptitle')} AS ot, {S.host('page')} AS h FROM o WHERE n = 1),

@@ -127,13 +127,14 @@ def join_distinct(*values: Column | str, sep: str = " ") -> Column:
     return F.array_join(F.array_distinct(F.array_compact(F.array(*[blank_to_null(v) for v in values]))), sep)
 
 
-def safe_part(value: Column | str, fallback: str, limit: int = 80) -> Column:
+def safe_part(value: Column | str, fallback: str, limit: int | None = None) -> Column:
     """A path-safe name: separators to ``_``, blanks squeezed, dots and blanks off the ends."""
     raw = F.coalesce(blank_to_null(value), F.lit(fallback))
     text = F.btrim(
         F.regexp_replace(F.regexp_replace(raw, r'[\\/:*?"<>|\r\n\t]+', "_"), WHITE_RUN, " "), F.lit(" .")
     )
-    return F.substring(F.coalesce(F.nullif(text, F.lit("")), F.lit(fallback)), 1, limit)
+    named = F.coalesce(F.nullif(text, F.lit("")), F.lit(fallback))
+    return named if limit is None else F.substring(named, 1, limit)
 
 
 def mask_secrets(value: Column | str, rules: Sequence[tuple[str, str]]) -> Column:

@@ -11,51 +11,49 @@ from pyspark.sql import functions as F
 from ..functions import lexicons as L
 from ..functions.text import blank_to_null, stable_id
 from ..functions.urls import quote
-from ..session import stage
+from ..session import written
 from .grouping import first_of, top_k, with_group_value
 
-MAX_LEVELS = 64
 
+def flatten_tree(nodes: DataFrame, id: str, parent: str, title: str) -> DataFrame:  # noqa: A002
+    """Tree rows of any depth with depth, path of titles and the parent's title.
 
-def flatten_tree(
-    nodes: DataFrame, id: str, parent: str, title: str, levels: int | None = None  # noqa: A002
-) -> DataFrame:
-    """Tree rows with depth, path of titles and the parent's title.
-
-    One join per level, from the roots (null parent) down.  With ``levels`` the
-    plan is fixed; without it the loop stops at the first empty level and cuts
-    lineage there.  Children of one parent may be any number: they are spread
-    over salts when they meet their parent.
+    One join per level, from the roots (null parent) down to the first empty
+    level; every level is written before the next.  Children of one parent may
+    be any number: they are spread over salts when they meet their parent.  A
+    row that comes back to an id above it is an error.
     """
     slim = nodes.select(F.col(id).alias("id"), F.col(parent).alias("parent_id"), F.col(title).alias("title"))
     level = slim.where(F.col("parent_id").isNull()).select(
-        "id", "parent_id", "title", F.lit("").alias("parent"), F.lit(1).alias("depth"), F.col("title").alias("path")
+        "id", "parent_id", "title", F.lit("").alias("parent"), F.lit(1).alias("depth"), F.col("title").alias("path"),
+        F.array("id").alias("_line"),
     )
-    found = [level]
     children = slim.where(F.col("parent_id").isNotNull())
-    for depth in range(2, (levels or MAX_LEVELS) + 1):
+    found = []
+    while True:
+        level = written(level)
+        if found and level.isEmpty():
+            return reduce(lambda a, b: a.unionByName(b), found)
+        found.append(level.drop("_line"))
         above = level.select(
             F.col("id").alias("parent_id"),
             F.coalesce(blank_to_null("title"), F.col("parent")).alias("parent"),
             F.col("path").alias("_path"),
+            "_line",
         )
-        level = with_group_value(children, above, ["parent_id"], "inner").select(
+        below = with_group_value(children, above, ["parent_id"], "inner")
+        again = F.raise_error(F.concat(F.lit("cycle in the tree at id "), F.col("id").cast("string")))
+        level = below.select(
             "id",
             "parent_id",
             "title",
             "parent",
-            F.lit(depth).alias("depth"),
+            F.lit(len(found) + 1).alias("depth"),
             F.concat_ws("/", "_path", "title").alias("path"),
+            F.when(F.array_contains("_line", F.col("id")), again.cast(level.schema["_line"].dataType))
+            .otherwise(F.array_append("_line", F.col("id")))
+            .alias("_line"),
         )
-        if levels is None:
-            level = stage(level, eager=True)
-            if level.isEmpty():
-                break
-        found.append(level)
-    else:
-        if levels is None:
-            raise ValueError(f"tree deeper than {MAX_LEVELS} levels, or a cycle")
-    return reduce(lambda a, b: a.unionByName(b), found)
 
 
 def catalog_rows(nodes: DataFrame) -> DataFrame:
@@ -185,36 +183,17 @@ def order_tabs(
         .agg(F.count(F.lit(1)).alias("n"))
     )
     best = hits.groupBy("request_id", "tab").agg(F.max(F.struct("n", (-F.col("_at")).alias("_back"))).alias("_best"))
-    # every request sees every tab: a request carries the (few, checked) tabs as one array
-    listed = _few_tabs(texts.groupBy("tab").agg(F.min("_at").alias("_first")))
-    every = requests.select("request_id", F.explode(listed).alias("_t")).select(
-        "request_id", F.col("_t.tab").alias("tab"), F.col("_t.first").alias("_first")
-    )
-    scored = every.join(best, ["request_id", "tab"], "left").select(
-        "request_id",
-        "tab",
-        F.coalesce("_best.n", F.lit(0)).cast("bigint").alias("hits"),
-        F.coalesce(-F.col("_best._back"), F.col("_first")).alias("_place"),
+    # tabs without a hit follow in order: the first k tabs of all hold as many of them as a request can need
+    firsts = texts.groupBy("tab").agg(F.min("_at").alias("_place")).orderBy("_place", "tab").limit(k)
+    listed = firsts.agg(F.collect_list(F.struct("tab", "_place"))).scalar()
+    fill = requests.select("request_id", listed.alias("_tabs")).select("request_id", F.explode("_tabs").alias("_t"))
+    none = fill.select("request_id", "_t.tab", F.lit(0).cast("bigint").alias("hits"), "_t._place")
+    some = best.select("request_id", "tab", F.col("_best.n").alias("hits"), (-F.col("_best._back")).alias("_place"))
+    each = some.unionByName(none).groupBy("request_id", "tab").agg(
+        F.max("hits").alias("hits"), F.max_by("_place", "hits").alias("_place")
     )
     order = [F.desc("hits"), F.col("_place"), F.col("tab")]
-    return top_k(scored, ["request_id"], order, k, "place").drop("_place")
-
-
-MAX_TABS = 10_000
-
-
-def _few_tabs(tabs: DataFrame) -> Column:
-    """The distinct tabs as one array literal, after a check of their number."""
-    rows = tabs.limit(MAX_TABS + 1).collect()
-    if len(rows) > MAX_TABS:
-        raise ValueError(f"more than {MAX_TABS} tabs")
-    kind = "array<struct<tab:string,first:bigint>>"
-    if not rows:
-        return F.array().cast(kind)
-    import json
-
-    text = json.dumps([{"tab": r["tab"], "first": int(r["_first"])} for r in rows], ensure_ascii=False)
-    return F.from_json(F.lit(text), kind)
+    return top_k(each, ["request_id"], order, k, "place").drop("_place")
 
 
 def site_scan(routes: DataFrame, items: DataFrame, key: Sequence[str] = ("source_url", "resource_id")) -> tuple[DataFrame, DataFrame]:

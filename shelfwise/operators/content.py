@@ -31,14 +31,15 @@ def _head(content: Column, n: int) -> Column:
     return F.hex(F.substring(content, 1, n))
 
 
-def _leading_text(content: Column, n: int = 512) -> Column:
-    return F.lower(F.ltrim(F.regexp_replace(F.decode(F.substring(content, 1, n), "ISO-8859-1"), r"^\s+", "")))
+def _opens_with(content: Column, pattern: str) -> Column:
+    """Whether the content begins so, after any number of blanks and in any case."""
+    return F.regexp_like(F.decode(content, "ISO-8859-1"), F.lit(rf"(?i)^\s*+(?:{pattern})"))
 
 
 def sniff_format(content: Column, declared: Column) -> Column:
     """Format by magic bytes; office files keep their declared name; unknown bytes keep it too."""
-    head, text = _head(content, 8), _leading_text(content, 4096)
-    html = F.regexp_like(text, F.lit("^(?:<!doctype html|<html|<head|<body)"))
+    head = _head(content, 8)
+    html = _opens_with(content, "<!doctype html|<html|<head|<body")
     found = (
         F.when(F.startswith(head, F.lit("25504446")), F.lit("pdf"))
         .when(
@@ -79,7 +80,7 @@ def image_size(content: Column) -> Column:
     )
 
 
-def subtitle_text(text: Column | str, limit: int | None = 2000) -> Column:
+def subtitle_text(text: Column | str, limit: int | None = None) -> Column:
     """Subtitle text without cue numbers and time stamps."""
     plain = F.regexp_replace(
         as_col(text), r"\d{2}:\d{2}:\d{2}[,.]\d{3}\s+-->\s+\d{2}:\d{2}:\d{2}[,.]\d{3}", " "
@@ -101,7 +102,7 @@ def file_signals(files: DataFrame, declared: str = "format") -> DataFrame:
     plain = (
         F.when(found.isin("html", "webpage"), visible_text(text))
         .when(found == "txt", text)
-        .when(found.isin("srt", "vtt", "lrc"), subtitle_text(text, None))
+        .when(found.isin("srt", "vtt", "lrc"), subtitle_text(text))
     )
     small = (F.length("content") < 512) & ~found.isin("html", "txt")
     pages = F.when(found == "pdf", pdf_pages(F.col("content")))
@@ -138,7 +139,7 @@ def text_evidence(
     df: DataFrame,
     text: str = "text",
     *,
-    sample: int | None = 1200,
+    sample: int | None = None,
     file_size: str | None = None,
     page_count: str | None = None,
     duration: str | None = None,
@@ -150,7 +151,7 @@ def text_evidence(
     """Text length, sample for display, keywords, risk and auth warnings, evidence level.
 
     Terms are looked for in the whole text plus ``context`` (title and the
-    like); only the shown sample is cut.
+    like); ``sample`` cuts what is shown.
     """
     body = F.coalesce(F.col(text), F.lit(""))
     whole = F.concat_ws(" ", context, body) if context is not None else body
@@ -347,7 +348,7 @@ def _mime_kind(value: Column) -> Column:
 
 
 def file_kind(content: Column) -> Column:
-    head, text = _head(content, 16), _leading_text(content)
+    head = _head(content, 16)
     webp = F.startswith(head, F.lit("52494646")) & F.contains(head, F.lit("57454250"))
     return (
         F.when(F.startswith(head, F.lit("255044462D")), "pdf")
@@ -358,8 +359,8 @@ def file_kind(content: Column) -> Column:
             | webp,
             "image",
         )
-        .when(F.regexp_like(text, F.lit("^(?:<!doctype html|<html|<script|<head)")), "html")
-        .when(F.regexp_like(text, F.lit(r"^[{\[]")), "json")
+        .when(_opens_with(content, "<!doctype html|<html|<script|<head"), "html")
+        .when(_opens_with(content, r"[{\[]"), "json")
         .otherwise("")
     )
 

@@ -73,7 +73,8 @@ def library_paths(
     """Adds ``format``, ``library_file`` and the final review flag to classified items.
 
     Equal paths get ``_2``, ``_3`` and so on by ordinal; the numbering is done in
-    blocks, so a path shared by very many items needs no single task.
+    blocks, so a path shared by very many items needs no single task.  Names are cut
+    here only: 80 characters of a class, 70 of a title.
     """
     file = F.coalesce(_field(items, "local_file"), F.lit(""))
     fmt = library_format(_field(items, "format"), file)
@@ -90,7 +91,7 @@ def library_paths(
     name = F.concat(safe_part(title, "未知标题", 70), F.lit("_"), F.substring(F.coalesce("sha256", F.lit("")), 1, 8))
     folder = F.when(
         F.col("needs_review"), F.concat_ws("/", F.lit(L.REVIEW_FOLDER), safe_part("_fmt", "unknown", 30))
-    ).otherwise(F.concat_ws("/", *[n for n, _, _ in L.LIBRARY_CLASSES]))
+    ).otherwise(F.concat_ws("/", *[F.substring(n, 1, 80) for n, _, _ in L.LIBRARY_CLASSES]))
     prefix = [F.lit(root.rstrip("/"))] if root else []
     placed = let(judged, {"_stem": F.concat_ws("/", *prefix, folder, name)})
     extra = {} if block is None else {"block": block}

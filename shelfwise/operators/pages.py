@@ -119,7 +119,7 @@ def result_page_anchors(
     """Search-result page to (pos, url, title, snippet).
 
     The page is cut at its result anchors, so the snippet is looked up between
-    one anchor and the next; after the last anchor only 1200 characters count.
+    one anchor and the next, or the end of the page.
     ``title_class=""`` takes every anchor with a target.
     """
     named = rf'[^>]+class="[^"]*{title_class}[^"]*"' if title_class else ""
@@ -132,8 +132,7 @@ def result_page_anchors(
     )
     rows = marked.select(*keys, F.posexplode("_anchors").alias("pos", "_a"), "_between")
     after = F.element_at("_between", F.col("pos") + 2)
-    last = F.col("pos") == F.size("_between") - 2
-    rows = let(rows, {"_block": F.when(last, F.substring(after, 1, 1200)).otherwise(after)})
+    rows = let(rows, {"_block": after})
     cls = rf'class="[^"]*{snippet_class}[^"]*"'
     linked = F.regexp_extract("_block", rf"(?s)<a[^>]+{cls}[^>]*>(.*?)</a>", 1)
     boxed = F.regexp_extract("_block", rf"(?s)<div[^>]+{cls}[^>]*>(.*?)</div>", 1)
@@ -146,37 +145,41 @@ def result_page_anchors(
     )
 
 
+def _first(values: Column, limit: int | None) -> Column:
+    return values if limit is None else F.slice(values, 1, limit)
+
+
 def resource_links(links: DataFrame, extensions: Sequence[str] = L.PROFILE_EXTENSIONS) -> DataFrame:
     """Links whose extension is a file format of interest."""
     wanted = sorted({"jpg" if e == "jpeg" else e for e in extensions})
     return links.where(F.col("ext").isin(wanted))
 
 
-def source_links(html: Column | str, base: Column | str, extensions: Sequence[str] = L.SITE_EXTENSIONS, limit: int = 80) -> Column:
+def source_links(html: Column | str, base: Column | str, extensions: Sequence[str] = L.SITE_EXTENSIONS, limit: int | None = None) -> Column:
     """``array<struct<link,ext>>`` from ``href`` and ``src``; the place of a repeated URL is its first."""
     wanted = sorted({"jpg" if e == "jpeg" else e for e in extensions})
     found = F.regexp_extract_all(as_col(html), F.lit(r"""(?i)(?:href|src)=["']([^"']+)["']"""), F.lit(1))
     typed = F.transform(F.array_distinct(absolute_urls(base, found)), lambda u: F.struct(u.alias("link"), ext(u).alias("ext")))
-    return F.slice(F.filter(typed, lambda s: s["ext"].isin(wanted)), 1, limit)
+    return _first(F.filter(typed, lambda s: s["ext"].isin(wanted)), limit)
 
 
-def api_hints(text: Column | str, base: Column | str, terms: Sequence[str] = L.API_TERMS, limit: int = 40) -> Column:
+def api_hints(text: Column | str, base: Column | str, terms: Sequence[str] = L.API_TERMS, limit: int | None = None) -> Column:
     """Distinct absolute URLs in scripts or text that hold an API word."""
     text = as_col(text)
     full = F.regexp_extract_all(text, F.lit(FULL_URL), F.lit(0))
     quoted = F.regexp_extract_all(text, F.lit(QUOTED_PATH), F.lit(1))
     named = F.filter(F.concat(full, quoted), lambda u: bind(F.lower(u), lambda low: contains_any(low, terms)))
-    return F.slice(F.array_distinct(absolute_urls(base, named)), 1, limit)
+    return _first(F.array_distinct(absolute_urls(base, named)), limit)
 
 
-def link_hints(links: Column, terms: Sequence[str], limit: int = 30) -> Column:
+def link_hints(links: Column, terms: Sequence[str], limit: int | None = None) -> Column:
     """Distinct links (from ``link_array``) whose target or text holds a term."""
     lowered = [t.lower() for t in terms]
     kept = F.filter(links, lambda a: bind(F.lower(F.concat_ws(" ", a["href"], a["text"])), lambda low: contains_any(low, lowered)))
-    return F.slice(F.array_distinct(F.transform(kept, lambda a: a["link"])), 1, limit)
+    return _first(F.array_distinct(F.transform(kept, lambda a: a["link"])), limit)
 
 
-def detail_hints(html: Column | str, base: Column | str, site: str = L.SITE_URL, limit: int = 80) -> Column:
+def detail_hints(html: Column | str, base: Column | str, site: str = L.SITE_URL, limit: int | None = None) -> Column:
     """``array<struct<resource_id,catalog,source>>`` from inline keys and detail URLs."""
     html, base = as_col(html), as_col(base)
     inline = F.regexp_extract_all(
@@ -208,22 +211,22 @@ def detail_hints(html: Column | str, base: Column | str, site: str = L.SITE_URL,
         F.transform(absolute, from_site),
         F.transform(quoted, from_quoted),
     )
-    return F.slice(F.array_distinct(rows), 1, limit)
+    return _first(F.array_distinct(rows), limit)
 
 
 def page_type(html: Column, url: Column, n_api: Column, n_detail: Column, n_links: Column) -> Column:
-    """Page class; the opening of a page is its first 5000 characters, as the contract says."""
-    opening = F.lower(F.concat_ws(" ", F.substring(html, 1, 5000), url))
-    return bind(opening, lambda o: _page_type(o, url, n_api, n_detail, n_links))
+    """Page class by words of the whole page and its hints."""
+    whole = F.lower(F.concat_ws(" ", html, url))
+    return bind(whole, lambda w: _page_type(w, url, n_api, n_detail, n_links))
 
 
-def _page_type(opening: Column, url: Column, n_api: Column, n_detail: Column, n_links: Column) -> Column:
+def _page_type(whole: Column, url: Column, n_api: Column, n_detail: Column, n_links: Column) -> Column:
     return (
         F.when(F.contains(url, F.lit("/detail")) | (n_detail > 0), "detail_or_detail_capable_page")
-        .when(F.contains(opening, F.lit("librarylist")), "catalog_config_page")
-        .when((n_api > 0) & contains_any(opening, ["root", "webpack", "chunk"]), "spa_route_page")
+        .when(F.contains(whole, F.lit("librarylist")), "catalog_config_page")
+        .when((n_api > 0) & contains_any(whole, ["root", "webpack", "chunk"]), "spa_route_page")
         .when(n_links > 0, "static_resource_page")
-        .when(contains_any(opening, ["search", "resources", "catalog"]), "resource_listing_or_search_page")
+        .when(contains_any(whole, ["search", "resources", "catalog"]), "resource_listing_or_search_page")
         .otherwise("unknown")
     )
 
@@ -250,10 +253,10 @@ def page_profile(pages: DataFrame, url: str = "url", html: str = "html", terms:
     hinted = let(
         pages,
         {
-            "api_hints": api_hints(html, url, terms, limit=80),
+            "api_hints": api_hints(html, url, terms),
             "detail_hints": detail_hints(html, url),
             "resource_link_hints": source_links(html, url),
-            "script_sources": F.slice(script_sources(html, url), 1, 80),
+            "script_sources": script_sources(html, url),
         },
     )
     counts = (F.size("api_hints"), F.size("detail_hints"), F.size("resource_link_hints"))
@@ -291,7 +294,7 @@ def site_profile(
             "description": meta_description(html),
             "text": clean_text("_markup"),
             "script_text": script_text(html),
-            "script_hints": F.slice(script_sources(html, url), 1, 30),
+            "script_hints": script_sources(html, url),
             "_links": link_array("_markup", url, marked=True),
         },
     )

@@ -73,8 +73,10 @@ def pair(candidates: DataFrame, intents: DataFrame | Sequence[Mapping[str, objec
         return candidates.withColumn("intent", only).withColumn("intent_id", F.col("intent.intent_id"))
     table = intents if isinstance(intents, DataFrame) else intents_from_rows(candidates.sparkSession, intents)
     slots = complete_intents(table)
-    packed = slots.select("intent_id", F.struct(*slots.columns).alias("intent"))
-    return with_group_value(candidates, packed, ["intent_id"])
+    flat = slots.select("intent_id", *[F.col(c).alias(f"_slot_{c}") for c in slots.columns])
+    joined = with_group_value(candidates, flat, ["intent_id"])
+    names = [f"_slot_{c}" for c in slots.columns]
+    return joined.withColumn("intent", F.struct(*[F.col(n).alias(n[6:]) for n in names])).drop(*names)
 
 
 def _low(column: Column | str) -> Column:

@@ -135,7 +135,7 @@ def score_index(pairs: DataFrame) -> DataFrame:
     points = points + F.when(F.col("_type"), 10).otherwise(0) + F.when(F.col("_format"), 8).otherwise(0)
     listed = F.concat(
         compact(
-            [F.when(F.size("_hit") > 0, F.concat(F.lit("查询词命中："), F.array_join(F.slice("_hit", 1, 6), ", ")))]
+            [F.when(F.size("_hit") > 0, F.concat(F.lit("查询词命中："), F.array_join("_hit", ", ")))]
             + reasons
             + [F.when(F.col("_type"), F.lit("资源类型匹配")), F.when(F.col("_format"), F.lit("格式偏好匹配"))]
         )

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -12,39 +13,71 @@ from pyspark.sql.utils import AnalysisException
 from ..functions.columns import let
 from ..functions.text import as_col, blank_to_null
 from ..operators.candidates import ITEM_ALIASES
-
-
-
-def _schema(**groups: str) -> T.StructType:
-    """Fields by type from blank-separated names, in the order given."""
-    kinds = {
-        "text": T.StringType(), "flag": T.BooleanType(), "whole": T.LongType(), "number": T.DoubleType(),
-        "time": T.TimestampType(), "texts": T.ArrayType(T.StringType()),
-    }
-    fields = []
-    for group, names in groups.items():
-        fields += [T.StructField(n, kinds[group.split("_")[0]]) for n in names.split()]
-    return T.StructType(fields)
-
-
-CANDIDATE = _schema(
-    text="source source_name source_url resource_id title description resource_type format stage grade subject "
-    "learning_domain version volume topic provider local_file sha256 detail_page",
-    flag="official downloadable requires_auth",
-    whole="size",
-    number="metadata_confidence",
-    texts="url_candidates source_warnings",
+from ..operators.details import identity_from_url
+from ..session import written
+
+
+CANDIDATE = T.StructType(
+    [
+        T.StructField("source", T.StringType()),
+        T.StructField("source_name", T.StringType()),
+        T.StructField("source_url", T.StringType()),
+        T.StructField("resource_id", T.StringType()),
+        T.StructField("title", T.StringType()),
+        T.StructField("description", T.StringType()),
+        T.StructField("resource_type", T.StringType()),
+        T.StructField("format", T.StringType()),
+        T.StructField("stage", T.StringType()),
+        T.StructField("grade", T.StringType()),
+        T.StructField("subject", T.StringType()),
+        T.StructField("learning_domain", T.StringType()),
+        T.StructField("version", T.StringType()),
+        T.StructField("volume", T.StringType()),
+        T.StructField("topic", T.StringType()),
+        T.StructField("provider", T.StringType()),
+        T.StructField("local_file", T.StringType()),
+        T.StructField("sha256", T.StringType()),
+        T.StructField("detail_page", T.StringType()),
+        T.StructField("official", T.BooleanType()),
+        T.StructField("downloadable", T.BooleanType()),
+        T.StructField("requires_auth", T.BooleanType()),
+        T.StructField("size", T.LongType()),
+        T.StructField("metadata_confidence", T.DoubleType()),
+        T.StructField("url_candidates", T.ArrayType(T.StringType())),
+        T.StructField("source_warnings", T.ArrayType(T.StringType())),
+    ]
 )
-INDEX_RECORD = _schema(
-    text="resource_key title library_file original_file format resource_type stage_or_age grade_or_phase "
-    "domain_or_subject topic_or_type source_or_version source_url sha256",
-    number="classification_confidence",
-    flag="needs_review",
-    text_more="dedupe_confidence",
-    time="created_at updated_at",
+INDEX_RECORD = T.StructType(
+    [
+        T.StructField("resource_key", T.StringType()),
+        T.StructField("title", T.StringType()),
+        T.StructField("library_file", T.StringType()),
+        T.StructField("original_file", T.StringType()),
+        T.StructField("format", T.StringType()),
+        T.StructField("resource_type", T.StringType()),
+        T.StructField("stage_or_age", T.StringType()),
+        T.StructField("grade_or_phase", T.StringType()),
+        T.StructField("domain_or_subject", T.StringType()),
+        T.StructField("topic_or_type", T.StringType()),
+        T.StructField("source_or_version", T.StringType()),
+        T.StructField("source_url", T.StringType()),
+        T.StructField("sha256", T.StringType()),
+        T.StructField("classification_confidence", T.DoubleType()),
+        T.StructField("needs_review", T.BooleanType()),
+        T.StructField("dedupe_confidence", T.StringType()),
+        T.StructField("created_at", T.TimestampType()),
+        T.StructField("updated_at", T.TimestampType()),
+    ]
 )
-DUPLICATE_RECORD = _schema(
-    text="resource_key existing_file incoming_file title", time="detected_at", text_more="reason"
+DUPLICATE_RECORD = T.StructType(
+    [
+        T.StructField("resource_key", T.StringType()),
+        T.StructField("existing_file", T.StringType()),
+        T.StructField("incoming_file", T.StringType()),
+        T.StructField("title", T.StringType()),
+        T.StructField("detected_at", T.TimestampType()),
+        T.StructField("reason", T.StringType()),
+    ]
 )
 ENVELOPE_LISTS = ["candidates", "ranked_candidates", "options"]
 PATH_STEP = 1 << 32
@@ -92,47 +125,63 @@ KINDS = [
 ]
 
 
+STEPS = 4
+
+
 def extract_items(
-    df: DataFrame, json: str, key: Sequence[str] = (), ordinal: str = "ordinal", limit: int | None = None, depth: int = 4
+    df: DataFrame, json: str, key: Sequence[str] = (), ordinal: str = "ordinal", limit: int | None = None
 ) -> DataFrame:
     """Item-like objects (an id, and a title or a type) at any level of unknown JSON.
 
     The text becomes a variant once.  Every step replaces a container by itself
-    and its child containers, so ``depth`` steps in one stage reach all
-    containers down to that level.  An object found twice under the same (row,
-    id, title) counts once, first place first; ``limit`` keeps that many per row.
+    and its child containers; after STEPS steps the rows are written, and what
+    is still unopened goes on until no container is left.  An id may stand in
+    the item or in its page URL.  An object found twice under the same (row, id,
+    title) counts once, first place first; ``limit`` keeps that many per row.
     """
     keys = list(dict.fromkeys([*key, ordinal]))
     parsed = F.try_parse_json(as_col(json))
     rows = df.select(*keys, parsed.alias("_v"), F.lit("").alias("_path"), F.lit(False).alias("_done"))
     rows = rows.where(F.col("_v").isNotNull())
 
-    def is_container(value: Column) -> Column:
-        return F.regexp_like(F.schema_of_variant(value), F.lit("^(?:ARRAY|OBJECT)<"))
-
-    for _ in range(depth):
-        children = F.coalesce(
-            F.try_variant_get("_v", "$", "array<variant>"),
-            F.map_values(F.try_variant_get("_v", "$", "map<string,variant>")),
+    def children(value: Column) -> Column:
+        return F.coalesce(
+            F.try_variant_get(value, "$", "array<variant>"), F.map_values(F.try_variant_get(value, "$", "map<string,variant>"))
         )
-        inner = F.transform(children, lambda c, i: F.struct(c.alias("v"), (i + 1).alias("at"), F.lit(False).alias("done")))
+
+    def step(rows: DataFrame) -> DataFrame:
+        below = children(F.col("_v"))
+        inner = F.transform(below, lambda c, i: F.struct(c.alias("v"), (i + 1).alias("at"), F.lit(False).alias("done")))
         itself = F.array(F.struct(F.col("_v").alias("v"), F.lit(0).alias("at"), F.lit(True).alias("done")))
-        stepped = F.when(F.col("_done") | children.isNull(), itself).otherwise(
-            F.concat(itself, F.filter(inner, lambda s: s["v"].isNotNull() & is_container(s["v"])))
+        stepped = F.when(F.col("_done") | below.isNull(), itself).otherwise(
+            F.concat(itself, F.filter(inner, lambda s: s["v"].isNotNull() & children(s["v"]).isNotNull()))
         )
         opened = rows.select(*keys, "_path", F.explode(stepped).alias("_s"))
         place = F.concat("_path", F.lit("/"), F.lpad(F.col("_s.at").cast("string"), 9, "0"))
-        rows = opened.select(
+        return opened.select(
             *keys,
             F.col("_s.v").alias("_v"),
             F.when(F.col("_s.at") == 0, F.col("_path")).otherwise(place).alias("_path"),
             F.col("_s.done").alias("_done"),
         )
 
+    parts = []
+    while True:
+        for _ in range(STEPS):
+            rows = step(rows)
+        rows = written(rows)
+        parts.append(rows.where("_done"))
+        rows = rows.where("not _done")
+        if rows.isEmpty():
+            break
+    found = reduce(DataFrame.unionByName, parts)
+
     def read(names: Sequence[str]) -> Column:
         return F.coalesce(*[blank_to_null(F.try_variant_get("_v", f"$.{a}", "string")) for a in names])
 
-    named = let(rows, {"item_id": read(ITEM_ALIASES["id"])}).where(F.col("item_id").isNotNull())
+    linked = let(found, {"_own": read(ITEM_ALIASES["id"]), "_page": read(ITEM_ALIASES["page"])})
+    in_page = F.when(F.col("_own").isNull(), identity_from_url(F.col("_page"))["resource_id"])
+    named = let(linked, {"item_id": F.coalesce("_own", blank_to_null(in_page))}).where(F.col("item_id").isNotNull())
     typed = let(named, {"item_title": read(ITEM_ALIASES["title"])})
     like = typed.where(F.col("item_title").isNotNull() | read(KINDS).isNotNull())
     firsts = like.groupBy(*keys, "item_id", "item_title").agg(
@@ -145,18 +194,6 @@ def extract_items(
     return firsts.select(*keys, "item_path", "item_id", "item_title", "item")
 
 
-def read_table(spark: SparkSession, path: str, spread: bool = False) -> DataFrame:
-    """A Parquet table.
-
-    One file with one row group is read by a single task.  ``spread`` deals the
-    rows of such a table out to all cores; a table whose scan already has a task
-    per core, which is any table of many files, is left as it is.
-    """
-    df = spark.read.parquet(path)
-    cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores) if spread and df.rdd.getNumPartitions() < cores else df
-
-
 def load_lexicon(rows: DataFrame, max_terms: int = 10_000) -> dict[str, list[tuple[str, list[str]]]]:
     """Term lists from rows (lexicon, ordinal, label, term), as ordered rules per lexicon.
 

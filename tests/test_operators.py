@@ -413,6 +413,39 @@ def test_tree_of_unknown_depth(spark):
     assert got == {"a": (1, "", "A"), "b": (2, "A", "A/B"), "c": (3, "B", "A/B/C"), "d": (4, "C", "A/B/C/D"), "e": (1, "", "E")}
 
 
+def test_tree_deeper_than_any_fixed_number_and_cycles(spark):
+    rows = [("0", None, "t")] + [(str(i), str(i - 1), "t") for i in range(1, 6)]
+    schema = "id string, up string, name string"
+    assert G.flatten_tree(spark.createDataFrame(rows, schema), "id", "up", "name").count() == 6
+    with pytest.raises(Exception, match="cycle in the tree"):
+        G.flatten_tree(spark.createDataFrame([("a", None, "A"), ("b", "a", "B"), ("a", "b", "A")], schema), "id", "up", "name").collect()
+
+
+def test_nothing_is_cut(spark):
+    from shelfwise.operators import pages as P
+
+    filler = "word " * 1500
+    urls = "".join(f'"/api/v{i}" ' for i in range(60))
+    scripts = "".join(f'<script src="/s{i}.js"></script>' for i in range(35))
+    html = f"<html>{filler}{scripts}<script>{urls}</script><b>librarylist</b></html>"
+    page = spark.createDataFrame([(1, "https://a.cn/", html)], "page_id bigint, url string, html string")
+    row = P.page_profile(page).first()
+    assert row["page_type"] == "catalog_config_page" and len(row["script_sources"]) == 35
+    assert page.select(F.size(P.api_hints("html", "url"))).first()[0] >= 60
+    late = spark.createDataFrame([(bytearray(b" " * 9000 + b"<!DOCTYPE html>"),)], "content binary")
+    assert late.select(A.sniff_format(F.col("content"), F.lit("txt"))).first()[0] == "html"
+    assert late.select(A.file_kind(F.col("content"))).first()[0] == "html"
+    result = f'<a class="result__a" href="https://b.cn/">T</a>{filler}<div class="result__snippet">late</div>'
+    found = P.result_page_anchors(spark.createDataFrame([(1, result)], "page_id bigint, html string"), ["page_id"], "html").first()
+    assert found["snippet"] == "late"
+
+
+def test_first_row_with_ties_and_without_key(spark):
+    df = spark.createDataFrame([("a", 1, "x"), ("a", 1, "x"), ("a", 2, "y"), (None, 1 << 60, "z"), (None, 5, "w")], "g string, ordinal bigint, v string")
+    got = {r["g"]: (r["v"], r["copies"]) for r in W.first_of(df, ["g"]).collect()}
+    assert got == {"a": ("x", 3), None: ("w", 2)} and W.first_of(df, ["g"]).count() == 2
+
+
 def test_scan_dedupes_over_routes(spark):
     routes = spark.createDataFrame([("r1", "search_then_detail", "t1"), ("r2", "search_then_detail", "t2"), ("r3", "internal_adapter", "t3")], "route_id string, scan_strategy string, title string")
     items = spark.createDataFrame([(1, "r1", "u1", "i", None), (2, "r2", "u1", "i", None), (3, "r2", None, "i2", None), (4, "r1", "u9", "i", "boom"), (5, "r3", "u5", "i", None)],

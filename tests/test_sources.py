@@ -46,9 +46,19 @@ def test_feed_and_files(spark, place):
 def test_items_of_unknown_json(spark):
     body = {"data": {"list": [{"id": 1, "title": "A"}, {"id": 1, "title": "A"}, {"content_id": "x", "tabCode": "t", "sub": {"id": "y", "name": "n"}}, {"id": "only"}, 5]}}
     df = spark.createDataFrame([(1, json.dumps(body)), (2, "not json"), (3, json.dumps([{"id": "z", "name": "top"}]))], "ordinal bigint, body string")
-    got = sorted((r["ordinal"], r["item_id"], r["item_title"] or "") for r in readers.extract_items(df, "body", depth=5).collect())
+    got = sorted((r["ordinal"], r["item_id"], r["item_title"] or "") for r in readers.extract_items(df, "body").collect())
     assert got == [(1, "1", "A"), (1, "x", ""), (1, "y", "n"), (3, "z", "top")]
-    assert readers.extract_items(df, "body", depth=5, limit=1).count() == 2
+    assert readers.extract_items(df, "body", limit=1).count() == 2
+
+
+def test_items_at_any_depth_and_named_by_their_page(spark):
+    deep = {"id": "deep", "title": "D"}
+    for level in range(9):
+        deep = {"box": [deep], "n": level} if level % 2 else {"box": deep}
+    page = {"title": "P", "url": "https://basic.smartedu.cn/qualityCourse?courseId=c77"}
+    df = spark.createDataFrame([(1, json.dumps(deep)), (2, json.dumps({"list": [page]})), (3, None), (4, "{}")], "ordinal bigint, body string")
+    got = sorted((r["ordinal"], r["item_id"], r["item_title"]) for r in readers.extract_items(df, "body").collect())
+    assert got == [(1, "deep", "D"), (2, "c77", "P")]
 
 
 def test_writers(spark, place):
