@@ -136,13 +136,13 @@ ORACLE["intent_profile"] = f"""WITH {CTE} SELECT intent_id, '主题匹配' AS pr
 
 
 def stream_dedupe(spark, sf):
-    """Events as a stream, first row per (user, type) within the watermark, run to its end."""
+    """Events as a stream, one row per (user, type) within a delay longer than the data, run to its end."""
     schema = table(spark, sf, "events").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
     place = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     out = f"{place}/rows"
     query = (
-        dedupe_stream(stream, ["event_id"], "ts", "1 hour")
+        dedupe_stream(stream, ["user_id", "event_type"], "ts", "400 days")
         .writeStream.format("parquet")
         .option("path", out)
         .option("checkpointLocation", f"{place}/state")
@@ -150,8 +150,8 @@ def stream_dedupe(spark, sf):
         .start()
     )
     query.awaitTermination()
-    return spark.read.parquet(out).select("event_id", "user_id", "event_type", "value")
+    return spark.read.parquet(out).select("user_id", "event_type")
 
 
 QUERIES["stream_dedupe"] = stream_dedupe
-ORACLE["stream_dedupe"] = "SELECT event_id, user_id, event_type, value FROM events"
+ORACLE["stream_dedupe"] = "SELECT DISTINCT user_id, event_type FROM events"

@@ -14,7 +14,7 @@ from ..sources.writers import write_index
 
 
 def dedupe_stream(stream: DataFrame, key: Sequence[str], time: str, delay: str) -> DataFrame:
-    """First row per key within the watermark; a time without zone is taken as UTC."""
+    """One row per key within the watermark, the first that a batch meets; a time without zone is taken as UTC."""
     typed = stream.withColumn(time, F.col(time).cast("timestamp"))
     return typed.withWatermark(time, delay).dropDuplicatesWithinWatermark(list(key))
 
