@@ -1,5 +1,5 @@
 """Registered queries over the given tables, each with the SQL it must equal."""
 
-from . import catalog, documents, pages, requests
+from . import catalog, documents, evidence, pages, requests, stores
 
-ALL = [pages, catalog, documents, requests]
+ALL = [pages, catalog, documents, requests, evidence, stores]

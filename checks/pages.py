@@ -140,8 +140,7 @@ def link_hints(spark, sf):
 
 def _hint_sql(name, terms):
     return f"""{name} AS (SELECT page_id, string_agg(link, '|' ORDER BY pos) AS v FROM (
-      SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY pos) AS n FROM (
-        SELECT page_id, link, min(pos) AS pos FROM links WHERE {S.any_of("lower(href || ' ' || text)", terms)} GROUP BY ALL)) WHERE n <= 30 GROUP BY page_id)"""
+        SELECT page_id, link, min(pos) AS pos FROM links WHERE {S.any_of("lower(href || ' ' || text)", terms)} GROUP BY ALL) GROUP BY page_id)"""
 
 
 QUERIES["link_hints"] = link_hints
@@ -178,9 +177,9 @@ _PROFILE_CTE = rf"""{LINKS_CTE},
    count(*) FILTER ({S.any_of("lower(href || ' ' || text)", DETAIL)}) AS n_detail FROM links GROUP BY page_id),
  b2 AS (SELECT b.*, text || ' ' || script_text || ' ' AS alltext, coalesce(links, 0) AS links, coalesce(n_links, 0) AS n_links,
    coalesce(n_list, 0) AS n_list, coalesce(n_page, 0) AS n_page, coalesce(n_detail, 0) AS n_detail FROM base b LEFT JOIN lk USING (page_id)),
- b3 AS (SELECT *, least(40, len(list_distinct(list_filter(list_concat(regexp_extract_all(alltext, 'https?://{_CHARS_SQL}+'),
+ b3 AS (SELECT *, len(list_distinct(list_filter(list_concat(regexp_extract_all(alltext, 'https?://{_CHARS_SQL}+'),
      regexp_extract_all(alltext, '[''"]((?://|/){_CHARS_SQL}{{3,160}})[''"]', 1)),
-     lambda v: {S.any_of('lower(v)', API)})))) AS n_api,
+     lambda v: {S.any_of('lower(v)', API)}))) AS n_api,
    {S.hits('alltext', AUTH)} AS auth_hints, {S.hits('alltext', RISK, '包含风险词：')} AS risks FROM b2),
  b4 AS (SELECT *, CASE WHEN contains(lower(html), 'm3u8') OR {S.any_of('text', MEDIA)} THEN 'media_page'
    WHEN n_links >= 2 THEN 'static_resource_page'
@@ -231,7 +230,7 @@ QUERIES["page_type"] = page_type
 ORACLE["page_type"] = rf"""
 WITH u AS (SELECT page_id, url, html, list_filter(list_concat({_FULL}, {_QUOTED}), lambda v: {S.any_of('lower(v)', API)}) AS us FROM pages),
  e AS (SELECT page_id, url, unnest(us) AS v FROM u),
- n AS (SELECT page_id, least(80, count(DISTINCT {S.absolute('url', S.unescape('v'))})) AS n_api,
+ n AS (SELECT page_id, count(DISTINCT {S.absolute('url', S.unescape('v'))}) AS n_api,
    count(*) FILTER (contains(lower({S.absolute('url', S.unescape('v'))}), 'search') OR contains(lower({S.absolute('url', S.unescape('v'))}), 'aggregate')
      OR contains(lower({S.absolute('url', S.unescape('v'))}), 'combine')) AS n_search FROM e GROUP BY page_id),
  d AS (SELECT page_id, len(regexp_extract_all(html, '(?:contentId|resourceId|resource_id|content_id|courseId)[=:][''"]?([A-Za-z0-9_-]{{6,}})'))

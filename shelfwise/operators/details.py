@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import lexicons as L
 from ..functions.columns import bind, let
@@ -207,10 +208,10 @@ def related_details(details: DataFrame, key: str = "detail_id", ordinal: str = "
     arrays, a key and a unique long ordinal.  A child's value wins over its
     parent's; provider and tags are inherited where a child has none.
     """
-    fields = [c.split()[0] for c in ("id title global_title original_title alias_name description catalog "
-              "resource_type_code resource_type_code_name provider_list tag_list ti_items").split()]
+    resource = T.StructType.fromDDL(RESOURCE)
+    fields = resource.names
     own = F.struct(*[F.col(f) for f in fields])
-    none = F.array().cast(f"array<struct<{_struct_fields()}>>")
+    none = F.array().cast(T.ArrayType(resource))
     children = [F.coalesce(F.col(f"relations.{r}"), none) for r in RELATIONS]
     kept = F.filter(F.concat(F.array(own), *children), lambda r: r["ti_items"].isNotNull())
     rows = details.select(key, ordinal, own.alias("_parent"), F.posexplode(kept).alias("place", "_r"))
@@ -234,20 +235,6 @@ def related_details(details: DataFrame, key: str = "detail_id", ordinal: str = "
     return unique.drop("_key", "copies", "place")
 
 
-def _struct_fields() -> str:
-    parts, depth, current = [], 0, ""
-    for ch in RESOURCE:
-        depth += ch == "<"
-        depth -= ch == ">"
-        if ch == "," and depth == 0:
-            parts.append(current.strip())
-            current = ""
-        else:
-            current += ch
-    parts.append(current.strip())
-    return ",".join(p.replace(" ", ":", 1) for p in parts)
-
-
 def attach_details(items: DataFrame, details: DataFrame, resource_id: str = "resource_id", catalog: str = "catalog") -> DataFrame:
     """Left join of the best detail per item: ``{id}``, ``{catalog}-{id}``, then ``{catalog}/{id}``.
 

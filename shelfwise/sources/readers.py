@@ -86,7 +86,7 @@ PATH_STEP = 1 << 32
 def load_candidates(spark: SparkSession, path: str | Sequence[str], schema: T.StructType = CANDIDATE) -> DataFrame:
     """One row per candidate of every envelope file, whichever list it uses, with its place.
 
-    ``ordinal`` is unique over all files of the call: file place times 2^32 plus position.
+    ``ordinal`` is unique over all files of the call: file place (by folder, then name) times 2^32 plus position.
     """
     lists = T.ArrayType(schema)
     nested = T.ArrayType(T.StructType([T.StructField("candidate", schema), *schema.fields]))
@@ -110,9 +110,14 @@ def load_candidates(spark: SparkSession, path: str | Sequence[str], schema: T.St
 
     listed = F.coalesce("candidates", inner("ranked_candidates"), inner("options"))
     opened = filed.select("_file", F.posexplode(listed).alias("_pos", "_c"))
-    # One row per file: the driver holds this list anyway to plan the scan.
-    files = filed.select("_file").distinct()
-    placed = files.withColumn("_place", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("_file")) - 1)
+    # names only: the bytes are not read again; files are numbered folder by folder
+    files = spark.read.format("binaryFile").load(path).select(F.col("_metadata.file_path").alias("_file"))
+    files = files.withColumn("_folder", F.regexp_extract("_file", "^(.*/)", 1))
+    before = Window.orderBy("_folder").rowsBetween(Window.unboundedPreceding, -1)
+    folders = files.groupBy("_folder").agg(F.count(F.lit(1)).alias("_n"))
+    folders = folders.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    inside = F.row_number().over(Window.partitionBy("_folder").orderBy("_file")) - 1
+    placed = files.withColumn("_inside", inside).join(folders, "_folder").select("_file", (F.col("_before") + F.col("_inside")).alias("_place"))
     return opened.join(placed, "_file").select(
         (F.col("_place") * F.lit(PATH_STEP) + F.col("_pos")).alias("ordinal"), "_c.*"
     )
@@ -230,7 +235,7 @@ def load_index(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(resources, duplicates) of an index, empty tables where there is none yet."""
     from .writers import current_version
 
-    version = current_version(spark, path)
+    version = current_version(path)
     base = f"{path}/{version}" if version else f"{path}/none"
     return (
         _load_table(spark, f"{base}/resources", INDEX_RECORD),
@@ -260,5 +265,3 @@ def scan_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
         F.hex(F.substring("content", 1, 8)).alias("magic"),
         F.sha2("content", 256).alias("sha256"),
     )
-
-

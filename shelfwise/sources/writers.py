@@ -6,11 +6,13 @@ import posixpath
 import time
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyarrow import fs
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.lexicons import LIBRARY_CLASSES, REVIEW_FOLDER
 
+MARK = "_COMPLETE"
 # The columns of a textbook export, in order.
 EXPORT_COLUMNS = [
     "id", "title", "stage", "subject", "version", "grade", "volume", "providers", "format", "size",
@@ -35,13 +37,12 @@ def write_csv(df: DataFrame, path: str, columns: Sequence[str] = EXPORT_COLUMNS,
 def write_library(df: DataFrame, path: str, columns: Sequence[str] = tuple(n for n, _, _ in LIBRARY_CLASSES)) -> None:
     """Library rows laid out by class folders, those under review in a folder of their own.
 
-    Rows are spread by class and a salt of the ordinal, so one large class is
-    written by several tasks and small classes do not leave a file per task.
+    Rows are gathered by class; adaptive execution cuts a class of any size into
+    tasks of the advised size, and small classes do not leave a file per task.
     """
     review = df.where("needs_review")
     final = df.where("not needs_review")
-    salt = F.pmod(F.xxhash64("ordinal" if "ordinal" in df.columns else "library_file"), F.lit(8))
-    final.repartition(*[F.col(c) for c in columns], salt).write.mode("overwrite").partitionBy(*columns).parquet(f"{path}/library")
+    final.hint("rebalance", *[F.col(c) for c in columns]).write.mode("overwrite").partitionBy(*columns).parquet(f"{path}/library")
     review.write.mode("overwrite").partitionBy("format").parquet(f"{path}/{REVIEW_FOLDER}")
 
 
@@ -50,23 +51,17 @@ def _inside(child: str, parent: str) -> bool:
     return child == parent or child.startswith(parent.rstrip("/") + "/")
 
 
-def _files(spark: SparkSession, path: str):
-    jvm = spark.sparkContext._jvm
-    place = jvm.org.apache.hadoop.fs.Path(path)
-    return jvm, place, place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+def _place(path: str) -> tuple[fs.FileSystem, str]:
+    return fs.FileSystem.from_uri(path if "://" in path else posixpath.abspath(path))
 
 
-def current_version(spark: SparkSession, path: str) -> str | None:
-    """Newest complete version folder of an index, or none."""
-    jvm, place, fs = _files(spark, path)
-    if not fs.exists(place):
-        return None
-    names = [s.getPath().getName() for s in fs.listStatus(place)]
-    done = [
-        n for n in names
-        if n.startswith("v") and fs.exists(jvm.org.apache.hadoop.fs.Path(f"{path}/{n}/_COMPLETE"))
-    ]
-    return max(done) if done else None
+def current_version(path: str) -> str | None:
+    """Newest complete version folder of an index, or none; one listing and one look at all marks."""
+    system, place = _place(path)
+    found = system.get_file_info(fs.FileSelector(place, allow_not_found=True))
+    names = [f.base_name for f in found if f.type == fs.FileType.Directory and f.base_name.startswith("v")]
+    marks = system.get_file_info([f"{place}/{n}/{MARK}" for n in names]) if names else []
+    return max((n for n, m in zip(names, marks) if m.type == fs.FileType.File), default=None)
 
 
 def write_index(resources: DataFrame, duplicates: DataFrame, path: str, library: str | None = None) -> str:
@@ -77,12 +72,11 @@ def write_index(resources: DataFrame, duplicates: DataFrame, path: str, library:
     """
     if library and _inside(path, library):
         raise ValueError("the index folder must not lie inside the library")
-    spark = resources.sparkSession
     version = f"v{time.time_ns():020d}"
     resources.write.parquet(f"{path}/{version}/resources")
     duplicates.write.parquet(f"{path}/{version}/duplicates")
-    jvm, mark, fs = _files(spark, f"{path}/{version}/_COMPLETE")
-    fs.create(mark).close()
+    system, place = _place(f"{path}/{version}")
+    system.open_output_stream(f"{place}/{MARK}").close()
     return version
 
 

@@ -7,6 +7,7 @@ import random
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from shelfwise.operators import candidates as C
 from shelfwise.operators import catalog as G
@@ -280,7 +281,7 @@ def resource_frame(spark, **extra):
     again = dict(kid, id="res1")
     data = dict(RESOURCE, ti_items=items, relations={"national_course_resource": [kid, again], "course_resource": None, "resources": [dict(kid, id="none", ti_items=None)], "resource": None})
     data.update(extra)
-    kind = f"struct<{D._struct_fields()}>"
+    kind = StructType.fromDDL(D.RESOURCE).simpleString()
     rel = ",".join(f"{r}:array<{kind}>" for r in D.RELATIONS)
     schema = f"detail_id string, ordinal bigint, {D.RESOURCE}, relations struct<{rel}>"
     names = [f.name for f in spark.createDataFrame([], schema).schema.fields]

@@ -33,6 +33,16 @@ def test_envelopes(spark, place):
     assert len({r["ordinal"] for r in got}) == 4
 
 
+def test_envelopes_of_several_folders(spark, place):
+    for folder, title in (("b", "2"), ("a/x", "1"), ("a", "0")):
+        put(f"{place}/{folder}/one.json", json.dumps({"candidates": [{"title": title}, {"title": title + "b"}]}))
+        put(f"{place}/{folder}/two.json", json.dumps({"candidates": [{"title": title + "c"}]}))
+    paths = [f"{place}/{f}" for f in ("b", "a/x", "a")]
+    got = readers.load_candidates(spark, paths).orderBy("ordinal").collect()
+    assert [r["title"] for r in got] == ["0", "0b", "0c", "1", "1b", "1c", "2", "2b", "2c"]
+    assert sorted({r["ordinal"] // readers.PATH_STEP for r in got}) == list(range(6))
+
+
 def test_feed_and_files(spark, place):
     put(f"{place}/f/p0.json", json.dumps([{"id": "1"}, {"id": "2"}]))
     put(f"{place}/f/p1.json", json.dumps([{"id": "3"}]))
@@ -108,6 +118,16 @@ def test_index_versions(spark, place):
         readers.load_index(spark, bad)
 
 
+def test_version_without_mark_or_folder_is_none(place):
+    assert writers.current_version(f"{place}/nowhere") is None
+    put(f"{place}/i/v1/resources/x", "")
+    assert writers.current_version(f"{place}/i") is None
+    put(f"{place}/i/v1/_COMPLETE", "")
+    put(f"{place}/i/v0/_COMPLETE", "")
+    put(f"{place}/i/other/_COMPLETE", "")
+    assert writers.current_version(f"file://{place}/i") == "v1"
+
+
 def test_stream_into_index(spark, place):
     import datetime
 
