@@ -4,6 +4,7 @@ The mix is a row of slots of equal words.  Slot i belongs to the source in whose
 cumulative shares the golden-ratio point i * phi mod 1 falls, so every stretch of
 the mix holds each source in its proportion.  The r-th slot of a source takes
 the r-th block of that source's candidates, laid end to end in a shuffled order and repeated as far as its target reaches.
+Slots past a source's last block stay empty, blocks past its last slot follow at the end, so every source takes its target.
 """
 
 from __future__ import annotations
@@ -113,7 +114,7 @@ def mix_pieces(
 ) -> tuple[DataFrame, DataFrame]:
     """The mix itself, and the units it was made from.
 
-    Pieces: ``slot``, ``ordinal``, ``text_key``, ``source_no``, ``epoch``, ``words`` (how many of the unit's words lie in that
+    Pieces: ``slot`` (those past the schedule have gaps), ``ordinal``, ``text_key``, ``source_no``, ``epoch``, ``words`` (how many of the unit's words lie in that
     slot).  Units: one row per distinct (``ordinal``, ``source``, text) with ``rows``, ``size``, ``source_size``, ``target``.
     """
     units = written(_units(candidates), "mix-units")
@@ -122,7 +123,8 @@ def mix_pieces(
         source_targets(cells.groupBy("source").agg(F.sum("cell_words").alias("source_size")), weights, max_repeat),
         "mix-targets",
     )
-    total = targets.agg(F.max("total").alias("n")).first().n or 0
+    sums = targets.agg(F.max("total").alias("total"), F.count("*").alias("sources")).first()
+    total = sums.total or 0
     schedule = slot_schedule(targets, total, block_words)
     before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = cells.withColumn("cell_start", F.coalesce(F.sum("cell_words").over(before), F.lit(0))).drop("cell_words")
@@ -151,16 +153,18 @@ def mix_pieces(
     cut = epochs.withColumn("block", F.explode(F.sequence(first, last)))
     low = F.greatest(F.col("from"), F.col("block") * block_words)
     high = F.least(F.col("to"), (F.col("block") + 1) * block_words)
-    pieces = cut.withColumn("taken", high - low).join(schedule, ["source_no", "block"])
-    return pieces.select("slot", "ordinal", "text_key", "source_no", "epoch", F.col("taken").alias("words")), placed
+    pieces = cut.withColumn("taken", high - low).join(schedule, ["source_no", "block"], "left")
+    # the points leave a source a slot or two short of its target; those blocks follow the schedule, in turn of the sources
+    past = F.lit(-(-total // block_words)) + F.col("block") * sums.sources + F.col("source_no")
+    return pieces.select(F.coalesce("slot", past).alias("slot"), "ordinal", "text_key", "source_no", "epoch", F.col("taken").alias("words")), placed
 
 
 def mix_sources(candidates: DataFrame, **settings) -> DataFrame:
     """Per candidate row: ``ordinal``, ``text_key``, ``size``, ``source_size``, ``target``, ``taken`` (repeats counted).
 
     Reads ``ordinal``, ``source`` and ``text`` (``text_key`` is its 64-bit hash); size is the number of words, zero for null.  See ``source_targets`` for the
-    targets and ``mix_pieces`` for ``weights``, ``max_repeat`` and ``block_words``.  A source's taken words differ from its
-    target by a few blocks at most; no row exceeds ``max_repeat`` times its size.  Equal rows are mixed
+    targets and ``mix_pieces`` for ``weights``, ``max_repeat`` and ``block_words``.  A source's taken words are its target
+    rounded up, but for remainders of equal rows; no row exceeds ``max_repeat`` times its size.  Equal rows are mixed
     as one unit and share its words evenly (a remainder smaller than their number is left out).  Null source is a source of its own,
     null ordinal is an ordinary value.  The shuffle order is a hash, so
     reruns agree.  No candidates: no rows.  A hot source is laid out in 4,096 hash buckets, and its blocks
