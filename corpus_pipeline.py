@@ -18,7 +18,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
     trusted = trusted_candidates(docs, read(spark, sf_dir, "labels"))
     ratio = quality_rules.fit_ratio(candidates_of(docs), trusted)
-    judged = quality_rules.quality_rules(candidates_of(docs), ratio, name="_quality")
+    threshold = quality_rules.trusted_threshold(trusted, ratio)
+    judged = quality_rules.quality_rules(candidates_of(docs), ratio, threshold=threshold, name="_quality")
     return _documents(judged.where("_quality.kept").drop("_quality"))
 
 

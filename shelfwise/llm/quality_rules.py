@@ -5,7 +5,7 @@ corpus is every candidate.  Both are multinomials over hashed n-grams of four
 UTF-8 bytes, a fixed number of buckets.  A text's score is the mean over its n-grams of
 log(target share / raw share): near zero for text like the trusted one, clearly
 below for text that the trusted one would hardly produce.  One threshold decides
-for every text alike.
+for every text alike: a low quantile of what trusted texts score when each is left out of the target.
 """
 
 from __future__ import annotations
@@ -34,13 +34,20 @@ RESULT = (
     "base_failed boolean, llr double, kept boolean"
 )
 BLOCKS = 16
+#: Scores are counted in bins of 1/1000 around zero; 2**BITS bins hold every score (a ratio of counts stays below e**32).
+BINS = 1000
+QUANTILE = 0.005
 
 
 @dataclass(frozen=True)
 class LikelihoodRatio:
-    """log(target share / raw share) per bucket in units of 1/SCALE; 2**BITS integers, whatever the corpus."""
+    """log(target share / raw share) per bucket in units of 1/SCALE; 2**BITS integers, whatever the corpus.
+
+    ``shares``: the target's counts and the logs of the raw shares that it was made from.
+    """
 
     ratios: Broadcast
+    shares: Broadcast
 
 
 def gram_buckets(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -99,7 +106,55 @@ def fit_ratio(candidates: DataFrame, trusted: DataFrame) -> LikelihoodRatio:
     else:
         ratio = np.log(target / target.sum()) - np.log(raw / raw.sum())
     scaled = np.round(ratio * SCALE).astype(np.int64)
-    return LikelihoodRatio(candidates.sparkSession.sparkContext.broadcast(scaled))
+    context = candidates.sparkSession.sparkContext
+    return LikelihoodRatio(context.broadcast(scaled), context.broadcast((target, np.log(raw / raw.sum()))))
+
+
+def left_out_score(buckets: np.ndarray, target: np.ndarray, log_raw: np.ndarray) -> float:
+    """The mean log ratio of a trusted text's n-grams, with its own n-grams taken out of the target."""
+    if not len(buckets):
+        return 0.0
+    own, n = np.unique(buckets, return_counts=True)
+    logs = np.log(target[own] - n) - np.log(target.sum() - len(buckets)) - log_raw[own]
+    return float((n * logs).sum() / len(buckets))
+
+
+def trusted_threshold(
+    trusted: DataFrame,
+    ratio: LikelihoodRatio,
+    *,
+    quantile: float = QUANTILE,
+    min_words: int = 10,
+    max_repeat_percent: int = 20,
+) -> float:
+    """The score that a share of at most ``quantile`` of the trusted texts lies below, rounded down to 1/BINS.
+
+    ``trusted``: the rows that ``ratio`` was fitted to.  Each is scored as if it were not among them, so the
+    threshold suits good texts that nobody labelled.  Only texts that pass the length and repetition limits count,
+    as the others are not judged by score.  All trusted rows are counted in a histogram of 2**BITS bins; without any
+    the threshold is minus infinity.
+    """
+    shares = ratio.shares
+
+    @frees_memory
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        target, log_raw = shares.value
+        counts = np.zeros(1 << BITS, dtype=np.int64)
+        for batch in batches:
+            for _, texts in by_bytes(batch.column("text")):
+                failed = _base(texts, min_words, max_repeat_percent)[2]
+                buckets, grams = gram_buckets(texts)
+                ends = np.cumsum(grams)
+                for k in np.flatnonzero(~failed):
+                    score = left_out_score(buckets[ends[k] - grams[k] : ends[k]], target, log_raw)
+                    counts[int(np.floor(score * BINS)) + (1 << BITS - 1)] += 1
+        yield from block_rows(counts, BLOCKS)
+
+    texts = trusted.select(F.coalesce("text", F.lit("")).alias("text"))
+    upto = np.cumsum(total(texts.mapInArrow(count, ROWS), 1 << BITS, BLOCKS))
+    if not upto[-1]:
+        return float("-inf")
+    return float(np.searchsorted(upto, quantile * upto[-1], side="right") - (1 << BITS - 1)) / BINS
 
 
 def repeated_words(words: list[list[bytes]]) -> np.ndarray:
@@ -128,9 +183,16 @@ def repeated_words(words: list[list[bytes]]) -> np.ndarray:
     return np.bincount(text[inside], minlength=len(words))
 
 
-def _rules(ratios: np.ndarray, texts: list[str], min_words: int, max_repeat: int, threshold: float) -> list[np.ndarray]:
+def _base(texts: list[str], min_words: int, max_repeat: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Per text its words, its repeated words, and whether they fail the limits."""
     words = [t.encode("utf-8", "replace").split() for t in texts]
     n_words = np.array([len(w) for w in words], dtype=np.int64)
+    repeats = repeated_words(words)
+    return n_words, repeats, (n_words < min_words) | (100 * repeats > max_repeat * n_words)
+
+
+def _rules(ratios: np.ndarray, texts: list[str], min_words: int, max_repeat: int, threshold: float) -> list[np.ndarray]:
+    n_words, repeats, failed = _base(texts, min_words, max_repeat)
     chars = np.array([len(t) - sum(map(t.count, SPACES)) for t in texts], dtype=np.int64)
     symbols = np.array([sum(map(t.count, SYMBOLS)) for t in texts], dtype=np.int64)
     dups = np.zeros(len(texts), dtype=np.int64)
@@ -138,12 +200,10 @@ def _rules(ratios: np.ndarray, texts: list[str], min_words: int, max_repeat: int
         if "\n" in t:
             lines = [x for x in t.split("\n") if x.strip(SPACES)]
             dups[k] = len(lines) - len(set(lines))
-    repeats = repeated_words(words)
     buckets, grams = gram_buckets(texts)
     total = np.concatenate([[0], np.cumsum(ratios[buckets])])
     ends = np.cumsum(grams)
     score = total[ends] - total[ends - grams]
-    failed = (n_words < min_words) | (100 * repeats > max_repeat * n_words)
     llr = score / (np.maximum(grams, 1) * float(SCALE))
     return [n_words, chars, symbols, dups, repeats, failed, llr, ~failed & (llr >= threshold)]
 
@@ -161,7 +221,7 @@ def quality_rules(
 
     ``base_failed``: fewer than ``min_words`` words, or more than ``max_repeat_percent``
     of the words in repeated windows.  ``kept``: not so, and the mean log ratio per
-    n-gram is at least ``threshold``.  Null text counts as empty (no words, so it fails); a text shorter than one
+    n-gram is at least ``threshold``; take it from ``trusted_threshold``, the default only drops texts of foreign symbols.  Null text counts as empty (no words, so it fails); a text shorter than one
     n-gram scores zero.  Repeated rows get equal results; every other column is passed
     on unread, and an own column called ``name`` is replaced.  The score is summed in
     integers, so it does not depend on how rows are batched.

@@ -55,8 +55,10 @@ def trusted_candidates(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def op1_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
     docs = candidates_of(read(spark, sf, "documents"))
-    ratio = quality_rules.fit_ratio(docs, trusted_candidates(read(spark, sf, "documents"), read(spark, sf, "labels")))
-    return quality_rules.quality_rules(docs, ratio).select(F.col("ordinal").alias("doc_id"), "quality.*")
+    trusted = trusted_candidates(read(spark, sf, "documents"), read(spark, sf, "labels"))
+    ratio = quality_rules.fit_ratio(docs, trusted)
+    threshold = quality_rules.trusted_threshold(trusted, ratio)
+    return quality_rules.quality_rules(docs, ratio, threshold=threshold).select(F.col("ordinal").alias("doc_id"), "quality.*")
 
 
 def op2_jaccard_join(spark: SparkSession, sf: str) -> DataFrame:
