@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from shelfwise.llm import quality_rules
+from shelfwise.llm import kneser_ney, quality_rules
 
 TEXTS = "ordinal long, text string"
 GOOD = ("learn", "plant", "river", "stone", "maths", "verb", "cell", "graph", "poem", "atlas")
@@ -55,3 +55,29 @@ def test_threshold_is_the_quantile_of_left_out_scores(spark):
         want = np.floor(scores[int(q * len(scores))] * 1000) / 1000
         assert quality_rules.trusted_threshold(trusted, ratio, quantile=q) == pytest.approx(want, abs=1.1e-3)
     assert quality_rules.trusted_threshold(trusted.limit(0), ratio) == float("-inf")
+
+
+# ---------------------------------------------------------------- 3
+def test_junk_just_over_the_quantile_is_not_kept(spark):
+    rng = random.Random(13)
+    good = [(k, said(rng, GOOD, rng.randrange(40, 90)), "en" if k % 2 else "fr") for k in range(600)]
+
+    def spoilt(share):  # some words with letters in a strange order
+        words = said(rng, GOOD, 60).split()
+        return " ".join("".join(rng.sample(w, len(w))) if rng.random() < share else w for w in words)
+
+    junk = [(1000 + k, spoilt(0.04 + 0.002 * k), "en") for k in range(100)]
+    table = spark.createDataFrame(good + junk, "ordinal long, text string, lang string")
+    trusted = table.where("ordinal < 300").select("ordinal", "text")
+    out = {r.ordinal: r for r in kneser_ney.perplexity_rules(table, trusted, language="lang").collect()}
+    nats = {lang: [] for lang in ("en", "fr")}
+    for r in kneser_ney.held_out_scores(trusted, kneser_ney.ORDER).collect():
+        nats["en" if r.ordinal % 2 else "fr"].append(r.nats)
+    for lang, held in nats.items():
+        held.sort()
+        want = held[int(np.ceil(0.99 * len(held))) - 1]
+        assert all(np.log(r.limit_perplexity) == pytest.approx(want, abs=1.1e-4) for r in out.values() if r.language == lang)
+    over = [r for k, r in out.items() if k >= 1000 and np.log(r.perplexity) < 1.4 * np.log(r.limit_perplexity) and r.perplexity > r.limit_perplexity]
+    assert len(over) >= 10 and not any(r.kept for r in over)
+    unseen = [r for k, r in out.items() if 300 <= k < 1000]
+    assert sum(r.kept for r in unseen) >= 0.97 * len(unseen)
