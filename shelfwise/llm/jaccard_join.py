@@ -1,9 +1,9 @@
 """N-gram Jaccard join of candidate texts, and the groups that its links form.
 
-Sets of 3-word shingles are compared in a global order, rarest first.  Two sets with similarity of
-at least 0.9 share a shingle in short prefixes of that order, so only sets that meet there are candidates:
+Sets of word shingles are compared in a global order, rarest first.  Two sets with similarity of
+at least a threshold (``Rule``) share a shingle in short prefixes of that order, so only sets that meet there are candidates:
 
-* length filter: the smaller set has at least 0.9 times the size of the larger;
+* length filter: the smaller set has at least the threshold times the size of the larger;
 * positional filter: where they meet leaves room for the overlap that is needed;
 * suffix filter: both sets parted by fixed ranges of the hash; the parts' smaller sizes bound the overlap.
 
@@ -23,6 +23,7 @@ only at the first shingle that its prefixes share, with the number of shared one
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -41,32 +42,43 @@ BLOCKS = 64
 PARTS = 128
 CROWD = 16
 MAX_ROUNDS = 6
-#: A set of fewer shingles than this links with equal sets only.
-LEAST = 9
 SETS = "ordinal long, text_key long, n int, node long, prefix array<long>, parts array<int>"
 
 
-@frees_memory
-def _count_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts = np.zeros(1 << ORDER_BITS, dtype=np.uint32)
-    shift = np.uint64(64 - ORDER_BITS)
-    for batch in batches:
-        for _, texts in by_bytes(batch.column("text")):
-            for s in shingle_sets(texts):
-                np.add.at(counts, (s >> shift).astype(np.int64), np.uint32(1))
-    yield from block_rows(counts, BLOCKS)
+@dataclass(frozen=True)
+class Rule:
+    """Words per shingle, and the similarity in per cent (below 100) from which on two sets link."""
+
+    width: int = 3
+    percent: int = 90
+
+    @property
+    def least(self) -> int:
+        """A set of fewer shingles than this links with equal sets only."""
+        return -(-self.percent // (100 - self.percent))
 
 
-def bucket_counts(candidates: DataFrame) -> np.ndarray:
+def bucket_counts(candidates: DataFrame, rule: Rule = Rule()) -> np.ndarray:
     """How many texts hold a shingle of each bucket; 2**ORDER_BITS numbers (16 MB), whatever the corpus."""
+
+    @frees_memory
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(1 << ORDER_BITS, dtype=np.uint32)
+        shift = np.uint64(64 - ORDER_BITS)
+        for batch in batches:
+            for _, texts in by_bytes(batch.column("text")):
+                for s in shingle_sets(texts, rule.width):
+                    np.add.at(counts, (s >> shift).astype(np.int64), np.uint32(1))
+        yield from block_rows(counts, BLOCKS)
+
     texts = candidates.select(F.coalesce("text", F.lit("")).alias("text"))
-    counts = total(texts.mapInArrow(_count_buckets, ROWS), 1 << ORDER_BITS, BLOCKS)
+    counts = total(texts.mapInArrow(count, ROWS), 1 << ORDER_BITS, BLOCKS)
     return np.minimum(counts, 2**32 - 1).astype(np.uint32)
 
 
-def probe_length(n):
+def probe_length(n, percent: int = 90):
     """Prefix of a set of n shingles that meets every partner's index prefix; works on numbers and columns."""
-    return n - -(-9 * n // 10) + 1
+    return n - -(-percent * n // 100) + 1
 
 
 def _keyed(candidates: DataFrame) -> DataFrame:
@@ -75,7 +87,7 @@ def _keyed(candidates: DataFrame) -> DataFrame:
     ).withColumn("text_key", F.xxhash64("text"))
 
 
-def _sets_with_prefixes(candidates: DataFrame, counts: np.ndarray) -> DataFrame:
+def _sets_with_prefixes(candidates: DataFrame, counts: np.ndarray, rule: Rule) -> DataFrame:
     """Per candidate its set's size and key; the rare-first prefix, and the number of shingles in each range of the
     hash, a task gives once for each key."""
     shared = candidates.sparkSession.sparkContext.broadcast(counts)
@@ -89,17 +101,17 @@ def _sets_with_prefixes(candidates: DataFrame, counts: np.ndarray) -> DataFrame:
         for batch in batches:
             for first, texts in by_bytes(batch.column("text")):
                 sizes, nodes, prefixes, parts = [], [], [], []
-                for s in shingle_sets(texts):
+                for s in shingle_sets(texts, rule.width):
                     node = set_key(s)
                     sizes.append(len(s))
                     nodes.append(node if len(s) else None)
-                    if len(s) < LEAST or node in seen:
+                    if len(s) < rule.least or node in seen:
                         prefixes.append(None)
                         parts.append(None)
                         continue
                     seen.add(node)
                     rare = np.argsort(order[(s >> shift).astype(np.int64)], kind="stable")  # ties: by hash, as s is sorted
-                    prefixes.append(s[rare[: probe_length(len(s))]].view(np.int64))
+                    prefixes.append(s[rare[: probe_length(len(s), rule.percent)]].view(np.int64))
                     parts.append(np.bincount((s >> to_part).astype(np.int64), minlength=PARTS).astype(np.int32))
                 cut = slice(first, first + len(texts))
                 yield pa.RecordBatch.from_arrays(
@@ -117,17 +129,21 @@ def _sets_with_prefixes(candidates: DataFrame, counts: np.ndarray) -> DataFrame:
     return _keyed(candidates).select("ordinal", "text_key", "text").mapInArrow(build, SETS)
 
 
-def _needed(n_a: Column, n_b: Column) -> Column:
-    """Smallest overlap with 100 * overlap >= 90 * union."""
-    return F.ceil((n_a + n_b) * 9 / 19)
+def _needed(n_a: Column, n_b: Column, percent: int) -> Column:
+    """Smallest overlap with 100 * overlap >= percent * union."""
+    return F.ceil((n_a + n_b) * percent / (100 + percent))
+
+
+def _sized(n_a: Column, n_b: Column, percent: int) -> Column:
+    """Length filter."""
+    return (n_a * 100 >= n_b * percent) & (n_b * 100 >= n_a * percent)
 
 
-def _room(a: str, b: str) -> Column:
+def _room(a: str, b: str, percent: int) -> Column:
     """Length and positional filter for postings of sets a and b that meet."""
     n_a, n_b, at_a, at_b = (F.col(c) for c in (f"n_{a}", f"n_{b}", f"at_{a}", f"at_{b}"))
-    sized = (n_a * 10 >= n_b * 9) & (n_b * 10 >= n_a * 9)
     most = F.least(at_a, at_b) + F.least(n_a - at_a, n_b - at_b)
-    return sized & (most >= _needed(n_a, n_b))
+    return _sized(n_a, n_b, percent) & (most >= _needed(n_a, n_b, percent))
 
 
 def _side(postings: DataFrame, side: str) -> DataFrame:
@@ -166,7 +182,7 @@ def _crowded(postings: DataFrame) -> tuple[DataFrame, int]:
     return open_.select("token", "top"), int(open_.agg(F.sum("pairs").alias("s")).first().s or 0)
 
 
-def _hub_pairs(postings: DataFrame, crowded: DataFrame, turn: int) -> DataFrame:
+def _hub_pairs(postings: DataFrame, crowded: DataFrame, turn: int, percent: int) -> DataFrame:
     """Every node at a crowded token against the token's hub of this round."""
     here = postings.join(crowded.select("token"), "token", "left_semi")
     pick = F.struct(F.xxhash64("token", "node", F.lit(turn)).alias("h"), "node", "n", "at", "label")
@@ -177,19 +193,19 @@ def _hub_pairs(postings: DataFrame, crowded: DataFrame, turn: int) -> DataFrame:
         F.col("hub.at").alias("at_b"),
         F.col("hub.label").alias("label_b"),
     )
-    met = _side(here, "a").join(hubs, "token").where((F.col("label_a") != F.col("label_b")) & _room("a", "b"))
+    met = _side(here, "a").join(hubs, "token").where((F.col("label_a") != F.col("label_b")) & _room("a", "b", percent))
     return met.select(
         F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")
     ).distinct()
 
 
-def _all_pairs(postings: DataFrame) -> DataFrame:
+def _all_pairs(postings: DataFrame, percent: int) -> DataFrame:
     """Every pair of sets of different groups that meet in their prefixes: the larger by its probe prefix, the
     smaller by its shorter index prefix."""
-    index = _side(postings.where(F.col("at") <= F.col("n") - F.ceil(F.col("n") * 18 / 19) + 1), "b")
+    index = _side(postings.where(F.col("at") <= F.col("n") - F.ceil(F.col("n") * (2 * percent) / (100 + percent)) + 1), "b")
     met = _side(postings, "a").join(index, "token")
     larger = (F.col("n_a") > F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("a") < F.col("b")))
-    kept = met.where(larger & (F.col("label_a") != F.col("label_b")) & _room("a", "b"))
+    kept = met.where(larger & (F.col("label_a") != F.col("label_b")) & _room("a", "b", percent))
     return kept.select("a", "b").distinct()
 
 
@@ -199,7 +215,7 @@ def _some(sets: DataFrame, nodes: DataFrame, *columns: str) -> DataFrame:
     return rows.join(nodes, "node", "left_semi").dropDuplicates(["node"])
 
 
-def _crowd_pairs(postings: DataFrame, crowded: DataFrame, sets: DataFrame) -> DataFrame:
+def _crowd_pairs(postings: DataFrame, crowded: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Every pair of different groups at crowded tokens that the filters leave, each at one token.
 
     One side holds no node of the token's largest group, so that group is met by others only.
@@ -214,12 +230,12 @@ def _crowd_pairs(postings: DataFrame, crowded: DataFrame, sets: DataFrame) -> Da
     minor = side("a").where("label_a <> top_a").drop("top_a")
     once = (F.col("label_b") == F.col("top_b")) | (F.col("node_a") < F.col("node_b"))
     n_a, n_b = F.col("n_a"), F.col("n_b")
-    sized = (n_a * 10 >= n_b * 9) & (n_b * 10 >= n_a * 9)
+    sized = _sized(n_a, n_b, percent)
     shared = F.array_intersect("prefix_a", "prefix_b")
     first = F.element_at(shared, 1) == F.col("token")
     last = F.element_at(shared, -1)
     left = F.least(n_a - F.array_position("prefix_a", last), n_b - F.array_position("prefix_b", last))
-    near = (F.size(shared) + left >= _needed(n_a, n_b)) & (_parts_overlap() >= _needed(n_a, n_b))
+    near = (F.size(shared) + left >= _needed(n_a, n_b, percent)) & (_parts_overlap() >= _needed(n_a, n_b, percent))
     kept = (F.col("label_a") != F.col("label_b")) & once & sized & first & near
     return minor.join(side("b"), "token").where(kept).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
 
@@ -234,31 +250,31 @@ def _ends(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
 
 
-def _near(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def _near(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs that the suffix filter leaves, each once, with both sizes."""
     facts = written(_some(sets, _ends(pairs), "n", "parts"), "pair-parts")
     for side in "ab":
         pairs = pairs.join(facts.select(*[F.col(c).alias(side if c == "node" else f"{c}_{side}") for c in facts.columns]), side)
-    return written(pairs.where(_parts_overlap() >= _needed(F.col("n_a"), F.col("n_b"))).select("a", "b", "n_a", "n_b"), "near")
+    return written(pairs.where(_parts_overlap() >= _needed(F.col("n_a"), F.col("n_b"), percent)).select("a", "b", "n_a", "n_b"), "near")
 
 
-def _verified(near: DataFrame, whole: DataFrame) -> DataFrame:
+def _verified(near: DataFrame, whole: DataFrame, percent: int) -> DataFrame:
     """Pairs whose whole sets overlap enough."""
     both = near.join(whole.select(F.col("node").alias("a"), F.col("shingles").alias("set_a")), "a").join(
         whole.select(F.col("node").alias("b"), F.col("shingles").alias("set_b")), "b"
     )
     overlap = F.size(F.array_intersect("set_a", "set_b"))
-    return both.where(overlap >= _needed(F.col("n_a"), F.col("n_b"))).select("a", "b")
+    return both.where(overlap >= _needed(F.col("n_a"), F.col("n_b"), percent)).select("a", "b")
 
 
-def _whole_sets(candidates: DataFrame, sets: DataFrame, nodes: DataFrame) -> DataFrame:
+def _whole_sets(candidates: DataFrame, sets: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
     """``node`` and ``shingles`` of the given nodes, from the text of one candidate each."""
 
     @frees_memory
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, texts in by_bytes(batch.column("text")):
-                shingles = [s.view(np.int64) for s in shingle_sets(texts)]
+                shingles = [s.view(np.int64) for s in shingle_sets(texts, width)]
                 node = batch.column("node")[first : first + len(texts)]
                 yield pa.RecordBatch.from_arrays([node, pa.array(shingles, pa.list_(pa.int64()))], ["node", "shingles"])
 
@@ -271,8 +287,9 @@ def _whole_sets(candidates: DataFrame, sets: DataFrame, nodes: DataFrame) -> Dat
     return written(texts.select("node", "text").mapInArrow(build, "node long, shingles array<long>"), "whole-sets")
 
 
-def linked_stars(candidates: DataFrame, sets: DataFrame) -> DataFrame:
+def linked_stars(candidates: DataFrame, sets: DataFrame, rule: Rule = Rule()) -> DataFrame:
     """Stars (``u``, ``v``) of the groups that links between different sets form."""
+    width, percent = rule.width, rule.percent
     postings = sets.where("prefix is not null").select("node", "n", F.posexplode("prefix").alias("at", "token"))
     postings = postings.select("token", "node", "n", (F.col("at") + 1).alias("at")).repartition("token")
     # all columns are used, so that both sides of the join read one shuffle
@@ -290,36 +307,36 @@ def linked_stars(candidates: DataFrame, sets: DataFrame) -> DataFrame:
             break
         if whole is None:  # crowded tokens only become fewer, so these nodes serve all rounds
             crowd = written(shared.join(crowded, "token", "left_semi").select("node").distinct(), "crowd-nodes")
-            whole = _whole_sets(candidates, sets, crowd)
-        links = _verified(_near(_hub_pairs(labelled, crowded, turn), sets), whole)
+            whole = _whole_sets(candidates, sets, crowd, width)
+        links = _verified(_near(_hub_pairs(labelled, crowded, turn, percent), sets, percent), whole, percent)
         stars = component_stars(_with_stars(links, stars))
         labelled, before = written(_labelled(shared, stars), "labelled"), pairs
         crowded, pairs = _crowded(labelled)
-    plain = _all_pairs(labelled.join(crowded, "token", "left_anti"))
-    rest = plain.unionByName(_crowd_pairs(labelled, crowded, sets))
+    plain = _all_pairs(labelled.join(crowded, "token", "left_anti"), percent)
+    rest = plain.unionByName(_crowd_pairs(labelled, crowded, sets, percent))
     both = rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    near = _near(written(both, "pairs"), sets)
+    near = _near(written(both, "pairs"), sets, percent)
     missing = _ends(near) if whole is None else _ends(near).join(whole, "node", "left_anti")
-    more = _whole_sets(candidates, sets, missing)
+    more = _whole_sets(candidates, sets, missing, width)
     whole = more if whole is None else whole.unionByName(more)
-    return component_stars(_with_stars(_verified(near, whole), stars))
+    return component_stars(_with_stars(_verified(near, whole, percent), stars))
 
 
 def _with_stars(links: DataFrame, stars: DataFrame | None) -> DataFrame:
     return links if stars is None else links.unionByName(stars.select(F.col("u").alias("a"), F.col("v").alias("b")))
 
 
-def jaccard_groups(candidates: DataFrame) -> DataFrame:
+def jaccard_groups(candidates: DataFrame, rule: Rule = Rule()) -> DataFrame:
     """Per candidate row: ``ordinal``, ``text_key`` (64-bit hash of the text), ``n_shingles``, ``node`` (key of its set) and ``component_id``.
 
-    Reads ``ordinal`` and whole ``text``.  Candidates link when 100 * intersection >= 90 * union of their sets of
-    distinct 3-word shingles (A-Z as a-z; one or two words make one shingle).  ``component_id``: the smallest ordinal reachable by links, its own included; a null
+    Reads ``ordinal`` and whole ``text``.  Candidates link when 100 * intersection >= ``rule.percent`` * union of their sets of
+    distinct shingles of ``rule.width`` words (A-Z as a-z; fewer words make one shingle).  ``component_id``: the smallest ordinal reachable by links, its own included; a null
     ordinal is never the smallest unless the whole group has none.  Without words (or text) the set is
     empty and the candidate is alone.  Repeated rows come back as often as they occur.  No candidates: no rows.
     Shingles and sets are compared by 64-bit hashes.
     """
-    sets = written(_sets_with_prefixes(candidates, bucket_counts(candidates)), "sets")
-    stars = linked_stars(candidates, sets)
+    sets = written(_sets_with_prefixes(candidates, bucket_counts(candidates, rule), rule), "sets")
+    stars = linked_stars(candidates, sets, rule)
     members = sets.select("ordinal", "text_key", F.col("n").cast("long").alias("n_shingles"), "node")
     alone = members.where("node is null").withColumn("component_id", F.col("ordinal"))
     named = members.where("node is not null").join(
@@ -330,13 +347,13 @@ def jaccard_groups(candidates: DataFrame) -> DataFrame:
     return named.join(least, "label").select(*members.columns, "component_id").unionByName(alone)
 
 
-def first_of_groups(candidates: DataFrame) -> DataFrame:
+def first_of_groups(candidates: DataFrame, rule: Rule = Rule()) -> DataFrame:
     """The candidates, one row of each group of ``jaccard_groups``: that with the smallest ordinal.
 
     All columns come back.  Of rows with that ordinal and different texts the smallest text key stays,
     of rows equal in both any one.  Rows without words are alone and all stay.
     """
-    groups = jaccard_groups(candidates).groupBy("ordinal", "text_key", "node", "component_id").agg(F.count("*").alias("rows"))
+    groups = jaccard_groups(candidates, rule).groupBy("ordinal", "text_key", "node", "component_id").agg(F.count("*").alias("rows"))
     pick = F.when(F.col("ordinal").eqNullSafe(F.col("component_id")), F.struct("ordinal", "text_key", "rows"))
     own = F.when(F.col("component_id").isNull(), F.col("node"))  # groups without any ordinal are told apart by their set
     kept = groups.where("node is not null").groupBy("component_id", own.alias("own")).agg(F.min(pick).alias("row")).select("row.*")

@@ -16,10 +16,10 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def shingle_sets(texts: list[str]) -> list[np.ndarray]:
-    """Per text the sorted distinct 64-bit hashes of its 3-word shingles.
+def shingle_sets(texts: list[str], width: int = 3) -> list[np.ndarray]:
+    """Per text the sorted distinct 64-bit hashes of its shingles of ``width`` words.
 
-    A-Z count as a-z and words are runs without ASCII white space.  One or two words make one
+    A-Z count as a-z and words are runs without ASCII white space.  Fewer words than ``width`` make one
     shingle, none make an empty set.
     """
     split = [t.encode("utf-8", "replace").lower().split() for t in texts]  # bytes: only A-Z become lower case
@@ -29,15 +29,21 @@ def shingle_sets(texts: list[str]) -> list[np.ndarray]:
     codes, distinct = pd.factorize(np.array([w for words in split for w in words], dtype=object))
     hashes = pd.util.hash_array(np.asarray(distinct, dtype=object), categorize=False)[codes]
     rolled = np.zeros(len(hashes), dtype=np.uint64)
-    if len(hashes) >= 3:
-        rolled[:-2] = _mixed(_mixed(_mixed(hashes[:-2] * _A) + hashes[1:-1] * _B) + hashes[2:] * _C)
+    m = len(hashes) - width + 1
+    if m > 0:
+        value = _mixed(hashes[:m] * _A)
+        for k in range(1, width):
+            value = _mixed(value + hashes[k : k + m] * (_B if k % 2 else _C))
+        rolled[:m] = value
     out, at = [], 0
     for n in sizes:
-        if n >= 3:
-            out.append(np.unique(rolled[at : at + n - 2]))
+        if n >= width:
+            out.append(np.unique(rolled[at : at + n - width + 1]))
         elif n:
             word = hashes[at : at + n]
-            value = _mixed(word[:1] * _B + np.uint64(n)) if n == 1 else _mixed(_mixed(word[:1] * _B + np.uint64(n)) + word[1:] * _C)
+            value = _mixed(word[:1] * _B + np.uint64(n))
+            for k in range(1, n):
+                value = _mixed(value + word[k : k + 1] * _C)
             out.append(value)
         else:
             out.append(np.empty(0, dtype=np.uint64))

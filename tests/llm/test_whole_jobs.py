@@ -6,7 +6,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from shelfwise.llm import kneser_ney, quality_rules
+import corpus_pipeline
+from shelfwise.llm import jaccard_join, kneser_ney, quality_rules
 
 TEXTS = "ordinal long, text string"
 GOOD = ("learn", "plant", "river", "stone", "maths", "verb", "cell", "graph", "poem", "atlas")
@@ -81,3 +82,39 @@ def test_junk_just_over_the_quantile_is_not_kept(spark):
     assert len(over) >= 10 and not any(r.kept for r in over)
     unseen = [r for k, r in out.items() if 300 <= k < 1000]
     assert sum(r.kept for r in unseen) >= 0.97 * len(unseen)
+
+
+# ---------------------------------------------------------------- 2, as a stage
+def test_stage_links_texts_alike_in_five_words_at_080(spark):
+    rng = random.Random(14)
+    rows = []
+    for g in range(12):
+        base = [f"{rng.choice(GOOD)}{rng.randrange(500)}" for _ in range(rng.randrange(3, 160))]
+        rows.append((100 * g, " ".join(base)))
+        for k in range(1, 8):  # up to four words changed
+            words = list(base)
+            for _ in range(rng.randrange(0, 5)):
+                words[rng.randrange(len(words))] = f"z{rng.randrange(1000)}"
+            rows.append((100 * g + k, " ".join(words)))
+    sets = []
+    for _, text in rows:
+        w = text.split()
+        sets.append({tuple(w[i : i + 5]) for i in range(max(len(w) - 4, 1))})
+    up = list(range(len(rows)))
+
+    def root(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                a, b = sorted((root(i), root(j)))
+                up[b] = a
+    table = spark.createDataFrame(rows, TEXTS)
+    out = {r.ordinal: r for r in jaccard_join.jaccard_groups(table, corpus_pipeline.NEAR).collect()}
+    assert [(out[k].n_shingles, out[k].component_id) for k, _ in rows] == [(len(s), rows[root(i)][0]) for i, s in enumerate(sets)]
+    docs = table.withColumnRenamed("ordinal", "doc_id")
+    kept = {r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()}
+    assert kept == {rows[root(i)][0] for i in range(len(rows))}
