@@ -34,7 +34,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def personal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts with their personal data and disclosing terms replaced; ``n_chars`` follows the text."""
-    safe = personal_data.protect_candidates(candidates_of(docs))
+    safe = personal_data.protect_candidates(candidates_of(docs), term=personal_data.ANY_TERM)
     out = safe.withColumn("text", F.col("safe_text")).withColumn("n_chars", F.length("safe_text").cast("long"))
     return _documents(out.select(*candidates_of(docs).columns))
 

@@ -1,7 +1,7 @@
 """Personal data: spans by form, and terms that reveal them by co-occurrence.  Column expressions only.
 
 Base spans are e-mail addresses, IP addresses, card numbers and phone numbers.  Each value is
-a protected entity.  A term (a word of letters) that stands near an entity discloses it by
+a protected entity.  A term (a word between marks and white space) that shares a text with an entity discloses it by
 
     disclosure(t, e) = PMI(t, e) / IC(e) = log(n(t,e) N / (n(t) n(e))) / log(N / n(e))
 
@@ -25,8 +25,9 @@ IP = r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"[0-9](?:[\x20-]?+[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 KINDS = ("email", "ip", "card", "phone", "term")
-CONTEXT = 80
+#: What can be a term: words of four letters or more, or any word, such as short, hyphenated and user names.
 TERM = r"^\p{L}{4,}$"
+ANY_TERM = r"[\p{L}\p{N}]"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 MARKS = ",.;:!?()[]{}\"'<>|\t\n\v\f\r"
 SPAN = "struct<start:int,kind:int,end:int,value:string>"
@@ -109,14 +110,9 @@ def _masked(text: Column, spans: Column) -> Column:
     return F.when(F.size(spans) > 0, F.aggregate(spans, text, over)).otherwise(text)
 
 
-def _nearby(clean: Column, span: Column, reach: int) -> Column:
-    """Distinct terms that lie whole within ``reach`` code points before or after a span."""
-    begin = F.greatest(span["start"] - reach - 1, F.lit(0))  # one more: the first piece is whole only after a space
-    left = F.split(F.substring(clean, begin + 1, span["start"] - begin), " ")
-    right = F.split(F.substring(clean, span["end"] + 1, F.lit(reach + 1)), " ")
-    left = F.when(begin > 0, F.slice(left, F.lit(2), F.size(left))).otherwise(left)
-    right = F.when(span["end"] + reach + 1 < F.length(clean), F.slice(right, F.lit(1), F.size(right) - 1)).otherwise(right)
-    return F.array_distinct(F.filter(F.concat(left, right), lambda w: F.regexp_like(w, F.lit(TERM))))
+def _terms(clean: Column, form: str) -> Column:
+    """Distinct words of a clean text that have a term's form."""
+    return F.array_distinct(F.filter(F.split(clean, " +"), lambda w: F.regexp_like(w, F.lit(form))))
 
 
 def _entity(span: Column) -> Column:
@@ -131,28 +127,35 @@ def _keyed(candidates: DataFrame) -> DataFrame:
 
 
 def disclosing_terms(
-    candidates: DataFrame, *, threshold: float = 0.95, support: int = 3, reach: int = CONTEXT
+    candidates: DataFrame, *, threshold: float = 0.95, support: int = 3, term: str = TERM
 ) -> tuple[DataFrame, DataFrame]:
     """Terms that disclose a protected entity, and the candidates that hold them.
 
     Terms: ``term``, ``disclosure`` (the largest over its entities).  Holders: ``ordinal``, ``text_key``, ``terms``.  A term counts
-    where at least ``support`` different texts have it near the same entity, so copies of one text prove nothing.
-    All candidates are counted; pairs of entity and term come only from texts that
-    hold an entity.  Counts combine before the shuffle, so a hot entity or term costs one row per task.
+    where at least ``support`` different texts have it and the same entity, anywhere in them, so copies of one text prove
+    nothing.  ``term``: the form of a term, a regular expression.  All candidates are counted; pairs of entity and
+    term come only from texts with an entity that ``support`` different texts hold, as others cannot have such a pair.
+    Counts combine before the shuffle, so a hot entity or term costs one row per task.
     """
     keyed = _keyed(candidates)
     spans = let(keyed, {"spans": base_spans(F.col("text"))}).where(F.size("spans") > 0)
     clean = spans.withColumn("clean", _clean(_masked(F.col("text"), F.col("spans"))))
-    near = clean.select(
+    texts = clean.select(
         "ordinal",
         "text_key",
-        F.explode(
-            F.transform("spans", lambda s: F.struct(_entity(s).alias("entity"), _nearby(F.col("clean"), s, reach).alias("terms")))
-        ).alias("near"),
-    ).select("ordinal", "text_key", "near.entity", "near.terms")
-    near = written(near, "entities")
-    entities = near.select("ordinal", "text_key", "entity").distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
-    exploded = near.select("ordinal", "text_key", "entity", F.explode("terms").alias("term")).distinct()
+        F.array_distinct(F.transform("spans", _entity)).alias("entities"),
+        "clean",
+    ).withColumn("terms", _terms(F.col("clean"), term))
+    held_entities = written(spans.select("ordinal", "text_key", F.explode(F.array_distinct(F.transform("spans", _entity))).alias("entity")).distinct(), "entities")
+    entities = held_entities.groupBy("entity").agg(F.count("*").alias("n_entity"), F.countDistinct("text_key").alias("n_texts"))
+    entities = written(entities.where(F.col("n_texts") >= support).drop("n_texts"), "entity-counts")
+    shared = held_entities.join(entities.select("entity"), "entity", "left_semi")
+    holding = shared.select("ordinal", "text_key").distinct().withColumnsRenamed({"ordinal": "_ordinal", "text_key": "_key"})
+    same = F.col("ordinal").eqNullSafe(F.col("_ordinal")) & (F.col("text_key") == F.col("_key"))
+    near = texts.join(holding, same, "left_semi").select("ordinal", "text_key", F.explode("terms").alias("term")).distinct()
+    near = written(near, "entity-terms")
+    named = shared.select(F.col("ordinal").alias("_ordinal"), F.col("text_key").alias("_key"), "entity")
+    exploded = near.join(named, same).select("ordinal", "text_key", "entity", "term")
     pairs = exploded.groupBy("entity", "term").agg(
         F.count("*").alias("n_both"), F.countDistinct("text_key").alias("n_texts")
     )
@@ -163,14 +166,14 @@ def disclosing_terms(
         pmi = F.log(F.col("n_both") * n / (F.col(n_term) * F.col("n_entity")))
         return F.when(information > 0, pmi / information).otherwise(F.lit(0.0))
 
-    # a term stands in at least as many candidates as it stands near any entity in: an upper bound of its
+    # a term stands in at least as many candidates as it shares with such entities: an upper bound of its
     # disclosure, which leaves out common words before the whole corpus is searched for terms
-    near_any = near.select("ordinal", "text_key", F.explode("terms").alias("term")).distinct().groupBy("term")
+    near_any = near.groupBy("term")
     pairs = pairs.where(F.col("n_texts") >= support).join(entities, "entity")
     pairs = pairs.join(near_any.agg(F.count("*").alias("n_near")), "term").where(disclosure("n_near") >= threshold)
     pairs = written(pairs, "disclosure-pairs")
     wanted = written(pairs.select("term").distinct(), "disclosure-terms")
-    words = F.array_distinct(F.filter(F.split(_clean(F.col("text")), " +"), lambda w: F.length(w) >= 4))
+    words = _terms(_clean(F.col("text")), term)
     held = keyed.select("ordinal", "text_key", F.explode(words).alias("term")).join(wanted, "term", "left_semi")
     held = written(held, "disclosure-words")
     totals = held.groupBy("term").agg(F.count("*").alias("n_term"))

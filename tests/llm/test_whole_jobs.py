@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from shelfwise.llm import jaccard_join, kneser_ney, quality_rules
+from shelfwise.llm import jaccard_join, kneser_ney, personal_data, quality_rules
 
 TEXTS = "ordinal long, text string"
 GOOD = ("learn", "plant", "river", "stone", "maths", "verb", "cell", "graph", "poem", "atlas")
@@ -118,3 +118,17 @@ def test_stage_links_texts_alike_in_five_words_at_080(spark):
     docs = table.withColumnRenamed("ordinal", "doc_id")
     kept = {r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()}
     assert kept == {rows[root(i)][0] for i in range(len(rows))}
+
+
+# ---------------------------------------------------------------- 6
+def test_short_hyphenated_and_far_terms_disclose(spark):
+    rng = random.Random(15)
+    rows = [(k, f"plain {said(rng, GOOD, 20)} {k}") for k in range(100)]
+    far = [said(rng, GOOD, 40 + k) for k in range(4)]
+    rows += [(300 + k, f"plain Li Anne-Marie, user77 王伟 {far[k]} to k.b@mail.org {far[k]} Faraway") for k in range(4)]
+    table = spark.createDataFrame(rows, TEXTS)
+    terms, _ = personal_data.disclosing_terms(table, term=personal_data.ANY_TERM)
+    assert {r.term for r in terms.collect()} >= {"li", "anne-marie", "user77", "王伟", "faraway"}
+    out = personal_data.protect_candidates(table, term=personal_data.ANY_TERM).where("ordinal >= 300").collect()
+    assert len(out) == 4 and not any(w in r.safe_text for r in out for w in ("Li ", "Anne", "user77", "王伟", "Faraway", "k.b@"))
+    assert all(r.safe_text.startswith("plain [term] [term], [term] [term]") for r in out)
