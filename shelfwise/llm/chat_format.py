@@ -185,9 +185,11 @@ def canonical_turns(records: DataFrame, fields: Sequence[str] | None = None, lay
 def canonical_json(records: DataFrame, record: str, layouts: Sequence[Layout] = LAYOUTS, name: str = "turns") -> DataFrame:
     """Adds ``layout`` and ``name``, the turns of JSON records of mixed layouts; every row has its own fingerprint.
 
-    A list's paths are those of its first element.  A row that is null, no JSON or of no layout has a null ``layout`` and no turns.
+    A list's paths are those of its first element.  A row that is null, no JSON or of no layout has a null ``layout`` and no turns.  Own columns
+    of these names are replaced.
     """
     whole = F.try_parse_json(F.col(record))
+    records = records.drop("layout", name)
 
     def present(path: str) -> Column:
         return F.try_variant_get("_record", "$." + path.replace("[]", "[0]"), "variant").isNotNull()
@@ -206,12 +208,12 @@ def canonical_json(records: DataFrame, record: str, layouts: Sequence[Layout] =
             lambda x: F.struct(*[F.try_variant_get(x, f"$.{n}", "string").alias(n) for n in names]),
         )
 
-    turns = F.lit(None)
+    turns, label = F.array().cast(TURNS), F.lit(None).cast("string")
     for number, layout in enumerate(layouts):
-        turns = F.when(F.col("_number") == number, _expression(layout, lambda f: True, value, each)).otherwise(turns)
-    label = F.element_at(F.array(*[F.lit(x.name) for x in layouts]), F.col("_number") + 1)
-    out = based.withColumns({"layout": label, name: F.coalesce(turns, F.array().cast(TURNS))})
-    return out.drop("_record", "_number")
+        fits = F.coalesce(F.col("_number") == number, F.lit(False))
+        turns = F.when(fits, _expression(layout, lambda f: True, value, each)).otherwise(turns)
+        label = F.when(fits, F.lit(layout.name)).otherwise(label)
+    return based.withColumns({"layout": label, name: turns}).drop("_record", "_number")
 
 
 def collect_turns(rows: DataFrame, key: str, order: str, turns: str = "turns") -> DataFrame:

@@ -35,7 +35,7 @@ from .chunks import by_bytes, frees_memory
 from .components import component_stars
 from .dense_counts import ROWS, block_rows, total
 from .shingles import set_key, shingle_sets
-from .tables import written
+from .tables import packed, unpacked, written
 
 ORDER_BITS = 22
 BLOCKS = 64
@@ -361,13 +361,16 @@ def first_of_groups(candidates: DataFrame, rule: Rule = Rule()) -> DataFrame:
     keep = written(kept.unionByName(alone).distinct(), "group-firsts")
     key = F.xxhash64(F.coalesce("text", F.lit("")))
 
+    whole = packed(candidates, ordinal="ordinal", text="text")
+
     def those(rows: DataFrame) -> DataFrame:
         named = rows.select(F.col("ordinal").alias("_ordinal"), F.col("text_key").alias("_key"))
         same = F.col("ordinal").cast("long").eqNullSafe(F.col("_ordinal")) & (key == F.col("_key"))
-        return candidates.join(named, same, "left_semi")
+        return whole.join(named, same, "left_semi")
 
     repeated = keep.where("rows > 1")
-    if repeated.isEmpty():
-        return those(keep)
-    once = those(repeated).withColumn("_k", key).dropDuplicates(["ordinal", "_k"]).drop("_k")
-    return those(keep.where("rows = 1")).unionByName(once)
+    found = those(keep)
+    if not repeated.isEmpty():
+        once = those(repeated).withColumn("_k", key).dropDuplicates(["ordinal", "_k"]).drop("_k")
+        found = those(keep.where("rows = 1")).unionByName(once)
+    return unpacked(found, candidates.columns, ordinal="ordinal", text="text")

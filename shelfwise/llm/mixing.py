@@ -1,10 +1,10 @@
 """Mixing candidate sources to target weights by a low-discrepancy schedule.
 
-The mix is a row of slots of equal words.  Slot i belongs to the source in whose part of the
-cumulative shares the golden-ratio point i * phi mod 1 falls, so every stretch of
-the mix holds each source in its proportion.  The r-th slot of a source takes
+The mix is a row of slots of equal words.  A source needs one slot for every block of its target.  Slot i is offered to the source in
+whose part of the cumulative shares of slots the golden-ratio point i * phi mod 1 falls, so every stretch of
+the mix holds each source in its proportion, and is left out once that source has all its slots.  The r-th slot of a source takes
 the r-th block of that source's candidates, laid end to end in a shuffled order and repeated as far as its target reaches.
-Slots past a source's last block stay empty, blocks past its last slot follow at the end, so every source takes its target.
+A block without a slot is not in the mix.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from shelfwise.operators.grouping import numbered
 
-from .tables import written
+from .tables import packed, unpacked, written
 from .words import first_words, word_count
 
 WEIGHTS = (1.0, 2.0, 3.0)
@@ -24,6 +24,7 @@ BLOCK_WORDS = 256
 MAX_REPEAT = 3
 CELLS = 1024
 BUCKETS = 4096
+ROUNDS = 3
 #: Fractions of the golden ratio: phi mod 1, and 2**20 * phi mod 1, so that the point of a large slot number keeps its digits.
 PHI, PHI_2_20 = 0.6180339887498949, 0.607787409740351
 
@@ -81,28 +82,35 @@ def source_targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, max_rep
     )
 
 
-def slot_schedule(targets: DataFrame, total: int, block_words: int) -> DataFrame:
+def slot_schedule(targets: DataFrame, block_words: int) -> DataFrame:
     """``slot``, ``source_no``, ``block``: which block of which source each slot takes.
 
-    Slots meet sources in an equi-join on one of ``CELLS`` equal parts of [0, 1), which the points fill evenly
-    whatever the shares are, and are then numbered per source in bounded runs of slots.
+    A source has ``ceil(target / block_words)`` slots and that part of [0, 1).  Slots meet sources in an equi-join on one of ``CELLS`` equal
+    parts of [0, 1), which the points fill evenly whatever the shares are, and are then numbered per source in bounded
+    runs of slots; a source's first ones count.  The points come back to any part within three times its share's
+    turn, so three rounds of slots serve all; more are drawn while a source is short of its slots.
     """
     spark = targets.sparkSession
-    up_to = Window.orderBy("source_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    shares = targets.withColumn("hi", F.sum("target").over(up_to) / F.col("total"))
-    edges = shares.withColumn("lo", F.coalesce(F.lag("hi").over(Window.orderBy("source_no")), F.lit(0.0))).withColumn(
-        "hi", F.when(F.lead("hi").over(Window.orderBy("source_no")).isNull(), F.lit(1.0)).otherwise(F.col("hi"))
-    )
-    last = F.least(F.floor(F.col("hi") * CELLS), F.lit(CELLS - 1))
-    parts = edges.where(F.col("hi") > F.col("lo")).select(
-        "source_no", "lo", "hi", F.explode(F.sequence(F.least(F.floor(F.col("lo") * CELLS), last), last)).alias("cell")
-    )
-    n_slots = -(-total // block_words)
-    points = spark.range(n_slots).select(F.col("id").alias("slot"), golden_point(F.col("id")).alias("point"))
-    placed = points.withColumn("cell", F.floor(F.col("point") * CELLS)).join(parts, "cell")
-    chosen = placed.where((F.col("point") >= F.col("lo")) & (F.col("point") < F.col("hi"))).select("slot", "source_no")
-    ranked = numbered(chosen, ["source_no"], ordinal="slot", name="block", block=1 << 16)
-    return ranked.withColumn("block", F.col("block").cast("long") - 1)
+    order = Window.orderBy("source_no")
+    every = Window.partitionBy()
+    needs = targets.select("source_no", F.ceil(F.ceil("target") / block_words).cast("long").alias("need")).where("need > 0")
+    summed = needs.withColumns(
+        {"upto": F.sum("need").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)), "slots": F.sum("need").over(every)}
+    )
+    edges = summed.withColumns({"lo": (F.col("upto") - F.col("need")) / F.col("slots"), "hi": F.col("upto") / F.col("slots")})
+    first, last = (F.least(F.floor(F.col(c) * CELLS), F.lit(CELLS - 1)) for c in ("lo", "hi"))
+    parts = edges.select("source_no", "need", "lo", "hi", F.explode(F.sequence(first, last)).alias("cell"))
+    total = needs.agg(F.coalesce(F.sum("need"), F.lit(0))).first()[0]
+    rounds = ROUNDS
+    while True:
+        points = spark.range(rounds * total).select(F.col("id").alias("slot"), golden_point(F.col("id")).alias("point"))
+        placed = points.withColumn("cell", F.floor(F.col("point") * CELLS)).join(parts, "cell")
+        chosen = placed.where((F.col("point") >= F.col("lo")) & (F.col("point") < F.col("hi"))).select("slot", "source_no", "need")
+        ranked = numbered(chosen, ["source_no"], ordinal="slot", name="turn", block=1 << 16).where(F.col("turn") <= F.col("need"))
+        schedule = written(ranked.select("slot", "source_no", (F.col("turn").cast("long") - 1).alias("block")), "mix-schedule")
+        if schedule.count() == total:
+            return schedule
+        rounds *= 2
 
 
 def mix_pieces(
@@ -114,8 +122,8 @@ def mix_pieces(
 ) -> tuple[DataFrame, DataFrame]:
     """The mix itself, and the units it was made from.
 
-    Pieces: ``slot`` (those past the schedule have gaps), ``ordinal``, ``text_key``, ``source_no``, ``epoch``, ``words`` (how many of the unit's words lie in that
-    slot).  Units: one row per distinct (``ordinal``, ``source``, text) with ``rows``, ``size``, ``source_size``, ``target``.
+    Pieces: ``slot`` (slots left out leave gaps), ``ordinal``, ``text_key``, ``source_no``, ``epoch``, ``words`` (how many of the unit's words
+    lie in that slot).  Units: one row per distinct (``ordinal``, ``source``, text) with ``rows``, ``size``, ``source_size``, ``target``.
     """
     units = written(_units(candidates), "mix-units")
     cells = units.groupBy("source", "bucket").agg(F.sum("words").alias("cell_words"))
@@ -123,9 +131,7 @@ def mix_pieces(
         source_targets(cells.groupBy("source").agg(F.sum("cell_words").alias("source_size")), weights, max_repeat),
         "mix-targets",
     )
-    sums = targets.agg(F.max("total").alias("total"), F.count("*").alias("sources")).first()
-    total = sums.total or 0
-    schedule = slot_schedule(targets, total, block_words)
+    schedule = slot_schedule(targets, block_words)
     before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = cells.withColumn("cell_start", F.coalesce(F.sum("cell_words").over(before), F.lit(0))).drop("cell_words")
     inside = (
@@ -153,10 +159,8 @@ def mix_pieces(
     cut = epochs.withColumn("block", F.explode(F.sequence(first, last)))
     low = F.greatest(F.col("from"), F.col("block") * block_words)
     high = F.least(F.col("to"), (F.col("block") + 1) * block_words)
-    pieces = cut.withColumn("taken", high - low).join(schedule, ["source_no", "block"], "left")
-    # the points leave a source a slot or two short of its target; those blocks follow the schedule, in turn of the sources
-    past = F.lit(-(-total // block_words)) + F.col("block") * sums.sources + F.col("source_no")
-    return pieces.select(F.coalesce("slot", past).alias("slot"), "ordinal", "text_key", "source_no", "epoch", F.col("taken").alias("words")), placed
+    pieces = cut.withColumn("taken", high - low).join(schedule, ["source_no", "block"])
+    return pieces.select("slot", "ordinal", "text_key", "source_no", "epoch", F.col("taken").alias("words")), placed
 
 
 def mix_sources(candidates: DataFrame, **settings) -> DataFrame:
@@ -190,15 +194,15 @@ def mixed_rows(candidates: DataFrame, **settings) -> DataFrame:
     each mix) ``text`` is shortened to the words taken, one space between them.  Rows that are not taken, or hold no words, go.
     """
     shares = mix_sources(candidates, **settings).where("taken > 0").select(
-        F.col("ordinal").alias("_o"), F.col("text_key").alias("_k"), F.col("source").alias("_s"), "size", "taken"
+        F.col("ordinal").alias("_o"), F.col("text_key").alias("_k"), F.col("source").alias("_s"), F.struct("size", "taken").alias("_mix")
     ).distinct()
-    shares = shares.select("_o", "_k", "_s", F.struct("size", "taken").alias("_mix"))
     same = (
         F.col("ordinal").cast("long").eqNullSafe(F.col("_o"))
         & (F.xxhash64("text") == F.col("_k"))
         & F.col("source").cast("string").eqNullSafe(F.col("_s"))
     )
-    rows = candidates.join(shares, same).drop("_o", "_k", "_s")
+    keep = {"ordinal": "ordinal", "source": "source", "text": "text"}
+    rows = packed(candidates, **keep).join(shares, same).drop("_o", "_k", "_s")
     whole = F.floor(F.col("_mix.taken") / F.col("_mix.size")).cast("int")
     cut = F.col("_mix.taken") % F.col("_mix.size")
     copies = F.concat(
@@ -206,4 +210,4 @@ def mixed_rows(candidates: DataFrame, **settings) -> DataFrame:
     )
     out = rows.withColumn("_words", F.explode(copies))
     text = F.when(F.col("_words") > 0, first_words(F.col("text"), F.col("_words"))).otherwise(F.col("text"))
-    return out.withColumn("text", text).select(*candidates.columns)
+    return unpacked(out.withColumn("text", text), candidates.columns, **keep)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 CAPACITY = 2048
 SHARD_ROWS = 8192
 STEP = 512
-RESULT = "ordinal long, piece int, start long, length long, bin long, bin_start long"
+RESULT = "ordinal long, cluster_key long, copy int, piece int, start long, length long, bin long, bin_start long"
 
 
 class Bins:
@@ -77,7 +77,7 @@ def best_fit(length: np.ndarray, source: np.ndarray, cluster: np.ndarray, capaci
 
 
 def pack_candidates(candidates: DataFrame, *, capacity: int = CAPACITY, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """Where every word of every candidate goes: rows of ``ordinal``, ``piece``, ``start``, ``length``, ``bin``, ``bin_start``.
+    """Where every word of every candidate goes: rows of ``ordinal``, ``cluster_key``, ``copy``, ``piece``, ``start``, ``length``, ``bin``, ``bin_start``.
 
     Reads ``ordinal``, ``source``, ``size`` (words) and ``cluster`` (string; candidates with equal clusters are copies, null has none).
     A candidate longer than ``capacity`` is cut; full pieces fill bins of their own, the rest
@@ -87,7 +87,8 @@ def pack_candidates(candidates: DataFrame, *, capacity: int = CAPACITY, shard_ro
 
     Candidates are dealt to shards of about ``shard_rows`` by a hash of their values, and each shard
     is packed in one task, so no task's work grows with the input; a bin never spans shards, which wastes
-    the last open bins of each.  A null or zero ``size`` gives one row of length 0 without a bin; equal rows are packed each.
+    the last open bins of each.  ``cluster_key`` is the 64-bit hash of the cluster (-1 for none) and ``copy`` counts from zero the rows
+    of equal ordinal, cluster, source and size, so every packed row can be told apart.  A null or zero ``size`` gives one row of length 0 without a bin; equal rows are packed each.
     No candidates: no rows.
     """
     # no nulls reach pandas, which would turn whole numbers into floating point
@@ -127,9 +128,11 @@ def pack_candidates(candidates: DataFrame, *, capacity: int = CAPACITY, shard_ro
         ordinals = rows["ordinal"].to_numpy(np.int64)[out["row"]]
         out["ordinal"] = pd.Series(ordinals, dtype="Int64").mask(rows["no_ordinal"].to_numpy()[out["row"]])
         out["start"] = out["piece"] * capacity
+        out["cluster_key"] = cluster[out["row"]]
+        out["copy"] = rows.groupby(["no_ordinal", "ordinal", "cluster", "source", "size"], dropna=False).cumcount().to_numpy()[out["row"]]
         ids = (np.int64(shard) << 32) + out["bin"].astype("int64")
         out["bin"] = ids.astype("Int64").mask(out["bin"] < 0)
         out["bin_start"] = out["bin_start"].astype("Int64").mask(out["length"] == 0)
-        return out[["ordinal", "piece", "start", "length", "bin", "bin_start"]]
+        return out[["ordinal", "cluster_key", "copy", "piece", "start", "length", "bin", "bin_start"]]
 
     return dealt.groupBy("shard").applyInPandas(pack, RESULT)

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from shelfwise.functions.columns import bind, let
 
-from .tables import written
+from .tables import packed, unpacked, written
 
 #: Leftmost, non-overlapping matches, in time linear in the text: a match may start right after the
 #: one before (\G) or where a run starts; quantifiers that never need to give back are possessive.
@@ -227,7 +227,7 @@ def protect_candidates(candidates: DataFrame, *, with_text: bool = True, **setti
     columns of these names are replaced.  A text of any length is read whole.
     """
     _, holders = disclosing_terms(candidates, **settings)
-    rows = candidates.drop("spans", "safe_text", "_text", "_base", "_terms")
+    rows = packed(candidates, ordinal="ordinal", text="text")
     rows = rows.withColumn("_text", F.coalesce("text", F.lit("")))
     named = holders.select(
         F.col("ordinal").alias("_ordinal"), F.col("text_key").alias("_key"), F.col("terms").alias("_terms")
@@ -243,7 +243,8 @@ def protect_candidates(candidates: DataFrame, *, with_text: bool = True, **setti
     out = let(joined, {"spans": every})
     if with_text:
         out = out.withColumn("safe_text", F.when(F.col("text").isNotNull(), _safe(F.col("_text"), F.col("spans"))))
-    return out.drop("_text", "_base", "_terms")
+    added = ["spans", "safe_text"] if with_text else ["spans"]
+    return unpacked(out, [c for c in candidates.columns if c != "safe_text"], added, ordinal="ordinal", text="text")
 
 
 def span_text(spans: Column) -> Column:

@@ -45,9 +45,9 @@ def read(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-def candidates_of(docs: DataFrame) -> DataFrame:
-    """Documents under the names of candidates; what else they hold is passed on."""
-    return docs.withColumnRenamed("doc_id", "ordinal")
+def candidates_of(docs: DataFrame, *columns: str) -> DataFrame:
+    """Documents under the names of candidates, with the columns that an operator reads."""
+    return docs.select(F.col("doc_id").alias("ordinal"), *(columns or ("source", "text")))
 
 
 def trusted_candidates(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -55,7 +55,7 @@ def trusted_candidates(docs: DataFrame, labels: DataFrame) -> DataFrame:
     good = labels.where("quality = 1 and toxic = 0").select("doc_id").distinct()
     texts = likely(docs.select("doc_id", "text"), good, "doc_id")
     # labels have no size bound, so they are never broadcast and the plan is the same at every size
-    return candidates_of(texts.join(good.hint("merge"), "doc_id", "left_semi"))
+    return candidates_of(texts.join(good.hint("merge"), "doc_id", "left_semi"), "text")
 
 
 def op1_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
@@ -74,14 +74,15 @@ def op2_jaccard_join(spark: SparkSession, sf: str) -> DataFrame:
 def op3_kneser_ney(spark: SparkSession, sf: str) -> DataFrame:
     docs = read(spark, sf, "documents")
     trusted = trusted_candidates(docs, read(spark, sf, "labels"))
-    judged = kneser_ney.perplexity_rules(candidates_of(docs), trusted, language="lang")
+    judged = kneser_ney.perplexity_rules(candidates_of(docs, "lang", "text"), trusted, language="lang")
     return judged.select(F.col("ordinal").alias("doc_id"), "language", "n_tokens", "perplexity", "limit_perplexity", "kept")
 
 
 def op4_best_fit_packing(spark: SparkSession, sf: str) -> DataFrame:
     docs = candidates_of(read(spark, sf, "documents"))
     sized = docs.select("ordinal", "source", words.word_count(F.col("text")).alias("size"), F.sha2("text", 256).alias("cluster"))
-    return packing.pack_candidates(sized).withColumnRenamed("ordinal", "doc_id")
+    packed = packing.pack_candidates(sized)
+    return packed.select(F.col("ordinal").alias("doc_id"), "piece", "start", "length", "bin", "bin_start")
 
 
 def op5_token_files(spark: SparkSession, sf: str) -> DataFrame:
@@ -93,7 +94,7 @@ def op5_token_files(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def op6_personal_data(spark: SparkSession, sf: str) -> DataFrame:
-    docs = candidates_of(read(spark, sf, "documents")).select("ordinal", "text")
+    docs = candidates_of(read(spark, sf, "documents"), "text")
     found = personal_data.protect_candidates(docs, with_text=False, term=personal_data.ANY_TERM)
     base = F.filter("spans", lambda s: s["kind"] < personal_data.KINDS.index("term"))
     return found.select(
@@ -116,7 +117,7 @@ def op8_vp_tree(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def op9_token_counts(spark: SparkSession, sf: str) -> DataFrame:
-    docs = candidates_of(read(spark, sf, "documents")).select("ordinal", "text")
+    docs = candidates_of(read(spark, sf, "documents"), "text")
     counted = token_counts.token_counts(docs, public_tokenizers.path("byte_bpe_50k.json"))
     return counted.select(F.col("ordinal").alias("doc_id"), "tokens.*")
 
@@ -127,7 +128,7 @@ def op10_mixing(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def op11_merkle_manifest(spark: SparkSession, sf: str) -> DataFrame:
-    docs = candidates_of(read(spark, sf, "documents").select("doc_id", "source", "lang", "n_chars", "text"))
+    docs = candidates_of(read(spark, sf, "documents"), "source", "lang", "n_chars", "text")
     docs = docs.withColumnsRenamed({"lang": "stage", "n_chars": "size"})
     fields = [F.col(f) for f in merkle_manifest.FIELDS]
     lower = F.translate("text", personal_data.UPPER, personal_data.LOWER)

@@ -14,10 +14,9 @@ from __future__ import annotations
 
 import os
 import re
-from array import array
 from collections import defaultdict
 from collections.abc import Iterator
-from itertools import accumulate, count
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -31,8 +30,9 @@ from .tables import written
 from .token_pieces import _BYTE_LETTERS
 
 COUNT_BLOCKS = 8
-CACHE_PIECES = 150_000
+CACHE_PIECES = 100_000
 CACHED_LENGTH = 64
+JOINED_LENGTH = 1 << 15
 #: No token of either side reaches over a space that stands alone between two characters that are not white space: the left
 #: tokenizer starts a token there, and the right vocabulary has no piece with a space after another character.
 LONE_SPACE = re.compile(r"(?<=\S) (?=\S)")
@@ -45,14 +45,14 @@ ALIGNED = ["ordinal", "n_a", "n_b", "n_groups", "groups", "links"]
 Piece = tuple[int, int, int, str, bytes]
 
 
-def align(a: list[int], b: list[int], a_length: list[int], b_length: list[int]) -> list[tuple[list[int], list[int]]]:
-    """Groups of two id lists over the same bytes, cut where both have a token's end.  No token is empty."""
-    a_ends = dict(zip(accumulate([a_length[k] for k in a]), count(1)))
-    b_ends = dict(zip(accumulate([b_length[k] for k in b]), count(1)))
-    out, i, j = [], 0, 0
-    for end in sorted(a_ends.keys() & b_ends.keys()):
-        out.append((a[i : (i := a_ends[end])], b[j : (j := b_ends[end])]))
-    return out
+def align(a_ends: list[int], b_ends: list[int]) -> tuple[list[int], list[int]]:
+    """Where both sides of the same bytes have a token's end: how many tokens of either side lie before each, in order.
+
+    ``a_ends`` and ``b_ends`` are the byte offsets at which the tokens end.  No token is empty, so one token of a side ends there.
+    """
+    a_at, b_at = dict(zip(a_ends, count(1))), dict(zip(b_ends, count(1)))
+    common = sorted(a_at.keys() & b_at.keys())
+    return [a_at[end] for end in common], [b_at[end] for end in common]
 
 
 def possible_pairs(a_bytes: list[bytes], b_bytes: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -91,24 +91,60 @@ class Aligner:
             bytes([int(p[3:5], 16)]) if self.right.is_byte(k) else p.replace("▁", " ").encode() for k, p in enumerate(pieces)
         ]
         self.pair_a, self.pair_b = possible_pairs(self.a_bytes, self.b_bytes)
-        self.a_length, self.b_length = list(map(len, self.a_bytes)), list(map(len, self.b_bytes))
-        self.codes = {(a, b): k for k, (a, b) in enumerate(zip(self.pair_a.tolist(), self.pair_b.tolist()))}
+        self.a_length, self.b_length = (np.array(list(map(len, x)), dtype=np.int64) for x in (self.a_bytes, self.b_bytes))
+        self.a_names, self.b_names = ([str(k) for k in range(len(x))] for x in (self.a_bytes, self.b_bytes))
+        self.pair_keys = self.pair_a * len(self.b_bytes) + self.pair_b
         self.kept: dict[str, Piece | None] = {}
         self.older: dict[str, Piece | None] = {}
 
-    def _aligned(self, parts: list[str]) -> Iterator[Piece | None]:
-        """The alignment of every piece, or None where a side's bytes are not the space and the piece."""
-        spaced = [" " + p for p in parts]
-        lefts, rights = self.left.encode_batch_fast(spaced, add_special_tokens=False), self.right.encode(parts, num_threads=1)
-        a_bytes, b_bytes, codes = self.a_bytes, self.b_bytes, self.codes
-        for text, encoded, b in zip(spaced, lefts, rights):
-            a, whole = encoded.ids, text.encode("utf-8", "replace")
-            if b"".join([a_bytes[k] for k in a]) != whole or b"".join([b_bytes[k] for k in b]) != whole:
-                yield None
+    def _aligned(self, parts: list[str]) -> Iterator[tuple[str, Piece | None]]:
+        """Pieces with their alignment, or None where a side's bytes are not the space and the piece.
+
+        Pieces without white space at their ends are joined by single spaces, which are safe boundaries again.
+        """
+        run, size = [], 0
+        for part in parts:
+            if part[0].isspace() or part[-1].isspace():
+                yield from self._joined([part])
                 continue
-            groups = align(a, b, self.a_length, self.b_length)
-            links = array("i", [codes[x[-1], y[-1]] for x, y in groups])
-            yield len(a), len(b), len(groups), groups_text(groups), links.tobytes()
+            run.append(part)
+            size += len(part)
+            if size >= JOINED_LENGTH:
+                yield from self._joined(run)
+                run, size = [], 0
+        if run:
+            yield from self._joined(run)
+
+    def _joined(self, run: list[str]) -> Iterator[tuple[str, Piece | None]]:
+        text = " ".join(run)
+        a, b, whole = self.left.encode(" " + text, add_special_tokens=False).ids, self.right.encode(text), (" " + text).encode("utf-8", "replace")
+        if b"".join([self.a_bytes[k] for k in a]) != whole or b"".join([self.b_bytes[k] for k in b]) != whole:
+            if len(run) == 1:
+                yield text, None
+                return
+            half = len(run) // 2
+            yield from self._joined(run[:half])
+            yield from self._joined(run[half:])
+            return
+        a_ids, b_ids = np.array(a, dtype=np.int64), np.array(b, dtype=np.int64)
+        a_cuts, b_cuts = align(np.cumsum(self.a_length[a_ids]).tolist(), np.cumsum(self.b_length[b_ids]).tolist())
+        a_upto, b_upto = np.array(a_cuts), np.array(b_cuts)
+        keys = a_ids[a_upto - 1] * len(self.b_bytes) + b_ids[b_upto - 1]
+        links = np.searchsorted(self.pair_keys, keys).astype(np.int32)
+        shown, a_names, b_names, i, j = [], self.a_names, self.b_names, 0, 0
+        for x, y in zip(a_cuts, b_cuts):
+            left = a_names[a[i]] if x - i == 1 else ",".join([a_names[k] for k in a[i:x]])
+            right = b_names[b[j]] if y - j == 1 else ",".join([b_names[k] for k in b[j:y]])
+            shown.append(left + "|" + right)
+            i, j = x, y
+        # a piece ends where both sides end a token
+        ends = np.cumsum([len(p.encode("utf-8", "replace")) + 1 for p in run])
+        groups = (np.searchsorted(np.cumsum(self.a_length[a_ids])[a_upto - 1], ends) + 1).tolist()
+        g = i = j = 0
+        for part, upto in zip(run, groups):
+            x, y = a_cuts[upto - 1], b_cuts[upto - 1]
+            yield part, (x - i, y - j, upto - g, ";".join(shown[g:upto]), links[g:upto].tobytes())
+            g, i, j = upto, x, y
 
     def aligned(self, texts: list[str]) -> list[list[Piece]]:
         """Every text's pieces in order; none for an empty text or one whose bytes a side does not write.
@@ -125,7 +161,7 @@ class Aligner:
                 found[part] = kept[part] = older[part]
             else:
                 fresh.append(part)
-        for part, piece in zip(fresh, self._aligned(fresh)):
+        for part, piece in self._aligned(fresh):
             found[part] = piece
             if len(part) <= CACHED_LENGTH:
                 kept[part] = piece
@@ -135,11 +171,6 @@ class Aligner:
         return [[] if None in pieces else pieces for pieces in out]
 
 
-def groups_text(groups) -> str:
-    """``a1,a2|b1;a3|b2,b3``: ids of every group."""
-    return ";".join([",".join(map(str, a)) + "|" + ",".join(map(str, b)) for a, b in groups])
-
-
 _ALIGNERS: dict[tuple[str, str], Aligner] = {}
 
 
@@ -167,7 +198,7 @@ def _totals(links: DataFrame, size: int) -> np.ndarray:
 def align_texts(candidates: DataFrame, left: str, right: str) -> DataFrame:
     """The alignment of every ``text`` as a table in the shared folder: ``ordinal``, ``n_a``, ``n_b``, ``n_groups``, ``groups``, ``links``.
 
-    ``groups``: ids of every group as text (``groups_text``).  ``links``: the codes of the linked pairs, one per occurrence.
+    ``groups``: the ids of every group as text, ``a1,a2|b1;a3|b2,b3``.  ``links``: the codes of the linked pairs, one per occurrence.
     """
 
     @frees_memory
@@ -201,7 +232,7 @@ def align_tokens(candidates: DataFrame, left: str, right: str) -> DataFrame:
     """How the tokens of two tokenizers cover every ``text``: one row per candidate row.
 
     ``left`` and ``right`` are paths on the driver and the executors (``.json``, ``.model``).  ``ordinal``; ``n_a``, ``n_b`` tokens;
-    ``groups`` as text (``groups_text``) and their number ``n_groups``; ``n_links``; ``n_best``, the links whose pair is linked as often as
+    ``groups`` as text (``a1,a2|b1;a3|b2,b3``) and their number ``n_groups``; ``n_links``; ``n_best``, the links whose pair is linked as often as
     any pair of its right token over all candidates; ``count_sum``, those numbers added up over the text's links.  A text that is
     null or empty, or that a tokenizer does not write byte for byte, has zeros and an empty ``groups``.  Special tokens' strings
     are plain text.  Reads ``ordinal`` (null is an ordinary value) and ``text``; repeated rows are aligned each.  Texts of any length are

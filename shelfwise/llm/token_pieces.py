@@ -4,7 +4,9 @@ A helper for tasks.  A boundary is safe where the tokenizer never lets a token
 reach across, so the pieces' ids in order are the ids of the whole text:
 
 * ``word_bpe`` drops white space, so every run of ASCII white space is one; it lower-cases, so A-Z may be
-  lower-cased before; and a single mark between a letter or digit and a space is a piece of its own;
+  lower-cased before; and a single mark between a letter or digit and a space is a piece of its own, unless
+  the letter is one that the tokenizer writes as a letter and a combining mark: only ASCII ones are trusted
+  where a text holds letters beyond the Latin ones, or U+0130;
 * ``byte_bpe`` starts a token at a space that stands alone between two
   characters that are not white space; the space goes with what follows.
 
@@ -51,6 +53,15 @@ _ODD_SPACE = re.compile(r" [^\S ]|[^\S ] ")
 _MARKS = re.compile(r"(?:[^\w\s]|[_\x1c-\x1f]){2}|'")
 
 
+_COMPOSED = re.compile("[\u0130\u0250-\U0010ffff]")
+_ASCII_MARK = re.compile(rb"(?<=[0-9a-z])([.,])[ \n]")
+
+
+def _latin(text: str) -> bool:
+    """Whether a text holds no letter that may be taken apart into a letter and a mark."""
+    return text.isascii() or not _COMPOSED.search(text)
+
+
 def encoder(path: str, drops_space: bool) -> PieceEncoder:
     """The worker's encoder for a file; its pieces serve all tasks that the worker runs."""
     key = (path, drops_space)
@@ -141,7 +152,11 @@ class PieceEncoder:
     def _dropping(self, text: str) -> bytes:
         raw = text.encode("utf-8", "replace")
         if _words_only(raw) or not any(a in text.lower() for a in self.added) and not _MARKS.search(text):
-            raw = raw.lower().replace(b". ", b" . ").replace(b", ", b" , ").replace(b".\n", b" . ")
+            raw = raw.lower()
+            if _latin(text):
+                raw = raw.replace(b". ", b" . ").replace(b", ", b" , ").replace(b".\n", b" . ")
+            else:
+                raw = _ASCII_MARK.sub(rb" \1 ", raw)
         return b"".join(map(self.cache.__getitem__, raw.split()))
 
     def _keeping(self, text: str) -> bytes:

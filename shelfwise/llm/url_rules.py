@@ -14,6 +14,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .tables import packed, unpacked
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 MAX_PATTERNS = 10_000
 
@@ -116,11 +118,11 @@ def url_rules(
     for fit, r in list(zip(fits, labels))[::-1]:
         rule = F.when(fit, F.lit(r.label)).otherwise(rule)
         ruled = F.when(fit, F.lit(r.verdict)).otherwise(ruled)
-    out = candidates.withColumns({"host": host, "path": path}).withColumn("rule", rule)
+    added = ["host", "path", "rule", "pattern", "verdict"]
+    out = packed(candidates, source_url="source_url").withColumns({"host": host, "path": path}).withColumn("rule", rule)
     if not patterns:
-        return out.withColumns(
-            {"pattern": F.lit(None).cast("string"), "verdict": F.coalesce(ruled, F.lit(default))}
-        )
+        out = out.withColumns({"pattern": F.lit(None).cast("string"), "verdict": F.coalesce(ruled, F.lit(default))})
+        return unpacked(out, candidates.columns, added, source_url="source_url")
     index = pattern_index(patterns, token_frequencies(candidates, patterns))
     entries = [
         F.struct(
@@ -144,13 +146,7 @@ def url_rules(
     fetched = F.flatten(F.transform(F.array_intersect(url_tokens(F.col("source_url")), keys), lambda t: F.element_at(filed, t)))
     hits = F.filter(fetched, lambda p: F.regexp_like(low, p["pattern"]))
     found = F.when(F.col("source_url").isNotNull(), F.array_min(hits))
-    return (
-        out.withColumn("_found", F.when(F.col("rule").isNull(), found))
-        .withColumns(
-            {
-                "pattern": F.col("_found.pattern"),
-                "verdict": F.coalesce(ruled, F.col("_found.verdict"), F.lit(default)),
-            }
-        )
-        .drop("_found")
+    judged = out.withColumn("_found", F.when(F.col("rule").isNull(), found)).withColumns(
+        {"pattern": F.col("_found.pattern"), "verdict": F.coalesce(ruled, F.col("_found.verdict"), F.lit(default))}
     )
+    return unpacked(judged, candidates.columns, added, source_url="source_url")

@@ -21,6 +21,7 @@ from shelfwise.llm import (
     quality_rules,
     token_counts,
     token_files,
+    token_pieces,
     url_rules,
     vp_tree,
 )
@@ -94,13 +95,13 @@ def test_quality_rules(spark, docs):
 
 
 # ---------------------------------------------------------------- 2
-def shingles(text):
+def shingles(text, width=3):
     words = [w.translate({c: c + 32 for c in range(65, 91)}) for w in WORD.findall(text or "")]
-    return {tuple(words)} if 0 < len(words) < 3 else {tuple(words[i : i + 3]) for i in range(len(words) - 2)}
+    return {tuple(words)} if 0 < len(words) < width else {tuple(words[i : i + width]) for i in range(len(words) - width + 1)}
 
 
-def groups_of(rows):
-    sets = [shingles(t) for _, t, *_ in rows]
+def groups_of(rows, width=3, percent=90):
+    sets = [shingles(t, width) for _, t, *_ in rows]
     up = list(range(len(rows)))
 
     def root(i):
@@ -110,7 +111,7 @@ def groups_of(rows):
 
     for i in range(len(rows)):
         for j in range(i):
-            if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 90 * len(sets[i] | sets[j]):
+            if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j]):
                 up[root(i)] = root(j)
     least = {}
     for i, (k, *_) in enumerate(rows):
@@ -254,6 +255,10 @@ def test_best_fit_is_the_tightest_compatible_bin():
 
 
 # ---------------------------------------------------------------- 5
+#: Every letter and digit before a mark: some are written as a letter and a combining mark, which takes the mark along.
+ODD_WORDS = [f"a{chr(c)}{m}b{chr(c)}{m}c" for c in range(1, 0x11000) if chr(c).isalnum() for m in (". ", ", ", ".\n")]
+
+
 def test_token_files(spark, docs):
     path = public_tokenizers.path("word_bpe_49k.json")
     extra = [(600, "Don't stop.. a, b. <|endoftext|> x <|ENDOFTEXT|>", "s"), (601, "İstanbul ΣΑΣ\x1c. É, ŉ_ b", "s")]
@@ -270,6 +275,8 @@ def test_token_files(spark, docs):
         want.append((k, at, len(ids), zlib.crc32(ids.tobytes())))
         at += len(ids)
     assert sorted((tuple(r) for r in out), key=str) == sorted(want, key=str)
+    for text, ids in zip(ODD_WORDS, token_pieces.encoder(path, drops_space=True).encode(ODD_WORDS)):
+        assert np.frombuffer(ids, dtype="<u4").tolist() == tok.encode(text, add_special_tokens=False).ids
     file = index.first().file
     size = index.where(F.col("file") == file).agg(F.sum("n_tokens")).first()[0]
     opened = token_files.TokenFile(folder, file)
@@ -454,6 +461,18 @@ def test_mixing(spark, docs):
     for s in sizes:
         assert abs(taken[s] - want[s]) <= 4
     pieces, _ = mixing.mix_pieces(table, block_words=16)
+    # slots are the golden-ratio points, offered to the sources in turn and left out once a source is served
+    order = sorted((s for s in sizes if s is not None)) + [None] * (None in sizes)
+    need = [-(-math.ceil(round(want[s], 6)) // 16) for s in order]
+    total, upto, given, slots, slot = sum(need), np.cumsum(need), [0] * len(need), {}, 0
+    while len(slots) < total:
+        point = slot * 0.6180339887498949 % 1
+        k = next(i for i, u in enumerate(upto) if point < u / total)
+        if given[k] < need[k]:
+            slots[slot] = k + 1
+            given[k] += 1
+        slot += 1
+    assert {(r.slot, r.source_no) for r in pieces.select("slot", "source_no").distinct().collect()} == set(slots.items())
     per_slot = pieces.groupBy("slot").agg(F.sum("words").alias("n"), F.countDistinct("source_no").alias("s")).collect()
     assert all(r.n <= 16 and r.s == 1 for r in per_slot)
     mixed = mixing.mixed_rows(table, block_words=16)
@@ -481,7 +500,7 @@ def test_pipeline_stages(spark, tmp_path):
             assert now.columns == docs.columns
     kept = {r.doc_id for r in seen[0]}
     assert trusted & {k for k, t in text.items() if not (base_of(t)[0] < 10 or 100 * base_of(t)[4] > 20 * base_of(t)[0])} <= kept
-    groups = groups_of([(r.doc_id, r.text) for r in seen[0]])
+    groups = groups_of([(r.doc_id, r.text) for r in seen[0]], corpus_pipeline.NEAR.width, corpus_pipeline.NEAR.percent)
     assert {r.doc_id for r in seen[1]} == {c for _, n, c in groups if n}
     for r in seen[2]:
         assert not spans_of(r.text) or not spans_of(text[r.doc_id])
@@ -489,6 +508,20 @@ def test_pipeline_stages(spark, tmp_path):
     before = {r.doc_id: r for r in seen[2]}
     assert all(before[r.doc_id].text.split()[: len(r.text.split())] == r.text.split() for r in seen[3])
     assert sum(r.length for r in seen[4]) == sum(len(WORD.findall(r.text)) for r in seen[3])
+    # every packed row is one copy of one text, and a bin's words can be laid out again
+    keyed = spark.read.parquet(f"{tmp_path}/3").select("doc_id", "text", F.xxhash64(F.sha2("text", 256)).alias("text_key")).collect()
+    copies = {}
+    for r in keyed:
+        copies.setdefault((r.doc_id, r.text_key), []).append(WORD.findall(r.text))
+    assert {(r.doc_id, r.text_key, r.copy) for r in seen[4]} == {(*k, n) for k, v in copies.items() for n in range(len(v))}
+    laid = {}
+    for r in seen[4]:
+        piece = copies[r.doc_id, r.text_key][r.copy][r.start : r.start + r.length]
+        assert len(piece) == r.length
+        laid.setdefault(r.bin, []).append((r.bin_start, r.length))
+    for spans in laid.values():
+        spans.sort()
+        assert all(a + n == b for (a, n), (b, _) in zip(spans, spans[1:])) and sum(spans[-1]) <= 2048
     assert hashlib.sha256(str(sorted(map(str, seen[4]))).encode()).hexdigest() == hashlib.sha256(
         str(sorted(map(str, corpus_pipeline.run(spark, sf).collect()))).encode()
     ).hexdigest()
@@ -512,5 +545,33 @@ def test_queries_run(spark):
     sf = "/root/testdata/sf0.001"
     n = spark.read.parquet(f"{sf}/documents.parquet").count()
     for name, query in queries.QUERIES.items():
-        if name.split("_")[0] in ("op1", "op2", "op3", "op5", "op6", "op9", "op10"):
+        if name.split("_")[0] in ("op1", "op2", "op3", "op5", "op6", "op9", "op10", "op11", "op12"):
             assert query(spark, sf).count() == n, name
+
+
+OWN = "ordinal _ordinal _key _text _base _terms _quality quality _k _o _s _mix _words _found rest size taken spans host node component_id".split()
+
+
+def test_own_columns_of_any_name_stay(spark, tmp_path):
+    """A documents table with columns that operators use inside: queries run and stages hand them on."""
+    import corpus_pipeline
+
+    from shelfwise.llm import queries
+
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    wide = docs.withColumns({c: F.concat(F.lit(c), F.col("doc_id").cast("string")) for c in OWN})
+    wide.write.parquet(f"{tmp_path}/documents.parquet")
+    for name in ("labels", "conversations"):
+        spark.read.parquet(f"{sf}/{name}.parquet").write.parquet(f"{tmp_path}/{name}.parquet")
+    for name, query in queries.QUERIES.items():
+        if name.split("_")[0] not in ("op7", "op8"):
+            assert query(spark, str(tmp_path)).count() > 0, name
+    now = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        now = stage(spark, now, str(tmp_path))
+        assert now.columns == wide.columns, name
+        assert all(r[c] == f"{c}{r.doc_id}" for r in now.collect() for c in OWN), name
+    pages = spark.createDataFrame([("http://a.com/x?page=2&ref=",)], "source_url string").withColumns({c: F.lit(c) for c in OWN if c != "host"})
+    judged = url_rules.url_rules(pages, queries.HOST_RULES, queries.PATTERNS).first()
+    assert all(judged[c] == c for c in OWN if c != "host") and judged.host == "a.com"
