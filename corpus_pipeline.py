@@ -7,11 +7,16 @@ from pyspark.sql import functions as F
 
 from shelfwise.llm import jaccard_join, mixing, packing, personal_data, quality_rules, words
 from shelfwise.llm.queries import candidates_of, read, trusted_candidates
-from shelfwise.llm.tables import new_folder
+from shelfwise.llm.tables import new_folder, packed, unpacked
 
 
-def _documents(candidates: DataFrame) -> DataFrame:
-    return candidates.withColumnRenamed("ordinal", "doc_id")
+def _candidates(docs: DataFrame) -> DataFrame:
+    """Documents as candidates; what else they hold lies in a struct, where its names clash with none of the operators'."""
+    return packed(docs, ordinal="doc_id", source="source", text="text", size="n_chars")
+
+
+def _documents(candidates: DataFrame, docs: DataFrame) -> DataFrame:
+    return unpacked(candidates, docs.columns, ordinal="doc_id", source="source", text="text", size="n_chars")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -19,8 +24,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     trusted = trusted_candidates(docs, read(spark, sf_dir, "labels"))
     ratio = quality_rules.fit_ratio(candidates_of(docs), trusted)
     threshold = quality_rules.trusted_threshold(trusted, ratio)
-    judged = quality_rules.quality_rules(candidates_of(docs), ratio, threshold=threshold, name="_quality")
-    return _documents(judged.where("_quality.kept").drop("_quality"))
+    judged = quality_rules.quality_rules(_candidates(docs), ratio, threshold=threshold)
+    return _documents(judged.where("quality.kept"), docs)
 
 
 #: Word shingles of five words at 0.8; the query ``op2_jaccard_join`` has 3 words and 0.9 by its own contract.
@@ -29,28 +34,32 @@ NEAR = jaccard_join.Rule(width=5, percent=80)
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group that the Jaccard join links."""
-    return _documents(jaccard_join.first_of_groups(candidates_of(docs), NEAR))
+    return _documents(jaccard_join.first_of_groups(_candidates(docs), NEAR), docs)
 
 
 def personal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts with their personal data and disclosing terms replaced; ``n_chars`` follows the text."""
-    safe = personal_data.protect_candidates(candidates_of(docs), term=personal_data.ANY_TERM)
-    out = safe.withColumn("text", F.col("safe_text")).withColumn("n_chars", F.length("safe_text").cast("long"))
-    return _documents(out.select(*candidates_of(docs).columns))
+    safe = personal_data.protect_candidates(_candidates(docs), term=personal_data.ANY_TERM)
+    out = safe.withColumns({"text": F.col("safe_text"), "size": F.length("safe_text").cast("long")})
+    return _documents(out, docs)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix of sources takes them; ``n_chars`` follows the text."""
-    mixed = mixing.mixed_rows(candidates_of(docs))
-    return _documents(mixed.withColumn("n_chars", F.length("text").cast("long")))
+    mixed = mixing.mixed_rows(_candidates(docs))
+    return _documents(mixed.withColumn("size", F.length("text").cast("long")), docs)
+
 
+def packed_bins(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Where each piece of each document goes: ``doc_id``, ``text_key``, ``copy``, ``piece``, ``start``, ``length``, ``bin``, ``bin_start``.
 
-def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Where each piece of each document goes."""
+    ``text_key`` and ``copy`` tell the copies apart that the mix made of a document: its cut copy has a text of its own, and
+    equal copies are counted from zero.  ``text_key`` is xxhash64 of the text's SHA-256 in hex.
+    """
     sized = candidates_of(docs).select(
         "ordinal", "source", words.word_count(F.col("text")).alias("size"), F.sha2("text", 256).alias("cluster")
     )
-    return _documents(packing.pack_candidates(sized))
+    return packing.pack_candidates(sized).withColumnsRenamed({"ordinal": "doc_id", "cluster_key": "text_key"})
 
 
 STAGES = [
@@ -58,7 +67,7 @@ STAGES = [
     ("n-gram Jaccard join", near_duplicates),
     ("personal data", personal),
     ("source mixture", mixture),
-    ("best-fit packing", packed),
+    ("best-fit packing", packed_bins),
 ]
 #: Hashed likelihood ratios, reveal scores and best-fit search are not SQL; the tests hold the stages against brute force.
 ORACLE_SQL = None
