@@ -39,6 +39,24 @@ def numbered(
     return out.withColumn(name, F.col("_local") + F.col("_offset")).select(*df.columns, name)
 
 
+def running_sum(
+    df: DataFrame, group: Sequence[str], ordinal: str, value: Column, name: str, block: int = BLOCK, inclusive: bool = False
+) -> DataFrame:
+    """Sum of ``value`` over the rows of the group before each row in the order of ``ordinal``, or up to it.
+
+    As in ``numbered`` no task holds more than ``block`` steps of the ordinal; rows of equal ordinal may come in any order.
+    """
+    keyed = df.withColumns({"_value": value, "_block": F.floor(F.col(ordinal) / F.lit(block))})
+    keys = [*group, "_block"]
+    before = Window.partitionBy(*group).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    sums = keyed.groupBy(*keys).agg(F.sum("_value").alias("_sum"))
+    spans = sums.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_offset"))
+    inside = Window.partitionBy(*keys).orderBy(ordinal).rowsBetween(Window.unboundedPreceding, Window.currentRow if inclusive else -1)
+    local = keyed.withColumn("_local", F.coalesce(F.sum("_value").over(inside), F.lit(0)))
+    out = local.join(spans, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys])
+    return out.withColumn(name, F.col("_local") + F.col("_offset")).select(*df.columns, name)
+
+
 def ranked(
     df: DataFrame,
     group: Sequence[str],

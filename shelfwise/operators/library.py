@@ -13,7 +13,8 @@ from ..functions.infer import library_format
 from ..functions.match import Rules, first_label
 from ..functions.text import as_col, blank_to_null, content_key, first_value, safe_part
 from ..functions.urls import suffix
-from .grouping import numbered, with_group_value
+from ..session import written
+from .grouping import BLOCK, numbered, running_sum, with_group_value
 
 RECORD = [
     "title", "library_file", "original_file", "format", "resource_type", "stage_or_age", "grade_or_phase",
@@ -68,12 +69,16 @@ def classify_library(items: DataFrame, threshold: float = 0.55, domain_rules: Ru
 
 
 def library_paths(
-    items: DataFrame, threshold: float = 0.55, root: str = "", ordinal: str = "ordinal", block: int | None = None
+    items: DataFrame,
+    threshold: float = 0.55,
+    root: str = "",
+    ordinal: str = "ordinal",
+    block: int = BLOCK,
+    taken: DataFrame | None = None,
 ) -> DataFrame:
     """Adds ``format``, ``library_file`` and the final review flag to classified items.
 
-    Equal paths get ``_2``, ``_3`` and so on by ordinal; the numbering is done in
-    blocks, so a path shared by very many items needs no single task.  Names are cut
+    Paths that meet are numbered by ``unique_paths``, around those ``taken`` already.  Names are cut
     here only: 80 characters of a class, 70 of a title.
     """
     file = F.coalesce(_field(items, "local_file"), F.lit(""))
@@ -93,27 +98,104 @@ def library_paths(
         F.col("needs_review"), F.concat_ws("/", F.lit(L.REVIEW_FOLDER), safe_part("_fmt", "unknown", 30))
     ).otherwise(F.concat_ws("/", *[F.substring(n, 1, 80) for n, _, _ in L.LIBRARY_CLASSES]))
     prefix = [F.lit(root.rstrip("/"))] if root else []
-    placed = let(judged, {"_stem": F.concat_ws("/", *prefix, folder, name)})
-    extra = {} if block is None else {"block": block}
-    counted = numbered(placed, ["_stem", "_ext"], ordinal, "_copy", **extra)
-    path = F.concat(
-        F.col("_stem"),
-        F.when(F.col("_copy") > 1, F.concat(F.lit("_"), F.col("_copy").cast("string"))).otherwise(F.lit("")),
-        F.lit("."),
-        F.col("_ext"),
-    )
-    out = counted.withColumns({"format": F.col("_fmt"), "library_file": path})
-    return out.drop("_fmt", "_suffix", "_folded", "_ext", "_stem", "_copy")
-
-
-def unique_paths(items: DataFrame, path: str = "path", ordinal: str = "ordinal", block: int | None = None) -> DataFrame:
-    """Number repeated paths: the first keeps its name, later ones get ``_2``, ``_3``."""
-    extra = {} if block is None else {"block": block}
-    counted = numbered(items, [path], ordinal, "_copy", **extra)
-    stem = F.regexp_extract(path, r"^(.*?)(\.[^./]*)?$", 1)
-    tail = F.regexp_extract(path, r"^(.*?)(\.[^./]*)?$", 2)
-    renamed = F.concat(stem, F.lit("_"), F.col("_copy").cast("string"), tail)
-    return counted.withColumn(path, F.when(F.col("_copy") > 1, renamed).otherwise(F.col(path))).drop("_copy")
+    path = F.concat(F.concat_ws("/", *prefix, folder, name), F.lit("."), F.col("_ext"))
+    placed = let(judged, {"library_file": path}).withColumn("format", F.col("_fmt")).drop("_fmt", "_suffix", "_folded", "_ext")
+    return unique_paths(placed, "library_file", ordinal, block, taken)
+
+
+PATH_PARTS = r"^(.*?)(\.[^./]*)?$"
+NUMBERED_STEM = r"^(.*)_([2-9]|[1-9][0-9]{1,14})$"
+
+
+def unique_paths(
+    items: DataFrame, path: str = "path", ordinal: str = "ordinal", block: int = BLOCK, taken: DataFrame | None = None
+) -> DataFrame:
+    """Paths that no two items share: in the order of ``ordinal`` an item keeps its path if it is free, else it gets the first
+    free of ``_2``, ``_3`` and so on, as if the items were placed one by one.
+
+    ``taken`` (a column ``path``) names paths that exist already.  A name such as ``a_2.pdf`` can be claimed twice, as an item's
+    own and as the number 2 of ``a.pdf``; whoever comes first gets it.  Such names are few: only they are settled in rounds
+    (``_settled``), everything else is numbered at once.  All steps cut a group into blocks of ordinals, so a path
+    that very many items share needs no single task.  A null path stays null.
+    """
+    counted = numbered(items, [path], ordinal, "_copy", block)
+    places = written(counted.where(F.col(path).isNotNull()).select(F.col(path).alias("_path"), F.col(ordinal).alias("_at"), "_copy"))
+    contested = _contested(places, taken)
+    if contested.isEmpty():
+        number = F.col("_copy")
+    else:
+        given = _given_numbers(places, _settled(contested, places, block), block)
+        counted = counted.join(given, F.col(ordinal) == F.col("_given_at"), "left")
+        number = F.coalesce("_given", "_copy")
+    stem, tail = (F.regexp_extract(path, PATH_PARTS, k) for k in (1, 2))
+    renamed = F.concat(stem, F.lit("_"), number.cast("string"), tail)
+    return counted.withColumn(path, F.when(number > 1, renamed).otherwise(F.col(path))).select(*items.columns)
+
+
+def _contested(places: DataFrame, taken: DataFrame | None) -> DataFrame:
+    """Names that two may claim: ``_name``, its ``_parent`` path and ``_number`` there, when its own first item comes (``_first``, null
+    if the name exists already), and whether it is a path's plain name that exists (``_parent`` null)."""
+    firsts = places.where("_copy = 1").select(F.col("_path").alias("_name"), F.col("_at").alias("_first"))
+    if taken is not None:
+        there = taken.select(F.col("path").alias("_name")).where("_name is not null").distinct().withColumn("_there", F.lit(True))
+        firsts = firsts.join(there, "_name", "full_outer").withColumn("_first", F.when(F.col("_there").isNull(), F.col("_first")))
+    stem, tail = (F.regexp_extract("_name", PATH_PARTS, k) for k in (1, 2))
+    split = firsts.withColumns({"_stem": stem, "_tail": tail}).withColumn("_number", F.regexp_extract("_stem", NUMBERED_STEM, 2))
+    parent = F.concat(F.regexp_extract("_stem", NUMBERED_STEM, 1), F.col("_tail"))
+    children = split.where("_number <> ''").select("_name", parent.alias("_parent"), F.col("_number").cast("long").alias("_number"), "_first")
+    sizes = places.select(F.col("_path").alias("_parent")).where(F.lit(True)).distinct()
+    found = children.join(sizes, "_parent").select("_name", "_parent", "_number", "_first")
+    if taken is not None:
+        known = firsts.where("_there").join(places.select(F.col("_path").alias("_name")).distinct(), "_name", "left_semi")
+        none = F.lit(None)
+        found = found.unionByName(known.select("_name", none.cast("string").alias("_parent"), none.cast("long").alias("_number"), "_first"))
+    return written(found)
+
+
+def _settled(contested: DataFrame, places: DataFrame, block: int) -> DataFrame:
+    """Adds ``_skip``, the parent passes over the number, and ``_lost``, the name is not its own first item's.
+
+    A number is reached by the item that has as many items before it as numbers are left below; it is passed over if its own item came
+    before that one.  Both depend on smaller numbers of the parent and on whether the parent has its plain name, so
+    repeating the step ends, after as many rounds as names hang on each other.
+    """
+    exists = F.col("_parent").isNull()
+    now = written(contested.withColumns({"_skip": ~exists, "_lost": exists}))
+    while True:
+        numbers = now.where("_parent is not null")
+        below = running_sum(numbers, ["_parent"], "_number", F.col("_skip").cast("long"), "_skipped", block)
+        lost = now.where("_lost").select(F.col("_name").alias("_parent"), F.lit(1).alias("_moved")).distinct()
+        copy = F.col("_number") - 1 - F.col("_skipped") + 1 - F.coalesce("_moved", F.lit(0))
+        reached = below.join(lost, "_parent", "left").withColumn("_copy", copy)
+        met = reached.join(places.withColumnRenamed("_path", "_parent"), ["_parent", "_copy"], "left")
+        first = F.coalesce("_first", F.lit(-(1 << 63)))
+        skip = F.coalesce(first < F.col("_at"), F.lit(False))
+        same = ["_name", "_parent", "_number", "_first"]
+        judged = met.select(*same, skip.alias("_skip"), (F.col("_at").isNotNull() & ~skip).alias("_lost"), F.col("_skip").alias("_old_skip"), F.col("_lost").alias("_old_lost"))
+        judged = written(judged)
+        changed = judged.where("_skip <> _old_skip or _lost <> _old_lost")
+        now = judged.select(*same, "_skip", "_lost").unionByName(now.where("_parent is null"))
+        if changed.isEmpty():
+            return now
+
+
+def _given_numbers(places: DataFrame, settled: DataFrame, block: int) -> DataFrame:
+    """``_given_at``, ``_given``: the number of every item whose path passes over numbers or has lost its plain name."""
+    skips = settled.where("_skip").select(F.col("_parent").alias("_path"), "_number")
+    lost = settled.where("_lost").select(F.col("_name").alias("_path"), F.lit(1).alias("_moved")).distinct()
+    paths = skips.select("_path").union(lost.select("_path")).distinct()
+    rows = places.join(paths, "_path", "left_semi").join(lost, "_path", "left")
+    # the j-th item in want of a number gets j + 1, and one more for every number passed over by it or an item before it
+    turn = F.col("_copy") - 1 + F.coalesce("_moved", F.lit(0))
+    wanting = rows.select("_path", "_at", turn.alias("_turn"), (turn * 2 + 1).alias("_key"), F.lit(0).cast("long").alias("_mark"))
+    passed = running_sum(skips, ["_path"], "_number", F.lit(1).cast("long"), "_before", block)
+    turn_passed = F.col("_number") - 1 - F.col("_before")
+    none = F.lit(None).cast("long")
+    marks = passed.select("_path", none.alias("_at"), none.alias("_turn"), (turn_passed * 2).alias("_key"), F.lit(1).cast("long").alias("_mark"))
+    summed = running_sum(wanting.unionByName(marks), ["_path"], "_key", F.col("_mark"), "_over", block, inclusive=True)
+    kept = summed.where("_at is not null")
+    number = F.when(F.col("_turn") == 0, F.lit(1).cast("long")).otherwise(F.col("_turn") + 1 + F.col("_over"))
+    return written(kept.select(F.col("_at").alias("_given_at"), number.alias("_given")))
 
 
 def organize_summary(organized: DataFrame) -> DataFrame:

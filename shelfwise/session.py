@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -42,6 +43,20 @@ def shared_folder(spark: SparkSession) -> str:
     return tempfile.mkdtemp(prefix="shelfwise-", dir="/tmp")
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with the scheme under which Spark reads it, so that other file libraries find the same place."""
+    if re.match(r"[A-Za-z][A-Za-z0-9+.-]+:", path):
+        return re.sub(r"^file:/+", "file:///", path)
+    if not path.startswith("/"):
+        path = os.path.abspath(path) if _default_file_system(spark).startswith("file:") else path
+    return _default_file_system(spark).rstrip("/") + "/" + path.lstrip("/")
+
+
+def _default_file_system(spark: SparkSession) -> str:
+    named = spark.conf.get("spark.hadoop.fs.defaultFS", None) or spark.sparkContext._jsc.hadoopConfiguration().get("fs.defaultFS")
+    return re.sub(r"^file:/+$", "file://", named or "file:///")
+
+
 def stage(df: DataFrame, eager: bool = False) -> DataFrame:
     """Cut lineage by a reliable checkpoint in the shared folder."""
     spark = df.sparkSession
