@@ -12,6 +12,15 @@ import pyarrow as pa
 CHUNK_BYTES = 1 << 19
 
 
+def give_back() -> None:
+    """Freed memory goes back to the machine."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def frees_memory(f: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
     """For functions over batches: when a task ends, freed memory goes back to the machine, so that idle workers hold
     none of what the next stages need."""
@@ -21,11 +30,7 @@ def frees_memory(f: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iter
         try:
             yield from f(batches)
         finally:
-            gc.collect()
-            pa.default_memory_pool().release_unused()
-            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-            if trim:
-                trim(0)
+            give_back()
 
     return run
 

@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 from collections import defaultdict
 from collections.abc import Iterator
 from itertools import count
@@ -24,18 +25,19 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .chunks import by_bytes, frees_memory
+from .chunks import by_bytes, frees_memory, give_back
 from .dense_counts import ROWS, block_rows, total
 from .tables import written
 from .token_pieces import _BYTE_LETTERS
 
 COUNT_BLOCKS = 8
-CACHE_PIECES = 100_000
+CACHE_PIECES = 80_000
 CACHED_LENGTH = 64
 JOINED_LENGTH = 1 << 15
 #: No token of either side reaches over a space that stands alone between two characters that are not white space: the left
 #: tokenizer starts a token there, and the right vocabulary has no piece with a space after another character.
 LONE_SPACE = re.compile(r"(?<=\S) (?=\S)")
+_ODD_SPACE = re.compile(r" \s|\s |^ | $")
 ALIGNED_TYPES = "ordinal long, n_a long, n_b long, n_groups long, groups string, links array<int>"
 ALIGNED = ["ordinal", "n_a", "n_b", "n_groups", "groups", "links"]
 
@@ -57,7 +59,7 @@ def align(a_ends: list[int], b_ends: list[int]) -> tuple[list[int], list[int]]:
 
 def possible_pairs(a_bytes: list[bytes], b_bytes: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all pairs of which one token's bytes are a suffix of the other's, in order of the ids."""
-    found = set()
+    width, found = len(b_bytes), array("q")
     for flip, longer, shorter in ((False, a_bytes, b_bytes), (True, b_bytes, a_bytes)):
         known = defaultdict(list)
         for k, token in enumerate(shorter):
@@ -65,9 +67,8 @@ def possible_pairs(a_bytes: list[bytes], b_bytes: list[bytes]) -> tuple[np.ndarr
                 known[token].append(k)
         for k, token in enumerate(longer):
             for at in range(len(token)):
-                found.update((x, k) if flip else (k, x) for x in known.get(token[at:], ()))
-    ids = np.array(sorted(found), dtype=np.int64).reshape(-1, 2)
-    return ids[:, 0], ids[:, 1]
+                found.extend(x * width + k if flip else k * width + x for x in known.get(token[at:], ()))
+    return np.divmod(np.unique(np.frombuffer(found, dtype=np.int64)), width)
 
 
 class Aligner:
@@ -151,7 +152,7 @@ class Aligner:
 
         Pieces not met before are aligned in one batch; of the short ones the latest are kept in two generations.
         """
-        split = [LONE_SPACE.split(t) if t else [] for t in texts]
+        split = [[] if not t else LONE_SPACE.split(t) if _ODD_SPACE.search(t) else t.split(" ") for t in texts]
         found: dict[str, Piece | None] = {}
         kept, older, fresh = self.kept, self.older, []
         for part in {p for parts in split for p in parts}:
@@ -181,12 +182,20 @@ def aligner(left: str, right: str) -> Aligner:
     return _ALIGNERS[left, right]
 
 
+def _forget() -> None:
+    """Gives a worker's tokenizers and pieces back once no stage needs them."""
+    if _ALIGNERS:
+        _ALIGNERS.clear()
+        give_back()
+
+
 def _totals(links: DataFrame, size: int) -> np.ndarray:
     """How many links hold each possible pair, in the order of the aligner's pairs."""
     padded = -(-size // COUNT_BLOCKS) * COUNT_BLOCKS
 
     @frees_memory
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _forget()
         counts = np.zeros(padded, dtype=np.int64)
         for batch in batches:
             counts += np.bincount(batch.column("links").flatten().to_numpy(), minlength=padded)
@@ -250,6 +259,7 @@ def align_tokens(candidates: DataFrame, left: str, right: str) -> DataFrame:
 
     @F.arrow_udf("n_best long, count_sum long")
     def rate(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        _forget()
         for links in batches:
             codes, ends = links.flatten().to_numpy(), np.concatenate([[0], np.cumsum(pc.list_value_length(links).to_numpy())])
             sums = [np.concatenate([[0], np.cumsum(x[codes], dtype=np.int64)])[ends] for x in (is_best, counts)]
