@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from shelfwise.session import shared_folder
+from shelfwise.session import qualified, shared_folder
 from shelfwise.sources import readers, writers
 from shelfwise.streaming.index_stream import stream_index
 
@@ -109,12 +109,12 @@ ORACLE["library_layout"] = f"""WITH {_LIB_CTE} SELECT ordinal, stage_or_age, gra
 
 
 def index_version(spark, sf):
-    """An index written as a version, then replaced by the upserted one, then read."""
-    path = folder(spark)
+    """An index written whole, then upserted bucket by bucket, then read.  The folder is named as Spark names a checkpoint folder."""
+    path = qualified(spark, folder(spark)).replace("file:///", "file:/")
     old, new = W.index_parts(spark, sf)
     none = spark.createDataFrame([], readers.DUPLICATE_RECORD)
-    writers.write_index(old, none, path)
-    writers.write_index(*W.B.index_upsert(old, new, "2024-02-02"), path)
+    writers.write_index(old, none, path, buckets=16)
+    writers.upsert_index(spark, path, new, "2024-02-02")
     return readers.load_index(spark, path)[0].select("resource_key", "title", "library_file", "classification_confidence", F.date_format("updated_at", "yyyy-MM-dd").alias("updated"))
 
 

@@ -5,10 +5,9 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.utils import AnalysisException
 
 from ..functions.columns import let
 from ..functions.text import as_col, blank_to_null
@@ -218,29 +217,30 @@ def load_lexicon(rows: DataFrame, max_terms: int = 10_000) -> dict[str, list[tup
     return out
 
 
-def _load_table(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    try:
-        found = spark.read.parquet(path)
-    except AnalysisException as error:
-        if "PATH_NOT_FOUND" in str(error) or "UNABLE_TO_INFER_SCHEMA" in str(error):
-            return spark.createDataFrame([], schema)
-        raise
+def _load_table(spark: SparkSession, paths: Sequence[str], schema: T.StructType) -> DataFrame:
+    if not paths:
+        return spark.createDataFrame([], schema)
+    found = spark.read.parquet(*paths)
     missing = [f.name for f in schema.fields if f.name not in found.columns]
     if missing:
-        raise ValueError(f"malformed index at {path}: no column {', '.join(missing)}")
+        raise ValueError(f"malformed index at {paths[0]}: no column {', '.join(missing)}")
     return found.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields])
 
 
+def load_buckets(spark: SparkSession, path: str, manifest: Sequence[Row]) -> tuple[DataFrame, DataFrame]:
+    """(resources, duplicates) of the given buckets of an index."""
+
+    def paths(kind: str) -> list[str]:
+        return [f"{path}/{kind}/{r[kind]}/bucket={r['bucket']}" for r in manifest if r[kind]]
+
+    return _load_table(spark, paths("resources"), INDEX_RECORD), _load_table(spark, paths("duplicates"), DUPLICATE_RECORD)
+
+
 def load_index(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(resources, duplicates) of an index, empty tables where there is none yet."""
-    from .writers import current_version
+    from .writers import read_manifest
 
-    version = current_version(path)
-    base = f"{path}/{version}" if version else f"{path}/none"
-    return (
-        _load_table(spark, f"{base}/resources", INDEX_RECORD),
-        _load_table(spark, f"{base}/duplicates", DUPLICATE_RECORD),
-    )
+    return load_buckets(spark, path, read_manifest(spark, path))
 
 
 def load_feed_parts(spark: SparkSession, paths: Sequence[str], schema: T.StructType | str) -> DataFrame:

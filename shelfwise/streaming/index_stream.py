@@ -4,13 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.library import index_outcomes, index_upsert, keyed_batch, merge_duplicates
-from ..session import stage
-from ..sources.readers import load_index
-from ..sources.writers import write_index
+from ..operators.library import keyed_batch
+from ..session import written
+from ..sources.writers import BUCKETS, upsert_index
 
 
 def dedupe_stream(stream: DataFrame, key: Sequence[str], time: str, delay: str) -> DataFrame:
@@ -19,19 +18,6 @@ def dedupe_stream(stream: DataFrame, key: Sequence[str], time: str, delay: str)
     return typed.withWatermark(time, delay).dropDuplicatesWithinWatermark(list(key))
 
 
-def upsert_batch(spark: SparkSession, batch: DataFrame, path: str, now: str, library: str | None = None) -> None:
-    """Apply one micro-batch to the index at ``path`` as a new version.
-
-    Outcomes are staged once, because both the index and the duplicate table
-    come from them.  Applying the same batch again leaves the same index.
-    """
-    resources, duplicates = load_index(spark, path)
-    stamp = F.lit(now).cast("timestamp")
-    outcomes = stage(index_outcomes(resources, batch))
-    fresh, found = index_upsert(resources, batch, stamp, outcomes=outcomes)
-    write_index(fresh, merge_duplicates(duplicates, found), path, library)
-
-
 def stream_index(
     stream: DataFrame,
     path: str,
@@ -39,21 +25,22 @@ def stream_index(
     time: str = "ts",
     delay: str = "1 hour",
     library: str | None = None,
+    buckets: int = BUCKETS,
 ):
     """Upsert a stream of organized files into an index, all available data first.
 
-    Copies of a file (same key and path) that arrive within ``delay`` are
-    dropped by the state store before any batch; the batch time is the stamp.
+    Copies of a file (same key and path) that arrive within ``delay`` are dropped by the state store before any batch.
+    A batch is written once, its latest time is the stamp, and it reads and rewrites only the buckets that hold its keys; with
+    many small batches take more ``buckets``.  A batch that is repeated after a failure changes nothing.
     """
     keyed = keyed_batch(stream).drop("error", "dedupe_confidence")
     unique = dedupe_stream(keyed, ["resource_key", "library_file"], time, delay).drop("resource_key")
 
     def apply(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        if batch.isEmpty():
-            return
-        now = str(batch.agg(F.max(time)).first()[0])
-        upsert_batch(spark, batch, path, now, library)
+        staged = written(batch)
+        now = staged.agg(F.max(time)).first()[0]
+        if now is not None:
+            upsert_index(staged.sparkSession, path, staged, F.lit(str(now)).cast("timestamp"), library, buckets)
 
     return (
         unique.writeStream.foreachBatch(apply)

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from shelfwise.operators import library as B
 from shelfwise.plans import flow
 from shelfwise.sources import readers, writers
-from shelfwise.streaming.index_stream import stream_index, upsert_batch
+from shelfwise.session import qualified
+from shelfwise.streaming.index_stream import stream_index
 
 
 @pytest.fixture()
@@ -94,38 +95,62 @@ def files(spark, *data):
     return spark.createDataFrame([tuple(d) for d in data], "ordinal bigint, title string, library_file string, sha256 string, classification_confidence double, needs_review boolean, ts timestamp_ntz")
 
 
+def bucket_files(path, kind):
+    return {os.path.join(d, f) for d, _, names in os.walk(f"{path}/{kind}") for f in names if f.endswith(".parquet")}
+
+
 def test_index_versions(spark, place):
     import datetime
 
     now = datetime.datetime(2024, 1, 1)
     path = f"{place}/index"
     assert readers.load_index(spark, path)[0].count() == 0
-    rows = files(spark, (1, "A", "l/a", "k1", 0.5, False, now), (2, "B", "l/b", "k1", 0.5, False, now))
-    upsert_batch(spark, rows, path, "2024-01-01")
-    upsert_batch(spark, rows, path, "2024-01-02")
+    rows = files(spark, (1, "A", "l/a", "k1", 0.5, False, now), (2, "B", "l/b", "k1", 0.5, False, now), (3, "N", None, "k2", 0.5, False, now))
+    for day in ("2024-01-01", "2024-01-02"):
+        writers.upsert_index(spark, path, rows, F.lit(day).cast("timestamp"))
     resources, duplicates = readers.load_index(spark, path)
     assert [(r["resource_key"], r["title"], r["created_at"].day, r["updated_at"].day) for r in resources.collect()] == [("k1", "A", 1, 2)]
     assert duplicates.count() == 1
+    assert writers.upsert_index(spark, path, rows.where("ordinal = 3"), "2024-01-03") is None
     with pytest.raises(ValueError):
         writers.write_index(resources, duplicates, "/lib/x/index", "/lib/x")
-    put(f"{path}/v99999999999999999999/resources/junk.txt", "x")
+    put(f"{path}/manifests/v99999999999999999999/part-0.parquet", "junk")
     assert readers.load_index(spark, path)[0].count() == 1
     bad = f"{place}/bad"
-    spark.range(1).write.parquet(f"{bad}/v1/resources")
-    spark.range(1).write.parquet(f"{bad}/v1/duplicates")
-    put(f"{bad}/v1/_COMPLETE", "")
+    spark.range(1).write.parquet(f"{bad}/resources/v1/bucket=0")
+    spark.createDataFrame([(0, "v1", None)], writers.MANIFEST).write.parquet(f"{bad}/manifests/v1")
+    put(f"{bad}/manifests/v1/_COMPLETE", "")
     with pytest.raises(ValueError):
         readers.load_index(spark, bad)
 
 
-def test_version_without_mark_or_folder_is_none(place):
-    assert writers.current_version(f"{place}/nowhere") is None
-    put(f"{place}/i/v1/resources/x", "")
-    assert writers.current_version(f"{place}/i") is None
-    put(f"{place}/i/v1/_COMPLETE", "")
-    put(f"{place}/i/v0/_COMPLETE", "")
-    put(f"{place}/i/other/_COMPLETE", "")
-    assert writers.current_version(f"file://{place}/i") == "v1"
+def test_upsert_writes_only_the_buckets_of_its_keys(spark, place):
+    import datetime
+
+    now = datetime.datetime(2024, 1, 1)
+    path = f"{place}/index"
+    many = files(spark, *[(k, f"T{k}", f"l/{k}", f"k{k}", 0.5, False, now) for k in range(400)])
+    writers.upsert_index(spark, path, many, "2024-01-01", buckets=32)
+    before = bucket_files(path, "resources")
+    held = {r["resource_key"]: r["title"] for r in readers.load_index(spark, path)[0].collect()}
+    assert len(held) == 400 and len(before) >= 32
+    one = files(spark, (1, "new title", "l/7", "k7", 0.5, False, now), (2, "copy", "l/elsewhere", "k7", 0.5, False, now))
+    writers.upsert_index(spark, path, one, "2024-01-02")
+    assert len(bucket_files(path, "resources") - before) == 1 and len(bucket_files(path, "duplicates")) == 1
+    resources, duplicates = readers.load_index(spark, path)
+    assert {r["resource_key"]: r["title"] for r in resources.collect()} == held | {"k7": "new title"}
+    assert [r["incoming_file"] for r in duplicates.collect()] == ["l/elsewhere"]
+    assert len(writers.read_manifest(spark, path)) == 32
+
+
+def test_places_of_every_form(spark, place):
+    put(f"{place}/i/manifests/v0/x", "")
+    assert writers.current_version(spark, f"{place}/nowhere") is None and writers.current_version(spark, f"{place}/i") is None
+    put(f"{place}/i/manifests/v1/_COMPLETE", "")
+    put(f"{place}/i/manifests/other/_COMPLETE", "")
+    for form in (f"{place}/i", f"file:{place}/i", f"file://{place}/i", os.path.relpath(f"{place}/i")):
+        assert writers.current_version(spark, form) == "v1"
+    assert qualified(spark, "hdfs://name/x") == "hdfs://name/x" and qualified(spark, "file:/x") == "file:///x"
 
 
 def test_stream_into_index(spark, place):
@@ -138,6 +163,12 @@ def test_stream_into_index(spark, place):
     stream_index(stream, f"{place}/index", f"{place}/state").awaitTermination()
     resources, _ = readers.load_index(spark, f"{place}/index")
     assert sorted(r["resource_key"] for r in resources.collect()) == ["k1", "k2"]
+    # more data under the same checkpoint: only the new key's bucket is written
+    before = bucket_files(f"{place}/index", "resources")
+    files(spark, (4, "D", "l/d", "k3", 0.5, False, now)).write.mode("append").parquet(f"{place}/in")
+    stream_index(stream, f"{place}/index", f"{place}/state").awaitTermination()
+    assert sorted(r["resource_key"] for r in readers.load_index(spark, f"{place}/index")[0].collect()) == ["k1", "k2", "k3"]
+    assert len(bucket_files(f"{place}/index", "resources") - before) == 1
 
 
 def test_library_chain(spark):
