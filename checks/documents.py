@@ -87,8 +87,8 @@ def analysis(spark, sf):
     )
 
 
-_AN_CTE = f"""{CAND}, a0 AS (SELECT *, coalesce(quality, 1) = 1 AS known, CASE WHEN coalesce(quality, 1) = 1 THEN text ELSE '' END AS body,
-   CASE WHEN coalesce(quality, 1) = 1 AND format = 'pdf' THEN floor(n_chars / 1000)::INT END AS pages FROM cand),
+_AN_CTE = f"""{CAND}, a0 AS (SELECT *, true AS known, text AS body,
+   CASE WHEN format = 'pdf' THEN floor(n_chars / 1000)::INT END AS pages FROM cand),
  a1 AS (SELECT *, concat_ws(' ', title, source_url, body) AS whole, length(body) AS n FROM a0),
  an AS (SELECT *, CASE WHEN n >= 500 THEN 'strong' WHEN n >= 80 OR coalesce(pages, 0) > 0 THEN 'basic' WHEN known AND n_chars >= 1024 THEN 'metadata_only' ELSE 'none' END AS evidence_level,
    CASE format WHEN 'pdf' THEN 'document' WHEN 'docx' THEN 'document' WHEN 'html' THEN 'webpage' ELSE 'audio' END AS analysis_type,

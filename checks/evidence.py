@@ -99,12 +99,21 @@ QUERIES["block_suffix"] = lambda spark, sf: X.block_library_suffix(table(spark,
 ))
 ORACLE["block_suffix"] = "SELECT doc_id, 'lib.d/' || doc_id || '.' || ['pdf', 'JSON', 'log', 'html'][doc_id % 4 + 1] AS library_file FROM documents WHERE doc_id % 4 IN (0, 3)"
 
-QUERIES["unique_paths"] = lambda spark, sf: B.unique_paths(
-    table(spark, sf, "documents").select("doc_id", F.concat_ws("", "source", F.lit("/v1.0/"), "lang", F.when(F.col("doc_id") % 3 > 0, F.lit(".txt"))).alias("path")), ordinal="doc_id", block=64
-)
-ORACLE["unique_paths"] = """WITH p AS (SELECT doc_id, source || '/v1.0/' || lang AS stem, CASE WHEN doc_id % 3 > 0 THEN '.txt' ELSE '' END AS tail FROM documents),
- n AS (SELECT *, row_number() OVER (PARTITION BY stem, tail ORDER BY doc_id) AS n FROM p)
-SELECT doc_id, stem || CASE WHEN n > 1 THEN '_' || n ELSE '' END || tail AS path FROM n"""
+# half of the documents are named as if a copy had been numbered before, so numbers and own names meet
+def named_paths(spark, sf):
+    own = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("_"), (F.col("doc_id") % 7 + 2).cast("string")))
+    path = F.concat_ws("", "source", F.lit("/v1.0/"), "lang", own, F.when(F.col("doc_id") % 3 > 0, F.lit(".txt")))
+    return B.unique_paths(table(spark, sf, "documents").select("doc_id", path.alias("path")), ordinal="doc_id", block=64)
+
+
+QUERIES["unique_paths"] = named_paths
+# placed one by one: every step takes the next document of each family of names and the first free number
+ORACLE["unique_paths"] = """WITH RECURSIVE p AS (SELECT doc_id, source || '/v1.0/' || lang AS base, CASE WHEN doc_id % 2 = 0 THEN '_' || (doc_id % 7 + 2) ELSE '' END AS own, CASE WHEN doc_id % 3 > 0 THEN '.txt' ELSE '' END AS tail FROM documents),
+ o AS (SELECT doc_id, base || own AS stem, tail, base || tail AS family, row_number() OVER (PARTITION BY base, tail ORDER BY doc_id) AS k FROM p),
+ s AS (SELECT DISTINCT family, 0::BIGINT AS k, []::VARCHAR[] AS used, NULL::BIGINT AS doc_id, NULL::VARCHAR AS path FROM o UNION ALL
+  SELECT family, k, list_append(used, path), doc_id, path FROM (SELECT s.family, o.k, used, o.doc_id, CASE WHEN NOT list_contains(used, stem || tail) THEN stem || tail
+   ELSE stem || '_' || list_filter(range(2, len(used) + 3), lambda n: NOT list_contains(used, stem || '_' || n || tail))[1] || tail END AS path FROM s JOIN o ON o.family = s.family AND o.k = s.k + 1))
+SELECT doc_id, path FROM s WHERE doc_id IS NOT NULL"""
 
 QUERIES["gate_by_count"] = lambda spark, sf: gate_by_count(table(spark, sf, "documents").select(F.concat_ws("-", "source", "lang").alias("intent_id")), 8)
 ORACLE["gate_by_count"] = "SELECT source || '-' || lang AS intent_id, count(*) AS n, count(*) >= 8 AS enough FROM documents GROUP BY 1"
@@ -347,7 +356,8 @@ def index_matches(spark, sf):
         F.col("item_id").alias("query_id"), F.col("text").alias("query"), F.when(F.col("item_id") % 2 == 0, F.lit("English")).alias("subject"),
         F.when(F.col("item_id") % 3 == 0, F.array(F.lit("pdf"), F.lit("audio"))).alias("format_preferences"),
     )
-    pairs = W.library_index(spark, sf).withColumn("query_id", F.col("ordinal") % asked.count()).join(asked, "query_id")
+    many = asked.agg(F.count("*").alias("_n"))
+    pairs = W.library_index(spark, sf).join(many).withColumn("query_id", F.col("ordinal") % F.col("_n")).drop("_n").join(asked, "query_id")
     return H.score_index(pairs).select("query_id", "ordinal", "match_score", F.array_join("match_reasons", "|").alias("reasons"), F.array_join("match_warnings", "|").alias("warnings"))
 
 

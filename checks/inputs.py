@@ -89,8 +89,8 @@ CANDIDATES_SQL = f"""cand AS (SELECT doc_id AS ordinal, 'doc-' || doc_id AS reso
 
 
 def files(spark: SparkSession, sf: str) -> DataFrame:
-    """Read text of the files: documents whose label says good quality, or none, have one."""
-    rows = candidates(spark, sf).where("quality is null or quality = 1")
+    """Read text of the files: every document has one."""
+    rows = candidates(spark, sf)
     return rows.select(
         "local_file",
         F.col("format").alias("detected_format"),

@@ -54,9 +54,9 @@ LINKS_CTE = rf"""
 
 
 def results(spark, sf):
-    """Search results: url, title and meta text or the first heading as snippet."""
+    """Search results: url, title and the text of the whole body as snippet."""
     pages = table(spark, sf, "pages")
-    snippet = P.squeeze(P.clean_text(F.regexp_extract("html", r"(?is)<footer[^>]*>(.*?)</footer>", 1)))
+    snippet = P.squeeze(P.clean_text(F.regexp_extract("html", r"(?is)<body[^>]*>(.*)</body>", 1)))
     return pages.select(
         F.col("page_id").alias("ordinal"), F.col("url").alias("link"), P.page_title("html").alias("name"),
         F.lit("").alias("title"), snippet.alias("summary"),
@@ -64,7 +64,7 @@ def results(spark, sf):
 
 
 RESULTS_SQL = rf"""SELECT page_id AS ordinal, url, {TITLE} AS title,
-  coalesce({S.blank_to_null(S.squeeze(S.clean(r"regexp_extract(html, '(?is)<footer[^>]*>(.*?)</footer>', 1)")))}, '') AS snippet
+  coalesce({S.blank_to_null(S.squeeze(S.clean(r"regexp_extract(html, '(?is)<body[^>]*>(.*)</body>', 1)")))}, '') AS snippet
   FROM pages WHERE {S.blank_to_null('url')} IS NOT NULL"""
 
 QUERIES["search_results"] = lambda spark, sf: C.load_search_results(results(spark, sf)).select("ordinal", "url", "title", "snippet")
@@ -337,6 +337,22 @@ ORACLE["known_source"] = rf"""SELECT page_id, CASE WHEN contains({S.path('url')}
  CASE WHEN contains({S.path('url')}, '/en') THEN 'english pages' ELSE 'other pages' END AS reason FROM pages WHERE contains({S.host('url')}, 'example.org')"""
 
 
+def source_rules(spark, sf):
+    """Every page against a table of rules: the last two labels of each host with the first folder of each path."""
+    pages = table(spark, sf, "pages").select("page_id", P.host("url").alias("host"), V.path("url").alias("path"))
+    parts = pages.select("page_id", F.regexp_extract("host", r"([^.]+\.[^.]+)$", 1).alias("host_part"), F.regexp_extract("path", "^(/[^/]*)", 1).alias("path_part"))
+    rules = parts.groupBy("host_part", "path_part").agg(F.max("page_id").alias("rule"))
+    rules = rules.withColumns({"adapter": F.concat_ws("|", "host_part", "path_part"), "reason": F.col("rule").cast("string")})
+    return V.known_sources(pages, rules).select("page_id", "adapter", "reason")
+
+
+QUERIES["source_rules"] = source_rules
+ORACLE["source_rules"] = rf"""WITH p AS (SELECT page_id, {S.host('url')} AS host, {S.path('url')} AS path FROM pages),
+ r AS (SELECT regexp_extract(host, '([^.]+\.[^.]+)$', 1) AS h, regexp_extract(path, '^(/[^/]*)', 1) AS f, max(page_id) AS rule FROM p GROUP BY 1, 2),
+ d AS (SELECT DISTINCT host, path FROM p), m AS (SELECT host, path, arg_min({{'h': h, 'f': f, 'rule': rule}}, rule) AS r FROM d JOIN r ON contains(host, h) AND contains(path, f) GROUP BY 1, 2)
+SELECT page_id, concat_ws('|', m.r.h, m.r.f) AS adapter, m.r.rule::VARCHAR AS reason FROM p LEFT JOIN m USING (host, path)"""
+
+
 def discovered(spark, sf):
     rows = C.load_search_results(results(spark, sf)).select(
         "ordinal", "title", F.col("snippet").alias("description"), F.col("url").alias("source_url"), P.host("url").alias("source_name")

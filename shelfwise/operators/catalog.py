@@ -15,45 +15,65 @@ from ..session import written
 from .grouping import first_of, top_k, with_group_value
 
 
+def _joined_titles(above: Column, below: Column) -> Column:
+    return F.when(above.isNull(), below).when(below.isNull(), above).otherwise(F.concat(above, F.lit("/"), below))
+
+
 def flatten_tree(nodes: DataFrame, id: str, parent: str, title: str) -> DataFrame:  # noqa: A002
-    """Tree rows of any depth with depth, path of titles and the parent's title.
+    """Tree rows of any depth with depth, path of titles and the nearest parent title that is not blank.
 
-    One join per level, from the roots (null parent) down to the first empty
-    level; every level is written before the next.  Children of one parent may
-    be any number: they are spread over salts when they meet their parent.  A
-    row that comes back to an id above it is an error.
+    Every row knows its line up to some ancestor; in a round it takes over what that ancestor knows, so a line's known length
+    doubles and a tree of depth d takes log2(d) rounds, each one join and one written table.  Rows whose line
+    reaches a root (null parent) are done and leave the rounds.  Many rows may share an ancestor: they are spread over salts when they
+    meet it.  An id in several rows has a line for each; rows under an unknown parent are left out.  A line that goes on after as many
+    steps as there are rows comes back to an id above it and is an error.
     """
-    slim = nodes.select(F.col(id).alias("id"), F.col(parent).alias("parent_id"), F.col(title).alias("title"))
-    level = slim.where(F.col("parent_id").isNull()).select(
-        "id", "parent_id", "title", F.lit("").alias("parent"), F.lit(1).alias("depth"), F.col("title").alias("path"),
-        F.array("id").alias("_line"),
+    label = blank_to_null(title)
+    lines = written(
+        nodes.select(
+            F.col(id).alias("id"),
+            F.col(parent).alias("parent_id"),
+            F.col(title).alias("title"),
+            F.lit(None).cast("string").alias("parent"),
+            F.lit(1).alias("depth"),
+            F.col(title).alias("path"),
+            F.col(parent).alias("_up"),
+            label.alias("_label"),
+        )
     )
-    children = slim.where(F.col("parent_id").isNotNull())
-    found = []
-    while True:
-        level = written(level)
-        if found and level.isEmpty():
-            return reduce(lambda a, b: a.unionByName(b), found)
-        found.append(level.drop("_line"))
-        above = level.select(
-            F.col("id").alias("parent_id"),
-            F.coalesce(blank_to_null("title"), F.col("parent")).alias("parent"),
+    left = lines.count().bit_length() + 1
+    done, pending = [lines.where("_up is null")], lines.where("_up is not null")
+    while not pending.isEmpty():
+        if not left:
+            looped = pending.first()["id"]
+            raise ValueError(f"cycle in the tree at id {looped}")
+        known = reduce(DataFrame.unionByName, [*done, pending])
+        wanted = pending.select(F.col("_up").alias("id")).distinct()
+        above = known.join(wanted, "id", "left_semi").select(
+            F.col("id").alias("_up"),
+            F.col("_up").alias("_next"),
             F.col("path").alias("_path"),
-            "_line",
+            F.col("depth").alias("_depth"),
+            F.col("_label").alias("_above"),
         )
-        below = with_group_value(children, above, ["parent_id"], "inner")
-        again = F.raise_error(F.concat(F.lit("cycle in the tree at id "), F.col("id").cast("string")))
-        level = below.select(
-            "id",
-            "parent_id",
-            "title",
-            "parent",
-            F.lit(len(found) + 1).alias("depth"),
-            F.concat_ws("/", "_path", "title").alias("path"),
-            F.when(F.array_contains("_line", F.col("id")), again.cast(level.schema["_line"].dataType))
-            .otherwise(F.array_append("_line", F.col("id")))
-            .alias("_line"),
+        met = with_group_value(pending, above, ["_up"], "inner")
+        longer = written(
+            met.select(
+                "id",
+                "parent_id",
+                "title",
+                F.coalesce("parent", "_above").alias("parent"),
+                (F.col("depth") + F.col("_depth")).alias("depth"),
+                _joined_titles(F.col("_path"), F.col("path")).alias("path"),
+                F.col("_next").alias("_up"),
+                F.coalesce("_label", "_above").alias("_label"),
+            )
         )
+        done.append(longer.where("_up is null"))
+        pending = longer.where("_up is not null")
+        left -= 1
+    whole = reduce(DataFrame.unionByName, done)
+    return whole.select("id", "parent_id", "title", F.coalesce("parent", F.lit("")).alias("parent"), "depth", "path")
 
 
 def catalog_rows(nodes: DataFrame) -> DataFrame:

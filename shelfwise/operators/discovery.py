@@ -13,12 +13,15 @@ from ..functions.infer import DIRECT_SUFFIX, HINT_SUFFIX
 from ..functions.match import compact, contains_any, count_hits, hits, labels
 from ..functions.text import blank_to_null, stable_id, text_blob
 from ..functions.urls import host, path
+from ..session import written
+from .grouping import with_group_value
+from .search import containment_pairs
 
 
 def known_source(url_host: Column, url_path: Column, sources: Sequence[tuple[str, str, str, str]] = L.KNOWN_SOURCES) -> Column:
     """``struct<adapter,reason>`` of the first rule whose host and path parts occur, else null.
 
-    Rules are literals: no join, however many pages one host has."""
+    Rules are literals: no join, however many pages one host has; ``known_sources`` takes a table of them."""
     out = F
     for host_part, path_part, adapter, reason in sources:
         test = F.contains(url_host, F.lit(host_part)) & F.contains(url_path, F.lit(path_part))
@@ -26,6 +29,31 @@ def known_source(url_host: Column, url_path: Column, sources: Sequence[tuple[str
     return out.otherwise(F.lit(None)) if sources else F.lit(None).cast("struct<adapter:string,reason:string>")
 
 
+def known_sources(items: DataFrame, rules: DataFrame, url_host: str = "host", url_path: str = "path") -> DataFrame:
+    """Adds ``adapter`` and ``reason`` of the first rule of a table whose host and path parts occur in the item's, else null.
+
+    ``rules``: ``rule`` (its rank), ``host_part``, ``path_part``, ``adapter``, ``reason``; a blank part fits everything, a null one
+    nothing.  For as many rules as there are: distinct hosts meet distinct host parts on short grams, distinct paths the path parts,
+    and what a (host, path) pair holds meets the rules by both parts at once.  Only distinct pairs are judged, so a
+    host's number of items costs nothing; items take the answer of their pair over salts.  A null host or path is empty.
+    """
+    named = {"_host": F.coalesce(F.col(url_host), F.lit("")), "_path": F.coalesce(F.col(url_path), F.lit(""))}
+    whole = items.withColumns(named)
+    pairs = written(whole.select("_host", "_path").distinct())
+    parts = ["host_part", "path_part"]
+    given = rules.where("host_part is not null and path_part is not null")
+    best = given.groupBy(*parts).agg(F.min("rule").alias("rule"), F.min_by(F.struct("adapter", "reason"), "rule").alias("_told"))
+    held = pairs
+    for text, part in (("_host", "host_part"), ("_path", "path_part")):
+        texts = pairs.select(text).distinct()
+        found = containment_pairs(texts, text, given.where(F.col(part) != ""), part)
+        held = held.join(found.unionByName(texts.withColumn(part, F.lit(""))), text)
+    first = held.join(best, parts).groupBy("_host", "_path").agg(F.min_by("_told", "rule").alias("_known"))
+    told = with_group_value(whole, first, ["_host", "_path"])
+    kept = [c for c in items.columns if c not in ("adapter", "reason")]
+    return told.select(*kept, F.col("_known.adapter").alias("adapter"), F.col("_known.reason").alias("reason"))
+
+
 def source_discovery(
     items: DataFrame,
     min_score: float = 3.0,

@@ -2,6 +2,7 @@
 
 import datetime
 import json
+import os
 import random
 
 import pytest
@@ -407,6 +408,21 @@ def test_discovery(spark):
     assert V.discovery_summary(V.source_discovery(df)).first()["rejected"] == 1
 
 
+def test_first_of_many_source_rules(spark):
+    rng = random.Random(4)
+    parts = [f"site{k}.example" for k in range(300)] + ["", "example", "site1"]
+    folders = [f"/f{k}/" for k in range(200)] + ["", "/"]
+    rules = [(k, rng.choice(parts), rng.choice(folders), f"a{k}", f"r{k}") for k in range(50_000)] + [(-1, None, "", "none", "none")]
+    items = [(k, f"www.site{rng.randrange(400)}.example.org" if k % 3 else None, f"/f{rng.randrange(300)}/x" if k % 5 else "") for k in range(400)]
+    items += [(1000 + k, "www.site5.example.org", "/f9/x") for k in range(2000)]
+    table = spark.createDataFrame(items, "ordinal long, host string, path string")
+    got = {r["ordinal"]: r["adapter"] for r in V.known_sources(table, spark.createDataFrame(rules, "rule long, host_part string, path_part string, adapter string, reason string")).collect()}
+    want = {}
+    for pair in {(h or "", p) for _, h, p in items}:
+        want[pair] = next((a for _, h, p, a, _ in rules if h is not None and h in pair[0] and p in pair[1]), None)
+    assert got == {k: want[h or "", p] for k, h, p in items}
+
+
 # ---------------------------------------------------------------- catalog
 def test_tree_of_unknown_depth(spark):
     df = spark.createDataFrame([("a", None, "A"), ("b", "a", "B"), ("c", "b", "C"), ("d", "c", "D"), ("e", None, "E")], "id string, up string, name string")
@@ -418,6 +434,12 @@ def test_tree_deeper_than_any_fixed_number_and_cycles(spark):
     rows = [("0", None, "t")] + [(str(i), str(i - 1), "t") for i in range(1, 6)]
     schema = "id string, up string, name string"
     assert G.flatten_tree(spark.createDataFrame(rows, schema), "id", "up", "name").count() == 6
+    chain = [("n0", None, "t")] + [(f"n{i}", f"n{i - 1}", None if i % 3 else f"t{i}") for i in range(1, 5000)]
+    deep = {r["id"]: r for r in G.flatten_tree(spark.createDataFrame(chain, schema), "id", "up", "name").collect()}
+    assert len(deep) == 5000 and deep["n4999"]["depth"] == 5000 and deep["n4999"]["parent"] == "t4998" and deep["n4"]["path"] == "t/t3"
+    wide = [("r", None, "R"), ("lost", "nowhere", "L")] + [(f"c{i}", "r", f"C{i}") for i in range(3000)] + [(f"g{i}", "c7", "G") for i in range(3000)]
+    got = G.flatten_tree(spark.createDataFrame(wide, schema), "id", "up", "name")
+    assert got.count() == 6001 and got.where("depth = 3 and path = 'R/C7/G'").count() == 3000
     with pytest.raises(Exception, match="cycle in the tree"):
         G.flatten_tree(spark.createDataFrame([("a", None, "A"), ("b", "a", "B"), ("a", "b", "A")], schema), "id", "up", "name").collect()
 
@@ -543,6 +565,32 @@ def test_download_and_summary_rows(spark):
 def test_small_helpers(spark):
     df = spark.createDataFrame([(1, "a/x.pdf"), (2, "a/x.pdf"), (3, "a/y"), (4, "a/x.pdf"), (5, "a/y")], "ordinal bigint, path string")
     assert rows(B.unique_paths(df, block=2)) == [(1, "a/x.pdf"), (2, "a/x_2.pdf"), (3, "a/y"), (4, "a/x_3.pdf"), (5, "a/y_2")]
+
+
+def placed_one_by_one(items, taken=()):
+    used, out = set(taken), []
+    for ordinal, path in sorted(items):
+        stem, tail = os.path.splitext(path)
+        name, n = path, 2
+        while name in used:
+            name, n = f"{stem}_{n}{tail}", n + 1
+        used.add(name)
+        out.append((ordinal, name))
+    return out
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_paths_that_no_two_items_share(spark, seed):
+    rng = random.Random(seed)
+    names = ["a.pdf", "a_2.pdf", "a_3.pdf", "a_2_2.pdf", "a_4.pdf", "a_2_2_2.pdf", "a_7.pdf", "b.c", "b_2.c", "d", "d_2", "a_02.pdf", "x/y_2.t", "x/y.t"]
+    items = [(3 * k, rng.choice(names[: rng.randrange(2, 15)])) for k in range(120)]
+    taken = rng.sample(names, 4) if seed else []
+    df = spark.createDataFrame(items, "ordinal bigint, path string")
+    there = spark.createDataFrame([(n,) for n in taken], "path string") if taken else None
+    got = B.unique_paths(df, block=rng.choice([2, 7]), taken=there)
+    assert sorted(tuple(r) for r in got.collect()) == placed_one_by_one(items, taken)
+    first = spark.createDataFrame([(1, "a"), (2, "a"), (3, "a_2"), (4, "a"), (5, None)], "ordinal bigint, path string")
+    assert [r[1] for r in sorted(map(tuple, B.unique_paths(first).collect()))] == ["a", "a_2", "a_2_2", "a_3", None]
     many = spark.range(30).select(F.col("id").alias("ordinal"), (F.col("id") % 2).alias("g"))
     assert D.detail_options(many).count() == 12 and D.detail_options(many, ["g"], 3).count() == 6
     assert rows(Z.gate_by_count(many.withColumnRenamed("g", "intent_id"), 15), "n", "enough") == [(15, True), (15, True)]
