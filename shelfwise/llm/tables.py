@@ -9,12 +9,12 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfwise.session import shared_folder
+from shelfwise.session import qualified, shared_folder
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
     """Path of a folder of its own for one run, below ``spark.checkpoint.dir``."""
-    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{qualified(spark, shared_folder(spark)).rstrip("/")}/{name}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
