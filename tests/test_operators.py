@@ -23,6 +23,7 @@ from shelfwise.operators import pages as P
 from shelfwise.operators import ranking as K
 from shelfwise.operators import rollups as R
 from shelfwise.operators import search as H
+from shelfwise.session import written
 from shelfwise.operators import sets as Z
 
 
@@ -39,7 +40,7 @@ def test_numbering_in_blocks_equals_a_window(spark):
     plain = df.withColumn("n", F.row_number().over(Window.partitionBy("g").orderBy("ordinal")))
     assert rows(W.numbered(df, ["g"], block=7)) == rows(plain)
     best = df.withColumn("rank", F.row_number().over(Window.partitionBy("g").orderBy(F.desc("score"), "ordinal")))
-    assert rows(W.ranked(df, ["g"], "score", block=7)) == rows(best)
+    assert rows(W.ranked(df, ["g"], "score")) == rows(best)
     first = W.first_of(df, ["g"])
     assert {r["g"]: (r["ordinal"], r["copies"]) for r in first.collect()} == {
         g: (min(o for o, k, _ in data if k == g), sum(k == g for _, k, _ in data)) for g in {k for _, k, _ in data}
@@ -423,6 +424,54 @@ def test_first_of_many_source_rules(spark):
     assert got == {k: want[h or "", p] for k, h, p in items}
 
 
+def test_ranks_of_one_huge_group_with_distinct_scores(spark, monkeypatch):
+    rng = random.Random(6)
+    rows_ = [(k, "hot" if k % 10 else None, rng.getrandbits(63)) for k in range(20_000)]
+    df = spark.createDataFrame(rows_, "ordinal long, intent_id string, score long").repartition(6)
+    kept = []
+    monkeypatch.setattr(W, "written", lambda d: kept.append(written(d)) or kept[-1])
+    got = {r["ordinal"]: r["rank"] for r in W.ranked(df, ["intent_id"], "score").collect()}
+    want = {}
+    for name in ("hot", None):
+        group = sorted((r for r in rows_ if r[1] == name), key=lambda r: (-r[2], r[0]))
+        want |= {r[0]: n for n, r in enumerate(group, 1)}
+    assert got == want
+    # the ranges that adaptive execution may join again are cut inside the group
+    parts = kept[0].groupBy("_part").count().collect()
+    assert len(parts) == 1 or max(r["count"] for r in parts) < 0.5 * len(rows_)
+
+
+def test_search_scores_few_pairs_and_keeps_hot_tokens(spark):
+    rng = random.Random(7)
+    words = [f"w{k}" for k in range(400)]
+    texts = [" ".join(["hot", *rng.choices(words, weights=[1 / (k + 1) for k in range(400)], k=30)]) for _ in range(600)]
+    index = spark.createDataFrame([(k, t, "pdf" if k % 2 else "doc", k % 100 / 100.0, k % 7 == 0, k % 5 > 0) for k, t in enumerate(texts)],
+                                  "ordinal long, title string, format string, classification_confidence double, needs_review boolean, file_exists boolean")
+    for name in ("resource_type", "source_url", "library_file", "stage_or_age", "grade_or_phase", "domain_or_subject", "topic_or_type", "source_or_version"):
+        index = index.withColumn(name, F.lit("math" if name == "domain_or_subject" else "").cast("string"))
+    asked = [(k, " ".join(rng.sample(texts[rng.randrange(600)].split(), 14)), ["pdf"] if k % 2 else None, "Math" if k % 3 == 0 else None) for k in range(25)]
+    asked += [(90, "hot", None, None), (91, "", None, "math"), (92, "nowhere", None, None), (93, None, ["doc"], None)]
+    queries = spark.createDataFrame(asked, "query_id long, query string, format_preferences array<string>, subject string")
+    every = H.score_index(index.crossJoin(queries)).where("match_score >= 8.0 and size(match_reasons) > 0")
+    order = Window.partitionBy("query_id").orderBy(F.desc("match_score"), "ordinal")
+    want = every.withColumn("rank", F.row_number().over(order)).where("rank <= 3").select("query_id", "ordinal", "rank", "match_score")
+    assert rows(H.search_index(index, queries, k=3, min_score=8.0), "query_id", "ordinal", "rank", "match_score") == rows(want)
+    pairs = H.search_candidates(index, queries.where("query_id < 90"), k=3, min_score=8.0)
+    assert pairs.count() < 0.15 * 600 * 25
+
+
+def test_search_scores_under_a_tenth_of_the_given_pairs(spark):
+    from checks import documents
+
+    sf = "/root/testdata/sf0.01"
+    queries = spark.read.parquet(f"{sf}/benchmark.parquet").select(
+        F.col("item_id").alias("query_id"), F.col("text").alias("query"), F.when(F.col("item_id") % 2 == 0, F.lit("English")).alias("subject")
+    )
+    index = documents.library_index(spark, sf)
+    pairs = H.search_candidates(index, queries, k=3, min_score=8.0).count()
+    assert 3 * queries.count() <= pairs < 0.1 * index.count() * queries.count()
+
+
 # ---------------------------------------------------------------- catalog
 def test_tree_of_unknown_depth(spark):
     df = spark.createDataFrame([("a", None, "A"), ("b", "a", "B"), ("c", "b", "C"), ("d", "c", "D"), ("e", None, "E")], "id string, up string, name string")
