@@ -59,7 +59,11 @@ _ASCII_MARK = re.compile(rb"(?<=[0-9a-z])([.,])[ \n]")
 
 def _latin(text: str) -> bool:
     """Whether a text holds no letter that may be taken apart into a letter and a mark."""
-    return text.isascii() or not _COMPOSED.search(text)
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return not _COMPOSED.search(text)
+    return True
 
 
 def encoder(path: str, drops_space: bool) -> PieceEncoder:
