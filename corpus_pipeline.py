@@ -10,22 +10,28 @@ from shelfwise.llm.queries import candidates_of, read, trusted_candidates
 from shelfwise.llm.tables import new_folder, packed, unpacked
 
 
-def _candidates(docs: DataFrame) -> DataFrame:
+#: Columns of documents that a stage reads, by the names that candidates have for them.
+TEXT = {"ordinal": "doc_id", "text": "text"}
+SIZED = TEXT | {"size": "n_chars"}
+MIXED = SIZED | {"source": "source"}
+
+
+def _candidates(docs: DataFrame, names: dict[str, str]) -> DataFrame:
     """Documents as candidates; what else they hold lies in a struct, where its names clash with none of the operators'."""
-    return packed(docs, ordinal="doc_id", source="source", text="text", size="n_chars")
+    return packed(docs, **names)
 
 
-def _documents(candidates: DataFrame, docs: DataFrame) -> DataFrame:
-    return unpacked(candidates, docs.columns, ordinal="doc_id", source="source", text="text", size="n_chars")
+def _documents(candidates: DataFrame, docs: DataFrame, names: dict[str, str]) -> DataFrame:
+    return unpacked(candidates, docs.columns, **names)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
     trusted = trusted_candidates(docs, read(spark, sf_dir, "labels"))
-    ratio = quality_rules.fit_ratio(candidates_of(docs), trusted)
+    ratio = quality_rules.fit_ratio(candidates_of(docs, "text"), trusted)
     threshold = quality_rules.trusted_threshold(trusted, ratio)
-    judged = quality_rules.quality_rules(_candidates(docs), ratio, threshold=threshold)
-    return _documents(judged.where("quality.kept"), docs)
+    judged = quality_rules.quality_rules(_candidates(docs, TEXT), ratio, threshold=threshold)
+    return _documents(judged.where("quality.kept"), docs, TEXT)
 
 
 #: Word shingles of five words at 0.8; the query ``op2_jaccard_join`` has 3 words and 0.9 by its own contract.
@@ -34,20 +40,20 @@ NEAR = jaccard_join.Rule(width=5, percent=80)
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group that the Jaccard join links."""
-    return _documents(jaccard_join.first_of_groups(_candidates(docs), NEAR), docs)
+    return _documents(jaccard_join.first_of_groups(_candidates(docs, TEXT), NEAR), docs, TEXT)
 
 
 def personal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts with their personal data and disclosing terms replaced; ``n_chars`` follows the text."""
-    safe = personal_data.protect_candidates(_candidates(docs), term=personal_data.ANY_TERM)
+    safe = personal_data.protect_candidates(_candidates(docs, SIZED), term=personal_data.ANY_TERM)
     out = safe.withColumns({"text": F.col("safe_text"), "size": F.length("safe_text").cast("long")})
-    return _documents(out, docs)
+    return _documents(out, docs, SIZED)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix of sources takes them; ``n_chars`` follows the text."""
-    mixed = mixing.mixed_rows(_candidates(docs))
-    return _documents(mixed.withColumn("size", F.length("text").cast("long")), docs)
+    mixed = mixing.mixed_rows(_candidates(docs, MIXED))
+    return _documents(mixed.withColumn("size", F.length("text").cast("long")), docs, MIXED)
 
 
 def packed_bins(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
