@@ -37,7 +37,7 @@ JOINED_LENGTH = 1 << 15
 #: No token of either side reaches over a space that stands alone between two characters that are not white space: the left
 #: tokenizer starts a token there, and the right vocabulary has no piece with a space after another character.
 LONE_SPACE = re.compile(r"(?<=\S) (?=\S)")
-_ODD_SPACE = re.compile(r" \s|\s |^ | $")
+_TWO_SPACES = re.compile(r"\s\s")
 ALIGNED_TYPES = "ordinal long, n_a long, n_b long, n_groups long, groups string, links array<int>"
 ALIGNED = ["ordinal", "n_a", "n_b", "n_groups", "groups", "links"]
 
@@ -47,6 +47,12 @@ ALIGNED = ["ordinal", "n_a", "n_b", "n_groups", "groups", "links"]
 Piece = tuple[int, int, int, str, bytes]
 
 
+def _cut(text: str) -> list[str]:
+    """A text's pieces between lone spaces; without two white spaces in a row every space inside is one."""
+    plain = text[0] != " " and text[-1] != " " and not _TWO_SPACES.search(text)
+    return text.split(" ") if plain else LONE_SPACE.split(text)
+
+
 def align(a_ends: list[int], b_ends: list[int]) -> tuple[list[int], list[int]]:
     """Where both sides of the same bytes have a token's end: how many tokens of either side lie before each, in order.
 
@@ -152,7 +158,7 @@ class Aligner:
 
         Pieces not met before are aligned in one batch; of the short ones the latest are kept in two generations.
         """
-        split = [[] if not t else LONE_SPACE.split(t) if _ODD_SPACE.search(t) else t.split(" ") for t in texts]
+        split = [_cut(t) if t else [] for t in texts]
         found: dict[str, Piece | None] = {}
         kept, older, fresh = self.kept, self.older, []
         for part in {p for parts in split for p in parts}:
