@@ -14,6 +14,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import written
+
 BLOCK = 1 << 20
 
 
@@ -63,42 +65,24 @@ def ranked(
     score: str,
     ordinal: str = "ordinal",
     name: str = "rank",
-    block: int = BLOCK,
 ) -> DataFrame:
-    """``row_number`` per group by score descending, then ordinal.
+    """``row_number`` per group by score descending, then ordinal, whatever the scores are.
 
-    ``score`` must have few distinct values (a rounded score), so the table of
-    score levels per group stays small however many rows the group has.
+    The keys alone are sorted over all tasks by sampled ranges of (group, score, ordinal), so a group of any size is cut where its
+    rows lie, and written with the task they fell into.  Places are counted inside a task's part of a group and moved on
+    by the parts before it, a table of one row per task and group.  ``ordinal`` is unique, and each row fetches its rank by it once.
     """
-    keyed = df.withColumn("_block", F.floor(F.col(ordinal) / F.lit(block)))
-    keys = [*group, score, "_block"]
-    cells = keyed.groupBy(*keys).agg(F.count(F.lit(1)).alias("_size"))
-    within = cells.withColumn(
-        "_in_level",
-        F.sum("_size").over(
-            Window.partitionBy(*group, score).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-        ),
-    )
-    levels = (
-        cells.groupBy(*group, score)
-        .agg(F.sum("_size").alias("_level_size"))
-        .withColumn(
-            "_above",
-            F.sum("_level_size").over(
-                Window.partitionBy(*group).orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, -1)
-            ),
-        )
-        .drop("_level_size")
-    )
-    levels = levels.select(*[F.col(k).alias(f"_l_{k}") for k in (*group, score)], "_above")
-    same_level = [F.col(k).eqNullSafe(F.col(f"_l_{k}")) for k in (*group, score)]
-    spans = within.join(levels, same_level).select(
-        *[F.col(k).alias(f"_k_{k}") for k in keys],
-        (F.coalesce("_in_level", F.lit(0)) + F.coalesce("_above", F.lit(0))).alias("_offset"),
-    )
-    local = keyed.withColumn("_local", F.row_number().over(Window.partitionBy(*keys).orderBy(ordinal)))
-    out = local.join(spans, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys])
-    return out.withColumn(name, F.col("_local") + F.col("_offset")).select(*df.columns, name)
+    keys = list(group)
+    order = [*[F.asc_nulls_first(k) for k in keys], F.desc(score), F.asc(ordinal)]
+    slim = df.select(*keys, score, ordinal).repartitionByRange(*order)
+    placed = written(slim.withColumn("_part", F.spark_partition_id()))
+    sizes = placed.groupBy(*keys, "_part").agg(F.count(F.lit(1)).alias("_size"))
+    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    spans = sizes.select(*[F.col(k).alias(f"_k_{k}") for k in (*keys, "_part")], F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_offset"))
+    local = placed.withColumn("_local", F.row_number().over(Window.partitionBy(*keys, "_part").orderBy(F.desc(score), ordinal)))
+    moved = local.join(spans, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in (*keys, "_part")])
+    ranks = moved.select(F.col(ordinal).alias("_k_ordinal"), (F.col("_local") + F.col("_offset")).alias(name))
+    return df.drop(name).join(ranks, F.col(ordinal) == F.col("_k_ordinal")).drop("_k_ordinal")
 
 
 def top_k(df: DataFrame, group: Sequence[str], order: Sequence[Column], k: int, name: str = "rank") -> DataFrame:

@@ -386,13 +386,12 @@ def score_for(candidates: DataFrame, intents: DataFrame | Sequence[Mapping[str,
     return score(pair(prepare(candidates, **first), intents), **options)
 
 
-def rank_scored(scored: DataFrame, ordinal: str = "ordinal", block: int | None = None) -> DataFrame:
+def rank_scored(scored: DataFrame, ordinal: str = "ordinal") -> DataFrame:
     """Rank 1..n over the rows of each request that are not rejected.
 
-    Scores are written once; level sizes and places then read their narrow columns."""
+    Scores are written once; the ranks then read their narrow columns."""
     flagged = written(scored.withColumn("_visible", F.col("quality_level") != "reject"))
-    extra = {} if block is None else {"block": block}
-    placed = ranked(flagged, ["intent_id", "_visible"], "final_score", ordinal, "rank", **extra)
+    placed = ranked(flagged, ["intent_id", "_visible"], "final_score", ordinal, "rank")
     return placed.withColumn("rank", F.when(F.col("_visible"), F.col("rank"))).drop("_visible")
 
 
